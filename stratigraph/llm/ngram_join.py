@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,7 @@ from .storage import Scratch
 from .textwords import mix, shingle_sets
 
 SKETCH_BITS, CHUNK_BITS = 20, 14
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 
 def fingerprint(h: np.ndarray) -> int:
@@ -164,9 +164,16 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _passes_filters(percent: int, n: str, m: str, i: str, j: str) -> str:
-    """Length and positional filters of two prefix rows as SQL; positions from 0."""
-    return f"{percent} * greatest({n}, {m}) <= 100 * least({n}, {m}) AND (least({i}, {j}) + 1 + least({n} - {i}, {m} - {j}) - 1) * {100 + percent} >= {percent} * ({n} + {m})"
+def _passes_filters(percent: int, x: str, y: str) -> str:
+    """Length and positional filters of two prefix rows of one shingle as SQL.
+
+    Before the shingle the sets can share no more than either has ahead of it of shingles that other
+    prefixes hold too, behind it no more than either has left.
+    """
+    return (
+        f"{percent} * greatest({x}n, {y}n) <= 100 * least({x}n, {y}n) AND "
+        f"(least({x}ahead, {y}ahead) + least({x}n - {x}pos, {y}n - {y}pos)) * {100 + percent} >= {percent} * ({x}n + {y}n)"
+    )
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +196,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     sets = first.where("chunk IS NULL").select("doc_id", "fp", "n")
 
     prefix = docs.select("text").mapInArrow(_prefixes(width, percent, "text", sketch), "h long, fp long, n int, pos int")
-    shared = _shared_rows(prefix)
+    shared = _shared_rows(prefix, percent)
     shared = scratch.keep(shared, "shared")
     scratch.release()
 
@@ -227,27 +234,34 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     return result
 
 
-def _shared_rows(prefix: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle at least two different sets have, each once."""
-    from pyspark.sql import Window
+def _shared_rows(prefix: DataFrame, percent: int) -> DataFrame:
+    """(h, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once.
 
+    ahead counts the set's rows before this one. What only one prefix holds can't be shared ahead of a
+    shared shingle, so a row too far behind for its own set to reach the threshold goes at once.
+    """
     w = Window.partitionBy("h")
     # copies in different tasks give equal rows; these are dropped behind the window, where few rows are left
-    return prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi").select("h", "fp", "n", "pos").dropDuplicates(["h", "fp"])
+    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi").select("h", "fp", "n", "pos").dropDuplicates(["h", "fp"])
+    ranked = held.withColumn("ahead", F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1)
+    return ranked.where(f"100 * (ahead + n - pos) >= {percent} * n")
 
 
 def _hub_pairs(rows: DataFrame, percent: int, k: int) -> DataFrame:
-    """Each row with its bucket's hub: the set of another component that comes first in the order of round k."""
-    rank = F.xxhash64("fp", F.lit(k))
-    hubs = rows.groupBy("h").agg(F.min(F.struct(rank.alias("r"), "fp", "n", "pos", "c")).alias("hub"))
-    pairs = rows.join(hubs, "h").where(f"fp != hub.fp AND c != hub.c AND {_passes_filters(percent, 'n', 'hub.n', 'pos', 'hub.pos')}")
+    """Each row with its bucket's hub, if that is in another component: the set with the fewest shingles of its own, ties by a hash of round k.
+
+    An original has none, its copies have their edits, so this finds the middle of a group.
+    """
+    own = (F.col("pos") - F.col("ahead")).alias("own")
+    hubs = rows.groupBy("h").agg(F.min(F.struct(own, F.xxhash64("fp", F.lit(k)).alias("r"), "fp", "n", "pos", "ahead", "c")).alias("hub"))
+    pairs = rows.join(hubs, "h").where(f"fp != hub.fp AND c != hub.c AND {_passes_filters(percent, '', 'hub.')}")
     return pairs.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket in different components that pass the filters."""
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, F.expr(f"x.h = y.h AND x.fp < y.fp AND x.c != y.c AND {_passes_filters(percent, 'x.n', 'y.n', 'x.pos', 'y.pos')}"))
+    pairs = x.join(y, F.expr(f"x.h = y.h AND x.fp < y.fp AND x.c != y.c AND {_passes_filters(percent, 'x.', 'y.')}"))
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
