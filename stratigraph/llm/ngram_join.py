@@ -165,14 +165,16 @@ def _verify(width: int, percent: int):
 
 
 def _passes_filters(percent: int, x: str, y: str) -> str:
-    """Length and positional filters of two prefix rows of one shingle as SQL.
+    """Length, prefix and positional filters of two rows of one shingle as SQL, if it is the first that the sets share.
 
-    Before the shingle the sets can share no more than either has ahead of it of shingles that other
-    prefixes hold too, behind it no more than either has left.
+    For sets of these two sizes the first shared shingle is within n - need + 1 of either. Before it they
+    can share no more than either has ahead of it of shingles that other prefixes hold too, behind it
+    no more than either has left.
     """
+    need = f"(({percent} * ({x}n + {y}n) + {99 + percent}) DIV {100 + percent})"
     return (
-        f"{percent} * greatest({x}n, {y}n) <= 100 * least({x}n, {y}n) AND "
-        f"(least({x}ahead, {y}ahead) + least({x}n - {x}pos, {y}n - {y}pos)) * {100 + percent} >= {percent} * ({x}n + {y}n)"
+        f"{percent} * greatest({x}n, {y}n) <= 100 * least({x}n, {y}n) AND {x}pos <= {x}n - {need} AND {y}pos <= {y}n - {need} AND "
+        f"least({x}ahead, {y}ahead) + least({x}n - {x}pos, {y}n - {y}pos) >= {need}"
     )
 
 
