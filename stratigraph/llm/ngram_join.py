@@ -236,6 +236,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     return result
 
 
+def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each component, that with the least id; all columns stay.
+
+    Of rows that repeat an id with one text one stays; rows without id stay.
+    """
+    found = jaccard_components(docs, width, percent, key, text)
+    flags = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("component_id").alias("__first"))
+    flags = flags.where("__rows > 1 OR __first != doc_id").withColumnRenamed("doc_id", "__id")
+    joined = docs.join(flags, docs[key] == flags["__id"], "left").where("__id IS NULL OR __first = __id")
+    once = joined.where("__id IS NOT NULL").dropDuplicates([key, text])
+    return joined.where("__id IS NULL").select(*(docs.columns)).unionByName(once.select(*docs.columns))
+
+
 def _shared_rows(prefix: DataFrame, percent: int) -> DataFrame:
     """(h, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once.
 
