@@ -1,7 +1,7 @@
 """SentencePiece BPE by vectorised merge rounds.
 
-Texts are cut into units, a run of word marks with what follows up to the next mark, since no piece
-has a mark behind another character. Distinct units are encoded together: flat numpy symbol arrays,
+Texts are cut into units, a run of word marks with what follows up to the next mark or line end, since
+no piece has a mark behind another character and none has a line end. Distinct units are encoded together: flat numpy symbol arrays,
 the least pair rank of each segment by a segmented minimum, the leftmost merge of every segment at
 once, then compaction, until no pair is left. Segments end where two characters meet that no piece
 holds side by side, so long junk words fall apart. A merge whose piece starts or ends no better
@@ -28,7 +28,7 @@ NONE = np.int64(1) << 40
 _SHIFT = 22
 CACHE_UNITS = 300_000
 BLOCK_CHARS = 1 << 20
-_UNITS = re.compile(f"{MARK}+[^{MARK}]*")
+_UNITS = re.compile(f"{MARK}+[^{MARK} ]*| [^{MARK} ]*")
 
 
 class PieceModel:
@@ -45,11 +45,11 @@ class PieceModel:
                 self.byte_ids[int(p[3:5], 16)] = i
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 normal[p] = i
-        if any(MARK in p.lstrip(MARK) for p in normal):
-            raise ValueError("pieces of this model reach over spaces")
+        if any(MARK in p.lstrip(MARK) or "\n" in p for p in normal):
+            raise ValueError("pieces of this model reach over spaces or line ends")
         scores = {p: lib.get_score(i) for p, i in normal.items()}
         ranks = {s: r for r, s in enumerate(sorted(set(scores.values()), reverse=True))}
-        self.size = size
+        self.size, self.text = size, [str(i) for i in range(size)]
         self.symbols = np.arange(0x110000, dtype=np.int64) + size  # characters without a piece of their own
         for p, i in normal.items():
             if len(p) == 1:
@@ -146,16 +146,18 @@ class PieceModel:
         return [flat[a:b] for a, b in itertools.pairwise(ends)]
 
     def encode_heads(self, heads: list[str]) -> list[list[int]]:
-        """Ids of mark + head; long runs of marks at the start are peeled off first."""
-        if not self.run:
-            return self.encode_units([MARK + h for h in heads])
-        units, peeled = [], []
-        for h in heads:
-            marks = len(h) + 1 - len(h.lstrip(MARK))
-            n = max(0, marks // self.run - 2)
-            peeled.append(n)
-            units.append(MARK + h[n * self.run :])
-        return [[self.run_id] * n + ids if n else ids for n, ids in zip(peeled, self.encode_units(units), strict=True)]
+        """Ids of mark + head, of the head alone if it starts with a line end; long runs of marks are peeled off first."""
+        units = [h if h[:1] == "\n" else MARK + h for h in heads]
+        peeled = {}
+        for k, u in enumerate(units) if self.run else ():
+            if len(u) > 2 * self.run and u[1] == MARK:
+                n = (len(u) - len(u.lstrip(MARK))) // self.run - 2
+                if n > 0:
+                    peeled[k], units[k] = n, u[n * self.run :]
+        out = self.encode_units(units)
+        for k, n in peeled.items():
+            out[k] = [self.run_id] * n + out[k]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -164,30 +166,53 @@ def piece_model(path: str) -> PieceModel:
 
 
 def heads(text: str) -> list[str]:
-    """The units of a text, each without its first mark."""
+    """The units of a text: those at a line end as they are, others without their first mark."""
     if not text:
         return []
     if text[0] == " " or "  " in text or MARK in text:
-        return [u[1:] for u in _UNITS.findall(MARK + text.replace(" ", MARK))]
-    return text.split(" ")
+        return [u[1:] for u in _UNITS.findall(MARK + text.replace(" ", MARK).replace("\n", " \n"))]
+    return text.replace("\n", " \n").split(" ")
 
 
-def encode_texts(model: PieceModel, texts: list[str], cache: dict[str, tuple[list[int], str]]) -> Iterator[tuple[list[int], str]]:
-    """(ids, ids as text joined by commas) of each; cache: units encoded before, bounded by CACHE_UNITS and a block's own."""
+class UnitCache:
+    """Ids of units met before in this task, flat, and these as text; emptied when it holds over CACHE_UNITS."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.text: list[str] = []
+        self.flat, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, model: PieceModel, new: list[str]) -> None:
+        encoded = model.encode_heads(new)
+        self.index.update(zip(new, range(len(self.text), len(self.text) + len(new)), strict=True))
+        self.text += [",".join([model.text[i] for i in ids]) for ids in encoded]
+        ends = self.start[-1] + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(encoded), np.int32, int(ends[-1] - self.start[-1]))))
+        self.start = np.concatenate((self.start, ends))
+
+
+def encode_texts(model: PieceModel, texts: list[str], cache: UnitCache) -> Iterator[tuple[list[int], str]]:
+    """(ids, ids as text joined by commas) of each."""
     split = [heads(t) for t in texts]
-    if len(cache) > CACHE_UNITS:
+    if len(cache.text) > CACHE_UNITS:
         cache.clear()
-    new = list({h for hs in split for h in hs if h not in cache})
-    for h, ids in zip(new, model.encode_heads(new), strict=True):
-        cache[h] = ids, ",".join(map(str, ids))
+    new = list(set(itertools.chain.from_iterable(split)).difference(cache.index))
+    if new:
+        cache.add(model, new)
     for hs in split:
-        got = [cache[h] for h in hs]
-        yield [i for x in got for i in x[0]], ",".join([x[1] for x in got])
+        at = np.fromiter(map(cache.index.__getitem__, hs), np.int64, len(hs))
+        first = cache.start[at]
+        count = cache.start[at + 1] - first
+        places = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        yield cache.flat[places].tolist(), ",".join(map(cache.text.__getitem__, at.tolist()))
 
 
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = piece_model(path), {}
+        model, cache = piece_model(path), UnitCache()
         for batch in batches:
             texts, at = batch.column(batch.num_columns - 1), 0
             rest = [batch.column(k) for k in range(batch.num_columns - 1)]

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from stratigraph.llm.piece_bpe import encode_documents, encode_texts, piece_model
+from stratigraph.llm.piece_bpe import UnitCache, encode_documents, encode_texts, piece_model
 from stratigraph.llm.token_counts import counter, parts, token_counts
 
 from . import common
@@ -37,7 +37,7 @@ def test_random_texts_as_the_library():
     model, rng = piece_model(MODEL), random.Random(11)
     texts = ["".join(rng.choice("ab  ▁é\nthe<>ing") for _ in range(rng.randrange(80))) for _ in range(1500)]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x500), rng.randrange(0x3000, 0x3100)])) for _ in range(60)) for _ in range(500)]
-    assert [ids for ids, _ in encode_texts(model, texts, {})] == model.library.encode(texts)
+    assert [ids for ids, _ in encode_texts(model, texts, UnitCache())] == model.library.encode(texts)
 
 
 @pytest.mark.parametrize("name", ["piece_bpe_32k.model", "byte_bpe_50k.json", "word_bpe_49k.json"])
