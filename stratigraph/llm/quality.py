@@ -123,7 +123,11 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """The rows that the policy keeps, with their columns as they were."""
+    """The rows that the policy keeps, with their columns as they were.
+
+    The row number keeps the optimiser from pushing the filter down, which would put all measurements
+    into one condition and evaluate shared parts many times over.
+    """
     names = docs.columns
     judged = apply_policy(ledger(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text")), key="row"), policy)
-    return judged.where("kept").select("doc_id.*")
+    return judged.select("doc_id", "kept", F.monotonically_increasing_id().alias("n")).where("kept AND n >= 0").select("doc_id.*")
