@@ -20,17 +20,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, shared_folder
+from .storage import Scratch
 
 #: fixed values of the seekable format
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -40,8 +39,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, offset_in_frame long, record_bytes long"
 
 
-def record_id(page_id: int | None, copy: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{copy}')}>"
+def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{copy}')}>"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -61,7 +60,7 @@ def make_record(page_id, url: str, payload: bytes, refers_to, rid: str) -> bytes
         f"X-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, payload_digest(payload))}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -157,8 +156,9 @@ def _write(folder: str, bundle_bytes: int):
                     final = f"{base}/pages-{context.partitionId():06d}-{count:04d}.warc.zst"
                     temporary = f"{final}.{context.taskAttemptId()}.part"
                     writer, index, count = BundleWriter(store.open_output_stream(temporary)), [], count + 1
-                rid = record_id(page_id, copy)
-                raw = make_record(page_id, url or "", (html or "").encode(), refers_to, rid)
+                payload = (html or "").encode()
+                rid = record_id(page_id, payload_digest(payload), copy)
+                raw = make_record(page_id, url or "", payload, refers_to, rid)
                 index.append((page_id, rid, *writer.add(raw), len(raw)))
                 if writer.at >= bundle_bytes:
                     yield finish()
@@ -195,25 +195,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to, copy): refers_to is the id whose record holds the payload, null for that record itself."""
+    """(page_id, url, html, refers_to, copy): refers_to is the id whose record holds the payload, null for that record itself.
+
+    Decisions are made on ids and digests; only ids that refer to another or repeat get one, and payloads
+    meet them in one join.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
-    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1 AND last IS NOT NULL").select("digest", "last")
-    # rows that repeat an id are rare; only these are numbered
-    repeated = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("again"))
-    found = rows.join(groups, "digest", "left").join(repeated, F.col("page_id").eqNullSafe(F.col("again")), "left")
-    marked = (F.octet_length("html") >= least_bytes) & F.col("last").isNotNull()
-    found = found.withColumn("is_twice", F.col("again").isNotNull() | F.col("page_id").isNull())
-    from pyspark.sql import Window
-
-    single = found.where("NOT is_twice").withColumn("copy", F.lit(0))
-    several = found.where("is_twice").withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")) - 1)
-    both = single.unionByName(several)
-    # of several rows with the last id and this payload the first one is the response
-    first = F.min(F.col("copy")).over(Window.partitionBy("page_id", "digest"))
-    several_again = several.withColumn("first", first).withColumn("refers_to", F.when(marked & ~(F.col("page_id").eqNullSafe(F.col("last")) & (F.col("copy") == F.col("first"))), F.col("last")))
-    single_again = single.withColumn("refers_to", F.when(marked & (F.col("page_id") != F.col("last")), F.col("last")))
-    return single_again.select("page_id", "url", "html", "refers_to", "copy").unionByName(several_again.select("page_id", "url", "html", "refers_to", "copy"))
+    slim = rows.select("page_id", "digest", F.octet_length("html").alias("bytes"))
+    groups = slim.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("c"), F.max("page_id").alias("last")).where("c > 1 AND last IS NOT NULL").select("digest", "last")
+    rare = slim.groupBy("page_id", "digest").agg(F.count("*").alias("n")).join(groups, "digest", "left").where("n > 1 OR (last IS NOT NULL AND NOT page_id <=> last)")
+    rare = rare.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "n", "last")
+    found = rows.join(rare, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
+    # equal rows of one id: the first may be the response, the others revisit it
+    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
+    several = found.where("n > 1").withColumn("copy", number)
+    both = found.where("n IS NULL OR n = 1").withColumn("copy", F.lit(0)).unionByName(several)
+    return both.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")) | (F.col("copy") > 0), F.col("last")).alias("refers_to"), "copy")
 
 
 def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
