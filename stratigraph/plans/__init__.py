@@ -1 +1,3 @@
-"""See the modules."""
+"""Composite queries, registered by importing their modules."""
+
+from . import advice_queries, graph_queries, history_queries, rule_queries, similarity_queries  # noqa: F401
