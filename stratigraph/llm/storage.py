@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +23,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def lean(run):
+    """An Arrow function that gives freed memory back to the system at its end: idle workers wait beside the executor's heap."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return lean_run
+
+
+#: a table of a few plain columns is broadcast up to this many rows (tens of MB); beyond, joins shuffle both sides
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(kept: DataFrame) -> DataFrame:
+    """A kept table, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 class Scratch:
     """Tables written once and read again: lineage ends here, so a lost executor costs no recomputation of what came before."""
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, sized
 
 #: fixed values of the seekable format
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -198,20 +198,25 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, html, refers_to, copy): refers_to is the id whose record holds the payload, null for that record itself.
 
     Decisions are made on ids and digests; only ids that refer to another or repeat get one, and payloads
-    meet them in one join.
+    meet them in one join, which needs no shuffle of payloads while these are few.
     """
+    scratch = Scratch(pages.sparkSession, "revisits")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
     slim = rows.select("page_id", "digest", F.octet_length("html").alias("bytes"))
     groups = slim.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("c"), F.max("page_id").alias("last")).where("c > 1 AND last IS NOT NULL").select("digest", "last")
     rare = slim.groupBy("page_id", "digest").agg(F.count("*").alias("n")).join(groups, "digest", "left").where("n > 1 OR (last IS NOT NULL AND NOT page_id <=> last)")
     rare = rare.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "n", "last")
-    found = rows.join(rare, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
+    rare = scratch.keep(rare, "rare")
+    found = rows.join(sized(rare), F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
+    marked = lambda df: df.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")) | (F.col("copy") > 0), F.col("last")).alias("refers_to"), "copy")
+    if not rare.where("n > 1").limit(1).count():
+        return marked(found.withColumn("copy", F.lit(0)))
     # equal rows of one id: the first may be the response, the others revisit it
     number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
     several = found.where("n > 1").withColumn("copy", number)
     both = found.where("n IS NULL OR n = 1").withColumn("copy", F.lit(0)).unionByName(several)
-    return both.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")) | (F.col("copy") > 0), F.col("last")).alias("refers_to"), "copy")
+    return marked(both)
 
 
 def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
