@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean
 from .textwords import ALNUM_WORDS, LOWER, find_words, text_blocks
 
 #: base phrases and their labels
@@ -121,7 +122,7 @@ def _count_words(index: Index):
 
 def with_idf(index: Index, docs: DataFrame, text: str = "text") -> Index:
     """Counts over all documents; what comes to the driver is one row per vocabulary word."""
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(_count_words(index), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(lean(_count_words(index)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     count = {r["word"]: r["n"] for r in rows}
     total = count.pop(None, 0)
     index.idf = {w: float(np.log((total + 1) / (count.get(int(np.uint64(w).view(np.int64)), 0) + 1))) for w in index.postings}
@@ -185,4 +186,4 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", inde
     index = with_idf(index or build_index(), docs, text)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(index), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(lean(_scan(index)), f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .storage import Scratch
+from .storage import Scratch, lean, sized
 from .textwords import mix, shingle_sets
 
 SKETCH_BITS, CHUNK_BITS = 20, 14
@@ -189,7 +189,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    first = scratch.keep(docs.mapInArrow(_first_pass(width, "doc_id", "text"), "doc_id long, fp long, n long, chunk int, counts binary"), "sets")
+    first = scratch.keep(docs.mapInArrow(lean(_first_pass(width, "doc_id", "text")), "doc_id long, fp long, n long, chunk int, counts binary"), "sets")
     chunks = first.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()  # 2**SKETCH_BITS counters, at any input size
     counts = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.uint32)
     for c in chunks:
@@ -197,14 +197,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     sketch = spark.sparkContext.broadcast(counts.reshape(-1))
     sets = first.where("chunk IS NULL").select("doc_id", "fp", "n")
 
-    prefix = docs.select("text").mapInArrow(_prefixes(width, percent, "text", sketch), "h long, fp long, n int, pos int")
+    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", sketch)), "h long, fp long, n int, pos int")
     shared = _shared_rows(prefix, percent)
     shared = scratch.keep(shared, "shared")
     scratch.release()
 
     reps = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = shared.select("fp").distinct().join(reps, "fp")
-    texts = scratch.keep(wanted.join(docs, "doc_id").select("fp", "text").mapInArrow(_own_texts(width), "fp long, text string"), "texts")
+    wanted = scratch.keep(shared.select("fp").distinct().join(reps, "fp"), "wanted")
+    texts = scratch.keep(docs.join(sized(wanted), "doc_id").select("fp", "text").mapInArrow(lean(_own_texts(width)), "fp long, text string"), "texts")
     scratch.release()
 
     found, labels, tried = None, None, None
@@ -232,7 +232,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     out = sets.join(classes.withColumn("n", F.lit(1)), (sets["fp"] == classes["fp"]) & (sets["n"] > 0), "left")
     result = out.select(sets["doc_id"], sets["n"].alias("n_shingles"), F.coalesce("component_id", sets["doc_id"]).alias("component_id"))
     result = scratch.keep(result, "result")
-    scratch.drop("sets", "shared", "texts", *(f"{x}-{k}" for k in range(HUB_ROUNDS + 1) for x in ("open", "pairs", "links")))
+    scratch.drop("sets", "shared", "wanted", "texts", *(f"{x}-{k}" for k in range(HUB_ROUNDS + 1) for x in ("open", "pairs", "links")))
     return result
 
 
@@ -243,8 +243,10 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str
     """
     found = jaccard_components(docs, width, percent, key, text)
     flags = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("component_id").alias("__first"))
-    flags = flags.where("__rows > 1 OR __first != doc_id").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(flags, docs[key] == flags["__id"], "left").where("__id IS NULL OR __first = __id")
+    flags = Scratch(docs.sparkSession, "groups").keep(flags.where("__rows > 1 OR __first != doc_id").withColumnRenamed("doc_id", "__id"), "flags")
+    joined = docs.join(sized(flags), docs[key] == flags["__id"], "left").where("__id IS NULL OR __first = __id")
+    if not flags.where("__rows > 1").limit(1).count():
+        return joined.select(*docs.columns)
     once = joined.where("__id IS NOT NULL").dropDuplicates([key, text])
     return joined.where("__id IS NULL").select(*(docs.columns)).unionByName(once.select(*docs.columns))
 
@@ -283,4 +285,4 @@ def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
 def _check(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that link, as (u, v)."""
     both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(_verify(width, percent), "u long, v long")
+    return both.select("a", "text_a", "b", "text_b").mapInArrow(lean(_verify(width, percent)), "u long, v long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch
+from .storage import Scratch, lean
 from .textwords import ALNUM_WORDS, LOWER, find_words, mix, shingles, text_blocks
 
 K, W = 6, 9
@@ -289,25 +289,25 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "passages")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    names = scratch.keep(docs.mapInArrow(_names, "doc_id long, fp long, n long"), "names").where("n >= 1 AND doc_id IS NOT NULL")
+    names = scratch.keep(docs.mapInArrow(lean(_names), "doc_id long, fp long, n long"), "names").where("n >= 1 AND doc_id IS NOT NULL")
     reps = names.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
-    seeds = docs.select("text").mapInArrow(_seeds, "h long, fp long, pos int")
+    seeds = docs.select("text").mapInArrow(lean(_seeds), "h long, fp long, pos int")
     shared = seeds.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("h")
     shared = scratch.keep(seeds.join(shared, "h").join(reps.select("fp", "rep"), "fp"), "shared")
     scratch.release()
 
     owner = shared.groupBy("h").agg(F.min(F.struct("rep", "pos", F.col("fp").alias("own_fp"))).alias("o"))
     matches = shared.join(owner, "h").where("fp != o.own_fp").select("fp", "pos", "o.own_fp", F.col("o.pos").alias("own_pos"))
-    chained = matches.repartition("fp").sortWithinPartitions("fp", "pos", "own_fp", "own_pos").mapInArrow(_chain, "fp long, own_fp long, segs binary")
+    chained = matches.repartition("fp").sortWithinPartitions("fp", "pos", "own_fp", "own_pos").mapInArrow(lean(_chain), "fp long, own_fp long, segs binary")
     chained = scratch.keep(chained.withColumn("chain", F.xxhash64("fp", "own_fp", "segs")), "chains")
-    ends = chained.mapInArrow(_region_ends, "chain long, fp long, own_fp long, start int, end int, lo int, hi int")
+    ends = chained.mapInArrow(lean(_region_ends), "chain long, fp long, own_fp long, start int, end int, lo int, hi int")
     ends = scratch.keep(ends, "ends")
     regions = ends.groupBy("fp").agg(F.collect_list(F.struct("chain", "start", "end")).alias("regions"))
     wanted = ends.select(F.col("own_fp").alias("fp"), F.explode(F.sequence("lo", "hi")).alias("block")).distinct()
     blocks = wanted.groupBy("fp").agg(F.collect_list("block").alias("blocks"))
     asked = regions.join(blocks, "fp", "full").join(reps, "fp").select(F.col("rep").alias("doc_id"), "fp", "regions", "blocks")
-    fetched = docs.join(asked, "doc_id").select("fp", "text", "regions", "blocks").mapInArrow(_fetch, "chain long, fp long, at int, words binary")
+    fetched = docs.join(asked, "doc_id").select("fp", "text", "regions", "blocks").mapInArrow(lean(_fetch), "chain long, fp long, at int, words binary")
     fetched = scratch.keep(fetched, "words")
     scratch.release()
 
@@ -315,7 +315,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     need = ends.select("chain", "own_fp", F.explode(F.sequence("lo", "hi")).alias("block"))
     other = need.join(own_words, ["own_fp", "block"]).groupBy("chain").agg(F.sort_array(F.collect_list(F.struct(F.col("block").alias("at"), F.col("own_words").alias("words")))).alias("blocks"))
     sides = chained.join(fetched.where("chain IS NOT NULL").select("chain", "at", "words"), "chain").join(other, "chain")
-    pieces = sides.select("fp", "own_fp", "segs", "at", "words", "blocks").mapInArrow(_align, "fp long, a long, b long, own_fp long, own_a long, own_b long, equal long")
+    pieces = sides.select("fp", "own_fp", "segs", "at", "words", "blocks").mapInArrow(lean(_align), "fp long, a long, b long, own_fp long, own_a long, own_b long, equal long")
     pieces = scratch.keep(pieces, "pieces")
 
     in_text = Window.partitionBy("fp").orderBy("a", "b", "own_fp", "own_a")
@@ -379,4 +379,4 @@ def cut_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """docs without the passages that earlier documents hold; documents with nothing left go. All columns stay; text must be named text."""
     spans = repeated_passages(docs, key, text).groupBy(F.col("doc_id").alias("__span_of")).agg(F.collect_list(F.struct("fp", F.col("first_word").alias("a"), F.col("last_word").alias("b"))).alias("__spans"))
     joined = docs.join(spans, docs[key] == spans["__span_of"], "left").drop("__span_of")
-    return joined.mapInArrow(_cut(docs.columns), docs.schema)
+    return joined.mapInArrow(lean(_cut(docs.columns)), docs.schema)

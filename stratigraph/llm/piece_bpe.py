@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean
+
 MARK = "▁"
 NONE = np.int64(1) << 40
 _SHIFT = 22
-CACHE_UNITS = 300_000
-BLOCK_CHARS = 1 << 20
+CACHE_UNITS = 250_000
+BLOCK_CHARS = 1 << 19
 _UNITS = re.compile(f"{MARK}+[^{MARK} ]*| [^{MARK} ]*")
 
 
@@ -242,4 +244,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids array<int> and decoded if with_ids."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(path, with_ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)
+    return rows.mapInArrow(lean(_encode(path, with_ids)), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids)

@@ -102,7 +102,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, block: int = 4 * BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def text_blocks(batch: pa.RecordBatch, column: str, block: int = 2 * BLOCK_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """Runs of rows of about block bytes: (rows, bytes, offsets). A longer text is a run of its own."""
     buf, offsets = string_bytes(batch.column(batch.schema.get_field_index(column)))
     at, rows = 0, len(offsets) - 1

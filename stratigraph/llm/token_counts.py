@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import lean
+
 BATCH_BYTES = 1 << 20
 
 
@@ -93,4 +95,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, key: str = "doc_
     """(doc_id, n_bytes, n_tokens, over_limit) by the tokenizer file at path."""
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(count_tokens(path, "text"), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return rows.mapInArrow(lean(count_tokens(path, "text")), f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
