@@ -67,8 +67,10 @@ def similarity_pairs(facts: DataFrame, threshold: float = 0.6, pool: int = 500,
     Candidates share a name word, so pairs come from an equi-join on words, not from all against all.
     """
     first = facts.where(~F.coalesce(F.contains("file_path", F.lit(".g.")) | F.contains(F.lower("file_path"), F.lit("/obj/")), F.lit(False))).orderBy("stable_id").limit(pool)
-    word = first.select("stable_id", F.struct("*").alias("f"), F.explode("words").alias("w"))
-    pairs = word.select(F.col("f").alias("a"), "w").join(word.select(F.col("f").alias("b"), "w"), "w").where("a.stable_id != b.stable_id").drop("w").dropDuplicates()
+    word = first.select("stable_id", F.explode("words").alias("w"))
+    ids = word.toDF("x", "w").join(word.toDF("y", "w"), "w").where("x != y").select("x", "y").distinct()
+    fact = first.select("stable_id", F.struct("*").alias("f"))  # pool rows at most
+    pairs = ids.join(F.broadcast(fact.toDF("x", "a")), "x").join(F.broadcast(fact.toDF("y", "b")), "y").select("a", "b")
     seed = Window.partitionBy("seed").orderBy(F.desc("score"), "other")
     scored = hybrid_scores(pairs).where("support >= 2").select(F.col("a.stable_id").alias("seed"), F.col("b.stable_id").alias("other"), "score")
     best = scored.withColumn("k", F.row_number().over(seed)).where(F.col("k") <= per_seed)
@@ -185,7 +187,7 @@ def fingerprints(vectors: DataFrame, dimension: int, bits: int = 64) -> DataFram
     out = F.lit(0).cast("long")
     matrix = F.array(*[F.array(*[F.lit(float(projection_sign(b, i))) for i in range(dimension)]) for b in range(bits)])
     signs = F.transform(matrix, lambda row: F.aggregate(F.zip_with("embedding", row, lambda x, s: x.cast("double") * s), F.lit(0.0), lambda a, x: a + x) >= 0)
-    out = F.aggregate(F.transform(signs, lambda s, k: F.when(s, F.expr("1L")).otherwise(F.expr("0L"))), F.lit(0).cast("long"), lambda a, x: a * 2 + x)
+    out = F.aggregate(F.transform(signs, lambda s, k: F.when(s, F.expr("1L")).otherwise(F.expr("0L"))), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x))
     return vectors.select("id", out.alias("fp"))
 
 

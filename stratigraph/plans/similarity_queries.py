@@ -1 +1,167 @@
-"""To come."""
+"""Similarity and duplicate evidence over documents, parts, embeddings and labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import similarity
+from ..registry import query
+from .history_queries import TOK, jac
+
+TOK2 = "list_distinct(list_transform(list_filter(string_split_regex(regexp_replace({0}, '([\\p{{Ll}}\\p{{Nd}}])(\\p{{Lu}})', '\\1 \\2', 'g'), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t != ''), lambda t: upper(t)))"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+@query("nodes", f" SELECT stable_id, array_to_string(list_sort({TOK.format('display_name')}), ' ') AS tokens, array_to_string(list_sort({TOK2.format('display_name')}), ' ') AS name_tokens FROM nodes")
+def tokenizers(nodes: DataFrame) -> DataFrame:
+    return nodes.select("stable_id", F.array_join(F.sort_array(text.tokens(F.col("display_name"))), " ").alias("tokens"), F.array_join(F.sort_array(text.name_tokens(F.col("display_name"))), " ").alias("name_tokens"))
+
+
+@query("edges", " SELECT edge_id, concat('edge:', upper(sha256(concat_ws(chr(31), source, target, edge_kind, '')))) AS identity FROM edges")
+def edge_identity(edges: DataFrame) -> DataFrame:
+    return edges.select("edge_id", text.edge_id(F.col("source"), F.col("target"), F.col("edge_kind"), F.lit(None).cast("string")).alias("identity"))
+
+
+def hybrid_sql(a: str, b: str) -> str:
+    """Score of two rows with words, path_words, file_path, layer, outs, ins."""
+    c = lambda n: (f"{a}.{n}", f"{b}.{n}")
+    d, e = "regexp_extract({0}.file_path, '^(.*)/[^/]*$', 1)", "regexp_extract({0}.file_path, '(\\.[^./]*)$', 1)"
+    file = f"(0.5::DOUBLE * {jac(*c('path_words'))} + CASE WHEN {d.format(a)} = {d.format(b)} THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN {e.format(a)} = {e.format(b)} THEN 0.2::DOUBLE ELSE 0 END)"
+    near = f"(({jac(*c('outs'))} + {jac(*c('ins'))}) / 2)"
+    module = f"CASE WHEN {a}.layer = {b}.layer THEN 1.0::DOUBLE WHEN {a}.layer IS NOT NULL AND {b}.layer IS NOT NULL THEN 0.0::DOUBLE END"
+    return f"{jac(*c('words'))} AS symbol, {near} AS neighbourhood, {file} AS file, {module} AS module"
+
+
+SCORE = """, scored AS (SELECT *, 0.25::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE + CASE WHEN module IS NULL THEN 0 ELSE 0.10::DOUBLE END AS w FROM raw),
+ done AS (SELECT *, round(round(symbol * 0.25::DOUBLE / w, 6) + round(neighbourhood * 0.15::DOUBLE / w, 6) + round(file * 0.15::DOUBLE / w, 6) + coalesce(round(module * 0.10::DOUBLE / w, 6), 0), 6) AS score, CAST((symbol > 0)::INT + (neighbourhood > 0)::INT + (file > 0)::INT + coalesce((module > 0)::INT, 0) AS BIGINT) AS support FROM scored)"""
+DOC_FACTS = f", facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, layer, []::VARCHAR[] AS outs, []::VARCHAR[] AS ins FROM doc_nodes)"
+
+
+@query("doc_nodes", DOC_FACTS + ", raw AS (SELECT b.stable_id AS candidate_id, " + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'd:1') a WHERE b.stable_id != 'd:1')" + SCORE + """
+ SELECT candidate_id, score, CASE WHEN score >= 0.7 AND support >= 3 THEN 'High' WHEN score >= 0.4 AND support >= 2 THEN 'Medium' ELSE 'Low' END AS confidence, support FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 50""")
+def hybrid_similarity(doc_nodes: DataFrame) -> DataFrame:
+    return similarity.find_similar(similarity.similarity_facts(doc_nodes), "d:1", 50)
+
+
+@query("nodes edges", f""", facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, CAST(NULL AS VARCHAR) AS layer, coalesce(o, []) AS outs, coalesce(i, []) AS ins FROM nodes
+ LEFT JOIN (SELECT source AS stable_id, list(DISTINCT target) AS o FROM edges GROUP BY 1) USING (stable_id) LEFT JOIN (SELECT target AS stable_id, list(DISTINCT source) AS i FROM edges GROUP BY 1) USING (stable_id)),
+ raw AS (SELECT b.stable_id AS candidate_id, """ + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'p:7') a WHERE b.stable_id != 'p:7')" + SCORE + """, top AS (SELECT * FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 20)
+ SELECT candidate_id, CASE WHEN support < 2 THEN 'InsufficientEvidence' WHEN score >= 0.7 THEN 'Reuse' WHEN score >= 0.4 THEN 'Extend' ELSE 'DoNotReuse' END AS decision FROM top""")
+def reuse_explain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return similarity.explain_reuse(similarity.find_similar(similarity.similarity_facts(nodes, edges), "p:7", 20))
+
+
+PAIRS = DOC_FACTS.replace("FROM doc_nodes", "FROM doc_nodes ORDER BY stable_id LIMIT 500") + ", raw AS (SELECT a.stable_id AS seed, b.stable_id AS other, " + hybrid_sql("a", "b") + " FROM facts a JOIN facts b ON a.stable_id != b.stable_id AND list_has_any(a.words, b.words))" + SCORE + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, other) AS k FROM done WHERE score > 0 AND support >= 2)"
+
+
+@query("doc_nodes", PAIRS + " SELECT seed AS left_id, other AS right_id, score FROM ranked WHERE k <= 50 AND seed < other AND score >= 0.6")
+def similarity_pairs(doc_nodes: DataFrame) -> DataFrame:
+    return similarity.similarity_pairs(similarity.similarity_facts(doc_nodes))
+
+
+@query("doc_nodes")
+def similarity_clusters(doc_nodes: DataFrame) -> DataFrame:
+    return similarity.clusters(similarity.similarity_pairs(similarity.similarity_facts(doc_nodes)))
+
+
+
+@query("", f""", s AS (SELECT concat('p', p_partkey) AS id, p_name AS name, string_split(p_type, ' ') AS types, p_brand AS brand, CAST(p_size % 3 AS INT) AS arity, p_size FROM parts),
+ pr AS (SELECT a.id AS left_id, b.id AS right_id, a.name AS n1, b.name AS n2, greatest(len(a.types), len(b.types)) AS m, len(list_filter(list_zip(a.types, b.types), lambda z: z[1] = z[2])) AS eq, a.brand AS b1, b.brand AS b2, a.arity AS a1, b.arity AS a2 FROM s a JOIN s b ON a.brand = b.brand AND a.p_size = b.p_size AND a.id < b.id),
+ t AS (SELECT *, {TOK2.format('n1')} AS t1, {TOK2.format('n2')} AS t2, greatest(length(n1), length(n2)) AS nl FROM pr)
+ SELECT left_id, right_id, round(0.35::DOUBLE * (CASE WHEN m = 0 THEN 1.0 ELSE eq::DOUBLE / m END) + 0.20::DOUBLE * (CASE WHEN b1 = b2 THEN 1.0 ELSE 0.0 END) + 0.15::DOUBLE * (CASE WHEN a1 = a2 THEN 1.0 ELSE 0.0 END) + 0.30::DOUBLE * (0.6::DOUBLE * {jac('t1', 't2')} + 0.4::DOUBLE * (CASE WHEN nl = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(upper(n1), upper(n2))::DOUBLE / nl END)), 6) AS score FROM t""", parts="SELECT * FROM {part}")
+def signature_similarity(parts: DataFrame) -> DataFrame:
+    s = parts.select(F.struct(F.concat(F.lit("p"), "p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.split("p_type", " ").alias("parameter_types"), F.col("p_brand").alias("return_type"), (F.col("p_size") % 3).alias("arity")).alias("s"), "p_brand", "p_size")
+    pairs = s.withColumnRenamed("s", "left").join(s.withColumnRenamed("s", "right"), ["p_brand", "p_size"]).where("left.symbol_id < right.symbol_id")
+    return similarity.signature_similarity(pairs).select("left.symbol_id", "right.symbol_id", "score").toDF("left_id", "right_id", "score")
+
+
+@query("", f""", pr AS (SELECT concat('p', a.p_partkey) AS x, concat('p', b.p_partkey) AS y, a.p_name AS n1, b.p_name AS n2, CASE WHEN a.p_size = b.p_size THEN 0.9 ELSE 0.5 END AS sem FROM parts a JOIN parts b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
+ t AS (SELECT x, y, round(0.6::DOUBLE * {jac(TOK2.format('n1'), TOK2.format('n2'))} + 0.4::DOUBLE * (1 - levenshtein(upper(n1), upper(n2))::DOUBLE / greatest(length(n1), length(n2))), 6) AS name_score FROM pr WHERE sem >= 0.8)
+ SELECT least(x, y) AS left_id, greatest(x, y) AS right_id, name_score FROM t WHERE name_score >= 0.45""", parts="SELECT * FROM {part}")
+def naming_advisory(parts: DataFrame) -> DataFrame:
+    a = parts.select("p_brand", "p_type", F.col("p_partkey").alias("k1"), F.col("p_name").alias("left_name"), F.col("p_size").alias("s1"))
+    b = parts.select("p_brand", "p_type", F.col("p_partkey").alias("k2"), F.col("p_name").alias("right_name"), F.col("p_size").alias("s2"))
+    pairs = a.join(b, ["p_brand", "p_type"]).where("k1 < k2").selectExpr("concat('p', k1) AS left_id", "left_name", "concat('p', k2) AS right_id", "right_name", "if(s1 = s2, 0.9, 0.5) AS semantic")
+    return similarity.naming_advisories(pairs)
+
+
+SIGNALS = "SELECT concat('u', user_id % 50) AS left_id, concat('u', user_id % 37) AS right_id, CASE event_id % 3 WHEN 0 THEN 'structural' WHEN 1 THEN 'signature' ELSE 'semantic' END AS kind, max(CAST(event_id % 100 AS DOUBLE) / 100) AS score FROM {events} WHERE user_id % 50 != user_id % 37 GROUP BY user_id % 50, user_id % 37, event_id % 3"
+
+
+@query("", """, g AS (SELECT least(left_id, right_id) AS left_id, greatest(left_id, right_id) AS right_id, score, score >= CASE kind WHEN 'structural' THEN 0.7 WHEN 'signature' THEN 0.75 ELSE 0.8 END AS ok FROM signals)
+ SELECT left_id, right_id, count(*) FILTER (ok) AS qualified, count(*) FILTER (ok) >= 2 AS likely, coalesce(round(sum(score) FILTER (ok) / count(*) FILTER (ok), 6), 0.0) AS confidence FROM g GROUP BY 1, 2""", signals=SIGNALS)
+def aggregate_signals(signals: DataFrame) -> DataFrame:
+    return similarity.aggregate_signals(signals)
+
+
+DECISIONS = "SELECT concat('f', user_id) AS finding_id, event_id AS decision_id, CASE event_id % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'ignored' ELSE 'modified' END AS resolution, ts AS occurred_at FROM {events}"
+
+
+@query("", " SELECT finding_id, max_by(resolution, (occurred_at, decision_id)) = 'ignored' AS suppressed, round(avg(CASE resolution WHEN 'accepted' THEN 0.05::DOUBLE WHEN 'ignored' THEN -0.10::DOUBLE ELSE -0.03::DOUBLE END), 6) AS adjustment FROM decisions GROUP BY 1", decisions=DECISIONS)
+def decision_feedback(decisions: DataFrame) -> DataFrame:
+    return similarity.decision_feedback(decisions)
+
+
+METHODS = "SELECT concat('d', doc_id) AS method_id, concat(' ', upper(lang), ' ') AS language, 1 + n_chars % 60 AS logical_line_count, 1 + doc_id % 12 AS cyclomatic_complexity, doc_id % 9 = 0 AS is_data_shape FROM {documents}"
+
+
+@query("", """ SELECT lower(trim(language)) AS language, CASE WHEN cyclomatic_complexity <= 1 THEN '1' WHEN cyclomatic_complexity <= 3 THEN '2-3' WHEN cyclomatic_complexity <= 8 THEN '4-8' ELSE '9+' END AS complexity_band, CASE WHEN logical_line_count <= 10 THEN 'small' WHEN logical_line_count <= 30 THEN 'medium' ELSE 'large' END AS size_band,
+ array_to_string(list_sort(list(method_id)), ',') AS members, count(*) AS n_members FROM methods WHERE NOT is_data_shape GROUP BY 1, 2, 3 HAVING count(*) >= 2""", methods=METHODS)
+def partition_bands(methods: DataFrame) -> DataFrame:
+    return similarity.partition_bands(methods)
+
+
+@query("vecs", """, v AS (SELECT band, id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vecs), p AS (SELECT a.band, a.id AS left_id, b.id AS right_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.band = b.band AND a.id < b.id),
+ s AS (SELECT band, avg(cosine) AS m, stddev_pop(cosine) AS d FROM p GROUP BY 1) SELECT band, left_id, right_id, cosine, round(CASE WHEN d > 0 THEN (cosine - m) / d ELSE 0 END, 4) AS z FROM p JOIN s USING (band)""")
+def band_cosine(vecs: DataFrame) -> DataFrame:
+    return similarity.band_cosine(vecs).withColumn("z", F.round("z", 4))
+
+
+@query("vecs")
+def embedding_fingerprints(vecs: DataFrame) -> DataFrame:
+    return similarity.nearest_fingerprints(similarity.fingerprints(vecs, 64), 32)
+
+
+@query("vecs", " SELECT len(embedding) AS dimension, count(*) AS n FROM vecs GROUP BY 1")
+def embedding_stats(vecs: DataFrame) -> DataFrame:
+    return similarity.embedding_stats(vecs)
+
+
+@query("", " SELECT h AS content_hash, h IN (SELECT md5(text) FROM b) AS cached FROM (SELECT DISTINCT md5(text) AS h FROM docs UNION SELECT md5(text) FROM b)", docs="SELECT text FROM {documents}", b="SELECT text FROM {benchmark}")
+def embedding_cache(docs: DataFrame, b: DataFrame) -> DataFrame:
+    hashed = lambda df: df.select(F.md5("text").alias("content_hash"))
+    return similarity.cache_plan(hashed(docs).union(hashed(b)), hashed(b))
+
+
+@query("", " SELECT count(*) FILTER (e AND a) AS tp, count(*) FILTER (NOT e AND a) AS fp, count(*) FILTER (e AND NOT a) AS fn, count(*) FILTER (NOT e AND NOT a) AS tn, round(count(*) FILTER (e AND a)::DOUBLE / count(*) FILTER (a), 6) AS precision, round(count(*) FILTER (e AND a)::DOUBLE / count(*) FILTER (e), 6) AS recall, round(count(*) FILTER (NOT e AND a)::DOUBLE / count(*) FILTER (NOT e), 6) AS false_positive_rate FROM (SELECT expected AS e, actual AS a FROM cases)", cases="SELECT quality = 1 AS expected, toxic = 0 AS actual FROM {labels}")
+def detection_eval(cases: DataFrame) -> DataFrame:
+    return similarity.evaluate_detection(cases)
+
+
+#: methods: 10-line blocks and 40-line classes of each source file; clones: line ranges between two of them
+RANGE_NODES = "SELECT concat('m', l_partkey, '.', l_linenumber) AS stable_id, concat('f', l_partkey % 100, '.cs') AS file_path, CAST(l_partkey % 40 * 10 AS INT) AS node_start, CAST(l_partkey % 40 * 10 + 10 * l_linenumber AS INT) AS node_end FROM {lineitem} GROUP BY l_partkey, l_linenumber"
+CLONE_LINES = "SELECT concat('c', o_orderkey) AS clone_id, concat('f', o_orderkey % 101, '.cs') AS p1, CAST(o_orderkey % 380 AS INT) AS a1, concat('f', o_custkey % 101, CASE WHEN o_custkey % 7 = 0 THEN '.g.cs' ELSE '.cs' END) AS p2, CAST(o_custkey % 380 AS INT) AS a2 FROM {orders}"
+
+
+@query("", """, side AS (SELECT clone_id, 0 AS side, p1 AS file_path, a1 AS s, a1 + 4 AS e FROM clones UNION ALL SELECT clone_id, 1, p2, a2, a2 + 4 FROM clones),
+ held AS (SELECT clone_id, side, stable_id, node_end - node_start AS span FROM side JOIN meth USING (file_path) WHERE node_start <= s AND node_end >= e), lo AS (SELECT clone_id, side, min(span) AS span FROM held GROUP BY 1, 2),
+ best AS (SELECT clone_id, side, min(stable_id) AS id, count(*) AS n FROM held JOIN lo USING (clone_id, side, span) GROUP BY 1, 2),
+ st AS (SELECT side.clone_id, side.side, file_path, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous' ELSE 'mapped' END AS state FROM side LEFT JOIN best ON side.clone_id = best.clone_id AND side.side = best.side)
+ SELECT clone_id, least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, sha256(concat_ws(chr(31), least(a.id, b.id), greatest(a.id, b.id))) AS pair_id,
+ CASE WHEN ends_with(a.file_path, '.g.cs') OR ends_with(b.file_path, '.g.cs') THEN 'generated' WHEN a.state = 'ambiguous' OR b.state = 'ambiguous' THEN 'ambiguous' WHEN a.state = 'unmapped' OR b.state = 'unmapped' THEN 'unmapped' WHEN a.id = b.id THEN 'same_symbol' END AS exclusion
+ FROM (SELECT * FROM st WHERE side = 0) a JOIN (SELECT * FROM st WHERE side = 1) b USING (clone_id)""", clones=CLONE_LINES, meth=RANGE_NODES)
+def clone_map(clones: DataFrame, meth: DataFrame) -> DataFrame:
+    side = lambda p, a: F.struct(F.col(p).alias("path"), F.col(a).alias("start_line"), (F.col(a) + 4).alias("end_line"))
+    return similarity.map_clones(clones.select("clone_id", side("p1", "a1").alias("first"), side("p2", "a2").alias("second")), meth)
+
+
+@query("", """, was AS (SELECT finding_id, max_by(resolution, (revision, decision_id)) AS w FROM ev WHERE revision <= 15 GROUP BY 1), want AS (SELECT DISTINCT finding_id, CASE WHEN length(finding_id) % 2 = 0 THEN 'accepted' ELSE 'closed' END AS state FROM ev)
+ SELECT finding_id, state FROM want LEFT JOIN was USING (finding_id) WHERE state IS DISTINCT FROM w""", ev=DECISIONS.replace("ts AS occurred_at", "CAST(day(ts) AS BIGINT) AS revision"))
+def lifecycle_reconcile(ev: DataFrame) -> DataFrame:
+    want = ev.select("finding_id").distinct().withColumn("state", F.when(F.length("finding_id") % 2 == 0, "accepted").otherwise("closed"))
+    return similarity.lifecycle_changes(want, ev.select("finding_id", F.col("resolution").alias("state"), "revision", F.col("decision_id").alias("event_id")), 15)
