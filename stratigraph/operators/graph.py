@@ -121,17 +121,20 @@ def impact_risks(reached: DataFrame, edges: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, start: str, end: str, longest: int = 12) -> DataFrame:
     """(path_length, path): fewest edges from start to end, ties by the ids of the nodes on the way; no row without a path.
 
-    Breadth first: each level holds each newly reached node once, with its first path.
+    Breadth first: each level holds each newly reached node once, with its first path, and is
+    checkpointed; the search ends when end is reached or nothing new is.
     """
+    from ..sources.storage import checkpointed
+
     steps = edges.select(F.col("source").alias("at"), "target").distinct()
-    level = edges.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
-    reached = found = None
+    level = reached = edges.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
     for _ in range(longest):
         after = level.join(steps, "at").select(F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path")).groupBy("at").agg(F.min("path").alias("path"))
-        reached = level if reached is None else reached.unionByName(level)
-        level = after.join(reached.select("at"), "at", "left_anti")
-        found = level if found is None else found.unionByName(level)
-    return found.where(F.col("at") == end).select(F.size("path").cast("long").alias("n"), "path").agg(F.min(F.struct("n", "path")).alias("m")).where("m IS NOT NULL").select((F.col("m.n") - 1).alias("path_length"), F.array_join("m.path", ">").alias("path"))
+        level = checkpointed(after.join(reached.select("at"), "at", "left_anti"))
+        reached = reached.unionByName(level)
+        if level.agg(F.count("*").alias("n"), F.max(F.col("at") == end).alias("hit")).where("n = 0 OR hit").count():
+            break
+    return level.where(F.col("at") == end).select((F.size("path") - 1).cast("long").alias("path_length"), F.array_join("path", ">").alias("path"))
 
 
 def reached_levels(edges: DataFrame, start: str, depth: int, direction: str = "dependents") -> DataFrame:

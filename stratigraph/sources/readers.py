@@ -34,7 +34,7 @@ def source_inventory(spark: SparkSession, root: str, include: list[str] = (), ex
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(commit_id, path) from log --name-only text whose commits start with 'commit <id>'."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     blocks = text.select(F.explode(F.slice(F.split("value", r"(?m)^commit "), 2, 1 << 30)).alias("b")).select(F.regexp_extract("b", r"^([0-9a-f]+)", 1).alias("commit_id"), F.split("b", "\n").alias("lines"))
     names = F.filter("lines", lambda x, k: (k > 0) & (x != "") & ~x.rlike(r"^(Author|Date|Merge): |^\s"))
     return blocks.select("commit_id", F.explode(names).alias("path")).distinct()
@@ -42,7 +42,7 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
 
 def git_status(spark: SparkSession, path: str) -> DataFrame:
     """(path, former_path, state) from porcelain -z text; a rename takes two names."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.mapInPandas(_status, "path string, former_path string, state string")
 
 
@@ -62,7 +62,7 @@ CLONE_REPORT = "duplicates array<struct<format:string, lines:int, tokens:int, fi
 
 def clone_report(spark: SparkSession, path: str) -> DataFrame:
     """(clone_id, first, second, tokens, lines) from a clone detector's JSON; a malformed report fails."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     rows = text.select(F.explode(F.from_json("value", CLONE_REPORT, {"mode": "FAILFAST"})["duplicates"]).alias("d"))
     side = lambda c: F.struct(F.col(f"d.{c}.name").alias("path"), F.col(f"d.{c}.start").alias("start_line"), F.col(f"d.{c}.end").alias("end_line"))
     both = F.sort_array(F.array(side("firstFile"), side("secondFile")))
@@ -86,7 +86,7 @@ def _flatten(value, prefix: str) -> Iterator[tuple[str, str | None]]:
 
 def json_configuration(spark: SparkSession, path: str) -> DataFrame:
     """(file, key, value, duplicate): every leaf of JSON settings under its a:b:c key; keys given twice are marked."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -99,7 +99,7 @@ def json_configuration(spark: SparkSession, path: str) -> DataFrame:
 
 def projects(spark: SparkSession, path: str) -> DataFrame:
     """(file, reference): project references of .csproj files."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return text.select("file", F.explode(F.regexp_extract_all("value", F.lit(r'<ProjectReference\s+Include="([^"]+)"'), F.lit(1))).alias("reference"))
 
 
