@@ -7,7 +7,8 @@
    smallest. So n holders of a passage give n matches, never pairs within the group.
 3. A text's matches are taken together: stretches of matches that could reach the least length are
    chained per owner, best score first, where the predecessor with the best score less a gap cost
-   linear in the words skipped comes from a Fenwick tree over owner positions.
+   linear in the words skipped comes from a Fenwick tree over owner positions. Chains within a longer,
+   dense one add nothing and go.
 4. Chains are aligned: the words of both sides around a chain are fetched (the owner's in blocks of
    BLOCK words, each fetched once however many texts need it), matches are extended to both sides
    with an X-drop, gaps are aligned by dynamic programming. Pieces of 75 % equal words stay.
@@ -40,6 +41,7 @@ JOIN_GAP = 3
 BLOCK = 64
 MARGIN = K + W + 4
 GAP_COST = 0.05
+DENSE = 0.8
 
 
 def sequence_fingerprint(h: np.ndarray) -> int:
@@ -58,6 +60,19 @@ def seed_places(grams: np.ndarray, w: int = W) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
+def by_occurrence(h: np.ndarray) -> np.ndarray:
+    """Hashes in which the second, third... occurrence of a value is a value of its own.
+
+    So a line that a text repeats meets as many lines of an owner, in order, and not one line many times.
+    """
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    count = np.empty(len(h), np.uint64)
+    count[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return np.where(count > 0, mix(h + count * np.uint64(0x9E3779B97F4A7C15)), h)
+
+
 def word_rows(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, word hashes, first byte, last byte + 1 of each word) of each row."""
     for rows, buf, offsets in text_blocks(batch, column):
@@ -86,7 +101,7 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(fp)
             grams = shingles(h, K)
             at = seed_places(grams)
-            parts.append((grams[at].view(np.int64), np.full(len(at), fp), at.astype(np.int32)))
+            parts.append((by_occurrence(grams[at]).view(np.int64), np.full(len(at), fp), at.astype(np.int32)))
             held += len(at)
             if held > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "fp", "pos"])
@@ -160,6 +175,20 @@ def chains(rows: np.ndarray) -> list[list[int]]:
     return out
 
 
+def uncovered(found: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray]]:
+    """Chains (owner, segments) of one stretch without those that lie within a longer one whose segments are DENSE: these add no words to the union."""
+    ends = [(int(rows[0, 0]), int((rows[:, 0] + rows[:, 2]).max()), int(rows[:, 2].sum())) for _, rows in found]
+    kept, dense = [], []
+    for i in sorted(range(len(found)), key=lambda i: (ends[i][0] - ends[i][1], ends[i][0], found[i][0])):
+        a, b, words = ends[i]
+        if any(x <= a and b <= y for x, y in dense):
+            continue
+        kept.append(found[i])
+        if words >= DENSE * (b - a) and b - a > K:
+            dense.append((a, b))
+    return kept
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches (fp, pos, own_fp, own_pos), those of a text in a row, to chains (fp, own_fp, segs)."""
     held: list[np.ndarray] = []
@@ -174,10 +203,12 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if p[y - 1] + K - p[x] < LEAST - 2 * (W - 1):
                     continue
                 owner = own_fp[a + x : a + y]
+                found = []
                 for o in np.unique(owner).tolist():
                     pick = owner == o
                     rows = segments(p[x:y][pick].astype(np.int64), own_pos[a + x : a + y][pick].astype(np.int64))
-                    out += [(int(fp[a]), o, rows[c].astype(np.int32).tobytes()) for c in chains(rows)]
+                    found += [(o, rows[c]) for c in chains(rows)]
+                out += [(int(fp[a]), o, rows.astype(np.int32).tobytes()) for o, rows in uncovered(found)]
         return out
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
