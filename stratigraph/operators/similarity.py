@@ -243,13 +243,19 @@ def cache_plan(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.select("content_hash").distinct().join(have, "content_hash", "left").select("content_hash", F.coalesce("c", F.lit(False)).alias("cached"))
 
 
-def narrowest_container(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(range_id, stable_id, state): the narrowest node of a file that holds a line range; equal spans are ambiguous."""
-    held = ranges.join(nodes, "file_path").where("node_start <= start_line AND node_end >= end_line").withColumn("span", F.col("node_end") - F.col("node_start"))
-    best = held.groupBy("range_id").agg(F.min(F.struct("span", "stable_id")).alias("m"), F.min("span").alias("least"))
-    ties = held.join(best.select("range_id", "least"), "range_id").where("span = least").groupBy("range_id").agg(F.count("*").alias("n"))
-    out = ranges.select("range_id").join(best, "range_id", "left").join(ties, "range_id", "left")
-    return out.select("range_id", F.when(F.col("n") == 1, F.col("m.stable_id")).alias("stable_id"), F.when(F.col("n").isNull(), "unmapped").when(F.col("n") > 1, "ambiguous").otherwise("mapped").alias("state"))
+def narrowest_container(ranges: DataFrame, nodes: DataFrame, lines: int = 16) -> DataFrame:
+    """(range_id, stable_id, state): the narrowest node of a file that holds a line range; equal spans are ambiguous.
+
+    Nodes are listed under each block of lines that they reach into, ranges look in the block where they
+    start, so the join is on (file, block) and not on the file alone.
+    """
+    block = lambda c: F.floor(F.col(c) / lines)
+    listed = nodes.select("file_path", "stable_id", "node_start", "node_end", F.explode(F.sequence(block("node_start"), block("node_end"))).alias("block"))
+    held = ranges.withColumn("block", block("start_line")).join(listed, ["file_path", "block"]).where("node_start <= start_line AND node_end >= end_line")
+    spans = held.groupBy("range_id", (F.col("node_end") - F.col("node_start")).alias("span")).agg(F.count("*").alias("n"), F.min("stable_id").alias("id"))
+    best = spans.groupBy("range_id").agg(F.min(F.struct("span", "n", "id")).alias("m"))
+    out = ranges.select("range_id").join(best, "range_id", "left")
+    return out.select("range_id", F.when(F.col("m.n") == 1, F.col("m.id")).alias("stable_id"), F.when(F.col("m").isNull(), "unmapped").when(F.col("m.n") > 1, "ambiguous").otherwise("mapped").alias("state"))
 
 
 def map_clones(clones: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -69,13 +69,13 @@ def clone_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(both[0].alias("first"), both[1].alias("second"), F.col("d.tokens").alias("tokens"), F.col("d.lines").alias("lines")).withColumn("clone_id", F.sha2(F.to_json(F.struct("first", "second")), 256))
 
 
-def _pairs(pairs: list) -> list:
-    return [("__object__", pairs)]
+class _Pairs(list):
+    """A JSON object with its keys as they stand, repeats included."""
 
 
 def _flatten(value, prefix: str) -> Iterator[tuple[str, str | None]]:
-    if isinstance(value, list) and value and value[0][:1] == ("__object__",):
-        for k, v in value[0][1]:
+    if isinstance(value, _Pairs):
+        for k, v in value:
             yield from _flatten(v, f"{prefix}:{k}" if prefix else k)
     elif isinstance(value, list):
         for i, v in enumerate(value):
@@ -90,7 +90,7 @@ def json_configuration(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [(f, k, v) for f, t in zip(frame["file"], frame["value"], strict=True) for k, v in _flatten(json.loads(t, object_pairs_hook=_pairs), "")]
+            out = [(f, k, v) for f, t in zip(frame["file"], frame["value"], strict=True) for k, v in _flatten(json.loads(t, object_pairs_hook=_Pairs), "")]
             yield pd.DataFrame(out, columns=["file", "key", "value"], dtype=object)
 
     rows = text.mapInPandas(run, "file string, key string, value string")
