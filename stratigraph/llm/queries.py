@@ -88,3 +88,23 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).drop("fp")
+
+
+ORACLES["op8_quality_rules"] = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM s)),
+dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+hit AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper FROM s LEFT JOIN hit USING (rid)),
+b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 16 * n_words)::INT + 32 * (100 * n_upper > 60 * word_chars)::INT AS BIGINT) AS fail_bits FROM m)
+SELECT *, (fail_bits & 3) != 0 AS base_failed, fail_bits = 0 AS kept FROM b
+"""
+
+ORACLES["op6_chat_format"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(r, '(<|\[)(\\*)(s>|/s>|INST\]|/INST\]|TURN\])', '\1\\\2\3', 'g') AS er, regexp_replace(x, '(<|\[)(\\*)(s>|/s>|INST\]|/INST\]|TURN\])', '\1\\\2\3', 'g') AS ex, row_number() OVER o AS k, lag(r) OVER o AS before, lead(r) OVER o AS behind FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(r, chr(10), x, chr(10)), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(x, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(CASE WHEN before = r THEN 6 ELSE 9 + length(er) + 7 END + length(ex) + CASE WHEN behind = r THEN 0 ELSE 4 END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
+"""
