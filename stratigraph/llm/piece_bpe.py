@@ -28,8 +28,8 @@ from .storage import lean
 MARK = "▁"
 NONE = np.int64(1) << 40
 _SHIFT = 22
-CACHE_UNITS = 250_000
-BLOCK_CHARS = 1 << 19
+CACHE_UNITS = 350_000
+BLOCK_CHARS = 1 << 20
 _UNITS = re.compile(f"{MARK}+[^{MARK} ]*| [^{MARK} ]*")
 
 
