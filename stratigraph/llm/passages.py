@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import Scratch, lean
+from .storage import BROADCAST_ROWS, Scratch, lean
 from .textwords import ALNUM_WORDS, LOWER, find_words, mix, shingles, text_blocks
 
 K, W = 6, 9
@@ -324,7 +324,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     reps = names.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
     seeds = docs.select("text").mapInArrow(lean(_seeds), "h long, fp long, pos int")
-    shared = seeds.groupBy("h").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo != hi").select("h")
+    half = F.shiftright("fp", 32).cast("int")  # enough to tell two texts apart, and half as much to shuffle
+    shared = seeds.groupBy("h").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where("lo != hi").select("h")
     shared = scratch.keep(seeds.join(shared, "h").join(reps.select("fp", "rep"), "fp"), "shared")
     scratch.release()
 
@@ -338,7 +339,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     wanted = ends.select(F.col("own_fp").alias("fp"), F.explode(F.sequence("lo", "hi")).alias("block")).distinct()
     blocks = wanted.groupBy("fp").agg(F.collect_list("block").alias("blocks"))
     asked = regions.join(blocks, "fp", "full").join(reps, "fp").select(F.col("rep").alias("doc_id"), "fp", "regions", "blocks")
-    fetched = docs.join(asked, "doc_id").select("fp", "text", "regions", "blocks").mapInArrow(lean(_fetch), "chain long, fp long, at int, words binary")
+    asked = scratch.keep(asked, "asked")
+    held = asked.agg(F.sum(F.coalesce(F.size("regions"), F.lit(0)) + F.coalesce(F.size("blocks"), F.lit(0)))).first()[0] or 0
+    fetched = docs.join(F.broadcast(asked) if held <= BROADCAST_ROWS // 4 else asked, "doc_id").select("fp", "text", "regions", "blocks").mapInArrow(lean(_fetch), "chain long, fp long, at int, words binary")
     fetched = scratch.keep(fetched, "words")
     scratch.release()
 
@@ -362,7 +365,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     copies = names.where(f"n >= {LEAST}").join(reps.select("fp", "rep"), "fp").where("doc_id != rep").distinct()
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("first_word"), (F.col("n") - 1).alias("last_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_first_word"), (F.col("n") - 1).alias("source_last_word"), F.lit(1.0).alias("similarity"), F.lit(True).alias("whole"), "fp")
     result = scratch.keep(partial.unionByName(whole), "result")
-    scratch.drop("names", "shared", "chains", "ends", "words", "pieces")
+    scratch.drop("names", "shared", "chains", "ends", "asked", "words", "pieces")
     return result
 
 
