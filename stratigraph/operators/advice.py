@@ -215,3 +215,11 @@ CHECKPOINTS = ("baseline", "impact", "public_surface", "change", "verify", "reco
 def safe_refactor(spark, target: str) -> DataFrame:
     """(ordinal, checkpoint, target): the six fixed checkpoints."""
     return spark.createDataFrame([(k + 1, c, target) for k, c in enumerate(CHECKPOINTS)], "ordinal long, checkpoint string, target string")
+
+
+def map_questions(questions: DataFrame, text: str) -> DataFrame:
+    """questions with (node, direction, depth): the three phrasings as expressions; null is unsupported."""
+    into = F.regexp_extract(text, r"(?i)^\s*what\s+(?:breaks\s+if\s+i\s+delete|uses)\s+(.+?)\??\s*$", 1)
+    out = F.regexp_extract(text, r"(?i)^\s*what\s+does\s+(.+?)\s+use\??\s*$", 1)
+    node = F.when(into != "", into).when(out != "", out)
+    return questions.withColumn("node", node).withColumn("direction", F.when(into != "", "dependents").when(out != "", "dependencies")).withColumn("depth", F.when(node.isNotNull(), 3))
