@@ -35,6 +35,8 @@ from .textwords import mix, shingle_sets
 
 SKETCH_BITS, CHUNK_BITS = 20, 14
 HUB_ROUNDS = 1
+#: a bucket that the sketch puts far over this many rows is looked at in parts of about so many
+HOT_ROWS = 1 << 16
 
 
 def fingerprint(h: np.ndarray) -> int:
@@ -95,15 +97,18 @@ def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": pdf["chunk"][:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _prefixes(width: int, percent: int, text: str, sketch):
+def _prefixes(width: int, percent: int, text: str, sketch, hot_rows: int):
+    """Rows (h, fp, n, pos, part): part is 0, or one of the parts of a hot shingle, by the set's fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
+        hot = hot_rows + 8 * counts.mean()
         for batch in batches:
             parts: list[tuple] = []
             held = 0
 
             def flush():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], ["h", "fp", "n", "pos"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)], ["h", "fp", "n", "pos", "part"])
 
             for _, h in shingle_sets(batch, text, width):
                 fp, n = fingerprint(h), len(h)
@@ -118,7 +123,7 @@ def _prefixes(width: int, percent: int, text: str, sketch):
                     order = near[np.lexsort((h[near], df[near]))][:k]
                 else:
                     order = np.lexsort((h, df))
-                parts.append((h[order].view(np.int64), np.full(k, fp, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
+                parts.append((h[order].view(np.int64), np.full(k, fp, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), np.where(df[order] > hot, 1 + fp % (df[order].astype(np.int64) // hot_rows + 1), 0).astype(np.int32)))
                 held += k
                 if held > 200_000:
                     yield flush()
@@ -197,7 +202,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     sketch = spark.sparkContext.broadcast(counts.reshape(-1))
     sets = first.where("chunk IS NULL").select("doc_id", "fp", "n")
 
-    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", sketch)), "h long, fp long, n int, pos int")
+    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", sketch, HOT_ROWS)), "h long, fp long, n int, pos int, part int")
     shared = _shared_rows(prefix, percent)
     shared = scratch.keep(shared, "shared")
     scratch.release()
@@ -252,14 +257,14 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str
 
 
 def _shared_rows(prefix: DataFrame, percent: int) -> DataFrame:
-    """(h, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once.
+    """(h, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once, and all of hot shingles.
 
     ahead counts the set's rows before this one. What only one prefix holds can't be shared ahead of a
     shared shingle, so a row too far behind for its own set to reach the threshold goes at once.
     """
-    w = Window.partitionBy("h")
+    w = Window.partitionBy("h", "part")
     # copies in different tasks give equal rows; these are dropped behind the window, where few rows are left
-    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi").select("h", "fp", "n", "pos").dropDuplicates(["h", "fp"])
+    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "fp", "n", "pos").dropDuplicates(["h", "fp"])
     ranked = held.withColumn("ahead", F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1)
     return ranked.where(f"100 * (ahead + n - pos) >= {percent} * n")
 

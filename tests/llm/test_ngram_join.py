@@ -29,6 +29,15 @@ def test_components(spark, rows):
     assert sorted(got, key=key) == sorted(common.jaccard_components(rows), key=key)
 
 
+def test_hot_shingles_are_split(spark, monkeypatch):
+    import stratigraph.llm.ngram_join as module
+
+    monkeypatch.setattr(module, "HOT_ROWS", 2)
+    rows = near_copies(25, 3)
+    got = [tuple(r) for r in jaccard_components(common.docs(spark, rows)).collect()]
+    assert sorted(got) == sorted(common.jaccard_components(rows))
+
+
 def test_bounds():
     import numpy as np
 
