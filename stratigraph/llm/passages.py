@@ -4,7 +4,8 @@
    seed, so a run of K + W - 1 shared words shares one at least. Equal word sequences are one text
    (known by a 64-bit fingerprint), which goes on once per task.
 2. A seed that several texts have points to its first owner, the text whose least document id is
-   smallest. So n holders of a passage give n matches, never pairs within the group.
+   smallest. So n holders of a passage give n matches, never pairs within the group. A seed is one row of a
+   text with all its places there; each place meets one of the owner's, that on the longest diagonal.
 3. A text's matches are taken together: stretches of matches that could reach the least length are
    chained per owner, best score first, where the predecessor with the best score less a gap cost
    linear in the words skipped comes from a Fenwick tree over owner positions. Chains within a longer,
@@ -60,17 +61,16 @@ def seed_places(grams: np.ndarray, w: int = W) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def by_occurrence(h: np.ndarray) -> np.ndarray:
-    """Hashes in which the second, third... occurrence of a value is a value of its own.
-
-    So a line that a text repeats meets as many lines of an owner, in order, and not one line many times.
-    """
+def grouped(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
+    """(hash, first place, bytes of its other places or None), one of each hash."""
     order = np.argsort(h, kind="stable")
-    s = h[order]
+    s, at = h[order], at[order].astype(np.int32)
     first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    count = np.empty(len(h), np.uint64)
-    count[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    return np.where(count > 0, mix(h + count * np.uint64(0x9E3779B97F4A7C15)), h)
+    more: list[bytes | None] = [None] * len(first)
+    ends = np.append(first[1:], len(s))
+    for k in np.flatnonzero(ends - first > 1).tolist():
+        more[k] = at[first[k] + 1 : ends[k]].tobytes()
+    return s[first], at[first], more
 
 
 def word_rows(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -93,6 +93,12 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
+
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        h, fp, pos, more = zip(*parts, strict=True)
+        columns = [*(pa.array(np.concatenate(c)) for c in (h, fp, pos)), pa.array([x for m in more for x in m], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["h", "fp", "pos", "more"])
+
     for batch in batches:
         parts, held = [], 0
         for _, h, _, _ in word_rows(batch, "text"):
@@ -101,13 +107,14 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.add(fp)
             grams = shingles(h, K)
             at = seed_places(grams)
-            parts.append((by_occurrence(grams[at]).view(np.int64), np.full(len(at), fp), at.astype(np.int32)))
-            held += len(at)
+            hashes, pos, more = grouped(grams[at], at)
+            parts.append((hashes.view(np.int64), np.full(len(pos), fp), pos, more))
+            held += len(pos)
             if held > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "fp", "pos"])
+                yield batch_of(parts)
                 parts, held = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["h", "fp", "pos"])
+            yield batch_of(parts)
 
 
 class Fenwick:
@@ -133,6 +140,32 @@ class Fenwick:
         return found
 
 
+def follow(p: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    """One of the owner's places for each match, those of a match in order: the diagonal that goes on longest, of equals that next to the one before.
+
+    So of what owner and text both repeat each match is taken once, not with all places, and an exact passage is in two
+    runs at most: what an earlier run took of it, and the rest. In a row of evenly spaced places a run starts at the first or last.
+    """
+    if all(len(q) == 1 for q in places):
+        return np.array([q[0] for q in places], np.int64)
+    own = np.zeros(len(p), np.int64)
+    live, start, before = np.zeros(0, np.int64), 0, 0
+    for k in range(len(p) + 1):
+        if k < len(p) and k and p[k] - p[k - 1] <= K + W:
+            q = places[k] - p[k]
+            kept = live[q[np.minimum(np.searchsorted(q, live), len(q) - 1)] == live]
+            if len(kept):
+                live = kept
+                continue
+        if k:
+            before = int(live[np.abs(live - before).argmin()]) if start else int(live[0])
+            own[start:k] = p[start:k] + before
+        if k < len(p):
+            q, steps = places[k], np.diff(places[k])
+            live, start = q[np.concatenate(([True], steps[1:] != steps[:-1], [True]))[: len(q)]] - p[k], k
+    return own
+
+
 def segments(pos: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Runs of matches on one diagonal that touch or overlap, as rows (start, owner's start, length)."""
     order = np.lexsort((pos, own - pos))
@@ -190,23 +223,32 @@ def uncovered(found: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches (fp, pos, own_fp, own_pos), those of a text in a row, to chains (fp, own_fp, segs)."""
+    """Matches (fp, pos, more, own_fp, own_pos, own_more), those of a text in a row, to chains (fp, own_fp, segs)."""
     held: list[np.ndarray] = []
 
     def texts(columns: list[np.ndarray]) -> list[tuple]:
-        fp, pos, own_fp, own_pos = columns
+        fp, pos, more, own_fp, own_pos, own_more = columns
         out = []
         for a, b in _runs(fp):
-            p = pos[a:b]
+            p, row = pos[a:b].astype(np.int64), np.arange(a, b)
+            again = [k for k in range(a, b) if more[k] is not None]
+            if again:
+                others = [np.frombuffer(more[k], np.int32) for k in again]
+                p, row = np.concatenate((p, *others)), np.concatenate((row, np.repeat(again, [len(x) for x in others])))
+                order = np.argsort(p, kind="stable")
+                p, row = p[order], row[order]
+            place = {k: np.append(own_pos[k], np.frombuffer(own_more[k], np.int32)).astype(np.int64) for k in range(a, b) if own_more[k] is not None}
             cuts = np.flatnonzero(np.diff(p) > K + W + GAP) + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), b - a], strict=True):
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
                 if p[y - 1] + K - p[x] < LEAST - 2 * (W - 1):
                     continue
-                owner = own_fp[a + x : a + y]
+                owner = own_fp[row[x:y]]
                 found = []
                 for o in np.unique(owner).tolist():
                     pick = owner == o
-                    rows = segments(p[x:y][pick].astype(np.int64), own_pos[a + x : a + y][pick].astype(np.int64))
+                    at, rows = p[x:y][pick], row[x:y][pick].tolist()
+                    own = follow(at, [place[k] if k in place else own_pos[k : k + 1].astype(np.int64) for k in rows]) if place else own_pos[rows].astype(np.int64)
+                    rows = segments(at, own)
                     found += [(o, rows[c]) for c in chains(rows)]
                 out += [(int(fp[a]), o, rows.astype(np.int32).tobytes()) for o, rows in uncovered(found)]
         return out
@@ -216,7 +258,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["fp", "own_fp", "segs"])
 
     for batch in batches:
-        columns = [np.asarray(c) for c in batch.columns]
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if not len(columns[0]):
             continue
         if held:
@@ -323,15 +365,15 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     names = scratch.keep(docs.mapInArrow(lean(_names), "doc_id long, fp long, n long"), "names").where("n >= 1 AND doc_id IS NOT NULL")
     reps = names.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
-    seeds = docs.select("text").mapInArrow(lean(_seeds), "h long, fp long, pos int")
+    seeds = docs.select("text").mapInArrow(lean(_seeds), "h long, fp long, pos int, more binary")
     half = F.shiftright("fp", 32).cast("int")  # enough to tell two texts apart, and half as much to shuffle
     shared = seeds.groupBy("h").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where("lo != hi").select("h")
     shared = scratch.keep(seeds.join(shared, "h").join(reps.select("fp", "rep"), "fp"), "shared")
     scratch.release()
 
-    owner = shared.groupBy("h").agg(F.min(F.struct("rep", "pos", F.col("fp").alias("own_fp"))).alias("o"))
-    matches = shared.join(owner, "h").where("fp != o.own_fp").select("fp", "pos", "o.own_fp", F.col("o.pos").alias("own_pos"))
-    chained = matches.repartition("fp").sortWithinPartitions("fp", "pos", "own_fp", "own_pos").mapInArrow(lean(_chain), "fp long, own_fp long, segs binary")
+    owner = shared.groupBy("h").agg(F.min(F.struct("rep", "pos", F.col("fp").alias("own_fp"), "more")).alias("o"))
+    matches = shared.join(owner, "h").where("fp != o.own_fp").select("fp", "pos", "more", "o.own_fp", F.col("o.pos").alias("own_pos"), F.col("o.more").alias("own_more"))
+    chained = matches.repartition("fp").sortWithinPartitions("fp", "pos").mapInArrow(lean(_chain), "fp long, own_fp long, segs binary")
     chained = scratch.keep(chained.withColumn("chain", F.xxhash64("fp", "own_fp", "segs")), "chains")
     ends = chained.mapInArrow(lean(_region_ends), "chain long, fp long, own_fp long, start int, end int, lo int, hi int")
     ends = scratch.keep(ends, "ends")

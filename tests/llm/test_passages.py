@@ -111,3 +111,27 @@ def test_seeds_are_minimizers():
     g = np.random.default_rng(1).integers(0, 2**60, 500).astype(np.uint64)
     want = sorted({i + int(g[i : i + 9].argmin()) for i in range(492)})
     assert seed_places(g).tolist() == want
+
+
+def spans_of(spark, rows):
+    return {(r.doc_id, r.first_word, r.last_word) for r in repeated_passages(common.docs(spark, [(i, t, "", "", 0) for i, t in rows])).collect()}
+
+
+def test_every_occurrence_is_found(spark):
+    p, u = [f"p{i}" for i in range(60)], [[f"u{k}x{i}" for i in range(80)] for k in range(6)]
+    lines = [[f"l{k}x{i}" for i in range(20)] for k in range(5)]
+    text = lambda *parts: " ".join(w for part in parts for w in part)
+    rows = [
+        (1, text(u[0], p, u[1])),
+        (2, text(u[2], p, u[3], p, u[4])),  # twice what the owner holds once
+        (3, text(u[5][:40], p[:30], u[5][40:], p)),  # a part first, then the whole
+        (4, text(*lines, ["between"] * 3, *lines[::-1])),
+        (5, text(["new"] * 3, *lines[::-1], ["end"])),  # the owner's second order of repeated lines
+    ]
+    assert spans_of(spark, rows) == {(2, 80, 139), (2, 220, 279), (3, 110, 169), (5, 3, 102)}
+
+
+def test_repeated_lines_stay_linear():
+    q = [np.arange(0, 18 * 3000, 18)] * 3000
+    assert module.follow(np.arange(0, 18 * 3000, 18), q).shape == (3000,)
+    assert module.follow(np.array([5, 14, 23]), [np.array([1, 50, 90]), np.array([10, 59]), np.array([68])]).tolist() == [50, 59, 68]
