@@ -12,7 +12,8 @@
    dense one add nothing and go.
 4. Chains are aligned: the words of both sides around a chain are fetched (the owner's in blocks of
    BLOCK words, each fetched once however many texts need it), matches are extended to both sides
-   with an X-drop, gaps are aligned by dynamic programming. Pieces of 75 % equal words stay.
+   with an X-drop, gaps are aligned by dynamic programming. Pieces of 75 % equal words stay; a chain that has
+   fewer is cut at gaps, and its best parts stay.
 5. Pieces of a text are united over owners, since the first owner of a passage may hold only part of it;
    united spans of LEAST words or more with a piece of LONGEST or more are reported, with the owner of
    the longest piece. Copies of a whole text are reported whole.
@@ -296,13 +297,13 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
 
 
-def _extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """How far two sides starting here stay alike: (length, equal words), matches 1, others -2, drop 8."""
+def _extend(a: np.ndarray, b: np.ndarray, other: int = -2) -> tuple[int, int]:
+    """How far two sides starting here stay alike: (length, equal words), matches 1, others -2 (or as given), drop 8."""
     n = min(len(a), len(b))
     if not n:
         return 0, 0
     same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -2))
+    score = np.cumsum(np.where(same, 1, other))
     high = np.maximum.accumulate(np.maximum(score, 0))
     stop = np.flatnonzero(high - score > 8)
     score = score[: stop[0]] if len(stop) else score
@@ -322,21 +323,68 @@ def _equal_in_gap(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(a: np.ndarray, b: np.ndarray, segs: np.ndarray) -> tuple[int, int, int, int, int]:
-    """(start, end, owner's start, owner's end, equal words) of a chain; segs are rows (start in a, start in b, length)."""
-    x, y, n = (int(v) for v in segs[0])
-    back, equal = _extend(a[:x][::-1], b[:y][::-1])
-    start, own_start = x - back, y - back
-    at, own = x, y
+def _parts(a: np.ndarray, b: np.ndarray, segs: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Segments without overlaps, each with the most equal words of the gap before it: (start in a, start in b, length, equal in gap)."""
+    at, own = (int(v) for v in segs[0, :2])
+    out = []
     for x, y, n in segs.tolist():
         skip = max(0, at - x, own - y)  # segments may overlap by less than a window
         x, y, n = x + skip, y + skip, n - skip
         if n <= 0:
             continue
-        equal += _equal_in_gap(a[at:x], b[own:y]) + int((a[x : x + n] == b[y : y + n]).sum())
+        out.append((x, y, n, _equal_in_gap(a[at:x], b[own:y])))
         at, own = x + n, y + n
-    ahead, more = _extend(a[at:], b[own:])
-    return start, at + ahead, own_start, own + ahead, equal + more
+    return out
+
+
+def _whole(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int, int]], other: int = -2) -> tuple[int, int, int, int, int]:
+    """Parts in one alignment with both sides extended."""
+    x, y, _, _ = parts[0]
+    back, equal = _extend(a[:x][::-1], b[:y][::-1], other)
+    equal += sum(g for *_, g in parts[1:]) + sum(int((a[i : i + n] == b[j : j + n]).sum()) for i, j, n, _ in parts)
+    end, own_end = parts[-1][0] + parts[-1][2], parts[-1][1] + parts[-1][2]
+    ahead, more = _extend(a[end:], b[own_end:], other)
+    return x - back, end + ahead, y - back, own_end + ahead, equal + more
+
+
+def align(a: np.ndarray, b: np.ndarray, segs: np.ndarray) -> tuple[int, int, int, int, int]:
+    """(start, end, owner's start, owner's end, equal words) of a chain; segs are rows (start in a, start in b, length)."""
+    return _whole(a, b, _parts(a, b, segs))
+
+
+def _like(piece: tuple[int, int, int, int, int]) -> bool:
+    start, end, own_start, own_end, equal = piece
+    return equal >= LIKE * max(end - start, own_end - own_start)
+
+
+def local_pieces(a: np.ndarray, b: np.ndarray, segs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """A chain's alignment if alike enough; else its best stretch of segments, and so on with what is left on both sides.
+
+    The best has most equal words less LIKE of all, which is never negative: so no segment is lost to its neighbours.
+    """
+    out, todo = [], [_parts(a, b, segs)]
+    while todo:
+        parts = todo.pop()
+        if not parts:
+            continue
+        whole = _whole(a, b, parts)
+        if _like(whole):
+            out.append(whole)
+            continue
+        best, lo, hi, run, start = -1.0, 0, 0, 0.0, 0
+        for k, (x, y, n, g) in enumerate(parts):
+            if k:
+                i, j, m, _ = parts[k - 1]
+                run += g - LIKE * max(x - i - m, y - j - m)
+            if not k or run <= 0:
+                run, start = 0.0, k
+            run += n * (1 - LIKE)
+            if run > best:
+                best, lo, hi = run, start, k + 1
+        piece = _whole(a, b, parts[lo:hi])
+        out.append(piece if _like(piece) else _whole(a, b, parts[lo:hi], -3))  # here sides add 75 % equal words at least
+        todo += [parts[:lo], parts[hi:]]
+    return out
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +396,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = r["blocks"][0]["at"] * BLOCK
             b = np.frombuffer(b"".join(x["words"] for x in r["blocks"]), np.uint32)
             segs = np.frombuffer(r["segs"], np.int32).reshape(-1, 3).astype(np.int64) - np.array([r["at"], first, 0])
-            start, end, own_start, own_end, equal = align(a, b, segs)
-            if equal >= LIKE * max(end - start, own_end - own_start):
+            for start, end, own_start, own_end, equal in local_pieces(a, b, segs):
                 out.append((r["fp"], start + r["at"], end + r["at"], r["own_fp"], own_start + first, own_end + first, equal))
         columns = zip(*out, strict=True) if out else [[]] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "a", "b", "own_fp", "own_a", "own_b", "equal"])

@@ -135,3 +135,14 @@ def test_repeated_lines_stay_linear():
     q = [np.arange(0, 18 * 3000, 18)] * 3000
     assert module.follow(np.arange(0, 18 * 3000, 18), q).shape == (3000,)
     assert module.follow(np.array([5, 14, 23]), [np.array([1, 50, 90]), np.array([10, 59]), np.array([68])]).tolist() == [50, 59, 68]
+
+
+def test_exact_passage_between_sparse_phrases():
+    w = lambda c, n: [hash((c, i)) % 2**32 for i in range(n)]
+    one, p, two = w("one", 6), w("p", 52), w("two", 6)
+    a = np.array(w("a", 60) + one + w("b", 20) + p + w("c", 20) + two + w("d", 60), np.uint32)
+    b = np.array(w("e", 60) + one + w("f", 20) + p + w("g", 20) + two + w("h", 60), np.uint32)
+    segs = np.array([[60, 60, 6], [86, 86, 52], [158, 158, 6]])
+    assert chains(segs) == [[0, 1, 2]]
+    assert (86, 138, 86, 138, 52) in module.local_pieces(a, b, segs)
+    assert all(module._like(x) for x in module.local_pieces(a, b, segs))
