@@ -7,8 +7,8 @@
    smallest. So n holders of a passage give n matches, never pairs within the group. A seed is one row of a
    text with all its places there; each place meets one of the owner's, that on the longest diagonal.
 3. A text's matches are taken together: stretches of matches that could reach the least length are
-   chained per owner, best score first, where the predecessor with the best score less a gap cost
-   linear in the words skipped comes from a Fenwick tree over owner positions. Chains within a longer,
+   chained per owner, best score first, where the predecessor is that with the best score less a gap cost
+   linear in the words skipped of those within GAP on both sides, kept in cells of owner positions. Chains within a longer,
    dense one add nothing and go.
 4. Chains are aligned: the words of both sides around a chain are fetched (the owner's in blocks of
    BLOCK words, each fetched once however many texts need it), matches are extended to both sides
@@ -118,29 +118,6 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(parts)
 
 
-class Fenwick:
-    """Prefix maxima of (value, index) over positions."""
-
-    def __init__(self, size: int):
-        self.best = [(0.0, -1)] * (size + 1)
-
-    def put(self, at: int, value: tuple[float, int]) -> None:
-        at += 1
-        while at < len(self.best):
-            if value > self.best[at]:
-                self.best[at] = value
-            at += at & -at
-
-    def upto(self, at: int) -> tuple[float, int]:
-        """Best of positions below at."""
-        found = (0.0, -1)
-        while at > 0:
-            if self.best[at] > found:
-                found = self.best[at]
-            at -= at & -at
-        return found
-
-
 def follow(p: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     """One of the owner's places for each match, those of a match in order: the diagonal that goes on longest, of equals that next to the one before.
 
@@ -179,24 +156,29 @@ def segments(pos: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 def chains(rows: np.ndarray) -> list[list[int]]:
     """Chains of segments, best first, each segment in one: ordered on both sides, gaps of GAP words at most."""
-    ends = np.unique(rows[:, 1] + rows[:, 2])
-    tree, score, before = Fenwick(len(ends)), [0.0] * len(rows), [-1] * len(rows)
+    side = GAP + K
+    near: dict[int, list[tuple[int, int, float, int]]] = {}  # by where they end in the owner, in cells of a side: (end, owner's end, value, segment)
+    score, before = [0.0] * len(rows), [-1] * len(rows)
     waiting = sorted(range(len(rows)), key=lambda i: rows[i, 0] + rows[i, 2])
     done = 0
     for i in range(len(rows)):
         start, own, length = rows[i].tolist()
-        # those that end at most a word window into this one are in the tree by now
+        # those that end at most a word window into this one are in the cells by now
         while done < len(waiting) and rows[waiting[done], 0] + rows[waiting[done], 2] <= start + K - 1 and waiting[done] < i:
             j = waiting[done]
             a, b = int(rows[j, 0] + rows[j, 2]), int(rows[j, 1] + rows[j, 2])
-            tree.put(int(np.searchsorted(ends, b)), (score[j] + GAP_COST * (a + b), j))
+            near.setdefault(b // side, []).append((a, b, score[j] + GAP_COST * (a + b), j))
             done += 1
-        value, j = tree.upto(int(np.searchsorted(ends, own + K - 1, side="right")))
+        found = (0.0, -1)
+        for cell in range((own - GAP) // side, (own + K - 1) // side + 1):
+            for a, b, value, j in reversed(near.get(cell, ())):
+                if a < start - GAP:  # and so are all before it
+                    break
+                if own - GAP <= b <= own + K - 1 and (value, j) > found:
+                    found = value, j
         score[i] = float(length)
-        if j >= 0:
-            a, b = int(rows[j, 0] + rows[j, 2]), int(rows[j, 1] + rows[j, 2])
-            if start - a <= GAP and own - b <= GAP and value - GAP_COST * (start + own) > 0:
-                score[i], before[i] = length + value - GAP_COST * (start + own), j
+        if found[1] >= 0 and found[0] - GAP_COST * (start + own) > 0:
+            score[i], before[i] = length + found[0] - GAP_COST * (start + own), found[1]
     out, used = [], set()
     for i in sorted(range(len(rows)), key=lambda i: -score[i]):
         chain = []

@@ -146,3 +146,15 @@ def test_exact_passage_between_sparse_phrases():
     assert chains(segs) == [[0, 1, 2]]
     assert (86, 138, 86, 138, 52) in module.local_pieces(a, b, segs)
     assert all(module._like(x) for x in module.local_pieces(a, b, segs))
+
+
+def test_best_predecessor_within_reach():
+    jump = [(0, 0, 150)] + [(150 + 18 * k, 1000 + 19 * k, 12) for k in range(6)]
+    assert chains(np.array(jump)) == [[0], [1, 2, 3, 4, 5, 6]]
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        pos = np.sort(rng.choice(200, 20, replace=False))
+        rows = segments(pos, np.maximum(0, pos + rng.choice([0, 0, 3, 60, 150], 20)))
+        best = rows[chains(rows)[0]]
+        total = best[:, 2].sum() - module.GAP_COST * sum(best[1:, 0] - best[:-1, 0] - best[:-1, 2] + best[1:, 1] - best[:-1, 1] - best[:-1, 2])
+        assert abs(total - brute_chain(rows)) < 1e-9
