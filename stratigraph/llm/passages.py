@@ -6,8 +6,8 @@
 2. A seed that several texts have points to its first owner, the text whose least document id is
    smallest. So n holders of a passage give n matches, never pairs within the group. A seed is one row of a
    text with all its places there; each place meets one of the owner's, that on the longest diagonal.
-3. A text's matches are taken together: stretches of matches that could reach the least length are
-   chained per owner, best score first, where the predecessor is that with the best score less a gap cost
+3. A text's matches are taken together: stretches of matches, even of one, since edits can
+   leave a passage no more, are chained per owner, best score first, where the predecessor is that with the best score less a gap cost
    linear in the words skipped of those within GAP on both sides, kept in cells of owner positions. Chains within a longer,
    dense one add nothing and go.
 4. Chains are aligned: the words of both sides around a chain are fetched (the owner's in blocks of
@@ -41,7 +41,7 @@ LIKE = 0.75
 GAP = 24
 JOIN_GAP = 3
 BLOCK = 64
-MARGIN = K + W + 4
+MARGIN = LEAST
 GAP_COST = 0.05
 DENSE = 0.8
 
@@ -223,8 +223,6 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = {k: np.append(own_pos[k], np.frombuffer(own_more[k], np.int32)).astype(np.int64) for k in range(a, b) if own_more[k] is not None}
             cuts = np.flatnonzero(np.diff(p) > K + W + GAP) + 1
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
-                if p[y - 1] + K - p[x] < LEAST - 2 * (W - 1):
-                    continue
                 owner = own_fp[row[x:y]]
                 found = []
                 for o in np.unique(owner).tolist():

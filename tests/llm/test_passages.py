@@ -158,3 +158,14 @@ def test_best_predecessor_within_reach():
         best = rows[chains(rows)[0]]
         total = best[:, 2].sum() - module.GAP_COST * sum(best[1:, 0] - best[:-1, 0] - best[:-1, 2] + best[1:, 1] - best[:-1, 1] - best[:-1, 2])
         assert abs(total - brute_chain(rows)) < 1e-9
+
+
+@pytest.mark.parametrize("edits", [(10,), (13, 36), (10, 41)])
+def test_edits_near_the_ends_of_a_passage(spark, edits):
+    rows = []
+    for k in range(20):
+        p = [f"p{k}x{i}" for i in range(52)]
+        copy = [f"new{k}x{i}" if i in edits else w for i, w in enumerate(p)]
+        for i, words in ((k, p), (100 + k, copy)):
+            rows.append((i, " ".join([f"a{i}x{j}" for j in range(70)] + words + [f"z{i}x{j}" for j in range(70)])))
+    assert spans_of(spark, rows) == {(100 + k, 70, 121) for k in range(20)}
