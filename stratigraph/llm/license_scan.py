@@ -2,8 +2,8 @@
 
 The templates' words are the vocabulary; each word's postings are (template, position). One pass over
 all documents counts in how many each vocabulary word stands, which gives its IDF. In the second
-pass a file is reduced to the places of its vocabulary words; its rarest ones are looked up, and
-postings whose file position minus template position agree (with some slack for edits between) are
+pass a file is reduced to the places of its vocabulary words; of each template whose key phrases stand
+in the file, these' rarest words and its LOOKED_UP rarest are looked up, and places whose file position minus template position agree (with some slack for edits between) are
 one alignment. An alignment counts if the template's mandatory key phrases stand within it, word by
 word. Base phrases are templates that are their own key phrase; their places are those of their
 rarest word where all others stand at their distance.
@@ -14,6 +14,7 @@ aligned like any other, whole; repeated rows are scanned each; other columns are
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -148,21 +149,23 @@ def scan_file(index: Index, positions: list[int], hashes: list[int]) -> tuple[li
             base += [(s, index.base_of[t]) for s in starts]
             if starts:
                 scores[index.base_of[t]] = 1.0
-    votes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for h in sorted(where, key=lambda h: (-index.idf[h], h))[:LOOKED_UP]:
-        for t, q in index.postings[h]:
-            if not index.base_of[t]:
-                for p in where[h]:
-                    votes[t][(p - q) // (2 * SLACK + 1)].add(p)
-    for t, offsets in votes.items():
-        if all(w in where for phrase in index.phrases[t] for w in phrase):
-            words, best = index.words[t], 0.0
-            for cell in offsets:
-                a, b = cell * (2 * SLACK + 1) - SLACK, (cell + 1) * (2 * SLACK + 1) + SLACK
-                if all(any(_stands(ph, place, s) for s in range(a, b + len(words))) for ph in index.phrases[t]):
-                    best = max(best, sum(any(place.get(a + q + d) == w for d in range(b - a + 1)) for q, w in enumerate(words)) / len(words))
-            if best:
-                scores[index.labels[t]] = best
+    rarity = lambda w: (-index.idf[w], w)
+    for t, words in enumerate(index.words):
+        if index.base_of[t] or not all(w in where for phrase in index.phrases[t] for w in phrase):
+            continue
+        rarest = [min(range(len(ph)), key=lambda k: rarity(ph[k])) for ph in index.phrases[t]]
+        stand = [sorted(p - q for p in where[ph[q]] if _stands(ph, place, p - q)) for ph, q in zip(index.phrases[t], rarest, strict=True)]
+        if not all(stand):
+            continue
+        # key phrases lead to every place where they stand, the template's other rare words to better places nearby
+        looked_up = {*sorted({w for w in words if w in where}, key=rarity)[:LOOKED_UP], *(ph[q] for ph, q in zip(index.phrases[t], rarest, strict=True))}
+        best = 0.0
+        for cell in {(p - q) // (2 * SLACK + 1) for q, w in enumerate(words) if w in looked_up for p in where[w]}:
+            a, b = cell * (2 * SLACK + 1) - SLACK, (cell + 1) * (2 * SLACK + 1) + SLACK
+            if all((k := bisect_left(s, a)) < len(s) and s[k] < b + len(words) for s in stand):
+                best = max(best, sum(any(place.get(a + q + d) == w for d in range(b - a + 1)) for q, w in enumerate(words)) / len(words))
+        if best:
+            scores[index.labels[t]] = best
     return base, scores
 
 

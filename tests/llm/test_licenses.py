@@ -29,3 +29,11 @@ def test_scan(spark):
     assert labels[23].labels == "" and labels[23].score == 0
     assert labels[24].n_base == 500
     assert scan_licenses(common.docs(spark, [])).count() == 0
+
+
+def test_no_template_hides_another(spark):
+    names = ("isc", "unlicense", "mpl-2.0", "bsd")
+    notices = "\n".join(TEMPLATES[n][0] for n in names) + "\nReleased under the MIT License"
+    rows = [(i, "Released under the MIT License", "", "", 0) for i in range(30)] + [(100, notices, "", "", 0)]
+    labels = {r.doc_id: r.labels for r in scan_licenses(common.docs(spark, rows)).collect()}
+    assert labels[100] == ",".join(sorted([*names, "mit", "mit-notice"])) and labels[0] == "mit,mit-notice"
