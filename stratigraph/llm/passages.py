@@ -5,7 +5,8 @@
    (known by a 64-bit fingerprint), which goes on once per task.
 2. A seed that several texts have points to its first owner, the text whose least document id is
    smallest. So n holders of a passage give n matches, never pairs within the group. A seed is one row of a
-   text with all its places there; each place meets one of the owner's, that on the longest diagonal.
+   text with all its places there; each place meets one of the owner's, that on the longest diagonal. Repeated seeds are numbered besides,
+   for owners that hold them as often.
 3. A text's matches are taken together: stretches of matches, even of one, since edits can
    leave a passage no more, are chained per owner, best score first, where the predecessor is that with the best score less a gap cost
    linear in the words skipped of those within GAP on both sides, kept in cells of owner positions. Chains within a longer,
@@ -62,6 +63,16 @@ def seed_places(grams: np.ndarray, w: int = W) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
+def by_occurrence(h: np.ndarray) -> np.ndarray:
+    """Hashes in which the second, third... occurrence of a value is a value of its own, with an owner that holds it as often."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    count = np.empty(len(h), np.uint64)
+    count[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return np.where(count > 0, mix(h + count * np.uint64(0x9E3779B97F4A7C15)), h)
+
+
 def grouped(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
     """(hash, first place, bytes of its other places or None), one of each hash."""
     order = np.argsort(h, kind="stable")
@@ -110,6 +121,9 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = seed_places(grams)
             hashes, pos, more = grouped(grams[at], at)
             parts.append((hashes.view(np.int64), np.full(len(pos), fp), pos, more))
+            numbered = by_occurrence(grams[at])
+            if (again := numbered != grams[at]).any():
+                parts.append((numbered[again].view(np.int64), np.full(again.sum(), fp), at[again].astype(np.int32), [b""] * int(again.sum())))
             held += len(pos)
             if held > 200_000:
                 yield batch_of(parts)
@@ -214,24 +228,31 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for a, b in _runs(fp):
             p, row = pos[a:b].astype(np.int64), np.arange(a, b)
-            again = [k for k in range(a, b) if more[k] is not None]
+            extra = np.zeros(b - a, bool)
+            again = [k for k in range(a, b) if more[k]]
             if again:
                 others = [np.frombuffer(more[k], np.int32) for k in again]
                 p, row = np.concatenate((p, *others)), np.concatenate((row, np.repeat(again, [len(x) for x in others])))
                 order = np.argsort(p, kind="stable")
+                extra = order >= b - a
                 p, row = p[order], row[order]
-            place = {k: np.append(own_pos[k], np.frombuffer(own_more[k], np.int32)).astype(np.int64) for k in range(a, b) if own_more[k] is not None}
+            place = {k: np.append(own_pos[k], np.frombuffer(own_more[k], np.int32)).astype(np.int64) for k in range(a, b) if own_more[k]}
             cuts = np.flatnonzero(np.diff(p) > K + W + GAP) + 1
             for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
                 owner = own_fp[row[x:y]]
                 found = []
                 for o in np.unique(owner).tolist():
-                    pick = owner == o
-                    at, rows = p[x:y][pick], row[x:y][pick].tolist()
-                    own = follow(at, [place[k] if k in place else own_pos[k : k + 1].astype(np.int64) for k in rows]) if place else own_pos[rows].astype(np.int64)
-                    rows = segments(at, own)
-                    found += [(o, rows[c]) for c in chains(rows)]
-                out += [(int(fp[a]), o, rows.astype(np.int32).tobytes()) for o, rows in uncovered(found)]
+                    pick = np.flatnonzero(owner == o) + x
+                    # first places and numbered ones as they are; then all places of plain seeds
+                    plain = pick[~extra[pick]]
+                    ways = [(p[plain], own_pos[row[plain]].astype(np.int64))] if len(plain) else []
+                    every = pick[[more[k] != b"" for k in row[pick].tolist()]]
+                    if len(every) and (extra[every].any() or any(k in place for k in row[every].tolist())):
+                        ways.append((p[every], follow(p[every], [place[k] if k in place else own_pos[k : k + 1].astype(np.int64) for k in row[every].tolist()])))
+                    for at, own in ways:
+                        rows = segments(at, own)
+                        found += [(o, rows[c]) for c in chains(rows)]
+                out += sorted({(int(fp[a]), o, rows.astype(np.int32).tobytes()) for o, rows in uncovered(found)})
         return out
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:

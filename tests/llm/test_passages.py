@@ -169,3 +169,9 @@ def test_edits_near_the_ends_of_a_passage(spark, edits):
         for i, words in ((k, p), (100 + k, copy)):
             rows.append((i, " ".join([f"a{i}x{j}" for j in range(70)] + words + [f"z{i}x{j}" for j in range(70)])))
     assert spans_of(spark, rows) == {(100 + k, 70, 121) for k in range(20)}
+
+
+def test_long_run_of_a_word_behind_a_short_one(spark):
+    fill = lambda c: [f"{c}{i}" for i in range(70)]
+    rows = [(k, " ".join(fill(f"a{k}x") + ["pour"] * n + fill(f"z{k}x"))) for k, n in ((1, 16), (2, 60), (3, 60))]
+    assert (3, 70, 129) in spans_of(spark, rows)
