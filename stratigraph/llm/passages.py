@@ -2,22 +2,23 @@
 
 1. Texts become lower-cased word hashes; of every W consecutive K-word windows the least hash is a
    seed, so a run of K + W - 1 shared words shares one at least. Equal word sequences are one text
-   (known by a 64-bit fingerprint), which goes on once per task.
+   (known by a 64-bit fingerprint), which goes on once per task. A sketch of seed frequencies tells
+   which seeds may be hot; their rows are dealt out in parts, so no seed is one task.
 2. A seed that several texts have points to its first owner, the text whose least document id is
-   smallest. So n holders of a passage give n matches, never pairs within the group. A seed is one row of a
-   text with all its places there; each place meets one of the owner's, that on the longest diagonal. Repeated seeds are numbered besides,
-   for owners that hold them as often.
-3. A text's matches are taken together: stretches of matches, even of one, since edits can
-   leave a passage no more, are chained per owner, best score first, where the predecessor is that with the best score less a gap cost
-   linear in the words skipped of those within GAP on both sides, kept in cells of owner positions. Chains within a longer,
-   dense one add nothing and go.
+   smallest. So n holders of a passage give n matches, never pairs within the group. A seed is one
+   row of a text with all its places there; each place meets one of the owner's, that on the longest
+   diagonal. Repeated seeds are numbered besides, for owners that hold them as often.
+3. A text's matches are taken together: stretches of matches, even of one, since edits can leave a
+   passage no more, are chained per owner, best score first. The predecessor is that with the best
+   score less a gap cost linear in the words skipped, of those within GAP on both sides, kept in
+   cells of owner positions. Chains within a longer, dense one add nothing and go.
 4. Chains are aligned: the words of both sides around a chain are fetched (the owner's in blocks of
    BLOCK words, each fetched once however many texts need it), matches are extended to both sides
-   with an X-drop, gaps are aligned by dynamic programming. Pieces of 75 % equal words stay; a chain that has
-   fewer is cut at gaps, and its best parts stay.
-5. Pieces of a text are united over owners, since the first owner of a passage may hold only part of it;
-   united spans of LEAST words or more with a piece of LONGEST or more are reported, with the owner of
-   the longest piece. Copies of a whole text are reported whole.
+   with an X-drop, gaps are aligned by dynamic programming. Pieces of 75 % equal words stay; a chain
+   that has fewer is cut at gaps, and its best parts stay.
+5. Pieces of a text are united over owners, since the first owner of a passage may hold only part of
+   it; united spans of LEAST words or more with a piece of LONGEST or more are reported, with the
+   owner of the longest piece. Copies of a whole text are reported whole.
 
 Null and empty texts, and texts of fewer than LEAST words, have no spans; rows that repeat an id and its
 text are one document; an empty table gives no rows; other columns are not read (cut_repeats keeps
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sketch
 from .storage import Scratch, lean
 from .textwords import ALNUM_WORDS, LOWER, find_words, mix, shingles, text_blocks
 
@@ -45,91 +47,140 @@ BLOCK = 64
 MARGIN = LEAST
 GAP_COST = 0.05
 DENSE = 0.8
+#: rows of a seed that go to one task, about
+HOT_ROWS = 1 << 12
 
 
-def sequence_fingerprint(h: np.ndarray) -> int:
-    """Of a sequence of word hashes, signed."""
+def fingerprints(h: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Of each text's sequence of word hashes h[lo[i]:lo[i + 1]], signed; 0 without words."""
+    n = np.diff(lo)
     if not len(h):
-        return 0
-    place = mix(np.arange(1, len(h) + 1, dtype=np.uint64))
-    return int(mix(np.array([mix(h ^ place).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+        return np.zeros(len(n), np.int64)
+    place = mix(np.arange(1, n.max() + 1, dtype=np.uint64))[np.arange(len(h)) - np.repeat(lo[:-1], n)]
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ place), out=sums[1:])
+    return np.where(n > 0, mix(sums[lo[1:]] - sums[lo[:-1]]), 0).view(np.int64)
+
+
+def _smallest(g: np.ndarray, first: np.ndarray, w: int) -> np.ndarray:
+    """Where the least of each w consecutive hashes of a row g[first[i]:first[i + 1]] stands, each place once; of all, if a row has fewer."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    found = []
+    if len(g) >= w:
+        begin = np.flatnonzero(row[: len(g) - w + 1] == row[w - 1 :])
+        at = np.lib.stride_tricks.sliding_window_view(g, w)[begin].argmin(axis=1) + begin
+        found.append(at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at)
+    short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < w))
+    if len(short):
+        at = first[short][:, None] + np.arange(w)
+        held = np.where(at < first[short + 1][:, None], g[np.minimum(at, len(g) - 1)], np.uint64(2**64 - 1))
+        found.append(held.argmin(axis=1) + first[short])
+    return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def seed_places(grams: np.ndarray, w: int = W) -> np.ndarray:
     """Where the least of w consecutive hashes stands, each place once."""
-    if len(grams) <= w:
-        return np.array([int(grams.argmin())]) if len(grams) else np.zeros(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(grams, w).argmin(axis=1) + np.arange(len(grams) - w + 1)
-    return at[np.concatenate(([True], at[1:] != at[:-1]))]
-
-
-def by_occurrence(h: np.ndarray) -> np.ndarray:
-    """Hashes in which the second, third... occurrence of a value is a value of its own, with an owner that holds it as often."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    count = np.empty(len(h), np.uint64)
-    count[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
-    return np.where(count > 0, mix(h + count * np.uint64(0x9E3779B97F4A7C15)), h)
-
-
-def grouped(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes | None]]:
-    """(hash, first place, bytes of its other places or None), one of each hash."""
-    order = np.argsort(h, kind="stable")
-    s, at = h[order], at[order].astype(np.int32)
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    more: list[bytes | None] = [None] * len(first)
-    ends = np.append(first[1:], len(s))
-    for k in np.flatnonzero(ends - first > 1).tolist():
-        more[k] = at[first[k] + 1 : ends[k]].tobytes()
-    return s[first], at[first], more
-
-
-def word_rows(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, word hashes, first byte, last byte + 1 of each word) of each row."""
+    return _smallest(grams, np.array([0, len(grams)]), w)
+
+
+def minimizers(h: np.ndarray, lo: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, word where it starts) of the seeds of the rows kept, in order."""
+    n = np.diff(lo)
+    start = np.flatnonzero(np.arange(len(h)) + K <= np.repeat(np.where(keep, lo[1:], 0), n))
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    g, row = shingles(h, K)[start], np.repeat(np.arange(len(n)), n)[start]
+    at = _smallest(g, np.searchsorted(row, np.arange(len(n) + 1)), W)
+    return row[at], g[at], (start[at] - lo[row[at]]).astype(np.int32)
+
+
+def grouped(row: np.ndarray, h: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, hash, place, more): each hash of a row once with its first place, and bytes of the others or null.
+
+    Then the second, third... place under a hash of its own with empty bytes, for owners that hold it as often.
+    """
+    order = np.lexsort((h, row))
+    row, h, pos = row[order], h[order], pos[order]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))[: len(h)]
+    first = np.flatnonzero(new)
+    count = np.diff(np.append(first, len(h)))
+    number = (np.arange(len(h)) - np.repeat(first, count))[~new].astype(np.uint64)
+    numbered = mix(h[~new] + number * np.uint64(0x9E3779B97F4A7C15))
+    lengths = np.concatenate((4 * (count - 1), np.zeros(len(numbered), np.int64)))
+    valid = np.concatenate((count > 1, np.ones(len(numbered), bool)))
+    more = binary_array(lengths, pos[~new], valid)
+    return np.concatenate((row[first], row[~new])), np.concatenate((h[first], numbered)), np.concatenate((pos[first], pos[~new])), more
+
+
+def binary_array(lengths: np.ndarray, values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """A binary column from byte lengths and all values one behind the other."""
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    bits = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [bits, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def ragged(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, where those of each row start, with the end) of a binary column without nulls."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return values, (at - at[0]) // np.dtype(kind).itemsize
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1... count[0] times, then those of the next."""
+    return np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def word_blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, word hashes, bounds of each row's words, first byte and last byte + 1 of each word in its text) by blocks."""
     for rows, buf, offsets in text_blocks(batch, column):
         words = find_words(LOWER[buf], offsets, ALNUM_WORDS)
-        h, lo = words.hashes(), words.lo
-        for i in range(len(offsets) - 1):
-            a, b = lo[i], lo[i + 1]
-            yield rows.start + i, h[a:b], words.starts[a:b] - offsets[i], words.ends[a:b] - offsets[i]
+        base = np.repeat(offsets[:-1], np.diff(words.lo))
+        yield rows, words.hashes(), words.lo, words.starts - base, words.ends - base
+
+
+def first_seen(fps: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which rows have seeds, and a text that no row of this task had before."""
+    keep = np.zeros(len(fps), bool)
+    for k in np.flatnonzero(n >= K).tolist():
+        if (fp := int(fps[k])) not in seen:
+            seen.add(fp)
+            keep[k] = True
+    return keep
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, fp, n) of each document, then the task's frequencies of seeds."""
+    counts, seen, names = sketch.empty(), set(), ["doc_id", "fp", "n", "chunk", "counts"]
     for batch in batches:
-        fps, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-        for row, h, _, _ in word_rows(batch, "text"):
-            fps[row], sizes[row] = sequence_fingerprint(h), len(h)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(sizes)], ["doc_id", "fp", "n"])
+        fps, sizes, none = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), pa.nulls(batch.num_rows)
+        for rows, h, lo, _, _ in word_blocks(batch, "text"):
+            fps[rows], sizes[rows] = own, n = fingerprints(h, lo), np.diff(lo)
+            sketch.add(counts, grouped(*minimizers(h, lo, first_seen(own, n, seen)))[1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(sizes), none.cast(pa.int32()), none.cast(pa.binary())], names)
+    if seen:
+        chunk, own = sketch.chunk_arrays(counts)
+        none = pa.nulls(len(chunk)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, chunk, own], names)
 
 
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
+def _seeds(frequencies, hot_rows: int):
+    """Rows (h, fp, pos, more, part) of each text: a seed once, with all its places."""
 
-    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
-        h, fp, pos, more = zip(*parts, strict=True)
-        columns = [*(pa.array(np.concatenate(c)) for c in (h, fp, pos)), pa.array([x for m in more for x in m], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["h", "fp", "pos", "more"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, h, lo, _, _ in word_blocks(batch, "text"):
+                fps = fingerprints(h, lo)
+                row, seed, pos, more = grouped(*minimizers(h, lo, first_seen(fps, np.diff(lo), seen)))
+                part = sketch.parts(seed, fps[row], frequencies.value, hot_rows)
+                columns = [pa.array(seed.view(np.int64)), pa.array(fps[row]), pa.array(pos), more, pa.array(part)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "fp", "pos", "more", "part"])
 
-    for batch in batches:
-        parts, held = [], 0
-        for _, h, _, _ in word_rows(batch, "text"):
-            if len(h) < K or (fp := sequence_fingerprint(h)) in seen:
-                continue
-            seen.add(fp)
-            grams = shingles(h, K)
-            at = seed_places(grams)
-            hashes, pos, more = grouped(grams[at], at)
-            parts.append((hashes.view(np.int64), np.full(len(pos), fp), pos, more))
-            numbered = by_occurrence(grams[at])
-            if (again := numbered != grams[at]).any():
-                parts.append((numbered[again].view(np.int64), np.full(again.sum(), fp), at[again].astype(np.int32), [b""] * int(again.sum())))
-            held += len(pos)
-            if held > 200_000:
-                yield batch_of(parts)
-                parts, held = [], 0
-        if parts:
-            yield batch_of(parts)
+    return run
 
 
 def follow(p: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
@@ -158,14 +209,21 @@ def follow(p: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
     return own
 
 
+def on_diagonals(group: np.ndarray, pos: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of a group's matches on one diagonal that touch or overlap: (group, rows (start, owner's start, length)), in this order."""
+    order = np.lexsort((pos, own - pos, group))
+    g, p, d = group[order], pos[order], (own - pos)[order]
+    new = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (p[1:] > p[:-1] + K + W)
+    first = np.flatnonzero(np.concatenate(([True], new))[: len(p)])
+    last = np.append(first[1:], len(p))[: len(first)] - 1
+    g, rows = g[first], np.stack((p[first], p[first] + d[first], p[last] + K - p[first]), axis=1)
+    order = np.lexsort((rows[:, 1], rows[:, 0], g))
+    return g[order], rows[order]
+
+
 def segments(pos: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Runs of matches on one diagonal that touch or overlap, as rows (start, owner's start, length)."""
-    order = np.lexsort((pos, own - pos))
-    p, d = pos[order], (own - pos)[order]
-    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] > p[:-1] + K + W))))
-    last = np.append(first[1:], len(p)) - 1
-    rows = np.stack((p[first], p[first] + d[first], p[last] + K - p[first]), axis=1)
-    return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    """Runs of one group's matches, as rows (start, owner's start, length)."""
+    return on_diagonals(np.zeros(len(pos), np.int64), pos, own)[1]
 
 
 def chains(rows: np.ndarray) -> list[list[int]]:
@@ -219,44 +277,62 @@ def uncovered(found: list[tuple[int, np.ndarray]]) -> list[tuple[int, np.ndarray
     return kept
 
 
+def chained(fp, pos, more, own_fp, own_pos, own_more) -> list[tuple[int, int, bytes]]:
+    """Matches of whole texts, those of a text in a row, to chains (fp, own_fp, segments as bytes).
+
+    more and own_more are the seed's other places as bytes: None for one place, empty for a numbered seed.
+    """
+    n = len(fp)
+    sizes = np.fromiter((len(m) if m else 0 for m in more), np.int64, n)
+    numbered = np.fromiter((m is not None and not m for m in more), bool, n)
+    owners_more = np.fromiter((bool(m) for m in own_more), bool, n)
+    again = np.flatnonzero(sizes)
+    row = np.concatenate((np.arange(n), np.repeat(again, sizes[again] // 4)))
+    p = np.concatenate((pos.astype(np.int64), *(np.frombuffer(more[k], np.int32) for k in again.tolist())))
+    text = np.cumsum(np.concatenate(([0], fp[1:] != fp[:-1])))
+    order = np.lexsort((p, text[row]))
+    row, p, extra = row[order], p[order], order >= n
+    cut = (text[row][1:] != text[row][:-1]) | (np.diff(p) > K + W + GAP)
+    stretch = np.cumsum(np.concatenate(([0], cut)))
+    owner, group = np.unique(own_fp, return_inverse=True)
+    key = stretch * len(owner) + group[row]  # of a stretch and an owner
+
+    found: dict[int, list[tuple[int, np.ndarray]]] = {}
+
+    def add(k: int, rows: np.ndarray) -> None:
+        own = int(owner[k % len(owner)])
+        found.setdefault(k // len(owner), []).extend((own, rows[c]) for c in (chains(rows) if len(rows) > 1 else [[0]]))
+
+    # first places and numbered ones as they are
+    plain = ~extra
+    keys, rows = on_diagonals(key[plain], p[plain], own_pos[row[plain]].astype(np.int64))
+    for a, b in _runs(keys):
+        add(int(keys[a]), rows[a:b])
+    # then all places of plain seeds, where either side repeats one
+    repeats = np.unique(key[~numbered[row] & (extra | owners_more[row])])
+    if len(repeats):
+        at = np.flatnonzero(~numbered[row] & np.isin(key, repeats))
+        at = at[np.argsort(key[at], kind="stable")]
+        for a, b in _runs(key[at]):
+            own = row[at[a:b]].tolist()
+            places = [np.append(own_pos[k], np.frombuffer(own_more[k], np.int32) if own_more[k] else ()).astype(np.int64) for k in own]
+            add(int(key[at[a]]), segments(p[at[a:b]], follow(p[at[a:b]], places)))
+
+    of_stretch = fp[row[np.searchsorted(stretch, np.arange(stretch[-1] + 1))]].tolist()
+    out = []
+    for s, parts in found.items():
+        kept = uncovered(parts) if len(parts) > 1 else parts
+        out += sorted({(of_stretch[s], o, rows.astype(np.int32).tobytes()) for o, rows in kept})
+    return out
+
+
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Matches (fp, pos, more, own_fp, own_pos, own_more), those of a text in a row, to chains (fp, own_fp, segs)."""
     held: list[np.ndarray] = []
 
-    def texts(columns: list[np.ndarray]) -> list[tuple]:
-        fp, pos, more, own_fp, own_pos, own_more = columns
-        out = []
-        for a, b in _runs(fp):
-            p, row = pos[a:b].astype(np.int64), np.arange(a, b)
-            extra = np.zeros(b - a, bool)
-            again = [k for k in range(a, b) if more[k]]
-            if again:
-                others = [np.frombuffer(more[k], np.int32) for k in again]
-                p, row = np.concatenate((p, *others)), np.concatenate((row, np.repeat(again, [len(x) for x in others])))
-                order = np.argsort(p, kind="stable")
-                extra = order >= b - a
-                p, row = p[order], row[order]
-            place = {k: np.append(own_pos[k], np.frombuffer(own_more[k], np.int32)).astype(np.int64) for k in range(a, b) if own_more[k]}
-            cuts = np.flatnonzero(np.diff(p) > K + W + GAP) + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
-                owner = own_fp[row[x:y]]
-                found = []
-                for o in np.unique(owner).tolist():
-                    pick = np.flatnonzero(owner == o) + x
-                    # first places and numbered ones as they are; then all places of plain seeds
-                    plain = pick[~extra[pick]]
-                    ways = [(p[plain], own_pos[row[plain]].astype(np.int64))] if len(plain) else []
-                    every = pick[[more[k] != b"" for k in row[pick].tolist()]]
-                    if len(every) and (extra[every].any() or any(k in place for k in row[every].tolist())):
-                        ways.append((p[every], follow(p[every], [place[k] if k in place else own_pos[k : k + 1].astype(np.int64) for k in row[every].tolist()])))
-                    for at, own in ways:
-                        rows = segments(at, own)
-                        found += [(o, rows[c]) for c in chains(rows)]
-                out += sorted({(int(fp[a]), o, rows.astype(np.int32).tobytes()) for o, rows in uncovered(found)})
-        return out
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else ([], [], [])
+    def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+        out = chained(*columns) if len(columns[0]) else []
+        columns = zip(*out, strict=True) if out else ([], [], [])
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["fp", "own_fp", "segs"])
 
     for batch in batches:
@@ -267,9 +343,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate((a, b)) for a, b in zip(held, columns, strict=True)]
         last = int(np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))[-1])
         held = [c[last:].copy() for c in columns]
-        yield batch_of(texts([c[:last] for c in columns]))
+        yield batch_of([c[:last] for c in columns])
     if held:
-        yield batch_of(texts(held))
+        yield batch_of(held)
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -278,24 +354,44 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True)
 
 
+def _items(column: pa.Array, rows: slice, row_of: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(row, item) of all items of some rows of a list column, of rows in row_of (a mask over rows); null is as empty."""
+    part = column.slice(rows.start, rows.stop - rows.start)
+    part = part.filter(pa.array(row_of))
+    sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.flatnonzero(row_of), sizes), part.flatten()
+
+
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (fp, text, regions array<struct<chain, start, end>>, blocks array<int>) to words: of each region, and of each block."""
-    names = ["chain", "fp", "at", "words"]
+    seen: set[int] = set()
     for batch in batches:
-        fps, regions, blocks = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-        seen: set[int] = set()
-        out: list[tuple] = []
-        for row, h, _, _ in word_rows(batch, "text"):
-            if fps[row] in seen or sequence_fingerprint(h) != fps[row]:
-                continue
-            seen.add(fps[row])
-            short = (h >> np.uint64(32)).astype(np.uint32)
-            for r in regions[row].as_py() or ():
-                out.append((r["chain"], None, max(0, r["start"]), short[max(0, r["start"]) : r["end"]].tobytes()))
-            for b in blocks[row].as_py() or ():
-                out.append((None, fps[row], b, short[b * BLOCK : (b + 1) * BLOCK].tobytes()))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names)
+        fps = batch.column(0).to_numpy()
+        for rows, h, lo, _, _ in word_blocks(batch, "text"):
+            own, here = fingerprints(h, lo), np.zeros(len(lo) - 1, bool)
+            for k in np.flatnonzero(own == fps[rows]).tolist():
+                if own[k] not in seen:
+                    seen.add(int(own[k]))
+                    here[k] = True
+            short, n = (h >> np.uint64(32)).astype(np.uint32), np.diff(lo)
+            row, region = _items(batch.column(2), rows, here)
+            at = np.maximum(0, region.field("start").to_numpy())
+            size = np.minimum(region.field("end").to_numpy(), n[row]) - at
+            row2, block = _items(batch.column(3), rows, here)
+            at2 = block.to_numpy() * BLOCK
+            size2 = np.minimum(at2 + BLOCK, n[row2]) - at2
+            sizes = np.concatenate((size, np.maximum(0, size2))).astype(np.int64)
+            words = short[spread(np.concatenate((lo[row] + at, lo[row2] + at2)), sizes)]
+            none = pa.nulls(len(row)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([region.field("chain"), pa.nulls(len(row2)).cast(pa.int64())]),
+                    pa.concat_arrays([none, pa.array(own[row2], pa.int64())]),
+                    pa.array(np.concatenate((at, block.to_numpy())).astype(np.int32)),
+                    binary_array(4 * sizes, words),
+                ],
+                ["chain", "fp", "at", "words"],
+            )
 
 
 def _extend(a: np.ndarray, b: np.ndarray, other: int = -2) -> tuple[int, int]:
@@ -314,6 +410,19 @@ def _extend(a: np.ndarray, b: np.ndarray, other: int = -2) -> tuple[int, int]:
     return length, int(same[:length].sum())
 
 
+def extend_all(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray, step: int, other: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _extend, from many places at once: a[i], a[i + step]... against b[j], b[j + step]..., n words at most."""
+    k = np.arange(max(1, n.max(initial=0)))
+    inside = k < n[:, None]
+    same = inside & (a[np.where(inside, i[:, None] + step * k, 0)] == b[np.where(inside, j[:, None] + step * k, 0)])
+    score = np.cumsum(np.where(same, 1, other), axis=1, dtype=np.int32)
+    high = np.maximum.accumulate(np.maximum(score, 0), axis=1)
+    score[np.logical_or.accumulate(~inside | (high - score > 8), axis=1)] = -(1 << 20)
+    rows, best = np.arange(len(n)), score.argmax(axis=1)
+    good = score[rows, best] > 0
+    return np.where(good, best + 1, 0), np.where(good, np.cumsum(same, axis=1)[rows, best], 0)
+
+
 def _equal_in_gap(a: np.ndarray, b: np.ndarray) -> int:
     """Most equal words of an alignment of two short stretches."""
     if not len(a) or not len(b):
@@ -388,18 +497,53 @@ def local_pieces(a: np.ndarray, b: np.ndarray, segs: np.ndarray) -> list[tuple[i
     return out
 
 
+def single_pieces(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, segs: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """local_pieces of the chains picked, of one segment each, all at once: rows (start, end, owner's start, owner's end, equal).
+
+    a and b hold the words of all chains, a_at and b_at where those of each start; segs has a row for each pick.
+    """
+    x, y, n = segs.T
+    equal = (a[spread(a_at[pick] + x, n)] == b[spread(b_at[pick] + y, n)]).astype(np.int64)
+    inner = np.add.reduceat(equal, np.cumsum(n) - n)
+    out = np.zeros((len(pick), 5), np.int64)
+    todo = np.arange(len(pick))
+    for other in (-2, -3):  # the second where the first gives a piece that is not alike enough
+        p, (u, v, m) = pick[todo], segs[todo].T
+        back, more = extend_all(a, b, a_at[p] + u - 1, b_at[p] + v - 1, np.minimum(u, v), -1, other)
+        left = np.minimum(a_at[p + 1] - a_at[p] - u - m, b_at[p + 1] - b_at[p] - v - m)
+        ahead, extra = extend_all(a, b, a_at[p] + u + m, b_at[p] + v + m, left, 1, other)
+        out[todo] = np.stack((u - back, u + m + ahead, v - back, v + m + ahead, inner[todo] + more + extra), axis=1)
+        todo = todo[out[todo, 4] < LIKE * (out[todo, 1] - out[todo, 0])]
+        if not len(todo):
+            break
+    return out
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (fp, own_fp, segs, at, words, blocks array<struct<at, words>>) to pieces."""
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            a = np.frombuffer(r["words"], np.uint32)
-            first = r["blocks"][0]["at"] * BLOCK
-            b = np.frombuffer(b"".join(x["words"] for x in r["blocks"]), np.uint32)
-            segs = np.frombuffer(r["segs"], np.int32).reshape(-1, 3).astype(np.int64) - np.array([r["at"], first, 0])
-            for start, end, own_start, own_end, equal in local_pieces(a, b, segs):
-                out.append((r["fp"], start + r["at"], end + r["at"], r["own_fp"], own_start + first, own_end + first, equal))
-        columns = zip(*out, strict=True) if out else [[]] * 7
+        if not batch.num_rows:
+            continue
+        fp, own_fp, at = (batch.column(k).to_numpy() for k in (0, 1, 3))
+        flat, seg_at = ragged(batch.column(2), np.int32)
+        a, a_at = ragged(batch.column(4), np.uint32)
+        blocks = batch.column(5)
+        items = blocks.flatten()
+        b, block_at = ragged(items.field("words"), np.uint32)
+        first = np.cumsum(blocks.value_lengths().to_numpy()) - blocks.value_lengths().to_numpy()
+        b_at, own_at = block_at[np.append(first, len(items))], items.field("at").to_numpy()[first].astype(np.int64) * BLOCK
+        rows = flat.reshape(-1, 3).astype(np.int64)
+        seg_at = seg_at // 3
+        of = np.repeat(np.arange(batch.num_rows), np.diff(seg_at))
+        rows -= np.stack((at[of], own_at[of], np.zeros(len(of), np.int64)), axis=1)
+        one = np.flatnonzero(np.diff(seg_at) == 1)
+        chain, pieces = [one], [single_pieces(a, a_at, b, b_at, rows[seg_at[one]], one)] if len(one) else [np.zeros((0, 5), np.int64)]
+        for k in np.flatnonzero(np.diff(seg_at) > 1).tolist():
+            found = local_pieces(a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]], rows[seg_at[k] : seg_at[k + 1]])
+            chain.append(np.full(len(found), k))
+            pieces.append(np.array(found, np.int64).reshape(-1, 5))
+        chain, pieces = np.concatenate(chain), np.concatenate(pieces)
+        columns = [fp[chain], pieces[:, 0] + at[chain], pieces[:, 1] + at[chain], own_fp[chain], pieces[:, 2] + own_at[chain], pieces[:, 3] + own_at[chain], pieces[:, 4]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["fp", "a", "b", "own_fp", "own_a", "own_b", "equal"])
 
 
@@ -410,17 +554,22 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "passages")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    names = scratch.keep(docs.mapInArrow(lean(_names), "doc_id long, fp long, n long"), "names").where("n >= 1 AND doc_id IS NOT NULL")
-    reps = names.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-
-    seeds = docs.select("text").mapInArrow(lean(_seeds), "h long, fp long, pos int, more binary")
-    half = F.shiftright("fp", 32).cast("int")  # enough to tell two texts apart, and half as much to shuffle
-    shared = seeds.groupBy("h").agg(F.min(half).alias("lo"), F.max(half).alias("hi")).where("lo != hi").select("h")
-    shared = scratch.keep(seeds.join(shared, "h").join(reps.select("fp", "rep"), "fp"), "shared")
+    first = scratch.keep(docs.mapInArrow(lean(_names), f"doc_id long, fp long, n long, {sketch.CHUNKS}"), "names")
+    frequencies = spark.sparkContext.broadcast(sketch.collect(first))
+    names = first.where("chunk IS NULL AND n >= 1 AND doc_id IS NOT NULL").select("doc_id", "fp", "n")
+    reps = scratch.keep(names.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+
+    seeds = docs.select("text").mapInArrow(lean(_seeds(frequencies, HOT_ROWS)), "h long, fp long, pos int, more binary, part int")
+    of_seed = Window.partitionBy("h", "part")
+    shared = seeds.withColumn("lo", F.min("fp").over(of_seed)).withColumn("hi", F.max("fp").over(of_seed)).where("lo != hi OR part > 0").drop("lo", "hi")
+    # copies in different tasks give equal rows; these go behind the join, which puts those of a text together
+    shared = scratch.keep(shared.join(reps.select("fp", "rep"), "fp").dropDuplicates(["fp", "h"]), "shared")
     scratch.release()
 
-    owner = shared.groupBy("h").agg(F.min(F.struct("rep", "pos", F.col("fp").alias("own_fp"), "more")).alias("o"))
-    matches = shared.join(owner, "h").where("fp != o.own_fp").select("fp", "pos", "more", "o.own_fp", F.col("o.pos").alias("own_pos"), F.col("o.more").alias("own_more"))
+    best = F.min(F.struct("rep", "pos", F.col("fp").alias("own_fp"), "more")).alias("o")
+    owner = shared.groupBy("h").agg(best, F.max("part").alias("parts"))
+    owner = owner.select("h", "o", F.explode(F.sequence(F.least(F.lit(1), "parts"), "parts")).alias("part"))
+    matches = shared.join(owner, ["h", "part"]).where("fp != o.own_fp").select("fp", "pos", "more", "o.own_fp", F.col("o.pos").alias("own_pos"), F.col("o.more").alias("own_more"))
     chained = matches.repartition("fp").sortWithinPartitions("fp", "pos").mapInArrow(lean(_chain), "fp long, own_fp long, segs binary")
     chained = scratch.keep(chained.withColumn("chain", F.xxhash64("fp", "own_fp", "segs")), "chains")
     ends = chained.mapInArrow(lean(_region_ends), "chain long, fp long, own_fp long, start int, end int, lo int, hi int")
@@ -453,18 +602,19 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     copies = names.where(f"n >= {LEAST}").join(reps.select("fp", "rep"), "fp").where("doc_id != rep").distinct()
     whole = copies.select("doc_id", F.lit(0).cast("long").alias("first_word"), (F.col("n") - 1).alias("last_word"), F.col("n").alias("n_words"), F.col("rep").alias("source_doc_id"), F.lit(0).cast("long").alias("source_first_word"), (F.col("n") - 1).alias("source_last_word"), F.lit(1.0).alias("similarity"), F.lit(True).alias("whole"), "fp")
     result = scratch.keep(partial.unionByName(whole), "result")
-    scratch.drop("names", "shared", "chains", "ends", "words", "pieces")
+    scratch.drop("names", "reps", "shared", "chains", "ends", "words", "pieces")
     return result
 
 
 def _region_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word ranges to fetch for each chain: its own with a margin, the owner's as blocks."""
     for batch in batches:
-        segs = [np.frombuffer(s, np.int32).reshape(-1, 3) for s in batch.column(2).to_pylist()]
-        a = np.array([s[0, 0] for s in segs], np.int32)
-        b = np.array([(s[:, 0] + s[:, 2]).max() for s in segs], np.int32)
-        x = np.array([s[0, 1] for s in segs], np.int32)
-        y = np.array([(s[:, 1] + s[:, 2]).max() for s in segs], np.int32)
+        if not batch.num_rows:
+            continue
+        flat, at = ragged(batch.column(2), np.int32)
+        rows, first = flat.reshape(-1, 3), at[:-1] // 3
+        a, x = rows[first, 0], rows[first, 1]
+        b, y = (np.maximum.reduceat(rows[:, k] + rows[:, 2], first) for k in (0, 1))
         lo, hi = np.maximum(0, x - MARGIN) // BLOCK, (y + MARGIN) // BLOCK
         yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(0), batch.column(1), *map(pa.array, ((a - MARGIN).astype(np.int32), (b + MARGIN).astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))], ["chain", "fp", "own_fp", "start", "end", "lo", "hi"])
 
@@ -474,25 +624,30 @@ def _cut(columns: list[str]):
         """Rows (columns..., spans array<struct<fp, a, b>>): texts without their spans; rows with no word left go."""
         for batch in batches:
             at, spans = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1)
-            texts, keep = batch.column(at).to_pylist(), []
-            for row, h, first, last in word_rows(batch, "text"):
-                cut = spans[row].as_py() or []
-                own = sequence_fingerprint(h) if cut else 0
-                raw, kept, done = None, [], 0
-                for s in sorted(cut, key=lambda s: s["a"]):
-                    if s["fp"] == own:
-                        raw = raw or texts[row].encode()
-                        kept.append(raw[done : first[s["a"]]])
-                        done = first[s["b"] + 1] if s["b"] + 1 < len(h) else len(raw)
-                if raw is None:
-                    keep.append(row)
-                elif any(s["a"] > 0 or s["b"] < len(h) - 1 for s in cut if s["fp"] == own):
-                    texts[row] = (b"".join(kept) + raw[done:]).decode()
-                    if texts[row].strip():
-                        keep.append(row)
-            rows = pa.array(keep, pa.int64())
-            out = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([c.take(rows) for c in out], columns)
+            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            cut = batch.take(pa.array(hit))
+            texts, keep = cut.column(at).to_pylist(), np.ones(batch.num_rows, bool)
+            for rows, h, lo, first, last in word_blocks(cut, "text"):
+                own = fingerprints(h, lo)
+                for k in range(len(own)):
+                    mine = sorted((s for s in spans[hit[rows.start + k]].as_py() if s["fp"] == own[k]), key=lambda s: s["a"])
+                    if not mine:
+                        continue
+                    begin, end, n = first[lo[k] : lo[k + 1]], last[lo[k] : lo[k + 1]], int(lo[k + 1] - lo[k])
+                    raw, kept, done = texts[rows.start + k].encode(), [], 0
+                    for s in mine:
+                        kept.append(raw[done : begin[s["a"]]])
+                        done = begin[s["b"] + 1] if s["b"] + 1 < n else len(raw)
+                    texts[rows.start + k] = (b"".join(kept) + raw[done:]).decode()
+                    whole = all(s["a"] == 0 and s["b"] >= n - 1 for s in mine)
+                    keep[hit[rows.start + k]] = not whole and bool(texts[rows.start + k].strip())
+            column = batch.column(at)
+            if len(hit):
+                place = np.arange(batch.num_rows)
+                place[hit] = batch.num_rows + np.arange(len(hit))
+                column = pa.concat_arrays([column, pa.array(texts, column.type)]).take(pa.array(place))
+            out = [column if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(out, columns).filter(pa.array(keep))
 
     return run
 
