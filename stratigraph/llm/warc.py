@@ -6,10 +6,11 @@ seek table (skippable frame 0x184D2A5E; per frame the compressed and plain size;
 bundle, frame, and the record's offset within the frame.
 
 Of records with equal payloads the one with the largest id is written in full; the others are revisits
-that point at it. Digests are grouped with partial sums, so a payload that a third of all pages
-share is no single task; every page goes to disk from where it was read. Bundles get their final name
-only when whole, and the name depends on the task alone, so a task that runs again after a lost
-executor replaces its own file. The index table is written before anything is read back.
+that point at it. That is decided on ids and digests, grouped with partial sums, so a payload that a
+third of all pages share is no single task. Revisits are written from these; payloads are only read
+for responses, and meet the decisions in one join, the same at every size. Bundles get their final name
+only when whole, and it holds the task's attempt, as the index does: so a task that runs again or twice
+never touches a file that an index names. The index table is written before anything is read back.
 
 Null payloads are empty; a null url is written as empty; repeated rows are records of their own
 (equal ids and payloads: one response, the others revisit its id); empty tables give no rows; other
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import Scratch, sized
+from .storage import Scratch
 
 #: fixed values of the seekable format
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -39,7 +40,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, record_id string, bundle string, frame int, frame_start long, frame_bytes long, offset_in_frame long, record_bytes long"
 
 
-def record_id(page_id: int | None, digest: str, copy: int = 0) -> str:
+def record_id(page_id: int | None, digest: str, copy: str = "") -> str:
+    """copy tells records of one page and payload apart: empty for the response, else url and number."""
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{copy}')}>"
 
 
@@ -47,20 +49,21 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id, url: str, payload: bytes, refers_to, rid: str) -> bytes:
-    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if refers_to is None else b"")
+def make_record(page_id, url: str, payload: bytes | None, digest: str, size: int, refers_to, rid: str) -> bytes:
+    """A response with its payload, or without one a revisit of refers_to."""
+    body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload or b"")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: {rid}",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + "".join(c for c in url if c not in "\r\n"),
-        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, payload_digest(payload))}", f"X-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -135,7 +138,7 @@ def _open(path: str):
 
 
 def _write(folder: str, bundle_bytes: int):
-    """Rows (page_id, url, html, refers_to, copy) to bundles in folder; yields their index."""
+    """Rows (page_id, url, html, digest, bytes, refers_to, copy) to bundles in folder; yields their index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
@@ -151,14 +154,14 @@ def _write(folder: str, bundle_bytes: int):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, url, html, refers_to, copy = (c[i].as_py() for c in batch.columns)
+                page_id, url, html, digest, size, refers_to, copy = (c[i].as_py() for c in batch.columns)
                 if writer is None:
-                    final = f"{base}/pages-{context.partitionId():06d}-{count:04d}.warc.zst"
-                    temporary = f"{final}.{context.taskAttemptId()}.part"
+                    final = f"{base}/pages-{context.partitionId():06d}-{context.taskAttemptId()}-{count:04d}.warc.zst"
+                    temporary = f"{final}.part"
                     writer, index, count = BundleWriter(store.open_output_stream(temporary)), [], count + 1
-                payload = (html or "").encode()
-                rid = record_id(page_id, payload_digest(payload), copy)
-                raw = make_record(page_id, url or "", payload, refers_to, rid)
+                name = base64.b32encode(digest).decode()
+                rid = record_id(page_id, name, copy)
+                raw = make_record(page_id, url, None if html is None else html.encode(), name, size, refers_to, rid)
                 index.append((page_id, rid, *writer.add(raw), len(raw)))
                 if writer.at >= bundle_bytes:
                     yield finish()
@@ -176,6 +179,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for row in batch.to_pylist():
             if row["bundle"] != bundle:
+                if reader:
+                    reader.file.close()
                 store, path = _open(bundle := row["bundle"])
                 reader, frame = BundleReader(store.open_input_file(path), store.get_file_info(path).size), None
             if row["frame"] != frame:
@@ -192,31 +197,41 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         columns = zip(*out, strict=True) if out else [[] for _ in kinds]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+    if reader:
+        reader.file.close()
 
 
 def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html, refers_to, copy): refers_to is the id whose record holds the payload, null for that record itself.
+    """(page_id, url, html, digest, bytes, refers_to, copy): html is null for revisits, refers_to for responses.
 
-    Decisions are made on ids and digests; only ids that refer to another or repeat get one, and payloads
-    meet them in one join, which needs no shuffle of payloads while these are few.
+    Of pages whose id and payload repeat the one with the least url is the response or the first revisit.
     """
     scratch = Scratch(pages.sparkSession, "revisits")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
-    slim = rows.select("page_id", "digest", F.octet_length("html").alias("bytes"))
+    slim = rows.select("page_id", "url", "digest", F.octet_length("html").cast("long").alias("bytes"))
     groups = slim.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("c"), F.max("page_id").alias("last")).where("c > 1 AND last IS NOT NULL").select("digest", "last")
-    rare = slim.groupBy("page_id", "digest").agg(F.count("*").alias("n")).join(groups, "digest", "left").where("n > 1 OR (last IS NOT NULL AND NOT page_id <=> last)")
-    rare = rare.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "n", "last")
-    rare = scratch.keep(rare, "rare")
-    found = rows.join(sized(rare), F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest")), "left")
-    marked = lambda df: df.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")) | (F.col("copy") > 0), F.col("last")).alias("refers_to"), "copy")
-    if not rare.where("n > 1").limit(1).count():
-        return marked(found.withColumn("copy", F.lit(0)))
-    # equal rows of one id: the first may be the response, the others revisit it
-    number = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")) - 1
-    several = found.where("n > 1").withColumn("copy", number)
-    both = found.where("n IS NULL OR n = 1").withColumn("copy", F.lit(0)).unionByName(several)
-    return marked(both)
+    each = slim.groupBy("page_id", "digest", "bytes").agg(F.count("*").alias("n"), F.min("url").alias("first_url")).join(groups, "digest", "left")
+    responds = F.col("page_id").eqNullSafe(F.col("last"))
+    # all that needs more than to be written as it is: revisits, and what they repeat if it has their id
+    told = scratch.keep(each.where("last IS NOT NULL").withColumn("responds", responds).where("n > 1 OR NOT responds"), "told")
+    told = told.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "last", "first_url", "responds")
+    mine = F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("digest") == F.col("of_digest"))
+
+    size, none = F.octet_length("html").cast("long").alias("bytes"), F.lit(None).cast("long").alias("refers_to")
+    found = rows.join(told, mine, "left")
+    # what nothing refers to may repeat too
+    alone = F.when(F.col("page_id").isNull() | (F.octet_length("html") < least_bytes), F.concat_ws(" ", "url", F.monotonically_increasing_id())).otherwise("")
+    single = found.where("of_digest IS NULL").select("page_id", "url", "html", "digest", size, none, alone.alias("copy"))
+    repeated = found.where("responds").groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.first("html").alias("html"))
+    repeated = repeated.select("page_id", "url", "html", "digest", size, none, F.lit("").alias("copy"))
+
+    # the others from ids and digests alone, as many as there are
+    left = slim.groupBy("page_id", "url", "digest", "bytes").agg(F.count("*").alias("n")).join(told, mine)
+    left = left.withColumn("n", F.col("n") - F.when(F.col("responds") & (F.col("url") == F.col("first_url")), 1).otherwise(0)).where("n > 0")
+    again = left.select("page_id", "url", "digest", "bytes", "last", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    again = again.select("page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "bytes", F.col("last").alias("refers_to"), F.concat_ws(" ", "url", "k").alias("copy")).repartition(F.xxhash64("page_id", "copy"))
+    return single.unionByName(repeated).unionByName(again)
 
 
 def write_bundles(pages: DataFrame, folder: str, least_bytes: int = 0, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:

@@ -47,6 +47,14 @@ def test_repeated_ids_nulls_and_empty(spark):
     got = sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc.archive_and_read(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(1, "response", None, 1), (1, "revisit", 1, 1), (1, "response", None, 1), (None, "revisit", 1, 1), (None, "response", None, 1)], key=str)
     assert warc.archive_and_read(spark.createDataFrame([], schema)).count() == 0
+    alone = spark.createDataFrame([(None, "a", "long"), (None, "a", "long"), (1, "a", "s"), (1, "a", "s"), (2, "a", "s")], schema)
+    assert all(r.record_type == "response" and r.payload is not None for r in warc.archive_and_read(alone, 2).collect())
+    scratch = Scratch(spark, "warc-ids")
+    many = spark.createDataFrame([(7, "u", "same")] * 40 + [(7, "v", "same")] * 3 + [(5, "u", "same")], schema).repartition(4)
+    index = scratch.keep(warc.write_bundles(many, f"{scratch.folder}/b"), "index")
+    assert index.select("record_id").distinct().count() == 44
+    got = [(r.page_id, r.url, r.record_type, r.refers_to) for r in warc.read_bundles(index).collect()]
+    assert got.count((7, "u", "response", None)) == 1 and got.count((7, "u", "revisit", 7)) == 39 and got.count((7, "v", "revisit", 7)) == 3 and got.count((5, "u", "revisit", 7)) == 1
 
 
 def test_bundles_are_ordinary_zstandard_files(spark):
