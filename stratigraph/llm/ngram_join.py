@@ -7,7 +7,8 @@ Plan
    gives the same links.
 2. A second pass emits each set's prefix: the first n - ceil(t n) + 1 shingles in that order.
    Two sets that link share at least one. Copies within a task are emitted once, since a set is
-   known by its fingerprint. Rows whose shingle only one set has go at once.
+   known by its fingerprint. Rows whose shingle only one set has go at once. Rows of a shingle that
+   the sketch puts far over HOT_ROWS are dealt out in parts, in this and in every later join.
 3. Rounds. Each bucket of a shared shingle names hubs; its members are verified against these
    (length and positional filters before, suffix filter in front of the full intersection),
    links are closed into components, and what is left are pairs of a bucket in different
@@ -23,20 +24,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import sketch
 from .components import components
-from .storage import Scratch, lean, sized
+from .storage import Scratch, lean
 from .textwords import mix, shingle_sets
 
-SKETCH_BITS, CHUNK_BITS = 20, 14
 HUB_ROUNDS = 1
 #: a bucket that the sketch puts far over this many rows is looked at in parts of about so many
-HOT_ROWS = 1 << 16
+HOT_ROWS = 1 << 12
 
 
 def fingerprint(h: np.ndarray) -> int:
@@ -72,37 +72,29 @@ def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _first_pass(width: int, key: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), set()
+        counts, seen = sketch.empty(), set()
         for batch in batches:
             fps, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for row, h in shingle_sets(batch, text, width):
                 fps[row], sizes[row] = fp, _ = fingerprint(h), len(h)
                 if fp not in seen:
                     seen.add(fp)
-                    np.add.at(counts, (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                    np.add.at(counts, sketch.slots(h), 1)
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), pa.array(fps), pa.array(sizes), none.cast(pa.int32()), none.cast(pa.binary())], ["doc_id", "fp", "n", "chunk", "counts"])
         if seen:
-            chunks = counts.reshape(-1, 1 << CHUNK_BITS)
-            none = pa.nulls(len(chunks)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(chunks)), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["doc_id", "fp", "n", "chunk", "counts"])
+            chunk, own = sketch.chunk_arrays(counts)
+            none = pa.nulls(len(chunk)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, chunk, own], ["doc_id", "fp", "n", "chunk", "counts"])
 
     return run
 
 
-def _add_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(1 << CHUNK_BITS, dtype=np.uint64)
-    for c in pdf["counts"]:
-        total += np.frombuffer(c, dtype=np.uint32)
-    return pd.DataFrame({"chunk": pdf["chunk"][:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-
-def _prefixes(width: int, percent: int, text: str, sketch, hot_rows: int):
+def _prefixes(width: int, percent: int, text: str, frequencies, hot_rows: int):
     """Rows (h, fp, n, pos, part): part is 0, or one of the parts of a hot shingle, by the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sketch.value, set()
-        hot = hot_rows + 8 * counts.mean()
+        counts, seen = frequencies.value, set()
         for batch in batches:
             parts: list[tuple] = []
             held = 0
@@ -116,14 +108,15 @@ def _prefixes(width: int, percent: int, text: str, sketch, hot_rows: int):
                     continue
                 seen.add(fp)
                 k = prefix_length(n, percent)
-                df = counts[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                df = counts[sketch.slots(h)]
                 if k < n:
                     limit = np.partition(df, k - 1)[k - 1]
                     near = np.flatnonzero(df <= limit)
                     order = near[np.lexsort((h[near], df[near]))][:k]
                 else:
                     order = np.lexsort((h, df))
-                parts.append((h[order].view(np.int64), np.full(k, fp, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32), np.where(df[order] > hot, 1 + fp % (df[order].astype(np.int64) // hot_rows + 1), 0).astype(np.int32)))
+                own = np.full(k, fp, np.int64)
+                parts.append((h[order].view(np.int64), own, np.full(k, n, np.int32), np.arange(k, dtype=np.int32), sketch.parts(h[order], own, counts, hot_rows)))
                 held += k
                 if held > 200_000:
                     yield flush()
@@ -194,22 +187,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    first = scratch.keep(docs.mapInArrow(lean(_first_pass(width, "doc_id", "text")), "doc_id long, fp long, n long, chunk int, counts binary"), "sets")
-    chunks = first.where("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()  # 2**SKETCH_BITS counters, at any input size
-    counts = np.zeros((1 << (SKETCH_BITS - CHUNK_BITS), 1 << CHUNK_BITS), dtype=np.uint32)
-    for c in chunks:
-        counts[c["chunk"]] = np.frombuffer(c["counts"], dtype=np.uint32)
-    sketch = spark.sparkContext.broadcast(counts.reshape(-1))
+    first = scratch.keep(docs.mapInArrow(lean(_first_pass(width, "doc_id", "text")), f"doc_id long, fp long, n long, {sketch.CHUNKS}"), "sets")
+    frequencies = spark.sparkContext.broadcast(sketch.collect(first))
     sets = first.where("chunk IS NULL").select("doc_id", "fp", "n")
 
-    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", sketch, HOT_ROWS)), "h long, fp long, n int, pos int, part int")
+    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", frequencies, HOT_ROWS)), "h long, fp long, n int, pos int, part int")
     shared = _shared_rows(prefix, percent)
     shared = scratch.keep(shared, "shared")
     scratch.release()
 
     reps = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     wanted = scratch.keep(shared.select("fp").distinct().join(reps, "fp"), "wanted")
-    texts = scratch.keep(docs.join(sized(wanted), "doc_id").select("fp", "text").mapInArrow(lean(_own_texts(width)), "fp long, text string"), "texts")
+    texts = scratch.keep(docs.join(wanted, "doc_id").select("fp", "text").mapInArrow(lean(_own_texts(width)), "fp long, text string"), "texts")
     scratch.release()
 
     found, labels, tried = None, None, None
@@ -217,8 +206,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
         rows = shared if labels is None else shared.join(labels.select(F.col("u").alias("fp"), F.col("v").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
         if k:
             # only buckets whose members are not all in one component
-            mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("h")
-            rows = scratch.keep(rows.join(mixed, "h"), f"open-{k}")
+            mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("part").alias("parts")).where("lo != hi")
+            rows = scratch.keep(rows.join(_in_parts(mixed.select("h", "parts")), ["h", "part"]), f"open-{k}")
         else:
             rows = rows.withColumn("c", F.col("fp"))
         pairs = _hub_pairs(rows, percent, k) if k < HUB_ROUNDS else _all_pairs(rows, percent)
@@ -231,13 +220,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
         labels = components(found, scratch, f"component-{k}")
         scratch.release()
 
-    leads = reps.join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
-    least = leads.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    leads = scratch.keep(reps.join(labels.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp")).select("fp", "root", "doc_id"), "leads")
+    least = scratch.keep(leads.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")  # written, so that joins with a large group can be split
     classes = leads.join(least, "root").select("fp", "component_id")
     out = sets.join(classes.withColumn("n", F.lit(1)), (sets["fp"] == classes["fp"]) & (sets["n"] > 0), "left")
     result = out.select(sets["doc_id"], sets["n"].alias("n_shingles"), F.coalesce("component_id", sets["doc_id"]).alias("component_id"))
     result = scratch.keep(result, "result")
-    scratch.drop("sets", "shared", "wanted", "texts", *(f"{x}-{k}" for k in range(HUB_ROUNDS + 1) for x in ("open", "pairs", "links")))
+    scratch.keep_only("result")
     return result
 
 
@@ -249,7 +238,7 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str
     found = jaccard_components(docs, width, percent, key, text)
     flags = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__rows"), F.min("component_id").alias("__first"))
     flags = Scratch(docs.sparkSession, "groups").keep(flags.where("__rows > 1 OR __first != doc_id").withColumnRenamed("doc_id", "__id"), "flags")
-    joined = docs.join(sized(flags), docs[key] == flags["__id"], "left").where("__id IS NULL OR __first = __id")
+    joined = docs.join(flags, docs[key] == flags["__id"], "left").where("__id IS NULL OR __first = __id")
     if not flags.where("__rows > 1").limit(1).count():
         return joined.select(*docs.columns)
     once = joined.where("__id IS NOT NULL").dropDuplicates([key, text])
@@ -257,33 +246,38 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str
 
 
 def _shared_rows(prefix: DataFrame, percent: int) -> DataFrame:
-    """(h, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once, and all of hot shingles.
+    """(h, part, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once, and all of hot shingles.
 
     ahead counts the set's rows before this one. What only one prefix holds can't be shared ahead of a
     shared shingle, so a row too far behind for its own set to reach the threshold goes at once.
     """
     w = Window.partitionBy("h", "part")
     # copies in different tasks give equal rows; these are dropped behind the window, where few rows are left
-    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "fp", "n", "pos").dropDuplicates(["h", "fp"])
+    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "part", "fp", "n", "pos").dropDuplicates(["h", "fp"])
     ranked = held.withColumn("ahead", F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1)
     return ranked.where(f"100 * (ahead + n - pos) >= {percent} * n")
 
 
+def _in_parts(buckets: DataFrame) -> DataFrame:
+    """A row for each part of a bucket, from rows with its number of parts; 0 stands for the only one."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.least(F.lit(1), "parts"), "parts")))
+
+
 def _hub_pairs(rows: DataFrame, percent: int, k: int) -> DataFrame:
     """Each row with its bucket's hub, if that is in another component: the set with the fewest shingles of its own, ties by a hash of round k.
 
     An original has none, its copies have their edits, so this finds the middle of a group.
     """
     own = (F.col("pos") - F.col("ahead")).alias("own")
-    hubs = rows.groupBy("h").agg(F.min(F.struct(own, F.xxhash64("fp", F.lit(k)).alias("r"), "fp", "n", "pos", "ahead", "c")).alias("hub"))
-    pairs = rows.join(hubs, "h").where(f"fp != hub.fp AND c != hub.c AND {_passes_filters(percent, '', 'hub.')}")
+    hubs = rows.groupBy("h").agg(F.min(F.struct(own, F.xxhash64("fp", F.lit(k)).alias("r"), "fp", "n", "pos", "ahead", "c")).alias("hub"), F.max("part").alias("parts"))
+    pairs = rows.join(_in_parts(hubs), ["h", "part"]).where(f"fp != hub.fp AND c != hub.c AND {_passes_filters(percent, '', 'hub.')}")
     return pairs.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket in different components that pass the filters."""
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, F.expr(f"x.h = y.h AND x.fp < y.fp AND x.c != y.c AND {_passes_filters(percent, 'x.', 'y.')}"))
+    """All pairs of a bucket in different components that pass the filters; each of its parts meets all of its rows."""
+    x, y = rows.alias("x"), _in_parts(rows.drop("part")).alias("y")
+    pairs = x.join(y, F.expr(f"x.h = y.h AND x.part = y.part AND x.fp < y.fp AND x.c != y.c AND {_passes_filters(percent, 'x.', 'y.')}"))
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 

@@ -11,13 +11,14 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset a temporary folder on a single machine, as in tests, and an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stratigraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,30 +36,26 @@ def lean(run):
     return lean_run
 
 
-#: a table of a few plain columns is broadcast up to this many rows (tens of MB); beyond, joins shuffle both sides
-BROADCAST_ROWS = 1_000_000
-
-
-def sized(kept: DataFrame) -> DataFrame:
-    """A kept table, marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-
-
 class Scratch:
     """Tables written once and read again: lineage ends here, so a lost executor costs no recomputation of what came before."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", set()
         atexit.register(self.drop_all)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.folder}/{name}")
+        self.names -= set(names)
+
+    def keep_only(self, name: str) -> None:
+        self.drop(*sorted(self.names - {name}))
 
     def drop_all(self) -> None:
         with contextlib.suppress(Exception):  # at exit the session may be gone
