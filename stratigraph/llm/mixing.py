@@ -4,12 +4,13 @@ Documents of a source queue in a seeded random order. A document's virtual finis
 source's words up to its end divided by the source's weight; a second lap over the source goes on
 where the first ended. Serving all queues in that order until the budget is used is serving up to
 one virtual time, at which each source has got weight x time words, or both its laps if these are
-fewer. That time comes from one sum per source, so the cut is exact and needs no global running sum;
-the served documents are range-sorted by finish time.
+fewer. So that time follows from one sum per source: it is found in a few steps, each of which takes
+the sources that are used up by then out of the sharing. Documents that finish by it are taken whole,
+the one in service at it as far as it is served. The mix is range-sorted by finish time.
 
 The running sum of a source is split: sums of 4096 slices of its order, then the running sum within
 each slice. So a source with most of the rows is spread over 4096 tasks' worth of groups. Sources
-themselves are ranked in one task, which gets one row per source.
+may be many as well: they are numbered within ranges of their names and by the ranges' counts.
 
 Null texts have size 0 and are never taken; null sources are one source, last in order; repeated rows
 are documents of their own; an empty table gives no rows; if all sizes are 0, all targets are.
@@ -20,10 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import Scratch
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LAPS = 2
-SLICES = 4096
+#: hexadecimal digits of a document's place that name its slice
+SLICE_DIGITS = 3
 
 
 def n_words(text: Column) -> Column:
@@ -31,47 +35,65 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
 
 
-def targets(slices: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, laps: int = LAPS) -> DataFrame:
-    """slices (no_source, source_key, slice, words) -> (no_source, source_key, source_size, weight, target).
+def numbered(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources with their number in the order of names, from 0, null last; no task sees more than a range of names."""
+    kept = scratch.keep(sources.repartitionByRange("no_source", "source_key").withColumn("range", F.spark_partition_id()), "sources")
+    counts = kept.groupBy("range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("no_source", "source_key")) - 1
+    return kept.withColumn("place", place).join(starts, "range").withColumn("number", F.col("start") + F.col("place")).drop("range", "place", "start")
+
+
+def cut_time(sources: DataFrame, share: float, laps: int) -> float | None:
+    """The virtual time at which share x all words are served, from (source_size, weight); None if all laps are fewer."""
+    used_up, time = F.lit(False), 0.0
+    while True:
+        row = sources.agg(F.sum("source_size").alias("size"), F.sum(F.when(used_up, F.col("source_size")).otherwise(0)).alias("gone"), F.sum(F.when(used_up, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        if not row["weight"]:
+            return None
+        new = (share * row["size"] - laps * row["gone"]) / row["weight"]
+        if new <= time:
+            return time
+        time = new
+        used_up = laps * F.col("source_size") / F.col("weight") < time
+
+
+def targets(slices: DataFrame, scratch: Scratch, weights: tuple = WEIGHTS, share: float = SHARE, laps: int = LAPS) -> DataFrame:
+    """slices (no_source, source_key, slice, words) -> (no_source, source_key, source_size, weight, cut, target).
 
     Sources in code point order, null last, get the weights in turn. They share share x all words by
     weight; none gets more than laps x its own, the rest is shared again by weight.
     """
-    sizes = slices.groupBy("no_source", "source_key").agg(F.sum("words").alias("source_size"))
-    by_name = Window.partitionBy().orderBy("no_source", "source_key")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    sizes = sizes.select("*", weight.alias("weight"))
-    # in order of the time at which a source is used up: if the first k are, the others share what is left
-    by_end = Window.partitionBy().orderBy(F.col("source_size") / F.col("weight"), "no_source", "source_key")
-    before, after = by_end.rowsBetween(Window.unboundedPreceding, -1), by_end.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    sizes = sizes.select(
-        "*",
-        (F.lit(float(laps)) * F.col("source_size") / F.col("weight")).alias("end"),
-        ((F.lit(float(share)) * F.sum("source_size").over(everything) - laps * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)).alias("time"),
-    )
-    sizes = sizes.select("*", F.max(F.when(F.col("time") <= F.col("end"), F.col("time"))).over(everything).alias("cut"))
-    return sizes.select("no_source", "source_key", "source_size", "weight", F.coalesce(F.least(F.col("weight") * F.col("cut"), laps * F.col("source_size").cast("double")), laps * F.col("source_size").cast("double")).alias("target"))
+    sizes = numbered(slices.groupBy("no_source", "source_key").agg(F.sum("words").alias("source_size")), scratch)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    sizes = scratch.keep(sizes.select("no_source", "source_key", "source_size", weight.alias("weight")), "weights")
+    cut, most = F.lit(cut_time(sizes, share, laps)).cast("double"), laps * F.col("source_size").cast("double")
+    return sizes.select("*", cut.alias("cut"), F.coalesce(F.least(F.col("weight") * cut, most), most).alias("target"))
 
 
 def queue(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", carry: bool = False, seed: int = 17) -> DataFrame:
     """Each row as (row, doc_id, size, source_size, target, taken, copies, virtual_finish); row holds the input row if carry.
 
-    taken: its words within the target, both laps counted, so a source's sum is its target rounded down;
-    copies: how often the whole document is taken, counting a lap if at least half of it is.
+    taken: the words served by the cut, both laps counted; copies: how often the whole document is
+    taken, counting a lap if at least half of it is.
     """
+    scratch = Scratch(docs.sparkSession, "mixing")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None).cast("string")
     rows = docs.select(row.alias("row"), F.col(key).alias("doc_id"), n_words(F.col(text)).alias("size"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_key"))
-    rows = rows.withColumn("place", F.xxhash64("doc_id", F.lit(seed))).withColumn("slice", F.shiftrightunsigned("place", 64 - SLICES.bit_length() + 1))
-    slices = rows.groupBy("no_source", "source_key", "slice").agg(F.sum("size").alias("words"))
+    rows = rows.withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
+    slices = scratch.keep(rows.groupBy("no_source", "source_key", "slice").agg(F.sum("size").alias("words")), "slices")
     in_source = Window.partitionBy("no_source", "source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select("*", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("start")).drop("words").join(targets(slices), ["no_source", "source_key"])
+    starts = slices.select("*", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("start")).drop("words").join(targets(slices, scratch), ["no_source", "source_key"])
     in_slice = Window.partitionBy("no_source", "source_key", "slice").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     queued = rows.join(starts, ["no_source", "source_key", "slice"]).select("*", (F.col("start") + F.sum("size").over(in_slice)).alias("end"))
     taken, copies = F.lit(0).cast("long"), F.lit(0)
     for lap in range(LAPS):
-        served = F.floor(F.col("target")) - (F.col("end") - F.col("size") + lap * F.col("source_size"))
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), served))
+        begin = F.col("end") - F.col("size") + lap * F.col("source_size")
+        finish = (F.col("end") + lap * F.col("source_size")) / F.col("weight")
+        in_service = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("cut") * F.col("weight")) - begin))
+        served = F.when(F.col("cut").isNull() | (finish <= F.col("cut")), F.col("size")).when(begin / F.col("weight") < F.col("cut"), in_service).otherwise(0)
+        taken = taken + served
         copies = copies + F.when((F.col("size") > 0) & (2 * served >= F.col("size")), 1).otherwise(0)
     return queued.select("row", "doc_id", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), (F.col("end") / F.col("weight")).alias("virtual_finish"), "weight")
 
