@@ -1,18 +1,19 @@
 """Chat formatting in Spark expressions only: turns to one training string with a loss mask, and back.
 
-A conversation's turns are collected as structs and sorted; adjacent turns of one role become one
-block  <s>[INST]role[/INST]text[TURN]text</s>.  Control strings inside roles or texts get a backslash
+Turns are sorted within their conversation, where running sums of lengths give the spans of the mask;
+then they are collected as structs. Adjacent turns of one role become one block
+<s>[INST]role[/INST]text[TURN]text</s>.  Control strings inside roles or texts get a backslash
 behind their first character (and one more for each that is there), which reading takes away again,
 so texts that quote the template come back as they were.
 
 Null texts and roles are empty; turns with the same number are ordered by role, then text; repeated
 rows are turns of their own; a null conversation id is one conversation; an empty table gives no rows.
-A conversation is one string, so it has to fit into one.
+A conversation is one string, so it has to fit into one; its cost grows with its length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, ROLE_END, TURN, CLOSE = "<s>[INST]", "[/INST]", "[TURN]", "</s>"
@@ -30,41 +31,27 @@ def unescape(text: Column) -> Column:
 
 def format_chats(rows: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: str = "assistant") -> DataFrame:
     """(conv_id, formatted, loss array<struct<start, length>>): the spans, in code points from 1, are the texts of role learn."""
-    turns = rows.select(
-        F.col(conversation).alias("conv_id"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).alias("t"),
-    )
-    got = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    n = F.size("turns")
-    # zipped with the turn before and the one behind; out of range is null
-    got = got.select(
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    turns = rows.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), told(role).alias("role"), told(text).alias("text"))
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = turns.select("*", F.row_number().over(in_order).alias("k"), F.lag("role").over(in_order).alias("before"), F.lead("role").over(in_order).alias("behind"))
+    parts = turns.select(
         "conv_id",
-        F.arrays_zip(
-            F.col("turns").alias("t"),
-            F.concat(F.array(F.lit(None).cast("string")), F.slice(F.col("turns.role"), F.lit(1), n - 1)).alias("before"),
-            F.concat(F.slice(F.col("turns.role"), F.lit(2), n - 1), F.array(F.lit(None).cast("string"))).alias("behind"),
-        ).alias("z"),
-    )
-    parts = F.transform(
-        "z",
-        lambda z: F.struct(
-            F.when(z["before"].eqNullSafe(z["t"]["role"]), F.lit(TURN)).otherwise(F.concat(F.lit(OPEN), escape(z["t"]["role"]), F.lit(ROLE_END))).alias("head"),
-            escape(z["t"]["text"]).alias("body"),
-            F.when(z["behind"].eqNullSafe(z["t"]["role"]), F.lit("")).otherwise(F.lit(CLOSE)).alias("tail"),
-            (z["t"]["role"] == learn).alias("learn"),
-        ),
-    )
-    got = got.select("conv_id", parts.alias("parts"))
-    spans = F.aggregate(
-        F.transform("parts", lambda p: F.struct(F.char_length(p["head"]).alias("a"), F.char_length(p["body"]).alias("b"), F.char_length(p["tail"]).alias("c"), p["learn"].alias("learn"))),
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + p["a"] + p["b"] + p["c"]).alias("at"),
-            F.when(p["learn"], F.concat(s["spans"], F.array(F.struct((s["at"] + p["a"]).alias("start"), p["b"].alias("length"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
+        "turn",
+        "role",
+        "text",
+        "k",
+        F.when(F.col("before") == F.col("role"), F.lit(TURN)).otherwise(F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(ROLE_END))).alias("head"),
+        escape(F.col("text")).alias("body"),
+        F.when(F.col("behind") == F.col("role"), F.lit("")).otherwise(F.lit(CLOSE)).alias("tail"),
     )
-    return got.select("conv_id", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"), spans.alias("loss"))
+    size = F.char_length("head") + F.char_length("body") + F.char_length("tail")
+    so_far = F.sum(size).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.select("*", (so_far - F.char_length("tail") - F.char_length("body") + 1).cast("int").alias("start"), F.char_length("body").alias("length"))
+    part = F.struct("k", F.concat("head", "body", "tail").alias("part"), (F.col("role") == learn).alias("learn"), "start", "length")
+    got = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    spans = F.transform(F.filter("parts", lambda p: p["learn"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return got.select("conv_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), spans.alias("loss"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
