@@ -42,16 +42,26 @@ def counter(path: str):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    if any(ids(a + " " + b) != ids(a) + ids(" " + b) for a in _BESIDE for b in _BESIDE):
+        raise ValueError("tokens of this tokenizer reach over spaces")
     return lambda texts: [len(x) for x in tokenizer.encode_batch(texts, add_special_tokens=False)], False
 
 
+#: what stands beside a space where a text may be split, in samples that a tokenizer has to pass
+_BESIDE = ("a", "the", "Word", "7", "1999", ".", "it's", "n't", "'", '"', "-", "(", "é", "ß", "日本", "😀", "\u0301", "_", "@x", "\x7f")
 _SPLIT = re.compile(r"(?<=[^\s▁<>|]) (?=[^\s▁<>|])")
 
 
 def parts(text: str, most: int, drop_space: bool) -> list[str]:
-    """The text in parts of about most characters, split at safe spaces; longer where there is none."""
+    """The text in parts of about most bytes, split at safe spaces; longer where there is none."""
     out, at = [], 0
-    while len(text) - at > most and (m := _SPLIT.search(text, at + most)):
+    while len(text) - at > most // 4:  # a character has four bytes at most
+        step = most
+        while (held := len(text[at : at + step].encode())) > most and step > most // 4:
+            step = max(most // 4, step * most // held)
+        if len(text) - at <= step or not (m := _SPLIT.search(text, at + step)):
+            break
         out.append(text[at : m.start()])
         at = m.end() if drop_space else m.start()
     out.append(text[at:])
@@ -77,13 +87,15 @@ def count_tokens(path: str, column: str, batch_bytes: int = BATCH_BYTES):
                 if text is None:
                     continue
                 n_bytes[i] = len(text.encode())
-                for piece in parts(text, batch_bytes // 4, drop_space) if len(text) > batch_bytes // 4 else (text,):
-                    part.append(piece)
-                    owner.append(i)
-                    held += len(piece)
-                    if held > batch_bytes:
+                pieces = parts(text, batch_bytes, drop_space) if n_bytes[i] > batch_bytes else (text,)
+                for piece in pieces:
+                    size = int(n_bytes[i]) if len(pieces) == 1 else len(piece.encode())
+                    if held + size > batch_bytes:
                         flush()
                         held = 0
+                    part.append(piece)
+                    owner.append(i)
+                    held += size
             flush()
             rest = [k for k in range(batch.num_columns) if batch.schema.field(k).name != column]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), pa.array(n_bytes), pa.array(n)], [*(batch.schema.field(k).name for k in rest), "n_bytes", "n_tokens"])
