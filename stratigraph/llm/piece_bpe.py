@@ -80,6 +80,10 @@ class PieceModel:
             self.run_id = longest
             if any(ids[0] != longest for ids in self.encode_units(units)):
                 self.run = 0
+        # neither normalisation nor dropped spaces, a mark before the text, bytes for what no piece has
+        probes = ["a", " a  b ", "a\tb\r\nc", "\ufb01\u2460\uff21", "e\u0301\u00e9\u212b", "\u200b\u00a0x\u3000", "<s> </s> <unk> <0x41>", "\U0010fffd", f"a{MARK}b"]
+        if [ids for ids, _ in encode_texts(self, probes, UnitCache())] != lib.encode(probes) or [lib.decode(lib.encode(p)) for p in probes] != [p.replace(MARK, " ") for p in probes]:
+            raise ValueError("this model normalises texts, or isn't merged by pairs")
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of each pair in the table, len(keys) for none."""
