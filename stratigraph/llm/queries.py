@@ -64,6 +64,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", f"(fail_bits & {base}) != 0 AS base_failed", "kept", "n_lines", "n_upper", "fail_bits")
 
 
+@query
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy rejects, and what it alone rejects, from the ledger's bits."""
+    return quality.ablations(quality.ledger(_table(spark, sf_dir, "documents")), quality.POLICIES["v1"])
+
+
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -76,8 +82,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.where("vec_id % 20 = 0"))
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
 @query
@@ -90,7 +95,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).drop("fp")
 
 
-ORACLES["op8_quality_rules"] = r"""
+LEDGER = r"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
 win AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM s)),
@@ -99,7 +104,26 @@ hit AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i +
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper FROM s LEFT JOIN hit USING (rid)),
 b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 16 * n_words)::INT + 32 * (100 * n_upper > 60 * word_chars)::INT AS BIGINT) AS fail_bits FROM m)
-SELECT *, (fail_bits & 3) != 0 AS base_failed, fail_bits = 0 AS kept FROM b
+"""
+ORACLES["op8_quality_rules"] = LEDGER + "SELECT *, (fail_bits & 3) != 0 AS base_failed, fail_bits = 0 AS kept FROM b"
+
+ORACLES["quality_ablations"] = LEDGER + """, r AS (SELECT unnest(['few_words', 'repeated_words', 'symbols', 'duplicate_lines', 'word_length', 'shouting']) AS rule, unnest([1, 2, 4, 8, 16, 32]) AS bit)
+SELECT 'v1' AS policy, rule, count(*) FILTER ((fail_bits & bit) != 0) AS n_failed, count(*) FILTER (fail_bits = bit) AS n_only FROM b, r GROUP BY rule
+"""
+
+ORACLES["op4_source_mixing"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x != '')) AS BIGINT) AS size, source IS NULL AS no_source, coalesce(source, '') AS source_key,
+ md5(concat('17:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS place FROM documents),
+q AS (SELECT *, CAST(sum(size) OVER (PARTITION BY no_source, source_key ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM d),
+s AS (SELECT no_source, source_key, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY no_source, source_key) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM d GROUP BY 1, 2),
+t AS (SELECT *, 2.0::DOUBLE * source_size / weight AS used_up, CAST(1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, no_source, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+ / sum(weight) OVER (ORDER BY source_size / weight, no_source, source_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS time FROM s),
+c AS (SELECT *, max(CASE WHEN time <= used_up THEN time END) OVER () AS cut FROM t),
+l AS (SELECT rid, q.doc_id, size, source_size, weight, cut, e, unnest([0, 1]) AS lap FROM q JOIN c USING (no_source, source_key)),
+g AS (SELECT *, e - size + lap * source_size AS begins, (e + lap * source_size) / weight AS finish FROM l)
+SELECT doc_id, size, source_size, coalesce(least(weight * cut, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target,
+ CAST(sum(CASE WHEN cut IS NULL OR finish <= cut THEN size WHEN begins / weight < cut THEN greatest(0, least(size, CAST(floor(cut * weight) AS BIGINT) - begins)) ELSE 0 END) AS BIGINT) AS taken, e / weight AS virtual_finish
+FROM g GROUP BY rid, doc_id, size, source_size, weight, cut, e
 """
 
 ORACLES["op6_chat_format"] = r"""
