@@ -162,39 +162,78 @@ def queue_topology(publishes: DataFrame, routes: DataFrame, consumes: DataFrame)
     return part(publishes, "source", "exchange", "queue_publish").unionByName(part(routes, "exchange", "queue", "queue_route")).unionByName(part(consumes, "queue", "source", "queue_consume")).distinct()
 
 
-def louvain(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """(stable_id, community): undirected, parallel edges summed, no self-loops; local moves by modularity gain.
-
-    In even rounds nodes of even hashes move, in odd rounds the others, so neighbours don't swap; a move
-    goes to the community with the greatest gain, ties to the smallest name, and only for a gain.
-    """
+def _moves(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(x, c): communities after rounds of local moves by modularity gain, each node in its own at first."""
     from ..sources.storage import checkpointed
 
-    w = edges.where("source != target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
-    both = checkpointed(w.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(w.select("b", "a", "w")))
-    degree = both.groupBy("x").agg(F.sum("w").alias("k"))
     label = checkpointed(degree.select("x", F.col("x").alias("c"), "k"))
-    total = label.agg(F.sum("k")).first()[0] or 1.0
+    still = 0
     for r in range(rounds):
-        size = label.groupBy("c").agg(F.sum("k").alias("ck"))
+        size = label.groupBy("c").agg(F.sum("k").alias("ck"), F.count("*").alias("n"))
         to = both.join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("kin"))
-        own = label.select("x", F.col("c").alias("own"), "k")
-        choice = own.select("x", "own", "k", F.col("own").alias("c"), F.lit(0.0).alias("kin")).unionByName(to.join(own, "x").select("x", "own", "k", "c", "kin")).groupBy("x", "own", "k", "c").agg(F.sum("kin").alias("kin")).join(size, "c")
+        own = label.join(size.select("c", F.col("n").alias("own_n")), "c").select("x", F.col("c").alias("own"), "k", "own_n")
+        choice = own.select("x", "own", "own_n", "k", F.col("own").alias("c"), F.lit(0.0).alias("kin")).unionByName(to.join(own, "x").select("x", "own", "own_n", "k", "c", "kin"))
+        choice = choice.groupBy("x", "own", "own_n", "k", "c").agg(F.sum("kin").alias("kin")).join(size, "c").where("NOT (own_n = 1 AND n = 1 AND c > own)")
         rest = F.col("ck") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = choice.withColumn("gain", F.round(F.col("kin") - F.col("k") * rest / total, 9))
         best = gain.groupBy("x", "own", "k").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("m"))
         turn = F.pmod(F.xxhash64("x"), F.lit(2)) == r % 2
-        label = checkpointed(best.select("x", F.when(turn & (-F.col("m.g") > F.col("stay")), F.col("m.c")).otherwise(F.col("own")).alias("c"), "k"))
-    return label.select(F.col("x").alias("stable_id"), F.col("c").alias("community"))
+        moved = turn & (-F.col("m.g") > F.col("stay"))
+        label = checkpointed(best.select("x", F.when(moved, F.col("m.c")).otherwise(F.col("own")).alias("c"), "k", moved.alias("moved")))
+        still = 0 if label.where("moved").limit(1).count() else still + 1
+        label = label.drop("moved")
+        if still == 2:  # neither half of the nodes moves any more
+            break
+    return label.select("x", "c")
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """(a, b, w): undirected, parallel edges summed by their weight (1 without such a column), no self-loops."""
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    return edges.where("source != target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), weight.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
+
+
+def louvain(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 8, levels: int = 8) -> DataFrame:
+    """(stable_id, community): the least member names a community; nodes (stable_id) without edges are their own.
+
+    In even rounds nodes of even hashes move, in odd rounds the others, and of two nodes on their own only
+    that with the greater name joins the other, so neighbours don't swap; a move goes to the community
+    with the greatest gain, ties to the smallest name, and only for a gain. Then
+    communities become the nodes of the next level, until none of them joins another.
+    """
+    from ..sources.storage import checkpointed
+
+    w = _weights(edges)
+    both = checkpointed(w.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(w.select("b", "a", "w")))
+    degree = checkpointed(both.groupBy("x").agg(F.sum("w").alias("k")))
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    members = degree.select(F.col("x").alias("stable_id"), F.col("x").alias("community"))
+    count = degree.count()
+    for _ in range(levels):
+        label = checkpointed(_moves(both, degree, total, rounds))
+        members = checkpointed(members.join(label.select(F.col("x").alias("community"), "c"), "community").select("stable_id", F.col("c").alias("community")))
+        left = label.select("c").distinct().count()
+        if left == count:
+            break
+        count = left
+        a, b = label.toDF("x", "cx"), label.toDF("y", "cy")
+        both = checkpointed(both.join(a, "x").join(b, "y").where("cx != cy").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
+        degree = checkpointed(degree.join(label, "x").groupBy(F.col("c").alias("x")).agg(F.sum("k").alias("k")))
+    least = members.groupBy("community").agg(F.min("stable_id").alias("name"))
+    found = members.join(least, "community").select("stable_id", F.col("name").alias("community"))
+    if nodes is not None:
+        alone = nodes.select("stable_id").distinct().join(found, "stable_id", "left_anti")
+        found = found.unionByName(alone.withColumn("community", F.col("stable_id")))
+    return found
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> float:
     """Of a partition, by the same weights as louvain."""
-    e = edges.where("source != target")
-    m = e.count() or 1
-    a, b = members.toDF("source", "sc"), members.toDF("target", "tc")
-    inside = e.join(a, "source").join(b, "target").where("sc = tc").count() / m
-    deg = e.select(F.explode(F.array("source", "target")).alias("stable_id")).join(members, "stable_id").groupBy("community").agg(F.count("*").alias("d"))
+    w = _weights(edges)
+    m = w.agg(F.sum("w")).first()[0] or 1.0
+    a, b = members.toDF("a", "ca"), members.toDF("b", "cb")
+    inside = (w.join(a, "a").join(b, "b").where("ca = cb").agg(F.sum("w")).first()[0] or 0.0) / m
+    deg = w.select(F.explode(F.array("a", "b")).alias("stable_id"), "w").join(members, "stable_id").groupBy("community").agg(F.sum("w").alias("d"))
     return inside - (deg.agg(F.sum((F.col("d") / (2 * m)) ** 2)).first()[0] or 0)
 
 

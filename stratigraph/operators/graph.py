@@ -75,22 +75,30 @@ def explain_resolve(nodes: DataFrame, text: str) -> DataFrame:
 def traverse(edges: DataFrame, start: str, direction: str = "dependencies", depth: int = 3, limit: int = 100) -> DataFrame:
     """(edge_id, source, target, depth, truncated): edges on simple paths from start, each with its least depth.
 
-    One join per level; paths that reach a node over the same set of nodes are one state, since they go on alike.
+    One join per level; paths that reach a node over the same set of nodes are one state, since they go on
+    alike. Deeper edges come last, so the walk ends at the level that has shown more than limit edges.
     """
     if direction not in ("dependencies", "dependents") or not 1 <= depth <= 8 or not 1 <= limit <= 500:
         raise ValueError("traversal out of bounds")
-    return top_truncated(_walk(edges, start, direction, depth), ["depth", "edge_id"], limit)
+    return top_truncated(_walk(edges, start, direction, depth, limit), ["depth", "edge_id"], limit)
 
 
-def _walk(edges: DataFrame, start: str, direction: str, depth: int) -> DataFrame:
+def _walk(edges: DataFrame, start: str, direction: str, depth: int, limit: int) -> DataFrame:
+    from ..sources.storage import checkpointed
+
     near, far = ("source", "target") if direction == "dependencies" else ("target", "source")
     steps = edges.select("edge_id", F.col(near).alias("near"), F.col(far).alias("far"))
-    level = steps.where(F.col("near") == start).where("far != near").select("edge_id", F.col("far").alias("at"), F.array(F.lit(start), F.col("far")).alias("seen"))
-    levels = [level.select("edge_id", F.lit(1).cast("long").alias("depth"))]
-    for k in range(2, depth + 1):
-        state = level.select("at", F.sort_array("seen").alias("seen")).distinct()
-        level = state.join(steps, state["at"] == steps["near"]).where(~F.array_contains("seen", F.col("far"))).select("edge_id", F.col("far").alias("at"), F.concat("seen", F.array("far")).alias("seen"))
+    level = steps.where((F.col("near") == start) & (F.col("far") != start)).select("edge_id", F.col("far").alias("at"), F.array(F.lit(start), F.col("far")).alias("seen"))
+    levels = []
+    for k in range(1, depth + 1):
+        if k < depth:
+            level = checkpointed(level)
         levels.append(level.select("edge_id", F.lit(k).cast("long").alias("depth")))
+        if k == depth or reduce(DataFrame.unionByName, levels).select("edge_id").distinct().limit(limit + 1).count() > limit:
+            break
+        state = level.select("at", F.sort_array("seen").alias("seen")).distinct()
+        met = state.join(steps, state["at"] == steps["near"]).where(~F.array_contains("seen", F.col("far")))
+        level = met.select("edge_id", F.col("far").alias("at"), F.concat("seen", F.array("far")).alias("seen"))
     least = reduce(DataFrame.unionByName, levels).groupBy("edge_id").agg(F.min("depth").alias("depth"))
     return least.join(edges, "edge_id").select("edge_id", "source", "target", "depth")
 
@@ -110,11 +118,25 @@ def impact(edges: DataFrame, target: str, direction: str = "both", depth: int =
     return best.select("direction", "stable_id", "b.depth", F.col("b.edge_id").alias("via_edge_id"), (F.col("b.depth") == 1).alias("direct"), "truncated").orderBy("depth", "stable_id").limit(most)
 
 
-def impact_risks(reached: DataFrame, edges: DataFrame) -> DataFrame:
+def public_surface(reached: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(stable_id): reached nodes that declare a public symbol."""
+    public = symbols.where(F.lower("visibility") == "public").select(F.col("node_id").alias("stable_id"))
+    return reached.select("stable_id").distinct().join(public, "stable_id", "left_semi")
+
+
+#: risk -> the prefix of the edge kinds that carry it
+RISKS = {"configuration_contract": "configuration_", "message_contract": "message_", "service_registration": "di_"}
+
+
+def impact_risks(reached: DataFrame, edges: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(risk): rules over what impact has reached."""
-    kinds = reached.join(edges, reached["via_edge_id"] == edges["edge_id"]).select("edge_kind", "truncated", "stable_id")
-    told = kinds.agg(F.countDistinct("stable_id").alias("n"), F.max("truncated").alias("cut"), *[F.max(F.startswith("edge_kind", F.lit(f"{k}_"))).alias(k) for k in ("configuration", "message", "di")])
-    names = F.array(F.when(F.col("n") >= 50, "high_blast_radius"), *[F.when(F.col(c), F.lit(name)) for c, name in (("configuration", "configuration"), ("message", "message"), ("di", "dependency_injection"), ("cut", "truncated"))])
+    kinds = reached.join(edges, reached["via_edge_id"] == edges["edge_id"]).select("edge_kind", "truncated", "direction", "stable_id")
+    told = kinds.agg(F.countDistinct("direction", "stable_id").alias("n"), F.max("truncated").alias("cut"), *[F.max(F.startswith("edge_kind", F.lit(p))).alias(k) for k, p in RISKS.items()])
+    if symbols is not None:
+        told = told.crossJoin(F.broadcast(public_surface(reached, symbols).agg(F.count("*").alias("public"))))  # one row each
+    else:
+        told = told.withColumn("public", F.lit(0))
+    names = F.array(F.when(F.col("public") > 0, "public_api"), F.when(F.col("n") >= 50, "high_blast_radius"), *[F.when(F.col(k), k) for k in RISKS], F.when(F.col("cut"), "incomplete_analysis"))
     return told.select(F.explode(F.filter(names, lambda x: x.isNotNull())).alias("risk"))
 
 

@@ -17,7 +17,7 @@ def versions(snapshots: DataFrame, attributes: list[str]) -> DataFrame:
     revisions = snapshots.select("revision").distinct()
     # the number of a revision among all: a small table, one row a revision
     numbered = revisions.select("revision", F.row_number().over(Window.orderBy("revision")).alias("k"), F.lead("revision").over(Window.orderBy("revision")).alias("next"))
-    rows = snapshots.join(F.broadcast(numbered), "revision")
+    rows = snapshots.join(numbered, "revision")
     of_id = Window.partitionBy("stable_id").orderBy("revision")
     same = F.lag("k").over(of_id) == F.col("k") - 1
     for a in attributes:
@@ -89,32 +89,80 @@ def changed_paths(before: DataFrame, after: DataFrame, hooked: DataFrame) -> Dat
 def reintroduced(version_rows: DataFrame, current: DataFrame, revision: int, most: int = 500) -> DataFrame:
     """(stable_id, former_id, removed_at, score, kinds): current nodes like versions that were closed before.
 
-    Evidence: same id 1, name tokens, path tokens, same content 1; two kinds at least and a mean of .6.
-    The last most closed versions are looked at, each joined by a token or the content it shares.
+    Evidence: same id 1, name tokens, path tokens, same content 1; two kinds at least and a mean of .6. The
+    last most closed versions are looked at. Token sets are compared once per kind and path, with the
+    versions broadcast (most rows); what can't reach the mean with both other evidences goes there.
     """
     old = version_rows.where(F.col("valid_to") < revision).orderBy(F.desc("valid_to"), "stable_id", "valid_from").limit(most)
     old = old.select(F.col("stable_id").alias("former_id"), F.col("valid_to").alias("removed_at"), F.col("content_hash").alias("old_hash"), tokens(F.col("node_kind")).alias("old_name"), tokens(F.col("file_path")).alias("old_path"))
-    new = current.select("stable_id", "content_hash", tokens(F.col("node_kind")).alias("name"), tokens(F.col("file_path")).alias("path"))
-    both = new.join(F.broadcast(old), F.expr("stable_id = former_id OR content_hash = old_hash OR arrays_overlap(name, old_name) OR arrays_overlap(path, old_path)"))
-    parts = F.filter(F.array(F.when(F.col("stable_id") == F.col("former_id"), 1.0), jaccard(F.col("name"), F.col("old_name")), jaccard(F.col("path"), F.col("old_path")), F.when(F.col("content_hash") == F.col("old_hash"), 1.0)), lambda x: x.isNotNull() & (x > 0))
+    forms = current.select("node_kind", "file_path").distinct().withColumn("name", tokens(F.col("node_kind"))).withColumn("path", tokens(F.col("file_path")))
+    met = forms.crossJoin(F.broadcast(old)).withColumn("by_name", jaccard(F.col("name"), F.col("old_name"))).withColumn("by_path", jaccard(F.col("path"), F.col("old_path")))
+    able = met.where("(2 + by_name + by_path) / (2 + IF(by_name > 0, 1, 0) + IF(by_path > 0, 1, 0)) >= 0.6").drop("name", "path", "old_name", "old_path")
+    both = current.select("stable_id", "content_hash", "node_kind", "file_path").join(able, ["node_kind", "file_path"])
+    parts = F.filter(F.array(F.when(F.col("stable_id") == F.col("former_id"), 1.0), F.col("by_name"), F.col("by_path"), F.when(F.col("content_hash") == F.col("old_hash"), 1.0)), lambda x: x.isNotNull() & (x > 0))
     scored = both.withColumn("parts", parts).withColumn("kinds", F.size("parts").cast("long")).where("kinds >= 2")
     scored = scored.withColumn("score", r6e(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x) / F.col("kinds")))
     return scored.where("score >= 0.6").select("stable_id", "former_id", "removed_at", "score", "kinds")
 
 
-def incremental_plan(nodes: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """(stable_id, role): nodes on changed paths, and what is one edge away."""
-    hit = nodes.join(changed.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select("stable_id")
-    out = edges.join(hit.withColumnRenamed("stable_id", "source"), "source", "left_semi").select(F.col("target").alias("stable_id"))
-    into = edges.join(hit.withColumnRenamed("stable_id", "target"), "target", "left_semi").select(F.col("source").alias("stable_id"))
-    near = out.union(into).distinct().join(hit, "stable_id", "left_anti")
-    return hit.select("stable_id", F.lit("changed").alias("role")).unionByName(near.select("stable_id", F.lit("endpoint").alias("role")))
+def incremental_plan(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, value): what an incremental analysis has to look at, from changes (path, status, moved_from).
 
-
-def reconcile_facts(active: DataFrame, fresh: DataFrame, changed: DataFrame) -> DataFrame:
-    """Facts of unchanged paths as they were, those of changed paths anew."""
-    kept = active.join(changed.select(F.col("path").alias("file_path")), "file_path", "left_anti")
-    return kept.select(*active.columns).unionByName(fresh.select(*active.columns)).dropDuplicates()
+    Changed and deleted paths, moved-from ones among both; affected nodes, those on changed paths and their
+    neighbours; paths of these that did not change; providers and join keys of the edges touched; the reason.
+    """
+    from ..sources.storage import checkpointed
+
+    changed = checkpointed(changes.where("status != 'Unchanged'"))
+    paths = changed.select("path").unionByName(changed.where("moved_from IS NOT NULL").select(F.col("moved_from").alias("path"))).distinct()
+    gone = changed.where("status = 'Deleted'").select("path").unionByName(changed.where("status = 'Moved'").select(F.col("moved_from").alias("path")))
+    hit = checkpointed(nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("stable_id"))
+    ends = lambda c: edges.join(hit.withColumnRenamed("stable_id", c), c, "left_semi")
+    touched = checkpointed(ends("source").unionByName(ends("target")).dropDuplicates(["edge_id"]))
+    affected = checkpointed(hit.union(touched.select("source")).union(touched.select("target")).distinct())
+    near = nodes.join(affected, "stable_id", "left_semi").where("file_path IS NOT NULL").select(F.col("file_path").alias("path")).distinct().join(paths, "path", "left_anti")
+    reason = changed.agg(F.when(F.count("*") == 0, "NoSourceChanges").otherwise("IncrementalReuse").alias("value"))
+    told = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("value"))
+    out = told(reason, "reason", "value").unionByName(told(paths, "changed_path", "path")).unionByName(told(gone, "deleted_path", "path")).unionByName(told(affected, "affected", "stable_id")).unionByName(told(near, "dependent_path", "path"))
+    out = out.unionByName(told(touched.select("provider").distinct(), "provider", "provider"))
+    return out.unionByName(told(touched.where(F.btrim("join_key") != "").select("join_key").distinct(), "join_key", "join_key"))
+
+
+def merged(preserved: DataFrame, fresh: DataFrame, key: str, name: str) -> DataFrame:
+    """Both sets of facts, equal ones once; an id with two different facts is an error."""
+    from ..sources.storage import checkpointed
+
+    once = checkpointed(preserved.select(*fresh.columns).unionByName(fresh).distinct())
+    bad = once.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key).limit(1).collect()
+    if bad:
+        raise ValueError(f"conflicting {name} {bad[0][key]}")
+    return once
+
+
+def reconcile_facts(nodes: DataFrame, edges: DataFrame, fresh_nodes: DataFrame, fresh_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a provider: those of unchanged paths as they were, those of changed paths anew.
+
+    Edges that touch a replaced node go; nodes without a path stay only if an edge names them.
+    """
+    paths = changed.select(F.col("path").alias("file_path")).distinct()
+    from ..sources.storage import checkpointed
+
+    replaced = checkpointed(nodes.join(paths, "file_path", "left_semi").select("stable_id"))
+    kept = edges
+    for end in ("source", "target"):
+        kept = kept.join(replaced.withColumnRenamed("stable_id", end), end, "left_anti")
+    all_edges = merged(kept, fresh_edges, "edge_id", "edge")
+    all_nodes = merged(nodes.join(paths, "file_path", "left_anti"), fresh_nodes, "stable_id", "node")
+    named = all_edges.select(F.explode(F.array("source", "target")).alias("stable_id")).distinct()
+    without = all_nodes.where("file_path IS NULL").join(named, "stable_id", "left_semi").select(*all_nodes.columns)
+    return all_nodes.where("file_path IS NOT NULL").unionByName(without), all_edges
+
+
+def migrated_versions(snapshots: DataFrame, key: str = "stable_id", order: str = "revision") -> DataFrame:
+    """Version rows from the full snapshots of an older store: each is valid for its own revision, the last of an id stays open."""
+    last = F.max(order).over(Window.partitionBy(key))
+    rest = [c for c in snapshots.columns if c not in (key, order)]
+    return snapshots.select(key, *rest, F.col(order).alias("valid_from"), F.when(F.col(order) != last, F.col(order)).alias("valid_to"))
 
 
 def staleness_plan(changed: DataFrame, prior: DataFrame, current: DataFrame) -> DataFrame:

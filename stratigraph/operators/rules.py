@@ -131,16 +131,42 @@ def module_rules(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list
     return layer_membership(nodes, layers).join(broken, "stable_id", "left").select("stable_id", "state", "layer", F.coalesce("violation_count", F.lit(0)).alias("violation_count"))
 
 
-def fact_problems(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fact, id, problem): repeated ids, blanks, confidences out of 0..1, edges with a missing end."""
-    bad = lambda df, kind, id_, cond, name: df.where(cond).select(F.lit(kind).alias("fact"), F.col(id_).alias("id"), F.lit(name).alias("problem"))
+def fact_problems(nodes: DataFrame, edges: DataFrame, symbols: DataFrame | None = None, fingerprints: DataFrame | None = None) -> DataFrame:
+    """(fact, id, problem): repeated ids, blanks, bad JSON, confidences out of 0..1, bad line ranges, missing ends and owners.
+
+    Only columns that a table has are looked at.
+    """
     out = []
-    for df, kind, id_ in ((nodes, "node", "stable_id"), (edges, "edge", "edge_id")):
-        out.append(bad(df.groupBy(id_).agg(F.count("*").alias("n")), kind, id_, F.col("n") > 1, "repeated"))
-        out.append(bad(df, kind, id_, F.btrim(id_) == "", "blank"))
-        out.append(bad(df, kind, id_, F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence"))
-    for end in ("source", "target"):
-        out.append(bad(edges.join(nodes.select(F.col("stable_id").alias(end)), end, "left_anti"), "edge", "edge_id", F.lit(True), f"missing_{end}"))
+
+    def bad(df: DataFrame, kind: str, key: str, wrong: Column, name: str) -> None:
+        out.append(df.where(wrong).select(F.lit(kind).alias("fact"), F.col(key).alias("id"), F.lit(name).alias("problem")))
+
+    tables = [(nodes, "node", "stable_id"), (edges, "edge", "edge_id")]
+    if symbols is not None:
+        tables.append((symbols, "symbol", "symbol_id"))
+    if fingerprints is not None:
+        named = F.concat_ws("|", "symbol_id", "fingerprint_kind")
+        tables.append((fingerprints.withColumn("fingerprint_id", named), "fingerprint", "fingerprint_id"))
+    for df, kind, key in tables:
+        bad(df.groupBy(key).agg(F.count("*").alias("n")), kind, key, F.col("n") > 1, "repeated")
+        for c in (key, "node_kind", "edge_kind", "canonical_key", "provider", "content_hash", "fully_qualified_name", "visibility", "normalized_signature", "signature_hash", "fingerprint_kind", "fingerprint_hash"):
+            if c in df.columns:
+                bad(df, kind, key, F.btrim(F.coalesce(c, F.lit(""))) == "", "blank" if c == key else f"blank_{c}")
+        for c in ("evidence_json", "parameter_metadata_json", "return_metadata_json", "normalized_members_json"):
+            if c in df.columns:
+                bad(df, kind, key, F.try_parse_json(F.col(c)).isNull(), f"json_{c}")
+        if "confidence" in df.columns:
+            bad(df, kind, key, F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence")
+        if "start_line" in df.columns:
+            a, b = F.col("start_line"), F.col("end_line")
+            bad(df, kind, key, (a.isNull() != b.isNull()) | F.coalesce((a <= 0) | (b <= 0) | (a > b), F.lit(False)), "line_range")
+    ends = [(edges, "edge", "edge_id", c, nodes, "stable_id", f"missing_{c}") for c in ("source", "target")]
+    if symbols is not None:
+        ends.append((symbols, "symbol", "symbol_id", "node_id", nodes, "stable_id", "missing_node"))
+    if fingerprints is not None and symbols is not None:
+        ends.append((tables[-1][0], "fingerprint", "fingerprint_id", "symbol_id", symbols, "symbol_id", "missing_symbol"))
+    for df, kind, key, c, owners, owner, name in ends:
+        bad(df.join(owners.select(F.col(owner).alias(c)), c, "left_anti"), kind, key, F.lit(True), name)
     found = out[0]
     for df in out[1:]:
         found = found.unionByName(df)

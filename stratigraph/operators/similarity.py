@@ -11,36 +11,51 @@ from ..functions.text import directory, extension, jaccard, name_tokens, r6, r6e
 WEIGHTS = {"symbol": 0.25, "signature": 0.25, "neighbourhood": 0.15, "file": 0.15, "embedding": 0.10, "module": 0.10}
 
 
-def similarity_facts(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """(stable_id, words, path_words, file_path, layer, outs, ins): what hybrid scores compare, once per node."""
+def similarity_facts(nodes: DataFrame, edges: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """(stable_id, words, path_words, file_path, layer, sig_words, outs, ins): what hybrid scores compare, once per node.
+
+    sig_words are those of a node's first symbol, null without one.
+    """
     facts = nodes.select("stable_id", tokens(F.concat_ws(" ", "display_name", "stable_id")).alias("words"), tokens(F.coalesce("file_path", F.lit(""))).alias("path_words"), "file_path", *(["layer"] if "layer" in nodes.columns else [F.lit(None).cast("string").alias("layer")]))
+    if symbols is None:
+        facts = facts.withColumn("sig_words", F.lit(None).cast("array<string>"))
+    else:
+        told = F.concat_ws(" ", "fully_qualified_name", "normalized_signature", "return_metadata_json", "parameter_metadata_json")
+        first = symbols.groupBy(F.col("node_id").alias("stable_id")).agg(F.min(F.struct("symbol_id", told.alias("told"))).alias("s"))
+        facts = facts.join(first.select("stable_id", tokens(F.col("s.told")).alias("sig_words")), "stable_id", "left")
+    none = F.array().cast("array<string>")
     if edges is None:
-        return facts.withColumn("outs", F.array().cast("array<string>")).withColumn("ins", F.array().cast("array<string>"))
+        return facts.withColumn("outs", none).withColumn("ins", none)
     outs = edges.groupBy(F.col("source").alias("stable_id")).agg(F.collect_set("target").alias("outs"))
     ins = edges.groupBy(F.col("target").alias("stable_id")).agg(F.collect_set("source").alias("ins"))
-    none = F.array().cast("array<string>")
     return facts.join(outs, "stable_id", "left").join(ins, "stable_id", "left").withColumn("outs", F.coalesce("outs", none)).withColumn("ins", F.coalesce("ins", none))
 
 
 def hybrid_scores(pairs: DataFrame) -> DataFrame:
-    """Scores of pairs of similarity_facts rows a and b (structs): symbol, neighbourhood, file and module evidence.
+    """Scores of pairs of similarity_facts rows a and b (structs): symbol, signature, neighbourhood, file and module evidence.
 
-    An evidence that is not available takes no share of the weights; each contribution is rounded.
+    An evidence that is not available takes no share of the weights; evidence and contributions are rounded.
     """
     a, b = F.col("a"), F.col("b")
     both_layers = a["layer"].isNotNull() & b["layer"].isNotNull()
-    symbol = jaccard(a["words"], b["words"])
-    near = (jaccard(a["outs"], b["outs"]) + jaccard(a["ins"], b["ins"])) / 2
+    both_paths = (F.btrim(F.coalesce(a["file_path"], F.lit(""))) != "") & (F.btrim(F.coalesce(b["file_path"], F.lit(""))) != "")
     file = 0.5 * jaccard(a["path_words"], b["path_words"]) + F.when(directory(a["file_path"]) == directory(b["file_path"]), 0.3).otherwise(0.0) + F.when(extension(a["file_path"]) == extension(b["file_path"]), 0.2).otherwise(0.0)
-    module = F.when(both_layers, F.when(a["layer"] == b["layer"], 1.0).otherwise(0.0))
-    raw = pairs.select("*", symbol.alias("symbol"), near.alias("neighbourhood"), file.alias("file"), module.alias("module"))
-    names = ("symbol", "neighbourhood", "file", "module")
-    total = sum((F.when(F.col(n).isNotNull(), F.lit(WEIGHTS[n])).otherwise(0.0) for n in names[1:]), F.when(F.col(names[0]).isNotNull(), F.lit(WEIGHTS[names[0]])).otherwise(0.0))
-    score, support = F.lit(0.0), F.lit(0)
-    for n in names:
-        score = score + F.coalesce(r6(F.col(n) * WEIGHTS[n] / total), F.lit(0.0))
+    evidence = {
+        "symbol": jaccard(a["words"], b["words"]),
+        "signature": F.when(b["sig_words"].isNotNull(), jaccard(F.coalesce(a["sig_words"], a["words"]), b["sig_words"])),
+        "neighbourhood": (jaccard(a["outs"], b["outs"]) + jaccard(a["ins"], b["ins"])) / 2,
+        "file": F.when(both_paths, file),
+        "module": F.when(both_layers, F.when(a["layer"] == b["layer"], 1.0).otherwise(0.0)),
+    }
+    raw = pairs.select("*", *[r6(c).alias(n) for n, c in evidence.items()])
+    total, score, support = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for n in evidence:
+        total = total + F.when(F.col(n).isNotNull(), F.lit(WEIGHTS[n])).otherwise(0.0)
+    raw = raw.withColumn("total", total)
+    for n in evidence:
+        score = score + F.coalesce(r6(F.col(n) * WEIGHTS[n] / F.col("total")), F.lit(0.0))
         support = support + F.when(F.col(n) > 0, 1).otherwise(0)
-    raw = raw.withColumn("score", r6(score)).withColumn("support", support.cast("long"))
+    raw = raw.withColumn("score", r6(score)).withColumn("support", support.cast("long")).drop("total")
     confidence = F.when((F.col("score") >= 0.7) & (F.col("support") >= 3), "High").when((F.col("score") >= 0.4) & (F.col("support") >= 2), "Medium").otherwise("Low")
     return raw.where("score > 0").withColumn("confidence", confidence)
 
@@ -64,13 +79,14 @@ def blend_embeddings(scored: DataFrame, cosines: DataFrame) -> DataFrame:
 def similarity_pairs(facts: DataFrame, threshold: float = 0.6, pool: int = 500, per_seed: int = 50) -> DataFrame:
     """(left_id, right_id, score): pairs of the first pool nodes by id, of each seed's best per_seed, with two kinds of evidence.
 
-    Candidates share a name word, so pairs come from an equi-join on words, not from all against all.
+    The feature compares the whole pool with itself: pool rows, which are broadcast, so the rest is one map.
     """
-    first = facts.where(~F.coalesce(F.contains("file_path", F.lit(".g.")) | F.contains(F.lower("file_path"), F.lit("/obj/")), F.lit(False))).orderBy("stable_id").limit(pool)
-    word = first.select("stable_id", F.explode("words").alias("w"))
-    ids = word.toDF("x", "w").join(word.toDF("y", "w"), "w").where("x != y").select("x", "y").distinct()
-    fact = first.select("stable_id", F.struct("*").alias("f"))  # pool rows at most
-    pairs = ids.join(F.broadcast(fact.toDF("x", "a")), "x").join(F.broadcast(fact.toDF("y", "b")), "y").select("a", "b")
+    if not 1 <= pool <= 500:
+        raise ValueError("pool out of bounds")
+    generated = F.contains(F.lower("file_path"), F.lit(".g.")) | F.contains(F.lower("file_path"), F.lit("/obj/"))
+    first = facts.where(~F.coalesce(generated, F.lit(False))).orderBy("stable_id").limit(pool).select(F.struct("*").alias("f"))
+    wide = first.toDF("a").repartition(facts.sparkSession.sparkContext.defaultParallelism, "a")
+    pairs = wide.crossJoin(F.broadcast(first.toDF("b"))).where("a.stable_id != b.stable_id")
     seed = Window.partitionBy("seed").orderBy(F.desc("score"), "other")
     scored = hybrid_scores(pairs).where("support >= 2").select(F.col("a.stable_id").alias("seed"), F.col("b.stable_id").alias("other"), "score")
     best = scored.withColumn("k", F.row_number().over(seed)).where(F.col("k") <= per_seed)
@@ -163,15 +179,16 @@ def cosine(a: Column, b: Column) -> Column:
 def band_cosine(vectors: DataFrame) -> DataFrame:
     """(band, left_id, right_id, cosine, z): all pairs of a band, that is the feature; z by the band's mean and population deviation.
 
-    Norms are made once per vector and pairs meet by an equi-join on the band.
+    Norms are made once per vector, pairs meet by an equi-join on the band, and its statistics are a window over them.
     """
     norm = F.sqrt(F.aggregate(F.transform("embedding", lambda p: p.cast("double") * p.cast("double")), F.lit(0.0), lambda s, v: s + v))
     v = vectors.select("band", "id", F.transform("embedding", lambda p: p.cast("double")).alias("e"), norm.alias("n"))
     pairs = v.toDF("band", "left_id", "e1", "n1").join(v.toDF("band", "right_id", "e2", "n2"), "band").where("left_id < right_id")
     dot = F.aggregate(F.zip_with("e1", "e2", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("band", "left_id", "right_id", r6(dot / (F.col("n1") * F.col("n2"))).alias("cosine"))
-    stats = scored.groupBy("band").agg(F.avg("cosine").alias("m"), F.stddev_pop("cosine").alias("d"))
-    return scored.join(F.broadcast(stats), "band").select("band", "left_id", "right_id", "cosine", F.when(F.col("d") > 0, (F.col("cosine") - F.col("m")) / F.col("d")).otherwise(0.0).alias("z"))
+    own = Window.partitionBy("band")
+    told = scored.withColumn("m", F.avg("cosine").over(own)).withColumn("d", F.stddev_pop("cosine").over(own))
+    return told.select("band", "left_id", "right_id", "cosine", F.when(F.col("d") > 0, (F.col("cosine") - F.col("m")) / F.col("d")).otherwise(0.0).alias("z"))
 
 
 def projection_sign(bit: int, index: int) -> int:
@@ -191,6 +208,10 @@ def fingerprints(vectors: DataFrame, dimension: int, bits: int = 64) -> DataFram
     return vectors.select("id", out.alias("fp"))
 
 
+#: items of one side that a group compares
+BLOCK_ITEMS = 4096
+
+
 def nearest_fingerprints(prints: DataFrame, k: int = 32, most_pairs: int | None = None) -> DataFrame:
     """(left_id, right_id, distance): each item's k nearest by Hamming distance, as unordered pairs; then the first most_pairs in order of discovery.
 
@@ -199,10 +220,11 @@ def nearest_fingerprints(prints: DataFrame, k: int = 32, most_pairs: int | None
     """
     if not 1 <= k <= 256:
         raise ValueError("k out of bounds")
-    blocks = 16
-    left = prints.select(F.col("id").alias("left_id"), F.col("fp").alias("f1"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = prints.select(F.col("id").alias("right_id"), F.col("fp").alias("f2"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    near = left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(_nearest_in_block(k), "left_id string, right_id string, distance long")
+    blocks = max(1, -(-prints.count() // BLOCK_ITEMS))  # on both sides, so a group holds two blocks of about BLOCK_ITEMS
+    place, others = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = prints.select(F.col("id").alias("left_id"), F.col("fp").alias("f1"), place.alias("row"), others.alias("column"))
+    right = prints.select(F.col("id").alias("right_id"), F.col("fp").alias("f2"), others.alias("row"), place.alias("column"))
+    near = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(_nearest_in_block(k), "left_id string, right_id string, distance long")
     order = Window.partitionBy("left_id").orderBy("distance", "right_id")
     best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     pairs = best.groupBy(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).agg(F.min("distance").alias("distance"), F.min(F.struct("left_id", "rank")).alias("first"))
@@ -243,17 +265,22 @@ def cache_plan(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.select("content_hash").distinct().join(have, "content_hash", "left").select("content_hash", F.coalesce("c", F.lit(False)).alias("cached"))
 
 
-def narrowest_container(ranges: DataFrame, nodes: DataFrame, lines: int = 16) -> DataFrame:
+def narrowest_container(ranges: DataFrame, nodes: DataFrame, lines: int = 16, levels: int = 7) -> DataFrame:
     """(range_id, stable_id, state): the narrowest node of a file that holds a line range; equal spans are ambiguous.
 
-    Nodes are listed under each block of lines that they reach into, ranges look in the block where they
-    start, so the join is on (file, block) and not on the file alone.
+    Nodes of one span are one row with their number and least id. A span is listed in the two blocks at most
+    that it reaches into at the level whose blocks are as long as it is; ranges look in the block where they
+    start, once a level. So the join is on (file, level, block) and no row is listed more than that.
     """
-    block = lambda c: F.floor(F.col(c) / lines)
-    listed = nodes.select("file_path", "stable_id", "node_start", "node_end", F.explode(F.sequence(block("node_start"), block("node_end"))).alias("block"))
-    held = ranges.withColumn("block", block("start_line")).join(listed, ["file_path", "block"]).where("node_start <= start_line AND node_end >= end_line")
-    spans = held.groupBy("range_id", (F.col("node_end") - F.col("node_start")).alias("span")).agg(F.count("*").alias("n"), F.min("stable_id").alias("id"))
-    best = spans.groupBy("range_id").agg(F.min(F.struct("span", "n", "id")).alias("m"))
+    size = lambda k: F.pow(F.lit(4.0), k) * lines
+    spans = nodes.groupBy("file_path", "node_start", "node_end").agg(F.count("*").alias("nodes"), F.min("stable_id").alias("id"))
+    level = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.ceil(F.log(4.0, F.greatest(F.lit(1), F.col("node_end") - F.col("node_start")) / lines)))).cast("int")
+    spans = spans.withColumn("level", level)
+    listed = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("node_start") / size(F.col("level"))), F.floor(F.col("node_end") / size(F.col("level"))))))
+    looked = ranges.withColumn("level", F.explode(F.lit(list(range(levels))))).withColumn("block", F.floor(F.col("start_line") / size(F.col("level"))))
+    held = looked.join(listed, ["file_path", "level", "block"]).where("node_start <= start_line AND node_end >= end_line")
+    lengths = held.groupBy("range_id", (F.col("node_end") - F.col("node_start")).alias("span")).agg(F.sum("nodes").alias("n"), F.min("id").alias("id"))
+    best = lengths.groupBy("range_id").agg(F.min(F.struct("span", "n", "id")).alias("m"))
     out = ranges.select("range_id").join(best, "range_id", "left")
     return out.select("range_id", F.when(F.col("m.n") == 1, F.col("m.id")).alias("stable_id"), F.when(F.col("m").isNull(), "unmapped").when(F.col("m.n") > 1, "ambiguous").otherwise("mapped").alias("state"))
 
@@ -284,11 +311,34 @@ def lifecycle_changes(desired: DataFrame, events: DataFrame, revision: int) -> D
     return desired.join(now, "finding_id", "left").where(~F.col("state").eqNullSafe(F.col("was"))).select("finding_id", "state")
 
 
-def explain_reuse(scored: DataFrame) -> DataFrame:
-    """(candidate_id, decision): reuse, extend or not by score, support and whether layers agree."""
-    s = F.col("score")
-    decision = F.when(F.col("support") < 2, "InsufficientEvidence").when(s >= 0.7, "Reuse").when(s >= 0.4, "Extend").otherwise("DoNotReuse")
-    return scored.select("candidate_id", decision.alias("decision"))
+def explain_reuse(candidates: DataFrame, nodes: DataFrame, symbols: DataFrame, proposed: str, intent: str = "") -> DataFrame:
+    """(candidate_id, supporting, differentiating, decision): whether a proposed node should reuse each candidate.
+
+    Names, persisted signatures, public visibility and directories decide; unknown candidates lack evidence.
+    """
+    first = symbols.groupBy(F.col("node_id").alias("stable_id")).agg(F.min(F.struct("symbol_id", "normalized_signature", "visibility")).alias("s"))
+    facts = nodes.select("stable_id", "display_name", "file_path").join(first, "stable_id", "left")
+    one = facts.where(F.col("stable_id") == proposed).limit(1).select(F.col("display_name").alias("own_name"), F.col("file_path").alias("own_path"), F.col("s").alias("own"))
+    rows = candidates.select(F.col("candidate_id").alias("stable_id")).join(facts, "stable_id", "left").crossJoin(F.broadcast(one))
+    known = F.col("display_name").isNotNull()
+    names = jaccard(tokens(F.concat_ws(" ", F.lit(intent), "own_name")), tokens(F.concat_ws(" ", "display_name", "stable_id"))) > 0
+    comparable = F.col("s").isNotNull() & F.col("own").isNotNull()
+    same = comparable & (F.col("s.normalized_signature") == F.col("own.normalized_signature"))
+    together = F.coalesce((F.btrim("own_path") != "") & (F.btrim("file_path") != "") & (directory(F.col("own_path")) == directory(F.col("file_path"))), F.lit(False))
+    apart = ~together & ~F.col("own_path").eqNullSafe(F.col("file_path"))
+    public = (F.lower("s.visibility") == "public") & (F.lower("own.visibility") == "public")
+    told = lambda *parts: F.array_join(F.filter(F.array(*[F.when(known & c, F.lit(n)) for n, c in parts]), lambda x: x.isNotNull()), ",")
+    rows = rows.select(
+        F.col("stable_id").alias("candidate_id"),
+        told(("symbol_overlap", names), ("public_signature_match", same), ("file_ownership_overlap", together)).alias("supporting"),
+        told(("public_signature_mismatch", comparable & ~same), ("file_ownership_difference", apart)).alias("differentiating"),
+        F.when(known & F.coalesce(public, F.lit(False)) & ~same, "DoNotReuse")
+        .when(known & same & (names.cast("int") + together.cast("int") >= 1), "Reuse")
+        .when(known & names & comparable & ~same, "Extend")
+        .otherwise("InsufficientEvidence")
+        .alias("decision"),
+    )
+    return rows
 
 
 def token_clones(docs: DataFrame, window: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import advice, similarity
 from ..registry import query
 from ..streaming import sessions
+from .similarity_queries import BEST, NODE_FACTS, REUSE
 
 
 @query("baskets", " SELECT a.path AS left_path, b.path AS right_path, count(*) AS commits, round_even(count(*)::DOUBLE / 1000, 6) AS score FROM baskets a JOIN baskets b ON a.commit_id = b.commit_id AND a.path < b.path GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -72,7 +73,7 @@ def unified_advisories(parts: DataFrame) -> DataFrame:
     return advice.unified_advisories(parts)
 
 
-SUMMARIES = "SELECT concat('src/', lang, '/', source, '/f', doc_id, '.md') AS path, concat('s', doc_id) AS id, substring(text, 1, 20) AS text, CASE WHEN doc_id % 4 = 0 THEN 'Stale' ELSE 'Fresh' END AS state FROM {documents}"
+SUMMARIES = "SELECT concat('src/', lang, '/', source, '/f', doc_id, '.md') AS path, concat('s', doc_id) AS id, concat('document of ', n_chars, ' characters') AS text, CASE WHEN doc_id % 4 = 0 THEN 'Stale' ELSE 'Fresh' END AS state FROM {documents}"
 
 
 @query("", """, e AS (SELECT path, id, text, unnest([array_to_string(p[1:1], '/'), array_to_string(p[1:2], '/'), array_to_string(p[1:3], '/')]) AS directory FROM (SELECT *, string_split(path, '/') AS p FROM summaries WHERE state = 'Fresh'))
@@ -163,14 +164,15 @@ def explain_architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return top.join(a, "source").join(b, "target").select("edge_id", "source_name", "target_name", "edge_kind")
 
 
-@query("nodes edges")
-def plan_change(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+@query("nodes edges syms", NODE_FACTS + BEST.replace("LIMIT 20", "LIMIT 3") + REUSE + """, first AS (SELECT min(CASE decision WHEN 'Reuse' THEN 0 WHEN 'Extend' THEN 1 WHEN 'DoNotReuse' THEN 2 ELSE 3 END) AS k FROM told)
+ SELECT candidate_id, decision, ['Reuse', 'Extend', 'NewCapability', 'InsufficientEvidence'][k + 1] AS recommendation FROM told, first""")
+def plan_change(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
     """The best three candidates and the recommendation that goes first: reuse, extend, then a new capability."""
-    best = similarity.find_similar(similarity.similarity_facts(nodes, edges), "p:7", 20).orderBy(F.desc("score"), "candidate_id").limit(3)
-    told = similarity.explain_reuse(best)
+    best = similarity.find_similar(similarity.similarity_facts(nodes, edges, syms), "p:7", 3)
+    told = similarity.explain_reuse(best, nodes, syms, "p:7").select("candidate_id", "decision")
     order = F.when(F.col("decision") == "Reuse", 0).when(F.col("decision") == "Extend", 1).when(F.col("decision") == "DoNotReuse", 2).otherwise(3)
     first = told.agg(F.min_by("decision", order).alias("d")).select(F.when(F.col("d") == "DoNotReuse", "NewCapability").otherwise(F.col("d")).alias("recommendation"))
-    return told.crossJoin(F.broadcast(first))
+    return told.crossJoin(F.broadcast(first))  # one row
 
 
 @query("mods", " SELECT CAST(i AS BIGINT) AS ordinal, c AS checkpoint, 'm01' AS target FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i, unnest(['baseline', 'impact', 'public_surface', 'change', 'verify', 'record']) AS c)")
@@ -195,7 +197,7 @@ def debounce(sess: DataFrame) -> DataFrame:
     return sessions.debounce(sess.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")), "6 hours").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
-def _staged(events: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _staged(events: DataFrame, name: str, files: int = 8) -> tuple[DataFrame, str]:
     """Events as a file stream, from a table in the shared folder, and a place for its checkpoint."""
     import uuid
 
@@ -204,7 +206,7 @@ def _staged(events: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = events.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     events.write.parquet(f"{path}/events")
-    return sessions.read_events(spark, f"{path}/events", events.schema), f"{path}/state"
+    return sessions.read_events(spark, f"{path}/events", events.schema, files), f"{path}/state"
 
 
 EVENT_ROWS = "SELECT concat('s', user_id) AS session_id, event_id, event_type, CAST(ts AS TIMESTAMP) AS occurred_at, value FROM {events}"
@@ -212,7 +214,7 @@ EVENT_ROWS = "SELECT concat('s', user_id) AS session_id, event_id, event_type, C
 
 @query("", " SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS BIGINT) AS sequence_number, event_id, event_type, true AS accepted FROM ev", ev=EVENT_ROWS)
 def session_append(ev: DataFrame) -> DataFrame:
-    stream, state = _staged(ev.repartition(1), "append")  # one file: one batch, so numbers follow time
+    stream, state = _staged(ev.repartition("session_id"), "append", 1 << 20)  # one batch of all files, so numbers follow time
     return sessions.run_once(sessions.numbered(stream), "session_append", state)
 
 

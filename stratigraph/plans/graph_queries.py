@@ -81,9 +81,9 @@ def traverse_dependencies(edges: DataFrame) -> DataFrame:
     return graph.traverse(edges, "o:1", "dependencies", 3, 100)
 
 
-@query("mods", walk_sql("mods", "(SELECT min(source) FROM mods)", "source", "target", 5, 100) + " SELECT edge_id, source, target, depth, truncated FROM top WHERE k <= 100")
+@query("mods", walk_sql("mods", "(SELECT min(source) FROM mods)", "source", "target", 3, 100) + " SELECT edge_id, source, target, depth, truncated FROM top WHERE k <= 100")
 def traverse_cyclic(mods: DataFrame) -> DataFrame:
-    return graph.traverse(mods, mods.agg(F.min("source")).first()[0], "dependencies", 5, 100)
+    return graph.traverse(mods, mods.agg(F.min("source")).first()[0], "dependencies", 3, 100)
 
 
 IMPACT = """, found AS (SELECT 'dependents' AS direction, source AS stable_id, depth, edge_id, truncated FROM top WHERE k <= 300),
@@ -96,17 +96,30 @@ def impact_analysis(edges: DataFrame) -> DataFrame:
     return graph.impact(edges, "s:3", "dependents", 2, 300)
 
 
-@query("edges", walk_sql("edges", "'n:1'", "target", "source", 2, 300) + IMPACT + """ SELECT risk FROM (SELECT unnest([CASE WHEN count(DISTINCT stable_id) >= 50 THEN 'high_blast_radius' END, CASE WHEN bool_or(truncated) THEN 'truncated' END]) AS risk FROM reached) WHERE risk IS NOT NULL""")
-def impact_risks(edges: DataFrame) -> DataFrame:
-    return graph.impact_risks(graph.impact(edges, "n:1", "dependents", 2, 300), edges)
+PUBLIC = ", open AS (SELECT DISTINCT stable_id FROM reached WHERE stable_id IN (SELECT node_id FROM syms WHERE lower(visibility) = 'public'))"
+RISK = PUBLIC + """ SELECT risk FROM (SELECT unnest([CASE WHEN (SELECT count(*) FROM open) > 0 THEN 'public_api' END, CASE WHEN count(DISTINCT (direction, stable_id)) >= 50 THEN 'high_blast_radius' END,
+ CASE WHEN bool_or(truncated) THEN 'incomplete_analysis' END]) AS risk FROM reached) WHERE risk IS NOT NULL"""
+
+
+@query("edges syms", walk_sql("edges", "'n:1'", "target", "source", 2, 300) + IMPACT + RISK)
+def impact_risks(edges: DataFrame, syms: DataFrame) -> DataFrame:
+    return graph.impact_risks(graph.impact(edges, "n:1", "dependents", 2, 300), edges, syms)
+
+
+AHEAD = IMPACT.replace("'dependents' AS direction, source", "'dependencies' AS direction, target")
+
+
+@query("edges syms", walk_sql("edges", "'o:1'", "source", "target", 2, 300) + AHEAD + PUBLIC + " SELECT stable_id FROM open")
+def impact_public_surface(edges: DataFrame, syms: DataFrame) -> DataFrame:
+    return graph.public_surface(graph.impact(edges, "o:1", "dependencies", 2, 300), syms)
 
 
 @query("mods", """, lev AS (SELECT (SELECT min(source) FROM mods) AS here, [(SELECT min(source) FROM mods)] AS path, 0 AS n
- UNION ALL SELECT target, list_append(path, target), n + 1 FROM lev JOIN mods ON source = here WHERE NOT list_contains(path, target) AND n < 6)
+ UNION ALL SELECT target, list_append(path, target), n + 1 FROM lev JOIN mods ON source = here WHERE NOT list_contains(path, target) AND n < 3)
  SELECT CAST(n AS BIGINT) AS path_length, array_to_string(path, '>') AS path FROM lev WHERE here = (SELECT max(target) FROM mods) AND n > 0 ORDER BY n, array_to_string(path, '>') LIMIT 1""")
 def trace_path(mods: DataFrame) -> DataFrame:
     ends = mods.agg(F.min("source").alias("a"), F.max("target").alias("b")).first()
-    return graph.shortest_path(mods, ends["a"], ends["b"], 6)
+    return graph.shortest_path(mods, ends["a"], ends["b"], 3)
 
 
 @query("nodes edges", """, l1 AS (SELECT DISTINCT source AS x FROM edges WHERE target = 'n:1' AND source != 'n:1'), l2 AS (SELECT DISTINCT source AS x FROM edges WHERE target IN (SELECT x FROM l1) AND source NOT IN (SELECT x FROM l1) AND source != 'n:1'),

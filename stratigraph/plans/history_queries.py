@@ -95,16 +95,42 @@ def reintroduced(snaps: DataFrame) -> DataFrame:
     return history.reintroduced(history.versions(snaps, ATTRS), snaps.where("revision = 28"), 28)
 
 
-@query("nodes edges", """, hit AS (SELECT stable_id FROM nodes WHERE node_kind = 'supplier'), near AS (SELECT target AS x FROM edges WHERE source IN (SELECT stable_id FROM hit) UNION SELECT source FROM edges WHERE target IN (SELECT stable_id FROM hit))
- SELECT stable_id, 'changed' AS role FROM hit UNION ALL SELECT x, 'endpoint' FROM near WHERE x NOT IN (SELECT stable_id FROM hit)""")
-def incremental_plan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return history.incremental_plan(nodes, edges, nodes.where("node_kind = 'supplier'").select(F.col("file_path").alias("path")))
+#: files of suppliers: some changed, some moved from where the customers of their nation are
+CHANGES = """SELECT concat('src/', r_name, '/', n_name, '/supplier.cs') AS path, CASE n_nationkey % 3 WHEN 0 THEN 'Moved' WHEN 1 THEN 'Changed' ELSE 'Unchanged' END AS status,
+CASE WHEN n_nationkey % 3 = 0 THEN concat('src/', r_name, '/', n_name, '/customer.cs') END AS moved_from FROM {nation} JOIN {region} ON n_regionkey = r_regionkey"""
+
+
+@query("nodes edges", """, paths AS (SELECT path FROM changes WHERE status != 'Unchanged' UNION SELECT moved_from FROM changes WHERE moved_from IS NOT NULL),
+ hit AS (SELECT stable_id FROM nodes WHERE file_path IN (SELECT path FROM paths)),
+ touched AS (SELECT * FROM edges WHERE source IN (SELECT stable_id FROM hit) OR target IN (SELECT stable_id FROM hit)),
+ affected AS (SELECT stable_id FROM hit UNION SELECT source FROM touched UNION SELECT target FROM touched)
+ SELECT 'reason' AS kind, 'IncrementalReuse' AS value UNION ALL SELECT 'changed_path', path FROM paths UNION ALL SELECT 'deleted_path', moved_from FROM changes WHERE status = 'Moved' UNION ALL SELECT 'affected', stable_id FROM affected
+ UNION ALL SELECT DISTINCT 'dependent_path', file_path FROM nodes WHERE stable_id IN (SELECT stable_id FROM affected) AND file_path NOT IN (SELECT path FROM paths)
+ UNION ALL SELECT DISTINCT 'provider', edge_kind FROM touched UNION ALL SELECT DISTINCT 'join_key', 'supply' FROM touched WHERE edge_kind = 'supplied_by'""", changes=CHANGES)
+def incremental_plan(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
+    known = edges.withColumn("provider", F.col("edge_kind")).withColumn("join_key", F.when(F.col("edge_kind") == "supplied_by", "supply"))
+    return history.incremental_plan(changes, nodes, known)
+
+
+@query("nodes edges", """, rep AS (SELECT stable_id FROM nodes WHERE node_kind = 'supplier'),
+ e AS (SELECT edge_id, source, target FROM edges WHERE source NOT IN (SELECT stable_id FROM rep) AND target NOT IN (SELECT stable_id FROM rep)
+ UNION SELECT edge_id, source, target FROM edges WHERE edge_kind = 'references' AND source IN (SELECT stable_id FROM rep) UNION SELECT 'uses:s:1>x:2', 's:1', 'x:2')
+ SELECT 'edge' AS fact, edge_id AS id, concat(source, '>', target) AS told FROM e UNION ALL SELECT 'node', stable_id, display_name FROM nodes WHERE node_kind != 'supplier'
+ UNION ALL SELECT 'node', stable_id, upper(display_name) FROM nodes WHERE node_kind = 'supplier' UNION ALL SELECT 'node', 'x:2', 'two'""")
+def reconcile_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Suppliers' files are read anew; of two nodes without a path one is named by an edge."""
+    rows = nodes.select("stable_id", "display_name", "file_path").unionByName(nodes.sparkSession.sql("SELECT concat('x:', id) AS stable_id, if(id = 1, 'one', 'two') AS display_name, CAST(NULL AS STRING) AS file_path FROM range(1, 3)"))
+    own = nodes.where("node_kind = 'supplier'")
+    ends = edges.select("edge_id", "source", "target")
+    fresh = edges.where("edge_kind = 'references' AND source LIKE 's:%'").select("edge_id", "source", "target").unionByName(nodes.sparkSession.sql("SELECT 'uses:s:1>x:2' AS edge_id, 's:1' AS source, 'x:2' AS target"))
+    anew = own.select("stable_id", F.upper("display_name").alias("display_name"), "file_path")
+    n, e = history.reconcile_facts(rows, ends, anew, fresh, own.select(F.col("file_path").alias("path")))
+    return e.select(F.lit("edge").alias("fact"), F.col("edge_id").alias("id"), F.concat_ws(">", "source", "target").alias("told")).unionByName(n.select(F.lit("node").alias("fact"), F.col("stable_id").alias("id"), F.col("display_name").alias("told")))
 
 
-@query("nodes", " SELECT * FROM nodes WHERE node_kind != 'supplier' UNION ALL SELECT stable_id, node_kind, upper(display_name), file_path, provider, confidence FROM nodes WHERE node_kind = 'supplier'")
-def reconcile_facts(nodes: DataFrame) -> DataFrame:
-    own = nodes.where("node_kind = 'supplier'")
-    return history.reconcile_facts(nodes, own.withColumn("display_name", F.upper("display_name")), own.select(F.col("file_path").alias("path")).distinct())
+@query("snaps", " SELECT stable_id, node_kind, file_path, content_hash, revision AS valid_from, CASE WHEN revision != max(revision) OVER (PARTITION BY stable_id) THEN revision END AS valid_to FROM snaps")
+def migrate_snapshots(snaps: DataFrame) -> DataFrame:
+    return history.migrated_versions(snaps)
 
 
 @query("nodes edges", " SELECT stable_id FROM nodes WHERE node_kind = 'nation' UNION SELECT source FROM edges WHERE target IN (SELECT stable_id FROM nodes WHERE node_kind = 'nation')")

@@ -107,11 +107,19 @@ def module_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rules.module_rules(nodes, edges, LAYERS, HARD)
 
 
-@query("nodes edges", """ SELECT 'node' AS fact, stable_id AS id, 'confidence' AS problem FROM nodes WHERE confidence > 0.9 AND node_kind = 'region' UNION ALL SELECT 'edge', edge_id, 'missing_source' FROM edges WHERE source NOT IN (SELECT stable_id FROM nodes WHERE node_kind != 'supplier')
- UNION ALL SELECT 'edge', edge_id, 'missing_target' FROM edges WHERE target NOT IN (SELECT stable_id FROM nodes WHERE node_kind != 'supplier')""")
-def fact_validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+@query("nodes edges syms", """, own AS (SELECT stable_id FROM nodes WHERE node_kind != 'supplier')
+ SELECT 'node' AS fact, stable_id AS id, 'confidence' AS problem FROM nodes WHERE node_kind = 'region'
+ UNION ALL SELECT 'node', stable_id, 'line_range' FROM nodes WHERE node_kind = 'nation'
+ UNION ALL SELECT 'edge', edge_id, 'missing_source' FROM edges WHERE source NOT IN (SELECT stable_id FROM own) UNION ALL SELECT 'edge', edge_id, 'missing_target' FROM edges WHERE target NOT IN (SELECT stable_id FROM own)
+ UNION ALL SELECT 'symbol', symbol_id, 'missing_node' FROM syms WHERE node_id NOT IN (SELECT stable_id FROM own) UNION ALL SELECT 'symbol', symbol_id, 'json_return_metadata_json' FROM syms WHERE visibility = 'private'
+ UNION ALL SELECT 'fingerprint', concat(symbol_id, '|members'), 'repeated' FROM syms WHERE visibility = 'Public' UNION ALL SELECT 'fingerprint', 'none|members', 'missing_symbol'""")
+def fact_validate(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
     broken = nodes.where("node_kind != 'supplier'").withColumn("confidence", F.when(F.col("node_kind") == "region", 1.5).otherwise(F.col("confidence")))
-    return rules.fact_problems(broken, edges)
+    broken = broken.withColumn("start_line", F.when(F.col("node_kind") == "nation", 9)).withColumn("end_line", F.when(F.col("node_kind") == "nation", 3))
+    symbols = syms.withColumn("return_metadata_json", F.when(F.col("visibility") == "private", "{").otherwise(F.col("return_metadata_json")))
+    prints = syms.select("symbol_id", F.lit("members").alias("fingerprint_kind"), F.lit("h").alias("fingerprint_hash"), F.lit("[]").alias("normalized_members_json"))
+    prints = prints.unionByName(prints.join(syms.where("visibility = 'Public'"), "symbol_id", "left_semi")).unionByName(nodes.sparkSession.sql("SELECT 'none' AS symbol_id, 'members' AS fingerprint_kind, 'h' AS fingerprint_hash, '[]' AS normalized_members_json"))
+    return rules.fact_problems(broken, edges, symbols, prints)
 
 
 @query("nodes edges", " SELECT edge_id FROM edges WHERE source NOT IN (SELECT stable_id FROM nodes WHERE node_kind != 'part') OR target NOT IN (SELECT stable_id FROM nodes WHERE node_kind != 'part')")
@@ -134,7 +142,7 @@ def strongly_connected(mods: DataFrame) -> DataFrame:
 @query("mods", """, reach AS (SELECT DISTINCT source, target FROM mods UNION SELECT r.source, m.target FROM reach r JOIN mods m ON m.source = r.target),
  comp AS (SELECT a.source AS x, min(b.target) AS c FROM reach a JOIN reach b ON b.source = a.source JOIN reach d ON d.source = b.target AND d.target = a.source WHERE a.source = a.target GROUP BY 1),
  inn AS (SELECT a.c, m.* FROM mods m JOIN comp a ON a.x = source JOIN comp b ON b.x = target WHERE a.c = b.c),
- walk AS (SELECT c, source AS start, target AS here, [source, target] AS path, [edge_id] AS ids FROM inn UNION ALL SELECT w.c, start, target, list_append(path, target), list_append(ids, edge_id) FROM walk w JOIN inn e ON e.c = w.c AND e.source = w.here WHERE w.here != w.start AND (e.target = w.start OR NOT list_contains(path, e.target)) AND len(ids) < 5),
+ walk AS (SELECT c, source AS start, target AS here, [source, target] AS path, [edge_id] AS ids FROM inn UNION ALL SELECT w.c, start, target, list_append(path, target), list_append(ids, edge_id) FROM walk w JOIN inn e ON e.c = w.c AND e.source = w.here WHERE w.here != w.start AND (e.target = w.start OR NOT list_contains(path, e.target)) AND len(ids) < 3),
  best AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY len(ids), array_to_string(ids, chr(31))) AS k FROM walk WHERE here = start)
  SELECT c AS component, array_to_string(path, ',') AS path, array_to_string(ids, ',') AS edges, CAST(len(ids) AS BIGINT) AS cycle_length FROM best WHERE k = 1""")
 def detect_cycles(mods: DataFrame) -> DataFrame:

@@ -28,18 +28,20 @@ def edge_identity(edges: DataFrame) -> DataFrame:
 
 
 def hybrid_sql(a: str, b: str) -> str:
-    """Score of two rows with words, path_words, file_path, layer, outs, ins."""
+    """Evidence of two rows with words, path_words, file_path, layer, sig_words, outs, ins."""
     c = lambda n: (f"{a}.{n}", f"{b}.{n}")
-    d, e = "regexp_extract({0}.file_path, '^(.*)/[^/]*$', 1)", "regexp_extract({0}.file_path, '(\\.[^./]*)$', 1)"
+    d, e = "regexp_extract({0}.file_path, '^(.*)/[^/]*$', 1)", "lower(regexp_extract({0}.file_path, '(\\.[^./]*)$', 1))"
     file = f"(0.5::DOUBLE * {jac(*c('path_words'))} + CASE WHEN {d.format(a)} = {d.format(b)} THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN {e.format(a)} = {e.format(b)} THEN 0.2::DOUBLE ELSE 0 END)"
     near = f"(({jac(*c('outs'))} + {jac(*c('ins'))}) / 2)"
     module = f"CASE WHEN {a}.layer = {b}.layer THEN 1.0::DOUBLE WHEN {a}.layer IS NOT NULL AND {b}.layer IS NOT NULL THEN 0.0::DOUBLE END"
-    return f"{jac(*c('words'))} AS symbol, {near} AS neighbourhood, {file} AS file, {module} AS module"
+    signature = f"CASE WHEN {b}.sig_words IS NOT NULL THEN round({jac(f'coalesce({a}.sig_words, {a}.words)', f'{b}.sig_words')}, 6) END"
+    return f"round({jac(*c('words'))}, 6) AS symbol, {signature} AS signature, round({near}, 6) AS neighbourhood, round({file}, 6) AS file, {module} AS module"
 
 
-SCORE = """, scored AS (SELECT *, 0.25::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE + CASE WHEN module IS NULL THEN 0 ELSE 0.10::DOUBLE END AS w FROM raw),
- done AS (SELECT *, round(round(symbol * 0.25::DOUBLE / w, 6) + round(neighbourhood * 0.15::DOUBLE / w, 6) + round(file * 0.15::DOUBLE / w, 6) + coalesce(round(module * 0.10::DOUBLE / w, 6), 0), 6) AS score, CAST((symbol > 0)::INT + (neighbourhood > 0)::INT + (file > 0)::INT + coalesce((module > 0)::INT, 0) AS BIGINT) AS support FROM scored)"""
-DOC_FACTS = f", facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, layer, []::VARCHAR[] AS outs, []::VARCHAR[] AS ins FROM doc_nodes)"
+SCORE = """, scored AS (SELECT *, 0.25::DOUBLE + CASE WHEN signature IS NULL THEN 0 ELSE 0.25::DOUBLE END + 0.15::DOUBLE + 0.15::DOUBLE + CASE WHEN module IS NULL THEN 0 ELSE 0.10::DOUBLE END AS w FROM raw),
+ done AS (SELECT *, round(round(symbol * 0.25::DOUBLE / w, 6) + coalesce(round(signature * 0.25::DOUBLE / w, 6), 0) + round(neighbourhood * 0.15::DOUBLE / w, 6) + round(file * 0.15::DOUBLE / w, 6) + coalesce(round(module * 0.10::DOUBLE / w, 6), 0), 6) AS score,
+ CAST((symbol > 0)::INT + coalesce((signature > 0)::INT, 0) + (neighbourhood > 0)::INT + (file > 0)::INT + coalesce((module > 0)::INT, 0) AS BIGINT) AS support FROM scored)"""
+DOC_FACTS = f", facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, layer, CAST(NULL AS VARCHAR[]) AS sig_words, []::VARCHAR[] AS outs, []::VARCHAR[] AS ins FROM doc_nodes)"
 
 
 @query("doc_nodes", DOC_FACTS + ", raw AS (SELECT b.stable_id AS candidate_id, " + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'd:1') a WHERE b.stable_id != 'd:1')" + SCORE + """
@@ -48,15 +50,28 @@ def hybrid_similarity(doc_nodes: DataFrame) -> DataFrame:
     return similarity.find_similar(similarity.similarity_facts(doc_nodes), "d:1", 50)
 
 
-@query("nodes edges", f""", facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, CAST(NULL AS VARCHAR) AS layer, coalesce(o, []) AS outs, coalesce(i, []) AS ins FROM nodes
- LEFT JOIN (SELECT source AS stable_id, list(DISTINCT target) AS o FROM edges GROUP BY 1) USING (stable_id) LEFT JOIN (SELECT target AS stable_id, list(DISTINCT source) AS i FROM edges GROUP BY 1) USING (stable_id)),
- raw AS (SELECT b.stable_id AS candidate_id, """ + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'p:7') a WHERE b.stable_id != 'p:7')" + SCORE + """, top AS (SELECT * FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 20)
- SELECT candidate_id, CASE WHEN support < 2 THEN 'InsufficientEvidence' WHEN score >= 0.7 THEN 'Reuse' WHEN score >= 0.4 THEN 'Extend' ELSE 'DoNotReuse' END AS decision FROM top""")
-def reuse_explain(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return similarity.explain_reuse(similarity.find_similar(similarity.similarity_facts(nodes, edges), "p:7", 20))
+TOLD = "concat_ws(chr(32), fully_qualified_name, normalized_signature, return_metadata_json, parameter_metadata_json)"
+NODE_FACTS = f""", sig AS (SELECT node_id AS stable_id, min_by({TOLD}, symbol_id) AS told, min_by(normalized_signature, symbol_id) AS signature, min_by(visibility, symbol_id) AS visibility FROM syms GROUP BY 1),
+ facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, CAST(NULL AS VARCHAR) AS layer, CASE WHEN told IS NOT NULL THEN {TOK.format('told')} END AS sig_words, coalesce(o, []) AS outs, coalesce(i, []) AS ins FROM nodes
+ LEFT JOIN sig USING (stable_id) LEFT JOIN (SELECT source AS stable_id, list(DISTINCT target) AS o FROM edges GROUP BY 1) USING (stable_id) LEFT JOIN (SELECT target AS stable_id, list(DISTINCT source) AS i FROM edges GROUP BY 1) USING (stable_id))"""
+BEST = ", raw AS (SELECT b.stable_id AS candidate_id, " + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'p:7') a WHERE b.stable_id != 'p:7')" + SCORE + """,
+ top AS (SELECT * FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 20)"""
+DIRECTORY = "regexp_extract({0}.file_path, '^(.*)/[^/]*$', 1)"
+REUSE = f""", own AS (SELECT n.*, signature, visibility FROM nodes n LEFT JOIN sig USING (stable_id)),
+ each AS (SELECT b.stable_id AS candidate_id, {jac(TOK.format('a.display_name'), TOK.format("concat_ws(chr(32), b.display_name, b.stable_id)"))} > 0 AS names, a.signature IS NOT NULL AND b.signature IS NOT NULL AS comparable,
+ coalesce(a.signature = b.signature, false) AS same, {DIRECTORY.format('a')} = {DIRECTORY.format('b')} AS together, a.file_path != b.file_path AS other, coalesce(lower(a.visibility) = 'public' AND lower(b.visibility) = 'public', false) AS public
+ FROM top JOIN own b ON b.stable_id = candidate_id, (SELECT * FROM own WHERE stable_id = 'p:7') a),
+ told AS (SELECT candidate_id, array_to_string(list_filter([CASE WHEN names THEN 'symbol_overlap' END, CASE WHEN same THEN 'public_signature_match' END, CASE WHEN together THEN 'file_ownership_overlap' END], lambda x: x IS NOT NULL), ',') AS supporting,
+ array_to_string(list_filter([CASE WHEN comparable AND NOT same THEN 'public_signature_mismatch' END, CASE WHEN NOT together AND other THEN 'file_ownership_difference' END], lambda x: x IS NOT NULL), ',') AS differentiating,
+ CASE WHEN public AND comparable AND NOT same THEN 'DoNotReuse' WHEN same AND (names OR together) THEN 'Reuse' WHEN names AND comparable AND NOT same THEN 'Extend' ELSE 'InsufficientEvidence' END AS decision FROM each)"""
 
 
-PAIRS = DOC_FACTS.replace("FROM doc_nodes", "FROM doc_nodes ORDER BY stable_id LIMIT 500") + ", raw AS (SELECT a.stable_id AS seed, b.stable_id AS other, " + hybrid_sql("a", "b") + " FROM facts a JOIN facts b ON a.stable_id != b.stable_id AND list_has_any(a.words, b.words))" + SCORE + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, other) AS k FROM done WHERE score > 0 AND support >= 2)"
+@query("nodes edges syms", NODE_FACTS + BEST + REUSE + " SELECT * FROM told")
+def reuse_explain(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
+    return similarity.explain_reuse(similarity.find_similar(similarity.similarity_facts(nodes, edges, syms), "p:7", 20), nodes, syms, "p:7")
+
+
+PAIRS = DOC_FACTS.replace("FROM doc_nodes", "FROM doc_nodes ORDER BY stable_id LIMIT 500") + ", raw AS (SELECT a.stable_id AS seed, b.stable_id AS other, " + hybrid_sql("a", "b") + " FROM facts a JOIN facts b ON a.stable_id != b.stable_id)" + SCORE + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, other) AS k FROM done WHERE score > 0 AND support >= 2)"
 
 
 @query("doc_nodes", PAIRS + " SELECT seed AS left_id, other AS right_id, score FROM ranked WHERE k <= 50 AND seed < other AND score >= 0.6")

@@ -30,11 +30,19 @@ UNION ALL SELECT concat('o:', l_orderkey), concat('s:', l_suppkey), 'supplied_by
 ) AS e
 """
 
-#: a small cyclic graph: 40 modules, and few enough edges for cycles to be short
+#: a cyclic graph of all pairs: parts and suppliers share their numbers as modules
 MODULE_EDGES = """
-SELECT DISTINCT concat('m', lpad(CAST(l_partkey % 40 AS VARCHAR(9)), 2, '0'), '>m', lpad(CAST(l_suppkey % 40 AS VARCHAR(9)), 2, '0')) AS edge_id,
-concat('m', lpad(CAST(l_partkey % 40 AS VARCHAR(9)), 2, '0')) AS source, concat('m', lpad(CAST(l_suppkey % 40 AS VARCHAR(9)), 2, '0')) AS target
-FROM {lineitem} GROUP BY l_partkey % 40, l_suppkey % 40 HAVING sum(l_linenumber) % 23 = 0
+SELECT DISTINCT concat('m', lpad(CAST(l_partkey AS VARCHAR(9)), 9, '0'), '>m', lpad(CAST(l_suppkey AS VARCHAR(9)), 9, '0')) AS edge_id,
+concat('m', lpad(CAST(l_partkey AS VARCHAR(9)), 9, '0')) AS source, concat('m', lpad(CAST(l_suppkey AS VARCHAR(9)), 9, '0')) AS target
+FROM {lineitem}
+"""
+
+#: what the nodes of parts and suppliers declare
+SYMBOLS = """
+SELECT concat('sym:p', p_partkey) AS symbol_id, concat('p:', p_partkey) AS node_id, concat('Parts.', replace(p_name, ' ', '.')) AS fully_qualified_name, CASE p_size % 3 WHEN 0 THEN 'Public' WHEN 1 THEN 'public' ELSE 'internal' END AS visibility,
+concat(p_type, '(', p_size, ')') AS normalized_signature, concat('[', p_size, ']') AS parameter_metadata_json, concat('"', p_brand, '"') AS return_metadata_json, md5(p_type) AS signature_hash FROM {part}
+UNION ALL SELECT concat('sym:s', s_suppkey), concat('s:', s_suppkey), concat('Suppliers.', replace(s_name, '#', '.')), CASE WHEN s_nationkey % 2 = 0 THEN 'public' ELSE 'private' END,
+concat('Supply(', s_nationkey, ')'), concat('[', s_nationkey, ']'), '"void"', md5(CAST(s_nationkey AS VARCHAR(9))) FROM {supplier}
 """
 
 #: revision = day; a node is a user's kind of event; its content is how many there were up to a granularity
@@ -51,7 +59,7 @@ SELECT concat('s', user_id) AS session_id, CAST(row_number() OVER (PARTITION BY
 BASKETS = "SELECT DISTINCT l_orderkey AS commit_id, concat('p', l_partkey % 300) AS path FROM {lineitem}"
 
 DOC_NODES = """
-SELECT concat('d:', doc_id) AS stable_id, substring(text, 1, 40) AS display_name, concat('docs/', lang, '/', source, '.md') AS file_path, lang AS layer FROM {documents}
+SELECT concat('d:', doc_id) AS stable_id, concat(source, ' ', lang, ' ', n_chars, '_', doc_id % 100) AS display_name, concat('docs/', lang, '/', source, '.md') AS file_path, lang AS layer FROM {documents}
 """
 
 VECTORS = "SELECT vec_id, concat('v', lpad(CAST(vec_id AS VARCHAR(20)), 9, '0')) AS id, embedding, concat('b', label) AS band FROM {embeddings}"

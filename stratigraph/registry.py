@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: name in SQL -> projection
-FACTS = {"nodes": p.NODES, "edges": p.EDGES, "mods": p.MODULE_EDGES, "snaps": p.SNAPSHOTS, "sess": p.SESSION_EVENTS, "baskets": p.BASKETS, "doc_nodes": p.DOC_NODES, "vecs": p.VECTORS, "page_paths": p.PAGE_PATHS}
+FACTS = {"nodes": p.NODES, "edges": p.EDGES, "mods": p.MODULE_EDGES, "syms": p.SYMBOLS, "snaps": p.SNAPSHOTS, "sess": p.SESSION_EVENTS, "baskets": p.BASKETS, "doc_nodes": p.DOC_NODES, "vecs": p.VECTORS, "page_paths": p.PAGE_PATHS}
 
 
 def query(facts: str, sql: str | None = None, **selects: str):

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset a temporary folder on a single machine, as in tests, and an error on a cluster."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stratigraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -28,16 +31,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def commit_revision(nodes: DataFrame, edges: DataFrame, path: str, revision: int) -> None:
-    """Writes one full snapshot as partition revision=r of both tables, then the pointer, so readers never see half of it."""
+    """Writes one full snapshot as partition revision=r of both tables, then its pointer.
+
+    A pointer is a file of its own that gets its name only when whole, so readers see the revision before
+    or this one, never half of it, and a crash leaves the one before.
+    """
     spark = nodes.sparkSession
     for df, name in ((nodes, "graph_nodes"), (edges, "graph_edges")):
         df.write.mode("overwrite").parquet(f"{path}/{name}/revision={revision}")
-    pointer = spark.range(1).select(F.lit(revision).cast("long").alias("revision"), F.lit(uuid.uuid4().hex).alias("commit_id"))
-    pointer.coalesce(1).write.mode("overwrite").parquet(f"{path}/active")
+    fs, folder = _hadoop(spark, f"{path}/active")
+    fs.mkdirs(folder)
+    jvm = spark._jvm
+    # the commit's number keeps pointers in order, also where a revision is made active again
+    made = [int(f.getPath().getName().split("-")[1]) for f in fs.listStatus(folder) if f.getPath().getName().startswith("pointer-")]
+    name = f"pointer-{max(made, default=0) + 1:012d}-{revision}"
+    part = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}")
+    out = fs.create(part)
+    out.write(bytearray(str(revision).encode()))
+    out.close()
+    if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(folder, name)):
+        raise OSError(f"another commit has made {name}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def active_revision(spark: SparkSession, path: str) -> int:
-    return spark.read.parquet(f"{path}/active").first()["revision"]
+    """The revision that the last pointer names."""
+    fs, folder = _hadoop(spark, f"{path}/active")
+    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+    pointers = sorted(n for n in names if n.startswith("pointer-"))
+    if not pointers:
+        raise ValueError("no active revision")
+    return int(pointers[-1].rsplit("-", 1)[1])
 
 
 def load_snapshot(spark: SparkSession, path: str, revision: int | None = None) -> tuple[DataFrame, DataFrame]:

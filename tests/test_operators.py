@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratigraph.functions import text
-from stratigraph.operators import advice, graph, history, rules, similarity
+from stratigraph.operators import advice, graph, history, providers, rules, similarity, stores
 
 
 def edges(spark, pairs, confidence=1.0, kind="calls"):
@@ -155,3 +155,68 @@ def test_placement_abstains(spark):
     d = spark.createDataFrame([("s", "a", 0.9), ("s", "b", 0.1), ("t", "a", 0.5), ("t", "b", 0.5)], "subject string, cluster string, confidence double")
     got = {r.subject: (r.cluster, r.score, r.abstained) for r in advice.placement_overlap(d).collect()}
     assert got == {"s": ("a", 0.9, False), "t": ("a", 0.5, True)}
+
+
+def test_louvain_levels_weights_and_lonely_nodes(spark):
+    ring = [(f"{c}{i}", f"{c}{j}") for c in "abcdefgh" for i in range(4) for j in range(i)] + [(f"{a}0", f"{b}1") for a, b in zip("abcdefgh", "bcdefgha", strict=True)]
+    e = edges(spark, ring)
+    members = advice.louvain(e, spark.createDataFrame([("alone",)], "stable_id string"))
+    got = {r.stable_id: r.community for r in members.collect()}
+    assert got["alone"] == "alone" and all(got[f"{c}{i}"] == got[f"{c}0"] for c in "abcdefgh" for i in range(4))
+    assert all(got[x] == x for x in set(got.values()))
+    heavy = edges(spark, [("x", "y"), ("y", "z"), ("z", "w")]).withColumn("weight", F.when(F.col("source") == "y", 9.0).otherwise(1.0))
+    got = {r.stable_id: r.community for r in advice.louvain(heavy).collect()}
+    assert got["y"] == got["z"]
+
+
+SYMS = "symbol_id string, node_id string, fully_qualified_name string, visibility string, normalized_signature string, parameter_metadata_json string, return_metadata_json string"
+
+
+def test_reuse_decisions(spark):
+    n = nodes(spark, {"loadUser": "src/a.cs", "loadUsers": "src/b.cs", "saveUser": "src/c.cs", "other": "lib/d.cs", "plain": "src/e.cs"})
+    s = spark.createDataFrame(
+        [("1", "loadUser", "x", "internal", "f(int)", "{}", "{}"), ("2", "loadUsers", "x", "public", "f(int)", "{}", "{}"), ("3", "saveUser", "x", "public", "g()", "{}", "{}"), ("4", "other", "x", "PUBLIC", "h()", "{}", "{}")], SYMS
+    )
+    asked = spark.createDataFrame([("loadUsers",), ("saveUser",), ("other",), ("plain",), ("missing",)], "candidate_id string")
+    got = {r.candidate_id: r.decision for r in similarity.explain_reuse(asked, n, s, "loadUser").collect()}
+    assert got == {"loadUsers": "Reuse", "saveUser": "Extend", "other": "InsufficientEvidence", "plain": "InsufficientEvidence", "missing": "InsufficientEvidence"}
+    public = {r.candidate_id: r.decision for r in similarity.explain_reuse(asked, n, s, "saveUser").collect()}
+    assert public["other"] == "DoNotReuse" and public["loadUsers"] == "DoNotReuse"
+
+
+def test_signature_evidence(spark):
+    n = nodes(spark, {"a": "src/a.cs", "b": "src/b.cs", "c": None})
+    s = spark.createDataFrame([("1", "a", "N.Load", "public", "load(int)", "{}", "{}"), ("2", "b", "N.Load", "public", "load(int)", "{}", "{}")], SYMS)
+    facts = similarity.similarity_facts(n, None, s)
+    pairs = facts.where("stable_id = 'a'").select(F.struct("*").alias("a")).crossJoin(facts.where("stable_id != 'a'").select(F.struct("*").alias("b")))
+    got = {r.b.stable_id: r for r in similarity.hybrid_scores(pairs).collect()}
+    assert got["b"].signature == 1.0 and "c" not in got  # nothing but an unavailable path and other names
+    assert got["b"].score == pytest.approx(round(1 * 0.25 / 0.8, 6) + round(round(0.5 * 2 / 4 + 0.5, 6) * 0.15 / 0.8, 6))
+
+
+def test_reconciliation(spark):
+    n = nodes(spark, {"a": "a.cs", "b": "b.cs", "ext": None, "lost": None}).select("stable_id", "display_name", "file_path")
+    e = edges(spark, [("b", "ext"), ("a", "b")]).select("edge_id", "source", "target")
+    fresh = spark.createDataFrame([("a2", "A", "a.cs")], n.schema)
+    changed = spark.createDataFrame([("a.cs",)], "path string")
+    got_n, got_e = history.reconcile_facts(n, e, fresh, e.limit(0), changed)
+    assert {r.stable_id for r in got_n.collect()} == {"a2", "b", "ext"} and {r.edge_id for r in got_e.collect()} == {"edge:b-ext"}
+    with pytest.raises(ValueError, match="conflicting node b"):
+        history.reconcile_facts(n, e, spark.createDataFrame([("b", "other", "a.cs")], n.schema), e.limit(0), changed)
+
+
+def test_smallest_scope(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = [(f"s{k}", f"f{k % 3}", a, rng.randrange(9), a + rng.choice([0, 3, 40, 900]), 20) for k in range(200) for a in [rng.randrange(1000)]]
+    places = [(k, f"f{k % 4}", rng.randrange(1100), rng.randrange(30)) for k in range(300)]
+    got = {r.site_id: r.symbol_id for r in providers.smallest_scope(spark.createDataFrame(places, "site_id int, file_path string, line int, column int"), spark.createDataFrame(spans, "symbol_id string, file_path string, start_line int, start_column int, end_line int, end_column int")).collect()}
+    for site, file, line, column in places:
+        held = [((d - b) * 10**6 + e - c, s) for s, f, b, c, d, e in spans if f == file and (b, c) <= (line, column) <= (d, e)]
+        assert got[site] == (min(held)[1] if held else None)
+
+
+def test_records_are_inserted_once(spark):
+    rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "early"), ("b", 5, "only")], "key string, created_at int, label string")
+    assert {tuple(r) for r in stores.record_once(rows, ["key"], ["created_at"]).collect()} == {("a", 1, "early"), ("b", 5, "only")}
