@@ -95,6 +95,7 @@ def _prefixes(width: int, percent: int, text: str, frequencies, hot_rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequencies.value, set()
+        hot = sketch.hot_limit(counts, hot_rows)
         for batch in batches:
             parts: list[tuple] = []
             held = 0
@@ -116,7 +117,7 @@ def _prefixes(width: int, percent: int, text: str, frequencies, hot_rows: int):
                 else:
                     order = np.lexsort((h, df))
                 own = np.full(k, fp, np.int64)
-                parts.append((h[order].view(np.int64), own, np.full(k, n, np.int32), np.arange(k, dtype=np.int32), sketch.parts(h[order], own, counts, hot_rows)))
+                parts.append((h[order].view(np.int64), own, np.full(k, n, np.int32), np.arange(k, dtype=np.int32), sketch.parts(df[order], own, hot, hot_rows)))
                 held += k
                 if held > 200_000:
                     yield flush()

@@ -171,12 +171,13 @@ def _seeds(frequencies, hot_rows: int):
     """Rows (h, fp, pos, more, part) of each text: a seed once, with all its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        counts, seen = frequencies.value, set()
+        hot = sketch.hot_limit(counts, hot_rows)
         for batch in batches:
             for _, h, lo, _, _ in word_blocks(batch, "text"):
                 fps = fingerprints(h, lo)
                 row, seed, pos, more = grouped(*minimizers(h, lo, first_seen(fps, np.diff(lo), seen)))
-                part = sketch.parts(seed, fps[row], frequencies.value, hot_rows)
+                part = sketch.parts(counts[sketch.slots(seed)], fps[row], hot, hot_rows)
                 columns = [pa.array(seed.view(np.int64)), pa.array(fps[row]), pa.array(pos), more, pa.array(part)]
                 yield pa.RecordBatch.from_arrays(columns, ["h", "fp", "pos", "more", "part"])
 

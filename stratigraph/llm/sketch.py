@@ -48,7 +48,11 @@ def collect(rows: DataFrame) -> np.ndarray:
     return counts.reshape(-1)
 
 
-def parts(h: np.ndarray, owner: np.ndarray, counts: np.ndarray, hot_rows: int) -> np.ndarray:
-    """0 for each hash, but for those that may have far over hot_rows rows: one of the parts of about so many, from 1, by owner."""
-    df = counts[slots(h)].astype(np.int64)
-    return np.where(df > hot_rows + 8 * counts.mean(), 1 + owner % (df // hot_rows + 1), 0).astype(np.int32)
+def hot_limit(counts: np.ndarray, hot_rows: int) -> float:
+    """What a counter has to hold for its hashes to be hot: far over hot_rows besides its share of all."""
+    return hot_rows + 8 * float(counts.mean())
+
+
+def parts(df: np.ndarray, owner: np.ndarray, limit: float, hot_rows: int) -> np.ndarray:
+    """0 for each hash, but for those whose counters df are over the limit: one of the parts of about hot_rows rows, from 1, by owner."""
+    return np.where(df > limit, 1 + owner % (df.astype(np.int64) // hot_rows + 1), 0).astype(np.int32)
