@@ -36,6 +36,10 @@ def lean(run):
     return lean_run
 
 
+#: Spark deletes a query's shuffle files at its end; runtime setting of a session
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written once and read again: lineage ends here, so a lost executor costs no recomputation of what came before."""
 
@@ -44,9 +48,15 @@ class Scratch:
         atexit.register(self.drop_all)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again; the shuffles of the write are deleted at its end, not when the driver next collects garbage."""
         path = f"{self.folder}/{name}"
         self.names.add(name)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
