@@ -253,8 +253,9 @@ def _shared_rows(prefix: DataFrame, percent: int) -> DataFrame:
     shared shingle, so a row too far behind for its own set to reach the threshold goes at once.
     """
     w = Window.partitionBy("h", "part")
-    # copies in different tasks give equal rows; these are dropped behind the window, where few rows are left
-    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "part", "fp", "n", "pos").dropDuplicates(["h", "fp"])
+    # copies in different tasks give equal rows; these are dropped behind the window, where few rows are left, and
+    # by part too, which h and fp decide, so that the window's partitions serve
+    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "part", "fp", "n", "pos").dropDuplicates(["h", "part", "fp"])
     ranked = held.withColumn("ahead", F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1)
     return ranked.where(f"100 * (ahead + n - pos) >= {percent} * n")
 
