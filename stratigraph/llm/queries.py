@@ -1,19 +1,23 @@
-"""Queries op1 to op10 over the driver's tables, and SQL for those that SQL can express."""
+"""Queries op1 to op13 over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, mixing, quality
 from .cross_polytope import nearest
 from .license_scan import scan_licenses
+from .line_dedup import dedup_lines
 from .ngram_join import jaccard_components
 from .passages import repeated_passages
 from .piece_bpe import encode_documents
 from .token_counts import token_counts
+from .vector_codes import compressed
 from .warc import archive_and_read
+from .whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,6 +99,22 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents")).drop("fp")
 
 
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup_lines(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
 LEDGER = r"""
 WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x != '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
@@ -132,3 +152,34 @@ e AS (SELECT *, regexp_replace(r, '(<|\[)(\\*)(s>|/s>|INST\]|/INST\]|TURN\])', '
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(r, chr(10), x, chr(10)), '' ORDER BY k)) AS turns_sha256, CAST(coalesce(sum(length(x)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
  sha256(coalesce(string_agg(x, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256, CAST(sum(CASE WHEN before = r THEN 6 ELSE 9 + length(er) + 7 END + length(ex) + CASE WHEN behind = r THEN 0 ELSE 4 END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id
 """
+
+ORACLES["op11_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, t, i, ls[i] AS x, trim(translate(ls[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) AS k FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT k AS lost FROM (SELECT DISTINCT k, doc_id, t FROM l WHERE k != '') GROUP BY k HAVING count(*) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(lost) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (lost IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN f ON k = lost GROUP BY rid, doc_id
+"""
+
+
+def _lloyd_sql(rounds: int = 4, entries: int = 256) -> str:
+    """Every part against every entry, round by round."""
+    near = "min({{'d': list_inner_product(v, v) - 2 * list_inner_product(v, w) + list_inner_product(w, w), 'i': entry}})"
+    sql = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // 4) + 1:(part + 1) * (len(x) // 4)] AS v FROM (SELECT r, x, unnest(range(4)) AS part FROM e)),
+c0 AS MATERIALIZED (SELECT part, r - 1 AS entry, v AS w FROM p WHERE r <= {entries})"""
+    for k in range(rounds + 1):
+        sql += f""",
+a{k} AS MATERIALIZED (SELECT r, part, v, {near.replace("{{", "{").replace("}}", "}")} AS m FROM p JOIN c{k} USING (part) GROUP BY r, part, v)"""
+        if k < rounds:
+            sql += f""",
+n{k} AS (SELECT part, entry, list(floor(s / n) ORDER BY j) AS u FROM (SELECT part, m.i AS entry, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT part, m, v, unnest(range(1, len(v) + 1)) AS j FROM a{k}) GROUP BY ALL) GROUP BY part, entry),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(u, w) AS w FROM c{k} LEFT JOIN n{k} USING (part, entry))"""
+    return sql.replace("{entries}", str(entries)) + f""",
+o AS (SELECT r, string_agg(lower(lpad(to_hex(m.i), 2, '0')), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, j)) AS codebooks_sha256 FROM (SELECT part, entry, unnest(w) AS y, unnest(range(len(w))) AS j FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM o JOIN e USING (r), h
+"""
+
+
+ORACLES["op12_vector_code_compression"] = _lloyd_sql()
