@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import advice, rules, similarity
 from ..registry import query
 from ..sources import storage
+from ..sources.versioned import VersionStore
 from .rule_queries import HARD, LAYERS
 from .similarity_queries import DOC_FACTS, SCORE, hybrid_sql
 
@@ -44,15 +45,14 @@ def nl_query(asked: DataFrame) -> DataFrame:
 
 @query("snaps", f" SELECT max(revision) AS revision, count(*) FILTER (revision = (SELECT max(revision) FROM snaps)) AS node_count, '{rules.rule_fingerprint(LAYERS, HARD)}' AS rule_fingerprint FROM snaps")
 def scan_active_revision(snaps: DataFrame) -> DataFrame:
-    """Two revisions are committed; the pointer names the last, whose snapshot is read."""
+    """The last two snapshots are committed in order; the last manifest names the active one, whose nodes are read."""
     spark = snaps.sparkSession
-    path = f"{storage.checkpoint_folder(spark)}/revisions-{uuid.uuid4().hex[:12]}"
-    edges = snaps.select(F.col("stable_id").alias("source"), F.col("node_kind").alias("target"), "revision")
+    store = VersionStore(spark, f"{storage.checkpoint_folder(spark)}/revisions-{uuid.uuid4().hex[:12]}", buckets=4)
     last = [r["revision"] for r in snaps.select("revision").distinct().orderBy(F.desc("revision")).limit(2).collect()]
     for r in reversed(last):
-        storage.commit_revision(snaps.where(F.col("revision") == r).drop("revision"), edges.where(F.col("revision") == r).drop("revision"), path, r)
-    nodes, _ = storage.load_snapshot(spark, path)
-    return nodes.agg(F.max("revision").cast("long").alias("revision"), F.count("*").alias("node_count")).withColumn("rule_fingerprint", F.lit(rules.rule_fingerprint(LAYERS, HARD)))
+        store.commit({"nodes": snaps.where(F.col("revision") == r).drop("revision")}, f"run {r}", revision=r)
+    count = store.snapshot("nodes").agg(F.lit(store.active_revision()).cast("long").alias("revision"), F.count("*").alias("node_count"))
+    return count.withColumn("rule_fingerprint", F.lit(rules.rule_fingerprint(LAYERS, HARD)))
 
 
 @query("", """, t AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM docs), g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM t)),

@@ -1,13 +1,11 @@
-"""Checkpoints, revision tables and other sinks."""
+"""Checkpoints and sinks."""
 
 from __future__ import annotations
 
 import json
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -30,50 +28,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def commit_revision(nodes: DataFrame, edges: DataFrame, path: str, revision: int) -> None:
-    """Writes one full snapshot as partition revision=r of both tables, then its pointer.
-
-    A pointer is a file of its own that gets its name only when whole, so readers see the revision before
-    or this one, never half of it, and a crash leaves the one before.
-    """
-    spark = nodes.sparkSession
-    for df, name in ((nodes, "graph_nodes"), (edges, "graph_edges")):
-        df.write.mode("overwrite").parquet(f"{path}/{name}/revision={revision}")
-    fs, folder = _hadoop(spark, f"{path}/active")
-    fs.mkdirs(folder)
-    jvm = spark._jvm
-    # the commit's number keeps pointers in order, also where a revision is made active again
-    made = [int(f.getPath().getName().split("-")[1]) for f in fs.listStatus(folder) if f.getPath().getName().startswith("pointer-")]
-    name = f"pointer-{max(made, default=0) + 1:012d}-{revision}"
-    part = jvm.org.apache.hadoop.fs.Path(folder, f"_{uuid.uuid4().hex}")
-    out = fs.create(part)
-    out.write(bytearray(str(revision).encode()))
-    out.close()
-    if not fs.rename(part, jvm.org.apache.hadoop.fs.Path(folder, name)):
-        raise OSError(f"another commit has made {name}")
-
-
-def _hadoop(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def active_revision(spark: SparkSession, path: str) -> int:
-    """The revision that the last pointer names."""
-    fs, folder = _hadoop(spark, f"{path}/active")
-    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-    pointers = sorted(n for n in names if n.startswith("pointer-"))
-    if not pointers:
-        raise ValueError("no active revision")
-    return int(pointers[-1].rsplit("-", 1)[1])
-
-
-def load_snapshot(spark: SparkSession, path: str, revision: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a revision, the active one if none is named; only its partition is read."""
-    r = active_revision(spark, path) if revision is None else revision
-    return tuple(spark.read.parquet(f"{path}/{t}").where(F.col("revision") == r) for t in ("graph_nodes", "graph_edges"))
-
-
 def write_sarif(results: DataFrame, path: str) -> None:
     """SARIF result objects as lines of JSON; the frame of the document is the header of a consumer."""
     results.select("json").write.mode("overwrite").text(path)
