@@ -56,8 +56,10 @@ def keep_bitmaps(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: int
     ordered = words.repartitionByRange("h", "g", *ID).sortWithinPartitions("h", "g", *ID, "word")
     # the range partitioning holds a document's words of a key together: no exchange before the first of them
     first = ordered.groupBy("h", "g", *ID).agg(F.min("word").alias("first_word"))
-    common = first.groupBy("h", "g").agg(F.count("first_word").alias("n_docs")).where(F.col("n_docs") >= least_docs)
-    lost = ordered.join(common.select("h", "g"), ["h", "g"]).groupBy(*ID, "word").agg(F.bit_or("bits").alias("bits"))
+    counted = first.groupBy("h", "g").agg(F.count("first_word").alias("n_docs")).where(F.col("n_docs") >= least_docs)
+    # written, so that both sides of the join are dealt out for it alone and Spark can split a key's rows
+    common = scratch.keep(counted.select("h", "g"), "common")
+    lost = ordered.join(common, ["h", "g"]).groupBy(*ID, "word").agg(F.bit_or("bits").alias("bits"))
     keep = F.sort_array(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits"))))
     return lost.groupBy(*ID).agg(F.sum(F.bit_count("bits")).alias("n_dropped"), keep.alias("keep"))
 
