@@ -1,3 +1,3 @@
 """Composite queries, registered by importing their modules."""
 
-from . import advice_queries, graph_queries, history_queries, more_queries, record_queries, rule_queries, similarity_queries, store_queries, version_queries  # noqa: F401
+from . import advice_queries, graph_queries, history_queries, more_queries, record_queries, rule_queries, similarity_queries, store_queries, stream_queries, version_queries  # noqa: F401

@@ -195,30 +195,3 @@ def session_summary(sess: DataFrame) -> DataFrame:
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS b FROM g) SELECT session_id, min(occurred_at) AS started_at, count(*) AS changes FROM i GROUP BY session_id, b""")
 def debounce(sess: DataFrame) -> DataFrame:
     return sessions.debounce(sess.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")), "6 hours").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
-
-
-def _staged(events: DataFrame, name: str, files: int = 8) -> tuple[DataFrame, str]:
-    """Events as a file stream, from a table in the shared folder, and a place for its checkpoint."""
-    import uuid
-
-    from ..sources.storage import checkpoint_folder
-
-    spark = events.sparkSession
-    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    events.write.parquet(f"{path}/events")
-    return sessions.read_events(spark, f"{path}/events", events.schema, files), f"{path}/state"
-
-
-EVENT_ROWS = "SELECT concat('s', user_id) AS session_id, event_id, event_type, CAST(ts AS TIMESTAMP) AS occurred_at, value FROM {events}"
-
-
-@query("", " SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS BIGINT) AS sequence_number, event_id, event_type, true AS accepted FROM ev", ev=EVENT_ROWS)
-def session_append(ev: DataFrame) -> DataFrame:
-    stream, state = _staged(ev.repartition("session_id"), "append", 1 << 20)  # one batch of all files, so numbers follow time
-    return sessions.run_once(sessions.numbered(stream), "session_append", state)
-
-
-@query("", " SELECT session_id, event_id, event_type, value FROM ev", ev=EVENT_ROWS)
-def event_stream(ev: DataFrame) -> DataFrame:
-    stream, state = _staged(ev.union(ev), "stream")
-    return sessions.run_once(sessions.deduplicated(stream, "60 days"), "event_stream", state).select("session_id", "event_id", "event_type", "value")

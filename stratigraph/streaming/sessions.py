@@ -1,13 +1,9 @@
-"""Session events: append, replay, summaries and debounce, as batches and as streams."""
+"""Session events: replay, summaries and debounce, as batches and as streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT_SCHEMA = "session_id string, event_id long, event_type string, occurred_at timestamp, value double"
 
@@ -36,34 +32,6 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, file
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def numbered(stream: DataFrame) -> DataFrame:
-    """(session_id, sequence_number, event_id, event_type, accepted): gap-free numbers per session across batches.
-
-    Events behind a session_ended are refused, and an event id counts once.
-    """
-    return stream.groupBy("session_id").applyInPandasWithState(
-        _number, "session_id string, sequence_number long, event_id long, event_type string, accepted boolean", "next long, ended boolean, seen string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _number(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    number, ended, seen = state.get if state.exists else (0, False, "")
-    known = set(seen.split(",")) if seen else set()
-    rows = pd.concat(list(frames)).sort_values(["occurred_at", "event_id"])
-    out = []
-    for r in rows.itertuples():
-        if str(r.event_id) in known:
-            continue
-        known.add(str(r.event_id))
-        if not ended:
-            number += 1
-        out.append((key[0], number if not ended else None, r.event_id, r.event_type, not ended))
-        ended = ended or r.event_type == "session_ended"
-    state.update((number, ended, ",".join(sorted(known))))
-    frame = pd.DataFrame(out, columns=["session_id", "sequence_number", "event_id", "event_type", "accepted"])
-    yield frame.astype({"sequence_number": "Int64"})
-
-
 def deduplicated(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each event of a session once, as long as a repeat comes within the watermark."""
     return stream.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["session_id", "event_id"])
