@@ -173,77 +173,6 @@ def fact_problems(nodes: DataFrame, edges: DataFrame, symbols: DataFrame | None
     return found
 
 
-def strongly_connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(stable_id, component) of nodes on cycles: trim nodes without both kinds of edges, then spread least labels both ways.
-
-    A component is all nodes with the same least node before and behind them; the edges between different
-    components go, and what is left goes on until labels and edges agree. Tables are checkpointed
-    each round.
-    """
-    from ..sources.storage import checkpointed
-
-    live = checkpointed(edges.select("source", "target").distinct())
-    done = None
-    for _ in range(rounds):
-        count = live.count()
-        while True:  # trim
-            ends = live.select(F.col("source").alias("x")).intersect(live.select(F.col("target").alias("x")))
-            trimmed = checkpointed(live.join(ends.withColumnRenamed("x", "source"), "source", "left_semi").join(ends.withColumnRenamed("x", "target"), "target", "left_semi"))
-            left = trimmed.count()
-            live = trimmed
-            if left == count:
-                break
-            count = left
-        if not count:
-            break
-        label = checkpointed(live.select(F.explode(F.array("source", "target")).alias("x")).distinct().select("x", F.col("x").alias("ahead"), F.col("x").alias("back")))
-        while True:
-            via = live.join(label.select(F.col("x").alias("target"), F.col("ahead")), "target").select(F.col("source").alias("x"), "ahead", F.lit(None).cast("string").alias("back"))
-            into = live.join(label.select(F.col("x").alias("source"), F.col("back")), "source").select(F.col("target").alias("x"), F.lit(None).cast("string").alias("ahead"), "back")
-            new = checkpointed(label.unionByName(via).unionByName(into).groupBy("x").agg(F.min("ahead").alias("ahead"), F.min("back").alias("back")))
-            changed = new.join(label.withColumnsRenamed({"ahead": "a", "back": "b"}), "x").where("ahead != a OR back != b").limit(1).count()
-            label = new
-            if not changed:
-                break
-        closed = label.where("ahead = back").select(F.col("x").alias("stable_id"), F.col("ahead").alias("component"))
-        done = closed if done is None else done.unionByName(closed)
-        rest = label.where("ahead != back")
-        a, b = rest.toDF("source", "a1", "b1"), rest.toDF("target", "a2", "b2")
-        live = checkpointed(live.join(a, "source").join(b, "target").where("a1 = a2 AND b1 = b2").select("source", "target"))
-    if done is None:
-        return edges.sparkSession.createDataFrame([], "stable_id string, component string")
-    return done
-
-
-def shortest_cycles(edges: DataFrame, longest: int = 12) -> DataFrame:
-    """(component, path, edges, cycle_length): of each component its shortest cycle, ties by its edges' ids in order.
-
-    Paths start at each node of a component and stay within it; only simple ones are followed, and a
-    component that has closed a cycle is left out of longer levels.
-    """
-    parts = strongly_connected(edges)
-    a, b = parts.toDF("source", "component"), parts.toDF("target", "other")
-    inner = edges.join(a, "source").join(b, "target").where("component = other").select("component", "edge_id", "source", "target")
-    from ..sources.storage import checkpointed
-
-    inner = checkpointed(inner)
-    step = inner.select(F.col("component").alias("c"), F.col("edge_id").alias("next_edge"), F.col("source").alias("at"), "target")
-    level = inner.select("component", F.col("source").alias("start"), F.col("target").alias("at"), F.array("source", "target").alias("path"), F.array("edge_id").alias("ids"))
-    found = None
-    for _ in range(longest):
-        closed = level.where("at = start")
-        found = closed if found is None else found.unionByName(closed)
-        level = level.where("at != start").join(closed.select("component").distinct(), "component", "left_anti")
-        grown = level.join(step, (level["component"] == step["c"]) & (level["at"] == step["at"])).where((F.col("target") == F.col("start")) | ~F.array_contains("path", F.col("target")))
-        # of paths between the same two nodes only the one first in order can lead to the first cycle
-        grown = grown.select("component", "start", F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path"), F.concat("ids", F.array("next_edge")).alias("ids"))
-        level = checkpointed(grown.groupBy("component", "start", "at").agg(F.min(F.struct("ids", "path")).alias("m")).select("component", "start", "at", "m.path", "m.ids"))
-        if not level.limit(1).count():
-            break
-    best = found.withColumn("n", F.size("ids")).groupBy("component").agg(F.min(F.struct("n", F.array_join("ids", "\x1f").alias("k"), "path", "ids")).alias("m"))
-    return best.select("component", F.array_join("m.path", ",").alias("path"), F.array_join("m.ids", ",").alias("edges"), F.col("m.n").cast("long").alias("cycle_length"))
-
-
 def once_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__k = 1").drop("__k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rules
+from ..operators import cycles, rules
 from ..registry import query
 
 LAYERS: rules.Layers = {"geo": (["src/**/region.cs", "src/**/nation.cs"], []), "crm": (["src/**/customer.cs", "src/**/supplier.cs", "Features/parts/**"], []), "orders": (["Features/orders/**"], ["crm"]), "goods": (["**/supplier.cs", "Features/parts/BRAND1?/*.cs", "Features/parts/Brand1?/*.cs"], [])}
@@ -136,7 +136,7 @@ def scope_filter(page_paths: DataFrame) -> DataFrame:
 @query("mods", """, reach AS (SELECT DISTINCT source, target FROM mods UNION SELECT r.source, m.target FROM reach r JOIN mods m ON m.source = r.target)
  SELECT a.source AS stable_id, min(b.target) AS component FROM reach a JOIN reach b ON b.source = a.source JOIN reach c ON c.source = b.target AND c.target = a.source WHERE a.source = a.target GROUP BY 1""")
 def strongly_connected(mods: DataFrame) -> DataFrame:
-    return rules.strongly_connected(mods)
+    return cycles.strongly_connected(mods)
 
 
 @query("mods", """, reach AS (SELECT DISTINCT source, target FROM mods UNION SELECT r.source, m.target FROM reach r JOIN mods m ON m.source = r.target),
@@ -145,5 +145,22 @@ def strongly_connected(mods: DataFrame) -> DataFrame:
  walk AS (SELECT c, source AS start, target AS here, [source, target] AS path, [edge_id] AS ids FROM inn UNION ALL SELECT w.c, start, target, list_append(path, target), list_append(ids, edge_id) FROM walk w JOIN inn e ON e.c = w.c AND e.source = w.here WHERE w.here != w.start AND (e.target = w.start OR NOT list_contains(path, e.target)) AND len(ids) < 3),
  best AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY len(ids), array_to_string(ids, chr(31))) AS k FROM walk WHERE here = start)
  SELECT c AS component, array_to_string(path, ',') AS path, array_to_string(ids, ',') AS edges, CAST(len(ids) AS BIGINT) AS cycle_length FROM best WHERE k = 1""")
-def detect_cycles(mods: DataFrame) -> DataFrame:
-    return rules.shortest_cycles(mods)
+def module_cycles(mods: DataFrame) -> DataFrame:
+    return cycles.shortest_cycles(mods)
+
+
+#: each part depends on the supplier of its cheapest line with another number; a tenth of the modules lie outside the layers
+SUPPLY = """SELECT concat('m', l_partkey) AS source, concat('m', min_by(l_suppkey, concat(lpad(CAST(CAST(100 * l_extendedprice AS BIGINT) AS VARCHAR(20)), 20, '0'), lpad(CAST(l_orderkey AS VARCHAR(20)), 20, '0'), CAST(l_linenumber AS VARCHAR(9))))) AS target
+ FROM {lineitem} WHERE l_partkey != l_suppkey GROUP BY l_partkey"""
+MODULES = "SELECT concat('m', p_partkey) AS stable_id, concat(CASE p_partkey % 10 WHEN 0 THEN 'tools/' WHEN 1 THEN 'src/a/' ELSE 'src/b/' END, p_partkey, '.cs') AS file_path FROM {part}"
+MODULE_LAYERS: rules.Layers = {"a": (["src/a/**"], []), "b": (["src/b/**"], [])}
+
+
+@query("", """, own AS (SELECT stable_id FROM modules WHERE file_path LIKE 'src/%'), e AS (SELECT concat(source, '>', target) AS id, source, target FROM supply WHERE source IN (SELECT stable_id FROM own) AND target IN (SELECT stable_id FROM own)),
+ walk AS (SELECT source AS start, target AS here, [source, target] AS nodes, [id] AS ids FROM e UNION ALL SELECT start, e.target, list_append(nodes, e.target), list_append(ids, id) FROM walk JOIN e ON e.source = here WHERE here != start AND NOT list_contains(nodes[2:], e.target)),
+ ring AS (SELECT list_min(nodes) AS component, array_to_string(nodes, ',') AS path, array_to_string(ids, ',') AS edges, len(ids) AS cycle_length, ids[1] AS first_id FROM walk WHERE here = start)
+ SELECT component, min_by(path, first_id) AS path, min_by(edges, first_id) AS edges, min(cycle_length) AS cycle_length FROM ring GROUP BY component""", supply=SUPPLY, modules=MODULES)
+def detect_cycles(supply: DataFrame, modules: DataFrame) -> DataFrame:
+    """Every module depends on one other, so each component is a ring, of any length."""
+    edges = supply.select(F.concat_ws(">", "source", "target").alias("edge_id"), "source", "target", F.lit("references").alias("edge_kind"), F.lit(1.0).alias("confidence"))
+    return cycles.detect_cycles(modules, edges, MODULE_LAYERS, HARD)

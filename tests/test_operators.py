@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratigraph.functions import text
-from stratigraph.operators import advice, graph, history, providers, rules, similarity, stores
+from stratigraph.operators import advice, cycles, graph, history, providers, rules, similarity, stores
 
 
 def edges(spark, pairs, confidence=1.0, kind="calls"):
@@ -54,9 +54,9 @@ def test_traverse_a_chain(spark):
 
 def test_cycles(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("self", "self"), ("x", "a"), ("c", "y")])
-    got = {r.component: (r.path, r.edges) for r in rules.shortest_cycles(e).collect()}
+    got = {r.component: (r.path, r.edges) for r in cycles.shortest_cycles(e).collect()}
     assert got == {"a": ("a,b,a", "edge:a-b,edge:b-a"), "self": ("self,self", "edge:self-self")}
-    assert rules.strongly_connected(edges(spark, [("a", "b"), ("b", "c")])).count() == 0
+    assert cycles.strongly_connected(edges(spark, [("a", "b"), ("b", "c")])).count() == 0
 
 
 def test_impact_and_paths(spark):
