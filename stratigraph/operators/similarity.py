@@ -339,13 +339,3 @@ def explain_reuse(candidates: DataFrame, nodes: DataFrame, symbols: DataFrame, p
         .alias("decision"),
     )
     return rows
-
-
-def token_clones(docs: DataFrame, window: int = 50) -> DataFrame:
-    """(left_id, right_id, shared): windows of tokens by their hashes; a holder meets the first one, so a group of n gives n - 1 rows."""
-    if not 10 <= window <= 500:
-        raise ValueError("window out of bounds")
-    words = docs.select("doc_id", F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("w")).where(F.size("w") >= window)
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - window + 1), lambda k: F.xxhash64(F.array_join(F.slice("w", k, window), " "))))).alias("h"))
-    first = grams.groupBy("h").agg(F.min("doc_id").alias("left_id"), F.max("doc_id").alias("hi")).where("left_id != hi").drop("hi")
-    return grams.join(first, "h").where("doc_id != left_id").groupBy("left_id", F.col("doc_id").alias("right_id")).agg(F.count("*").alias("shared"))

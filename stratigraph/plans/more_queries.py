@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import advice, rules, similarity
+from ..operators import advice, clones, rules, similarity
 from ..registry import query
 from ..sources import storage
 from ..sources.versioned import VersionStore
@@ -59,4 +59,34 @@ def scan_active_revision(snaps: DataFrame) -> DataFrame:
  h AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s HAVING count(*) > 1) SELECT first_id AS left_id, doc_id AS right_id, count(*) AS shared FROM g JOIN h USING (s) WHERE doc_id != first_id GROUP BY 1, 2""", docs="SELECT doc_id, text FROM {documents}")
 def clone_detect(docs: DataFrame) -> DataFrame:
     """(left_id, right_id, shared): 50-token windows that documents share, each with their first holder."""
-    return similarity.token_clones(docs, 50)
+    return clones.token_clones(docs, 50)
+
+
+RANGES = r""", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM docs),
+ w AS (SELECT doc_id, line, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y != '') AS ts FROM l),
+ t AS (SELECT doc_id, list(tok ORDER BY line, k) AS ws, list(line ORDER BY line, k) AS ls FROM (SELECT doc_id, line, unnest(ts) AS tok, unnest(range(len(ts))) AS k FROM w) GROUP BY doc_id),
+ g AS (SELECT doc_id AS path, pl, array_to_string(ws[pl + 1:pl + 50], ' ') AS s, ls[pl + 1] AS a, ls[pl + 50] AS b FROM (SELECT *, unnest(range(len(ws) - 49)) AS pl FROM t WHERE len(ws) >= 50)),
+ o AS (SELECT s, min({'path': path, 'pl': pl, 'a': a, 'b': b}) AS own FROM g GROUP BY s HAVING count(*) > 1),
+ m AS (SELECT g.*, own, g.pl - own.pl AS diagonal FROM g JOIN o USING (s) WHERE g.path != own.path OR g.pl - own.pl >= 50),
+ i AS (SELECT *, pl - row_number() OVER (PARTITION BY own.path, path, diagonal ORDER BY pl) AS island FROM m),
+ r AS (SELECT own.path AS p1, path AS p2, diagonal, count(*) AS n, min(pl) AS pl, min(a) AS a2, max(b) AS b2, min(own.a) AS a1, max(own.b) AS b1 FROM i GROUP BY own.path, path, diagonal, island)
+"""
+
+
+@query("", RANGES + """ SELECT sha256(concat_ws(chr(31), p1, p2, pl - diagonal, pl)) AS clone_id, CAST(p1 AS VARCHAR) AS first_path, a1 AS first_start, b1 AS first_end, CAST(p2 AS VARCHAR) AS second_path, a2 AS second_start, b2 AS second_end,
+ n + 49 AS tokens, least(b2 - a2, b1 - a1) + 1 AS lines FROM r WHERE least(b2 - a2, b1 - a1) >= 2""", docs="SELECT doc_id, text FROM {documents}")
+def clone_ranges(docs: DataFrame) -> DataFrame:
+    """Equal ranges of 50 tokens and three lines or more, each with its first holder."""
+    found = clones.clone_ranges(docs.withColumnRenamed("doc_id", "path"), 50, 2)
+    side = lambda s: [F.col(f"{s}.{a}").alias(f"{s}_{b}") for a, b in (("path", "path"), ("start_line", "start"), ("end_line", "end"))]
+    return found.select("clone_id", *side("first"), *side("second"), "tokens", "lines")
+
+
+@query("", None, docs="SELECT doc_id, text FROM {documents}")
+def clone_symbols(docs: DataFrame) -> DataFrame:
+    """The ranges found, as pairs of the symbols that hold them: every document is one symbol, its first half another."""
+    found = clones.clone_ranges(docs.withColumnRenamed("doc_id", "path"), 50, 2)
+    size = F.size(F.split("text", "\n", -1))
+    whole = docs.select(F.concat(F.lit("m:"), "doc_id").alias("stable_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("node_start"), size.alias("node_end"))
+    half = docs.select(F.concat(F.lit("h:"), "doc_id").alias("stable_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("node_start"), F.floor(size / 2).cast("int").alias("node_end")).where("node_end >= 1")
+    return similarity.map_clones(found.select("clone_id", "first", "second"), whole.unionByName(half))
