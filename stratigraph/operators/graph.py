@@ -140,17 +140,18 @@ def impact_risks(reached: DataFrame, edges: DataFrame, symbols: DataFrame | None
     return told.select(F.explode(F.filter(names, lambda x: x.isNotNull())).alias("risk"))
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, longest: int = 12) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str, longest: int | None = None) -> DataFrame:
     """(path_length, path): fewest edges from start to end, ties by the ids of the nodes on the way; no row without a path.
 
     Breadth first: each level holds each newly reached node once, with its first path, and is
-    checkpointed; the search ends when end is reached or nothing new is.
+    checkpointed; the search ends when end is reached or nothing new is, or at a length that is asked for.
     """
     from ..sources.storage import checkpointed
 
     steps = edges.select(F.col("source").alias("at"), "target").distinct()
     level = reached = edges.sparkSession.createDataFrame([(start, [start])], "at string, path array<string>")
-    for _ in range(longest):
+    while longest is None or longest > 0:
+        longest = None if longest is None else longest - 1
         after = level.join(steps, "at").select(F.col("target").alias("at"), F.concat("path", F.array("target")).alias("path")).groupBy("at").agg(F.min("path").alias("path"))
         level = checkpointed(after.join(reached.select("at"), "at", "left_anti"))
         reached = reached.unionByName(level)
@@ -160,13 +161,16 @@ def shortest_path(edges: DataFrame, start: str, end: str, longest: int = 12) ->
 
 
 def reached_levels(edges: DataFrame, start: str, depth: int, direction: str = "dependents") -> DataFrame:
-    """(stable_id, depth): breadth first without paths; each node at its least depth, start at 0."""
+    """(stable_id, depth): breadth first without paths; each node at its least depth, start at 0. Levels are written, each once."""
+    from ..sources.storage import checkpointed
+
     near, far = ("source", "target") if direction == "dependencies" else ("target", "source")
     steps = edges.select(F.col(near).alias("stable_id"), F.col(far).alias("far")).distinct()
     reached = edges.sparkSession.createDataFrame([(start, 0)], "stable_id string, depth long")
     front = reached
     for k in range(1, depth + 1):
         front = front.join(steps, "stable_id").select(F.col("far").alias("stable_id")).distinct().join(reached.select("stable_id"), "stable_id", "left_anti").withColumn("depth", F.lit(k).cast("long"))
+        front = checkpointed(front)
         reached = reached.unionByName(front)
     return reached
 

@@ -105,25 +105,43 @@ def reintroduced(version_rows: DataFrame, current: DataFrame, revision: int, mos
     return scored.where("score >= 0.6").select("stable_id", "former_id", "removed_at", "score", "kinds")
 
 
-def incremental_plan(changes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def incremental_plan(changes: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, inventory: DataFrame | None = None, language: str = "csharp", provider: str = "csharp-syntax") -> DataFrame:
     """(kind, value): what an incremental analysis has to look at, from changes (path, status, moved_from).
 
     Changed and deleted paths, moved-from ones among both; affected nodes, those on changed paths and their
     neighbours; paths of these that did not change; providers and join keys of the edges touched; the reason.
+    With an inventory (path, language) the files to parse as well: the changed ones of the language, or all of them if there is no
+    revision yet (nodes is None: InitialScan) or if an unchanged file has no file node of the provider
+    (SnapshotCoverageUnavailable); such a plan names no nodes.
     """
     from ..sources.storage import checkpointed
 
     changed = checkpointed(changes.where("status != 'Unchanged'"))
     paths = changed.select("path").unionByName(changed.where("moved_from IS NOT NULL").select(F.col("moved_from").alias("path"))).distinct()
     gone = changed.where("status = 'Deleted'").select("path").unionByName(changed.where("status = 'Moved'").select(F.col("moved_from").alias("path")))
+    told = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("value"))
+    files = inventory.where(F.col("language") == language).select("path").distinct() if inventory is not None else None
+    full = None
+    if changed.limit(1).count():
+        if nodes is None:
+            full = "InitialScan"
+        elif files is not None:
+            covered = nodes.where((F.col("provider") == provider) & (F.col("node_kind") == "file") & F.col("file_path").isNotNull()).select(F.col("file_path").alias("path"))
+            if files.join(changed.select("path"), "path", "left_anti").join(covered, "path", "left_anti").limit(1).count():
+                full = "SnapshotCoverageUnavailable"
+    if full or nodes is None:
+        reason = changed.sparkSession.createDataFrame([(full or "NoSourceChanges",)], "value string")
+        out = told(reason, "reason", "value").unionByName(told(paths, "changed_path", "path")).unionByName(told(gone, "deleted_path", "path"))
+        return out.unionByName(told(files, "parse", "path")) if full and files is not None else out
     hit = checkpointed(nodes.join(paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select("stable_id"))
     ends = lambda c: edges.join(hit.withColumnRenamed("stable_id", c), c, "left_semi")
     touched = checkpointed(ends("source").unionByName(ends("target")).dropDuplicates(["edge_id"]))
     affected = checkpointed(hit.union(touched.select("source")).union(touched.select("target")).distinct())
     near = nodes.join(affected, "stable_id", "left_semi").where("file_path IS NOT NULL").select(F.col("file_path").alias("path")).distinct().join(paths, "path", "left_anti")
     reason = changed.agg(F.when(F.count("*") == 0, "NoSourceChanges").otherwise("IncrementalReuse").alias("value"))
-    told = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("value"))
     out = told(reason, "reason", "value").unionByName(told(paths, "changed_path", "path")).unionByName(told(gone, "deleted_path", "path")).unionByName(told(affected, "affected", "stable_id")).unionByName(told(near, "dependent_path", "path"))
+    if files is not None:
+        out = out.unionByName(told(files.join(changed.select("path").distinct(), "path", "left_semi"), "parse", "path"))
     out = out.unionByName(told(touched.select("provider").distinct(), "provider", "provider"))
     return out.unionByName(told(touched.where(F.btrim("join_key") != "").select("join_key").distinct(), "join_key", "join_key"))
 
@@ -159,10 +177,21 @@ def reconcile_facts(nodes: DataFrame, edges: DataFrame, fresh_nodes: DataFrame,
 
 
 def migrated_versions(snapshots: DataFrame, key: str = "stable_id", order: str = "revision") -> DataFrame:
-    """Version rows from the full snapshots of an older store: each is valid for its own revision, the last of an id stays open."""
-    last = F.max(order).over(Window.partitionBy(key))
+    """Version rows of nodes or edges from the full snapshots of an older store: each is valid for its own revision, the last of an id stays open.
+
+    A content hash that is missing becomes legacy:revision:id.
+    """
+    last = snapshots.groupBy(key).agg(F.max(order).alias("last"))
     rest = [c for c in snapshots.columns if c not in (key, order)]
-    return snapshots.select(key, *rest, F.col(order).alias("valid_from"), F.when(F.col(order) != last, F.col(order)).alias("valid_to"))
+    hashed = F.coalesce("content_hash", F.concat_ws(":", F.lit("legacy"), F.col(order).cast("string"), key))
+    rows = snapshots.withColumn("content_hash", hashed) if "content_hash" in rest else snapshots
+    return rows.join(last, key).select(key, *rest, F.col(order).alias("valid_from"), F.when(F.col(order) != F.col("last"), F.col(order)).alias("valid_to"))
+
+
+def migrated_identities(snapshots: DataFrame, key: str = "stable_id", fixed: list[str] | None = None, order: str = "revision") -> DataFrame:
+    """(key, fixed attributes, first_seen, last_seen): an id's attributes are those of its last revision."""
+    found = snapshots.groupBy(key).agg(F.max(F.struct(order, *(fixed or []))).alias("m"), F.min(order).alias("first_seen"))
+    return found.select(key, *[F.col(f"m.{c}").alias(c) for c in fixed or []], "first_seen", F.col(f"m.{order}").alias("last_seen"))
 
 
 def staleness_plan(changed: DataFrame, prior: DataFrame, current: DataFrame) -> DataFrame:

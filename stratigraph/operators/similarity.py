@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import block_of, every_level, span_blocks, span_level
 from ..functions.text import directory, extension, jaccard, name_tokens, r6, r6e, tokens
+from ..sources.storage import checkpointed
 
 #: evidence weights: symbol, signature, dependency neighbourhood, file context, embedding, module context
 WEIGHTS = {"symbol": 0.25, "signature": 0.25, "neighbourhood": 0.15, "file": 0.15, "embedding": 0.10, "module": 0.10}
@@ -34,7 +36,8 @@ def similarity_facts(nodes: DataFrame, edges: DataFrame | None = None, symbols:
 def hybrid_scores(pairs: DataFrame) -> DataFrame:
     """Scores of pairs of similarity_facts rows a and b (structs): symbol, signature, neighbourhood, file and module evidence.
 
-    An evidence that is not available takes no share of the weights; evidence and contributions are rounded.
+    An evidence that is not available takes no share of the weights; evidence and contributions are rounded. Neighbourhoods are
+    compared by the rows' sets, or are a column shared_ends of the pairs.
     """
     a, b = F.col("a"), F.col("b")
     both_layers = a["layer"].isNotNull() & b["layer"].isNotNull()
@@ -43,7 +46,7 @@ def hybrid_scores(pairs: DataFrame) -> DataFrame:
     evidence = {
         "symbol": jaccard(a["words"], b["words"]),
         "signature": F.when(b["sig_words"].isNotNull(), jaccard(F.coalesce(a["sig_words"], a["words"]), b["sig_words"])),
-        "neighbourhood": (jaccard(a["outs"], b["outs"]) + jaccard(a["ins"], b["ins"])) / 2,
+        "neighbourhood": F.col("shared_ends") if "shared_ends" in pairs.columns else (jaccard(a["outs"], b["outs"]) + jaccard(a["ins"], b["ins"])) / 2,
         "file": F.when(both_paths, file),
         "module": F.when(both_layers, F.when(a["layer"] == b["layer"], 1.0).otherwise(0.0)),
     }
@@ -60,12 +63,35 @@ def hybrid_scores(pairs: DataFrame) -> DataFrame:
     return raw.where("score > 0").withColumn("confidence", confidence)
 
 
-def find_similar(facts: DataFrame, source: str, limit: int = 10) -> DataFrame:
-    """(candidate_id, score, confidence, support): the best candidates for one node, which is one broadcast row."""
+def shared_ends(edges: DataFrame, source: str) -> DataFrame:
+    """(stable_id, shared_ends): the mean of the Jaccard similarities of targets and of sources with those of one node.
+
+    Only the node's own ends are matched, by a semi-join, and what is kept of a node are two counts each way: no set is built.
+    """
+    parts = []
+    for near, far in (("source", "target"), ("target", "source")):
+        links = edges.select(F.col(near).alias("stable_id"), F.col(far).alias("end")).distinct()
+        own = links.where(F.col("stable_id") == source).select("end")
+        size = own.agg(F.count("*").alias("size"))
+        both = links.join(own, "end", "left_semi").groupBy("stable_id").agg(F.count("*").alias("common"))
+        each = links.groupBy("stable_id").agg(F.count("*").alias("n")).join(both, "stable_id").crossJoin(F.broadcast(size))  # one row
+        parts.append(each.select("stable_id", (F.col("common") / (F.col("n") + F.col("size") - F.col("common"))).alias("share")))
+    return parts[0].unionByName(parts[1]).groupBy("stable_id").agg((F.sum("share") / 2).alias("shared_ends"))
+
+
+def find_similar(facts: DataFrame, source: str, limit: int = 10, edges: DataFrame | None = None) -> DataFrame:
+    """(candidate_id, score, confidence, support): the best candidates for one node, which is one broadcast row.
+
+    With edges their ends are compared as shared_ends has them; facts then come without edges.
+    """
     if not 1 <= limit <= 50:
         raise ValueError("limit out of bounds")
     one = facts.where(F.col("stable_id") == source).select(F.struct("*").alias("a")).limit(1)
-    pairs = facts.where(F.col("stable_id") != source).select(F.struct("*").alias("b")).crossJoin(F.broadcast(one))
+    others = facts.where(F.col("stable_id") != source)
+    pairs = others.select(F.struct("*").alias("b")).crossJoin(F.broadcast(one))
+    if edges is not None:
+        ends = shared_ends(edges, source).withColumnRenamed("stable_id", "other")
+        pairs = pairs.join(ends, F.col("b.stable_id") == F.col("other"), "left").withColumn("shared_ends", F.coalesce("shared_ends", F.lit(0.0))).drop("other")
     level = F.when(F.col("confidence") == "High", 2).when(F.col("confidence") == "Medium", 1).otherwise(0)
     best = hybrid_scores(pairs).select(F.col("b.stable_id").alias("candidate_id"), "score", "confidence", "support").orderBy(F.desc("score"), F.desc(level), "candidate_id").limit(limit)
     return best
@@ -93,13 +119,11 @@ def similarity_pairs(facts: DataFrame, threshold: float = 0.6, pool: int = 500,
     return best.where(f"seed < other AND score >= {threshold}").select(F.col("seed").alias("left_id"), F.col("other").alias("right_id"), "score")
 
 
-def clusters(pairs: DataFrame, rounds: int = 32) -> DataFrame:
+def clusters(pairs: DataFrame) -> DataFrame:
     """(stable_id, cluster_id, member_score): connected components of scored pairs by least labels; a member's mean edge score."""
-    from ..sources.storage import checkpointed
-
     both = checkpointed(pairs.select(F.col("left_id").alias("x"), F.col("right_id").alias("y"), "score").union(pairs.select("right_id", "left_id", "score")))
     label = both.groupBy("x").agg(F.least(F.min("x"), F.min("y")).alias("c"))
-    for _ in range(rounds):
+    while True:
         label = checkpointed(label)
         near = both.join(label.select(F.col("x").alias("y"), "c"), "y").select("x", "c")
         new = label.union(near).groupBy("x").agg(F.min("c").alias("c"))
@@ -179,16 +203,18 @@ def cosine(a: Column, b: Column) -> Column:
 def band_cosine(vectors: DataFrame) -> DataFrame:
     """(band, left_id, right_id, cosine, z): all pairs of a band, that is the feature; z by the band's mean and population deviation.
 
-    Norms are made once per vector, pairs meet by an equi-join on the band, and its statistics are a window over them.
+    Norms are made once per vector, pairs meet by an equi-join on the band and are written, and its statistics are sums over them.
     """
     norm = F.sqrt(F.aggregate(F.transform("embedding", lambda p: p.cast("double") * p.cast("double")), F.lit(0.0), lambda s, v: s + v))
     v = vectors.select("band", "id", F.transform("embedding", lambda p: p.cast("double")).alias("e"), norm.alias("n"))
     pairs = v.toDF("band", "left_id", "e1", "n1").join(v.toDF("band", "right_id", "e2", "n2"), "band").where("left_id < right_id")
     dot = F.aggregate(F.zip_with("e1", "e2", lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("band", "left_id", "right_id", r6(dot / (F.col("n1") * F.col("n2"))).alias("cosine"))
-    own = Window.partitionBy("band")
-    told = scored.withColumn("m", F.avg("cosine").over(own)).withColumn("d", F.stddev_pop("cosine").over(own))
-    return told.select("band", "left_id", "right_id", "cosine", F.when(F.col("d") > 0, (F.col("cosine") - F.col("m")) / F.col("d")).otherwise(0.0).alias("z"))
+    told = checkpointed(scored)
+    # a few rows, one a band, from sums that each task makes first
+    bands = told.groupBy("band").agg(F.avg("cosine").alias("m"), F.stddev_pop("cosine").alias("d"))
+    z = F.when(F.col("d") > 0, (F.col("cosine") - F.col("m")) / F.col("d")).otherwise(0.0)
+    return told.join(bands, "band").select("band", "left_id", "right_id", "cosine", z.alias("z"))
 
 
 def projection_sign(bit: int, index: int) -> int:
@@ -265,19 +291,17 @@ def cache_plan(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.select("content_hash").distinct().join(have, "content_hash", "left").select("content_hash", F.coalesce("c", F.lit(False)).alias("cached"))
 
 
-def narrowest_container(ranges: DataFrame, nodes: DataFrame, lines: int = 16, levels: int = 7) -> DataFrame:
+def narrowest_container(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(range_id, stable_id, state): the narrowest node of a file that holds a line range; equal spans are ambiguous.
 
     Nodes of one span are one row with their number and least id. A span is listed in the two blocks at most
     that it reaches into at the level whose blocks are as long as it is; ranges look in the block where they
     start, once a level. So the join is on (file, level, block) and no row is listed more than that.
     """
-    size = lambda k: F.pow(F.lit(4.0), k) * lines
     spans = nodes.groupBy("file_path", "node_start", "node_end").agg(F.count("*").alias("nodes"), F.min("stable_id").alias("id"))
-    level = F.greatest(F.lit(0), F.least(F.lit(levels - 1), F.ceil(F.log(4.0, F.greatest(F.lit(1), F.col("node_end") - F.col("node_start")) / lines)))).cast("int")
-    spans = spans.withColumn("level", level)
-    listed = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("node_start") / size(F.col("level"))), F.floor(F.col("node_end") / size(F.col("level"))))))
-    looked = ranges.withColumn("level", F.explode(F.lit(list(range(levels))))).withColumn("block", F.floor(F.col("start_line") / size(F.col("level"))))
+    spans = spans.withColumn("level", span_level(F.col("node_start"), F.col("node_end")))
+    listed = spans.withColumn("block", F.explode(span_blocks(F.col("node_start"), F.col("node_end"), F.col("level"))))
+    looked = ranges.withColumn("level", every_level()).withColumn("block", block_of(F.col("start_line"), F.col("level")))
     held = looked.join(listed, ["file_path", "level", "block"]).where("node_start <= start_line AND node_end >= end_line")
     lengths = held.groupBy("range_id", (F.col("node_end") - F.col("node_start")).alias("span")).agg(F.sum("nodes").alias("n"), F.min("id").alias("id"))
     best = lengths.groupBy("range_id").agg(F.min(F.struct("span", "n", "id")).alias("m"))
@@ -311,31 +335,46 @@ def lifecycle_changes(desired: DataFrame, events: DataFrame, revision: int) -> D
     return desired.join(now, "finding_id", "left").where(~F.col("state").eqNullSafe(F.col("was"))).select("finding_id", "state")
 
 
-def explain_reuse(candidates: DataFrame, nodes: DataFrame, symbols: DataFrame, proposed: str, intent: str = "") -> DataFrame:
-    """(candidate_id, supporting, differentiating, decision): whether a proposed node should reuse each candidate.
+#: what to look at before acting on a decision
+REUSE_CHECKS = {"Reuse": "get_dependents,check_violation", "Extend": "get_dependents,get_module_rules,check_violation", "DoNotReuse": "get_dependents,check_violation", "InsufficientEvidence": "find_similar,get_dependents"}
+
+
+def explain_reuse(candidates: DataFrame, nodes: DataFrame, symbols: DataFrame, proposed: str | None, intent: str = "") -> DataFrame:
+    """(candidate_id, supporting, differentiating, decision, checks): whether a proposal should reuse each candidate.
 
-    Names, persisted signatures, public visibility and directories decide; unknown candidates lack evidence.
+    The proposal is a node, an intent in words, or both. Names, persisted signatures, public visibility and directories decide. A
+    candidate, or a named proposal, that is no node gives the factor candidate_missing or proposal_missing and no checks.
     """
     first = symbols.groupBy(F.col("node_id").alias("stable_id")).agg(F.min(F.struct("symbol_id", "normalized_signature", "visibility")).alias("s"))
-    facts = nodes.select("stable_id", "display_name", "file_path").join(first, "stable_id", "left")
-    one = facts.where(F.col("stable_id") == proposed).limit(1).select(F.col("display_name").alias("own_name"), F.col("file_path").alias("own_path"), F.col("s").alias("own"))
-    rows = candidates.select(F.col("candidate_id").alias("stable_id")).join(facts, "stable_id", "left").crossJoin(F.broadcast(one))
-    known = F.col("display_name").isNotNull()
-    names = jaccard(tokens(F.concat_ws(" ", F.lit(intent), "own_name")), tokens(F.concat_ws(" ", "display_name", "stable_id"))) > 0
+    key = F.col("canonical_key") if "canonical_key" in nodes.columns else F.col("stable_id")
+    facts = nodes.select("stable_id", "display_name", "file_path", key.alias("key")).join(first, "stable_id", "left")
+    # one row also where there is no such node
+    own = F.first(F.struct(F.lit(True).alias("there"), F.col("display_name").alias("own_name"), F.col("file_path").alias("own_path"), F.col("s").alias("own")))
+    one = facts.where(F.col("stable_id") == (proposed or "")).agg(own.alias("p")).select("p.*")
+    there = facts.withColumn("known", F.lit(True))
+    rows = candidates.select(F.col("candidate_id").alias("stable_id")).join(there, "stable_id", "left").crossJoin(F.broadcast(one))
+    known, named = F.col("known").isNotNull(), F.col("there").isNotNull()
+    usable = known & (named if proposed is not None else F.lit(True))
+    names = jaccard(tokens(F.concat_ws(" ", F.lit(intent), "own_name")), tokens(F.concat_ws(" ", "display_name", "key"))) > 0
     comparable = F.col("s").isNotNull() & F.col("own").isNotNull()
     same = comparable & (F.col("s.normalized_signature") == F.col("own.normalized_signature"))
-    together = F.coalesce((F.btrim("own_path") != "") & (F.btrim("file_path") != "") & (directory(F.col("own_path")) == directory(F.col("file_path"))), F.lit(False))
-    apart = ~together & ~F.col("own_path").eqNullSafe(F.col("file_path"))
+    together = named & F.coalesce((F.btrim("own_path") != "") & (F.btrim("file_path") != "") & (directory(F.col("own_path")) == directory(F.col("file_path"))), F.lit(False))
+    apart = named & ~together & ~F.col("own_path").eqNullSafe(F.col("file_path"))
     public = (F.lower("s.visibility") == "public") & (F.lower("own.visibility") == "public")
-    told = lambda *parts: F.array_join(F.filter(F.array(*[F.when(known & c, F.lit(n)) for n, c in parts]), lambda x: x.isNotNull()), ",")
-    rows = rows.select(
-        F.col("stable_id").alias("candidate_id"),
-        told(("symbol_overlap", names), ("public_signature_match", same), ("file_ownership_overlap", together)).alias("supporting"),
-        told(("public_signature_mismatch", comparable & ~same), ("file_ownership_difference", apart)).alias("differentiating"),
-        F.when(known & F.coalesce(public, F.lit(False)) & ~same, "DoNotReuse")
-        .when(known & same & (names.cast("int") + together.cast("int") >= 1), "Reuse")
-        .when(known & names & comparable & ~same, "Extend")
+    decision = (
+        F.when(~usable, "InsufficientEvidence")
+        .when(F.coalesce(public, F.lit(False)) & comparable & ~same, "DoNotReuse")
+        .when(same & (names.cast("int") + together.cast("int") >= 1), "Reuse")
+        .when(names & comparable & ~same, "Extend")
         .otherwise("InsufficientEvidence")
-        .alias("decision"),
     )
-    return rows
+    told = lambda *parts: F.array_join(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in parts]), lambda x: x.isNotNull()), ",")
+    checks = F.lit("")
+    for name, what in REUSE_CHECKS.items():
+        checks = F.when(F.col("usable") & (F.col("decision") == name), what).otherwise(checks)
+    return rows.select(
+        F.col("stable_id").alias("candidate_id"),
+        told(("symbol_overlap", usable & names), ("public_signature_match", usable & same), ("file_ownership_overlap", usable & together)).alias("supporting"),
+        told(("candidate_missing", ~known), ("proposal_missing", known & ~usable), ("public_signature_mismatch", usable & comparable & ~same), ("file_ownership_difference", usable & apart)).alias("differentiating"),
+        decision.alias("decision"), usable.alias("usable"),
+    ).withColumn("checks", checks).drop("usable")

@@ -168,7 +168,7 @@ def explain_architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
  SELECT candidate_id, decision, ['Reuse', 'Extend', 'NewCapability', 'InsufficientEvidence'][k + 1] AS recommendation FROM told, first""")
 def plan_change(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
     """The best three candidates and the recommendation that goes first: reuse, extend, then a new capability."""
-    best = similarity.find_similar(similarity.similarity_facts(nodes, edges, syms), "p:7", 3)
+    best = similarity.find_similar(similarity.similarity_facts(nodes, None, syms), "p:7", 3, edges)
     told = similarity.explain_reuse(best, nodes, syms, "p:7").select("candidate_id", "decision")
     order = F.when(F.col("decision") == "Reuse", 0).when(F.col("decision") == "Extend", 1).when(F.col("decision") == "DoNotReuse", 2).otherwise(3)
     first = told.agg(F.min_by("decision", order).alias("d")).select(F.when(F.col("d") == "DoNotReuse", "NewCapability").otherwise(F.col("d")).alias("recommendation"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import history
+from ..projections import SNAPSHOTS
 from ..registry import query
 
 ATTRS = ["node_kind", "file_path", "content_hash"]
@@ -128,9 +129,44 @@ def reconcile_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.select(F.lit("edge").alias("fact"), F.col("edge_id").alias("id"), F.concat_ws(">", "source", "target").alias("told")).unionByName(n.select(F.lit("node").alias("fact"), F.col("stable_id").alias("id"), F.col("display_name").alias("told")))
 
 
-@query("snaps", " SELECT stable_id, node_kind, file_path, content_hash, revision AS valid_from, CASE WHEN revision != max(revision) OVER (PARTITION BY stable_id) THEN revision END AS valid_to FROM snaps")
-def migrate_snapshots(snaps: DataFrame) -> DataFrame:
-    return history.migrated_versions(snaps)
+#: the first days' contents were stored without a hash
+OLD_NODES = "SELECT revision, stable_id, node_kind, file_path, CASE WHEN revision > 3 THEN content_hash END AS content_hash FROM (" + SNAPSHOTS + ") AS s"
+OLD_EDGES = """SELECT CAST(day(ts) AS BIGINT) AS revision, concat('u', user_id, '>', event_type) AS edge_id, concat('u', user_id) AS source, event_type AS target, CASE WHEN day(ts) < 9 THEN 'calls' ELSE 'uses' END AS edge_kind,
+ CASE WHEN count(*) > 1 THEN 'many' END AS join_key FROM {events} GROUP BY day(ts), user_id, event_type"""
+
+
+@query("", """, l AS (SELECT 'node' AS fact, stable_id AS id, concat_ws('|', node_kind, file_path, coalesce(content_hash, concat('legacy:', revision, ':', stable_id))) AS told, revision FROM olds
+ UNION ALL SELECT 'edge', edge_id, concat_ws('|', source, target, edge_kind, join_key), revision FROM links)
+ SELECT fact, id, told, revision AS valid_from, CASE WHEN revision != max(revision) OVER (PARTITION BY fact, id) THEN revision END AS valid_to FROM l
+ UNION ALL SELECT 'node identity', stable_id, '', min(revision), max(revision) FROM olds GROUP BY stable_id
+ UNION ALL SELECT 'edge identity', edge_id, max_by(concat_ws('|', source, target, edge_kind, join_key), revision), min(revision), max(revision) FROM links GROUP BY edge_id""", olds=OLD_NODES, links=OLD_EDGES)
+def migrate_snapshots(olds: DataFrame, links: DataFrame) -> DataFrame:
+    """Versions and identities of nodes and edges from snapshots of every day."""
+    fixed = ["source", "target", "edge_kind", "join_key"]
+    nodes, edges = history.migrated_versions(olds), history.migrated_versions(links, "edge_id")
+    told = lambda df, fact, key, columns, a, b: df.select(F.lit(fact).alias("fact"), F.col(key).alias("id"), F.concat_ws("|", *columns).alias("told"), F.col(a).alias("valid_from"), F.col(b).alias("valid_to"))
+    out = told(nodes, "node", "stable_id", ["node_kind", "file_path", "content_hash"], "valid_from", "valid_to").unionByName(told(edges, "edge", "edge_id", fixed, "valid_from", "valid_to"))
+    out = out.unionByName(told(history.migrated_identities(olds), "node identity", "stable_id", [], "first_seen", "last_seen"))
+    return out.unionByName(told(history.migrated_identities(links, "edge_id", fixed), "edge identity", "edge_id", fixed, "first_seen", "last_seen"))
+
+
+#: an inventory of documents, the changes of one source's, and file nodes of those of the other sources that are long enough
+PLANNED = "SELECT concat(source, '/', doc_id) AS path, lang AS language FROM {documents}"
+EDITED = "SELECT concat(source, '/', doc_id) AS path, CASE WHEN n_chars < 900 THEN 'Deleted' ELSE 'Changed' END AS status, CAST(NULL AS VARCHAR(9)) AS moved_from FROM {documents} WHERE source = (SELECT min(source) FROM {documents})"
+FILED = "SELECT concat('f:', doc_id) AS stable_id, concat(source, '/', doc_id) AS file_path, 'syntax' AS provider, 'file' AS node_kind, n_chars FROM {documents}"
+
+
+@query("", """, c AS (SELECT path FROM edited), d AS (SELECT path FROM edited WHERE status = 'Deleted'), p AS (SELECT path FROM planned WHERE language = 'en'), f AS (SELECT unnest(['initial', 'uncovered']) AS asked),
+ n AS (SELECT stable_id FROM filed WHERE file_path IN (SELECT path FROM c))
+ SELECT 'none' AS asked, 'reason' AS kind, 'NoSourceChanges' AS value UNION ALL SELECT 'initial', 'reason', 'InitialScan' UNION ALL SELECT 'uncovered', 'reason', 'SnapshotCoverageUnavailable' UNION ALL SELECT 'covered', 'reason', 'IncrementalReuse'
+ UNION ALL SELECT asked, 'changed_path', path FROM c, f UNION ALL SELECT asked, 'deleted_path', path FROM d, f UNION ALL SELECT asked, 'parse', path FROM p, f
+ UNION ALL SELECT 'covered', 'changed_path', path FROM c UNION ALL SELECT 'covered', 'deleted_path', path FROM d UNION ALL SELECT 'covered', 'parse', path FROM p WHERE path IN (SELECT path FROM c) UNION ALL SELECT 'covered', 'affected', stable_id FROM n""", planned=PLANNED, edited=EDITED, filed=FILED)
+def incremental_reasons(planned: DataFrame, edited: DataFrame, filed: DataFrame) -> DataFrame:
+    """The four reasons of a plan: nothing changed, no revision yet, a file that no revision covers, and reuse."""
+    edges = edited.sparkSession.createDataFrame([], "edge_id string, source string, target string, provider string, join_key string")
+    plan = lambda name, changes, nodes: history.incremental_plan(changes, nodes, edges, planned, "en", "syntax").select(F.lit(name).alias("asked"), "*")
+    out = plan("none", edited.where("false"), filed).unionByName(plan("initial", edited, None))
+    return out.unionByName(plan("uncovered", edited, filed.where("n_chars > 1200"))).unionByName(plan("covered", edited, filed))
 
 
 @query("nodes edges", " SELECT stable_id FROM nodes WHERE node_kind = 'nation' UNION SELECT source FROM edges WHERE target IN (SELECT stable_id FROM nodes WHERE node_kind = 'nation')")

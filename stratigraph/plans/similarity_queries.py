@@ -64,11 +64,19 @@ REUSE = f""", own AS (SELECT n.*, signature, visibility FROM nodes n LEFT JOIN s
  told AS (SELECT candidate_id, array_to_string(list_filter([CASE WHEN names THEN 'symbol_overlap' END, CASE WHEN same THEN 'public_signature_match' END, CASE WHEN together THEN 'file_ownership_overlap' END], lambda x: x IS NOT NULL), ',') AS supporting,
  array_to_string(list_filter([CASE WHEN comparable AND NOT same THEN 'public_signature_mismatch' END, CASE WHEN NOT together AND other THEN 'file_ownership_difference' END], lambda x: x IS NOT NULL), ',') AS differentiating,
  CASE WHEN public AND comparable AND NOT same THEN 'DoNotReuse' WHEN same AND (names OR together) THEN 'Reuse' WHEN names AND comparable AND NOT same THEN 'Extend' ELSE 'InsufficientEvidence' END AS decision FROM each)"""
+CHECKS = "CASE decision WHEN 'Extend' THEN 'get_dependents,get_module_rules,check_violation' WHEN 'InsufficientEvidence' THEN 'find_similar,get_dependents' ELSE 'get_dependents,check_violation' END"
 
 
-@query("nodes edges syms", NODE_FACTS + BEST + REUSE + " SELECT * FROM told")
+@query("nodes edges syms", NODE_FACTS + BEST + REUSE + f""" SELECT 'node' AS asked, *, {CHECKS} AS checks FROM told UNION ALL SELECT 'node', 'p:none', '', 'candidate_missing', 'InsufficientEvidence', ''
+ UNION ALL SELECT 'no node', candidate_id, '', 'proposal_missing', 'InsufficientEvidence', '' FROM told UNION ALL SELECT 'no node', 'p:none', '', 'candidate_missing', 'InsufficientEvidence', ''
+ UNION ALL SELECT 'intent', stable_id, CASE WHEN {jac("['ALMOND', 'TIN', 'P']", TOK.format("concat_ws(chr(32), display_name, stable_id)"))} > 0 THEN 'symbol_overlap' ELSE '' END, '', 'InsufficientEvidence', 'find_similar,get_dependents' FROM nodes""")
 def reuse_explain(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
-    return similarity.explain_reuse(similarity.find_similar(similarity.similarity_facts(nodes, edges, syms), "p:7", 20), nodes, syms, "p:7")
+    """Reuse of a node's likes; the same for a proposal that isn't there; and all nodes for an intent in words."""
+    best = similarity.find_similar(similarity.similarity_facts(nodes, None, syms), "p:7", 20, edges).select("candidate_id")
+    asked = best.unionByName(best.sparkSession.sql("SELECT 'p:none' AS candidate_id"))
+    every = nodes.select(F.col("stable_id").alias("candidate_id"))
+    told = lambda name, *how: similarity.explain_reuse(*how).select(F.lit(name).alias("asked"), "*")
+    return told("node", asked, nodes, syms, "p:7").unionByName(told("no node", asked, nodes, syms, "p:nowhere")).unionByName(told("intent", every, nodes, syms, None, "almond tin p"))
 
 
 PAIRS = DOC_FACTS.replace("FROM doc_nodes", "FROM doc_nodes ORDER BY stable_id LIMIT 500") + ", raw AS (SELECT a.stable_id AS seed, b.stable_id AS other, " + hybrid_sql("a", "b") + " FROM facts a JOIN facts b ON a.stable_id != b.stable_id)" + SCORE + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, other) AS k FROM done WHERE score > 0 AND support >= 2)"

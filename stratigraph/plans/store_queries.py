@@ -39,24 +39,41 @@ def call_site_scope(places: DataFrame, scopes: DataFrame) -> DataFrame:
     return providers.smallest_scope(places, scopes)
 
 
-SPANS = "SELECT concat('d', doc_id) AS stable_id, concat('f', doc_id % 40) AS path, CAST(doc_id % 100 AS INT) AS start_line, CAST(doc_id % 100 + 30 AS INT) AS end_line FROM {documents}"
-DECLARED = "SELECT concat('f', page_id % 40) AS path, CAST(page_id % 110 AS INT) AS decl_start, CAST(page_id % 110 + page_id % 25 AS INT) AS decl_end, page_id % 3 = 0 AS is_type, CASE WHEN page_id % 17 = 0 THEN '' ELSE url END AS text FROM {pages}"
-
-
-@query("", """, held AS (SELECT * FROM spans JOIN declared USING (path) WHERE decl_start >= start_line AND decl_end <= end_line AND stable_id IN (SELECT concat('d', doc_id) FROM eligible)),
- best AS (SELECT stable_id, path, min_by(text, (NOT is_type, length(text), decl_start, text)) AS content FROM held GROUP BY 1, 2) SELECT stable_id, path, content, upper(sha256(content)) AS content_hash FROM best WHERE trim(content) != ''""",
-    spans=SPANS, declared=DECLARED, eligible="SELECT doc_id FROM {labels}")
+#: nodes are line ranges of documents, declarations are pages, both spread over as many files as there are customers
+SPANS = "SELECT concat('d', doc_id) AS stable_id, concat('f', n_chars % 400) AS path, CAST(doc_id % 100 AS INT) AS start_line, CAST(doc_id % 100 + 30 AS INT) AS end_line FROM {documents}"
+DECLARED = """SELECT concat('f', page_id % 400) AS path, CAST(page_id % 110 AS INT) AS decl_start, CAST(page_id % 110 + page_id % 25 AS INT) AS decl_end, page_id % 3 = 0 AS is_type,
+ CASE page_id % 2 WHEN 0 THEN 'ClassDeclaration' ELSE 'StructDeclaration' END AS declaration_kind, concat('void M', page_id, '()') AS signature, CASE WHEN page_id % 5 > 0 THEN concat('/// page ', page_id) END AS documentation,
+ CASE WHEN page_id % 17 = 0 THEN '  ' ELSE concat(' [ ', url, ' ] ') END AS body, url AS text FROM {pages}"""
+ELIGIBLE = "SELECT concat('d', doc_id) AS stable_id, CASE WHEN quality = 1 THEN 'PublicApi' WHEN toxic = 1 THEN 'Module' ELSE 'PublicType' END AS kind FROM {labels}"
+
+
+@query("", """, held AS (SELECT s.stable_id, s.path, d.* EXCLUDE (path) FROM spans s JOIN declared d USING (path) WHERE decl_start >= start_line AND decl_end <= end_line AND stable_id IN (SELECT stable_id FROM eligible WHERE kind != 'Module')),
+ best AS (SELECT *, row_number() OVER (PARTITION BY stable_id ORDER BY NOT is_type, length(text), decl_start, decl_end) AS k FROM held),
+ told AS (SELECT stable_id, path, CASE WHEN is_type THEN concat('declaration: ', declaration_kind, chr(10), 'documentation: ', documentation, chr(10), 'source:', chr(10), trim(text))
+ WHEN trim(body) != '' THEN concat('signature: ', signature, chr(10), 'documentation: ', documentation, chr(10), 'body:', chr(10), trim(body)) END AS content FROM best WHERE k = 1)
+ SELECT stable_id, path, content, upper(sha256(content)) AS content_hash FROM told WHERE content IS NOT NULL""", spans=SPANS, declared=DECLARED, eligible=ELIGIBLE)
 def chunk_select(spans: DataFrame, declared: DataFrame, eligible: DataFrame) -> DataFrame:
-    return providers.embedding_chunks(spans, declared, eligible.select(F.concat(F.lit("d"), "doc_id").alias("stable_id")))
+    return providers.embedding_chunks(spans, declared, eligible)
 
 
-KEYED = "SELECT event_id AS site_id, CASE event_id % 4 WHEN 0 THEN 'literal' WHEN 1 THEN 'queue_name' WHEN 2 THEN 'guess' END AS strategy, CASE WHEN event_id % 9 = 0 THEN '  ' ELSE concat(' ', event_type) END AS key FROM {events}"
+#: keys of all events: each fault of the contract, one by one, and valid keys of the four strategies
+KEYED = """SELECT event_id AS site_id, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE event_type END AS capture_name, CASE event_id % 5 WHEN 0 THEN 'TypeEquality' WHEN 1 THEN 'StringEquality' WHEN 2 THEN 'CanonicalPattern' WHEN 3 THEN 'ConfigurationPath' ELSE 'Guess' END AS strategy,
+ concat(' ', event_type) AS raw_value, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS normalized_value, CASE WHEN event_id % 3 = 0 THEN 'csharp-symbol/v2' WHEN event_id % 17 = 0 THEN '' ELSE 'text' END AS normalizer_id, user_id % 6 AS way,
+ CASE WHEN event_id % 19 = 0 THEN 'provider-join-key/v0' END AS schema_version FROM {events}"""
+#: steps by way: none, a placeholder, a separator and a placeholder, a placeholder twice, a blank kind, no list
+STEPS = "SELECT * FROM (VALUES (0, ''), (1, 'placeholder=id'), (2, 'separator=:|placeholder=x'), (3, 'placeholder=a|placeholder=a'), (4, '=a'), (5, NULL)) AS t(way, said)"
 
 
-@query("", """ SELECT site_id, CASE WHEN strategy IN ('literal', 'queue_name') AND trim(key) != '' THEN concat(strategy, ':', trim(key)) END AS join_key,
- CASE WHEN strategy IS NULL OR strategy NOT IN ('literal', 'queue_name') THEN 'unknown_strategy' WHEN trim(key) = '' THEN 'blank_key' END AS problem FROM keyed""", keyed=KEYED)
-def join_key_contract(keyed: DataFrame) -> DataFrame:
-    return providers.join_keys(keyed)
+@query("", """, parts AS (SELECT keyed.*, said, list_filter(string_split(said, '|'), lambda x: x != '') AS steps FROM keyed JOIN steps USING (way)),
+ p AS (SELECT site_id, coalesce(schema_version, 'provider-join-key/v1') AS schema_version, steps, CASE WHEN schema_version IS NOT NULL THEN 'unsupported_schema' WHEN trim(capture_name) = '' OR strategy = 'Guess' OR normalized_value IS NULL OR normalizer_id = '' OR said IS NULL OR said = '=a' THEN 'incomplete'
+ WHEN len(list_distinct(steps)) != len(steps) THEN 'repeated_step' WHEN strategy = 'TypeEquality' AND NOT starts_with(normalizer_id, 'csharp-symbol') THEN 'symbol_normalizer_needed' WHEN strategy = 'CanonicalPattern' AND NOT contains(said, 'placeholder=') THEN 'placeholder_needed'
+ WHEN strategy = 'ConfigurationPath' AND NOT contains(said, 'separator=') THEN 'separator_needed' END AS problem FROM parts)
+ SELECT site_id, schema_version, CASE WHEN problem IS NULL THEN array_to_string(list_sort(steps), '|') END AS steps, problem FROM p""", keyed=KEYED, steps=STEPS)
+def join_key_contract(keyed: DataFrame, steps: DataFrame) -> DataFrame:
+    step = lambda s: F.struct(F.split_part(s, F.lit("="), F.lit(1)).alias("kind"), F.split_part(s, F.lit("="), F.lit(2)).alias("value"))
+    listed = steps.select("way", F.transform(F.filter(F.split("said", "\\|"), lambda x: x != ""), step).alias("steps"))
+    found = providers.join_keys(keyed.join(F.broadcast(listed), "way"))  # six rows
+    return found.withColumn("steps", F.array_join(F.transform("steps", lambda s: F.concat_ws("=", s["kind"], s["value"])), "|"))
 
 
 SUMMARY_VERSIONS = "SELECT concat('s', user_id) AS summary_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS version_number, event_id AS version_id FROM {events}"
@@ -164,7 +181,7 @@ def doctor_counts(checks: DataFrame) -> DataFrame:
 
 @query("nodes edges syms", NODE_FACTS + BEST.replace("LIMIT 20", "LIMIT 3") + REUSE + BROKEN + " SELECT (SELECT count(*) FROM told) AS candidates, (SELECT count(*) FROM told WHERE decision = 'Reuse') AS reuse, (SELECT count(*) FROM broken) AS violations, (SELECT count(*) FROM broken) > 0 AS blocked")
 def preflight_change(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
-    best = similarity.find_similar(similarity.similarity_facts(nodes, edges, syms), "p:7", 3)
+    best = similarity.find_similar(similarity.similarity_facts(nodes, None, syms), "p:7", 3, edges)
     return stores.preflight(similarity.explain_reuse(best, nodes, syms, "p:7"), rules.layer_violations(nodes, edges, LAYERS, HARD))
 
 
