@@ -84,3 +84,15 @@ def change_sets(signals: DataFrame) -> DataFrame:
     stream, state = _staged(signals.unionByName(end), "signals", "at")
     found = stateful.run(stateful.change_sets(stream, 7_200_000, 21_600_000, "1 hour"), state)
     return found.select("workspace_id", "dispatched_at", F.array_join("paths", ",").alias("paths"), "full_inventory")
+
+
+#: a governor serves ten users' runs; a purchase completes the event before it, an error is a rate limit
+REQUESTS = """SELECT concat('g', user_id % 15) AS governor_id, concat('r', user_id) AS run_id, CAST(CASE WHEN event_type = 'purchase' THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) ELSE event_id END AS VARCHAR(20)) AS request_id,
+ CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'rate_limited' ELSE 'reserve' END AS kind, CAST(ts AS TIMESTAMP) AS at, CAST(100 * value AS BIGINT) AS tokens, value / 100 AS cost, CAST(60000 * value AS BIGINT) AS retry_after_ms FROM {events}"""
+
+
+@query("", None, requests=REQUESTS)
+def model_governor(requests: DataFrame) -> DataFrame:
+    """What happens to every reservation: admitted, or refused by cooldown, concurrency, or its run's quotas."""
+    stream, state = _staged(requests, "requests", "at")
+    return stateful.run(stateful.governed(stream, stateful.Limits(40, 25, 100_000, 9.0, 600_000)), state).drop("at")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -257,3 +258,101 @@ def change_sets(signals: DataFrame, settle_ms: int = 750, idle_ms: int = 30_000,
     rows = signals.withWatermark("at", late).select("workspace_id", "kind", "path", "at", F.unix_millis("at").alias("ms"))
     sets = rows.groupBy("workspace_id").transformWithStateInPandas(_Debounce(settle_ms, idle_ms), CHANGE_SETS, "append", "EventTime")
     return sets.select("workspace_id", F.timestamp_millis("dispatched_ms").alias("dispatched_at"), "paths", "full_inventory")
+
+
+# admission of model requests
+
+REQUESTS = "governor_id string, run_id string, request_id string, kind string, at timestamp, tokens long, cost double, retry_after_ms long"
+DECISIONS = "governor_id string, run_id string, request_id string, at timestamp, denial string, retry_after_ms long"
+
+
+class Limits(NamedTuple):
+    concurrent: int = 4
+    requests: int = 100
+    tokens: int = 100_000
+    cost: float = 10.0
+    cooldown_ms: int = 30_000
+
+
+def admit(now: int, run: tuple, active: int, has_lease: bool, cooldown: int | None, tokens: int, cost: float, limits: Limits) -> tuple[str | None, int | None]:
+    """(denial, wait): why a reservation is refused, None if it is not; run is what its run has reserved: requests, tokens, cost."""
+    if cooldown is not None and cooldown > now:
+        return "CooldownActive", cooldown - now
+    if has_lease:
+        return None, None
+    if active >= limits.concurrent:
+        return "ConcurrencyLimitReached", None
+    if run[0] >= limits.requests:
+        return "RequestQuotaExhausted", None
+    if run[1] > limits.tokens - tokens:
+        return "TokenQuotaExhausted", None
+    if run[2] > limits.cost - cost:
+        return "CostQuotaExhausted", None
+    return None, None
+
+
+class _Govern(StatefulProcessor):
+    """State of a governor: the leases that are out, what each run has reserved, and the end of a cooldown.
+
+    A batch reads the leases and runs that it names, folds its rows over them in order of time, and writes them back.
+    """
+
+    def __init__(self, limits: Limits):
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.shared = handle.getValueState("shared", "active long, cooldown long")
+        self.runs = handle.getMapState("runs", "run_id string", "requests long, tokens long, cost double")
+        self.leases = handle.getMapState("leases", "run_id string, request_id string", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(["ms", "run_id", "request_id", "kind"], kind="stable")
+        active, cooldown = self.shared.get() if self.shared.exists() else (0, -1)
+        runs, leases = {}, {}
+        for run in batch["run_id"].dropna().unique():
+            runs[run] = tuple(self.runs.getValue((run,))) if self.runs.containsKey((run,)) else (0, 0, 0.0)
+        for lease in set(zip(batch["run_id"], batch["request_id"], strict=True)):
+            if lease[0] is not None and lease[1] is not None:
+                leases[lease] = self.leases.containsKey(lease)
+        before, out = dict(leases), []
+        for r in batch.itertuples():
+            lease = (r.run_id, r.request_id)
+            if r.kind == "rate_limited":
+                wait = max(self.limits.cooldown_ms, 0 if pd.isna(r.retry_after_ms) else int(r.retry_after_ms))
+                cooldown = max(cooldown, int(r.ms) + wait)
+            elif r.kind == "complete" and leases.get(lease):
+                leases[lease], active = False, active - 1
+            elif r.kind == "reserve":
+                denial, wait = admit(int(r.ms), runs[r.run_id], active, leases[lease], cooldown if cooldown >= 0 else None, int(r.tokens), float(r.cost), self.limits)
+                if denial is None and not leases[lease]:
+                    leases[lease], active, had = True, active + 1, runs[r.run_id]
+                    runs[r.run_id] = (had[0] + 1, had[1] + int(r.tokens), had[2] + float(r.cost))
+                out.append((key[0], *lease, r.at, denial, wait))
+        for run, used in runs.items():
+            if used[0]:
+                self.runs.updateValue((run,), (int(used[0]), int(used[1]), float(used[2])))
+        for lease, there in leases.items():
+            if there != before[lease]:
+                self.leases.updateValue(lease, (0,)) if there else self.leases.removeKey(lease)
+        self.shared.update((int(active), int(cooldown)))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
+        yield frame.astype({"retry_after_ms": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def governed(requests: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(governor_id, run_id, request_id, at, denial, retry_after_ms) of every reservation in a stream of requests, in order of time.
+
+    Kinds: reserve (with an estimate of tokens, 1 to 10 million, and cost), complete, which ends the lease of a request, and
+    rate_limited, which starts a cooldown of at least cooldown_ms for the whole governor. An admission counts against the
+    concurrency limit until its lease ends and against its run's requests, tokens and cost for ever; a refusal counts nothing. A request
+    that holds a lease is admitted again without counting. Reservations with an estimate out of bounds are denied as InvalidEstimate.
+    """
+    valid = F.col("tokens").between(1, 10_000_000) & ~F.isnan("cost") & (F.col("cost") >= 0) & (F.col("cost") < float("inf"))
+    kind = F.when((F.col("kind") == "reserve") & ~F.coalesce(valid, F.lit(False)), "invalid").otherwise(F.col("kind"))
+    rows = requests.select("governor_id", "run_id", "request_id", kind.alias("kind"), "at", F.unix_millis("at").alias("ms"), "tokens", "cost", "retry_after_ms")
+    decided = rows.where("kind != 'invalid'").groupBy("governor_id").transformWithStateInPandas(_Govern(limits), DECISIONS, "append", "None")
+    refused = rows.where("kind = 'invalid'").select("governor_id", "run_id", "request_id", "at", F.lit("InvalidEstimate").alias("denial"), F.lit(None).cast("long").alias("retry_after_ms"))
+    return decided.unionByName(refused)

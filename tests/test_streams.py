@@ -161,6 +161,64 @@ def test_change_sets_over_batches_and_orders(spark, tmp_path):
     assert any(r.full_inventory for r in got)
 
 
+def requests(n, seed):
+    g = random.Random(seed)
+    out, sent = [], []
+    for i in range(n):
+        at = T0 + datetime.timedelta(milliseconds=700 * i)
+        kind = g.choices(["reserve", "complete", "rate_limited"], [10, 5, 0.3])[0]
+        gov = g.choice("ab")
+        if kind == "reserve":
+            lease = g.choice(sent) if sent and g.random() < 0.1 else (gov, f"{gov}{g.randrange(4)}", f"q{i}")
+            sent.append(lease)
+        else:
+            lease = g.choice(sent) if sent else (gov, f"{gov}0", "q")
+        out.append((*lease, kind, at, g.choice([0, 10, 300, 900, 2500]), g.choice([0.1, 0.7, 2.0]), g.choice([None, 1000, 9000])))
+    return out
+
+
+def plain_governor(rows, limits):
+    out, leases, used, cooldown = [], set(), {}, {}
+    for gov, run, request, kind, at, tokens, cost, retry in rows:
+        now = round((at - T0).total_seconds() * 1000)
+        if kind == "rate_limited":
+            cooldown[gov] = max(cooldown.get(gov, -1), now + max(limits.cooldown_ms, retry or 0))
+        elif kind == "complete":
+            leases.discard((gov, run, request))
+        else:
+            n, t, c = used.get((gov, run), (0, 0, 0.0))
+            denial = None
+            if not 1 <= tokens <= 10_000_000:
+                denial = "InvalidEstimate"
+            elif cooldown.get(gov, -1) > now:
+                denial = "CooldownActive"
+            elif (gov, run, request) in leases:
+                pass
+            elif sum(x[0] == gov for x in leases) >= limits.concurrent:
+                denial = "ConcurrencyLimitReached"
+            elif n >= limits.requests:
+                denial = "RequestQuotaExhausted"
+            elif t > limits.tokens - tokens:
+                denial = "TokenQuotaExhausted"
+            elif c > limits.cost - cost:
+                denial = "CostQuotaExhausted"
+            else:
+                leases.add((gov, run, request))
+                used[gov, run] = (n + 1, t + tokens, c + cost)
+            out.append((gov, run, request, denial, cooldown[gov] - now if denial == "CooldownActive" else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("batches", [1, 4])
+def test_governor_as_a_loop(spark, tmp_path, batches):
+    rows, limits = requests(400, 5), stateful.Limits(6, 20, 5_000, 16.0, 5000)
+    stream = staged(spark, tmp_path / "in", rows, stateful.REQUESTS, batches)
+    got = stateful.run(stateful.governed(stream, limits), str(tmp_path / "state")).collect()
+    want = plain_governor(rows, limits)
+    assert sorted(((r.governor_id, r.run_id, r.request_id, r.denial, r.retry_after_ms) for r in got), key=str) == want
+    assert {w[3] for w in want} >= {None, "InvalidEstimate", "CooldownActive", "ConcurrencyLimitReached", "TokenQuotaExhausted"}
+
+
 def test_sessions_replay_limits(spark):
     with pytest.raises(ValueError):
         sessions.replay(spark.createDataFrame([], "session_id string, sequence_number long"), 0, 1001)
