@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import sketch
 from .components import components
-from .storage import Scratch, lean
+from .storage import Scratch, lean, met
 from .textwords import mix, shingle_sets
 
 HUB_ROUNDS = 1
@@ -91,7 +91,7 @@ def _first_pass(width: int, key: str, text: str):
 
 
 def _prefixes(width: int, percent: int, text: str, frequencies, hot_rows: int):
-    """Rows (h, fp, n, pos, part): part is 0, or one of the parts of a hot shingle, by the set's fingerprint."""
+    """Rows (h, fp, pos, part): part is 0, or one of the parts of a hot shingle, by the set's fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequencies.value, set()
@@ -101,7 +101,7 @@ def _prefixes(width: int, percent: int, text: str, frequencies, hot_rows: int):
             held = 0
 
             def flush():
-                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)], ["h", "fp", "n", "pos", "part"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], ["h", "fp", "pos", "part"])
 
             for _, h in shingle_sets(batch, text, width):
                 fp, n = fingerprint(h), len(h)
@@ -117,7 +117,7 @@ def _prefixes(width: int, percent: int, text: str, frequencies, hot_rows: int):
                 else:
                     order = np.lexsort((h, df))
                 own = np.full(k, fp, np.int64)
-                parts.append((h[order].view(np.int64), own, np.full(k, n, np.int32), np.arange(k, dtype=np.int32), sketch.parts(df[order], own, hot, hot_rows)))
+                parts.append((h[order].view(np.int64), own, np.arange(k, dtype=np.int32), sketch.parts(df[order], own, hot, hot_rows)))
                 held += k
                 if held > 200_000:
                     yield flush()
@@ -192,23 +192,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, key:
     frequencies = spark.sparkContext.broadcast(sketch.collect(first))
     sets = first.where("chunk IS NULL").select("doc_id", "fp", "n")
 
-    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", frequencies, HOT_ROWS)), "h long, fp long, n int, pos int, part int")
-    shared = _shared_rows(prefix, percent)
+    prefix = docs.select("text").mapInArrow(lean(_prefixes(width, percent, "text", frequencies, HOT_ROWS)), "h long, fp long, pos int, part int")
+    shared = _shared_rows(prefix, sets, percent)
     shared = scratch.keep(shared, "shared")
     scratch.release()
 
     reps = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = scratch.keep(shared.select("fp").distinct().join(reps, "fp"), "wanted")
-    texts = scratch.keep(docs.join(wanted, "doc_id").select("fp", "text").mapInArrow(lean(_own_texts(width)), "fp long, text string"), "texts")
+    wanted = scratch.keep(met(shared.select("fp").distinct(), reps, "fp"), "wanted")
+    texts = scratch.keep(met(docs, wanted, "doc_id").select("fp", "text").mapInArrow(lean(_own_texts(width)), "fp long, text string"), "texts")
     scratch.release()
 
     found, labels, tried = None, None, None
     for k in range(HUB_ROUNDS + 1):
-        rows = shared if labels is None else shared.join(labels.select(F.col("u").alias("fp"), F.col("v").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+        rows = shared if labels is None else met(shared, labels.select(F.col("u").alias("fp"), F.col("v").alias("c")), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
         if k:
             # only buckets whose members are not all in one component
             mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("part").alias("parts")).where("lo != hi")
-            rows = scratch.keep(rows.join(_in_parts(mixed.select("h", "parts")), ["h", "part"]), f"open-{k}")
+            rows = scratch.keep(met(rows, _in_parts(mixed.select("h", "parts")), ["h", "part"]), f"open-{k}")
         else:
             rows = rows.withColumn("c", F.col("fp"))
         pairs = _hub_pairs(rows, percent, k) if k < HUB_ROUNDS else _all_pairs(rows, percent)
@@ -246,17 +246,19 @@ def first_of_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str
     return joined.where("__id IS NULL").select(*(docs.columns)).unionByName(once.select(*docs.columns))
 
 
-def _shared_rows(prefix: DataFrame, percent: int) -> DataFrame:
+def _shared_rows(prefix: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(h, part, fp, n, pos, ahead): prefix rows whose shingle at least two different sets have, each once, and all of hot shingles.
 
     ahead counts the set's rows before this one. What only one prefix holds can't be shared ahead of a
-    shared shingle, so a row too far behind for its own set to reach the threshold goes at once.
+    shared shingle, so a row too far behind for its own set to reach the threshold goes at once. Sizes come back here, to the
+    rows that are left.
     """
     w = Window.partitionBy("h", "part")
     # copies in different tasks give equal rows; these are dropped behind the window, where few rows are left, and
     # by part too, which h and fp decide, so that the window's partitions serve
-    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "part", "fp", "n", "pos").dropDuplicates(["h", "part", "fp"])
-    ranked = held.withColumn("ahead", F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1)
+    held = prefix.withColumn("lo", F.min("fp").over(w)).withColumn("hi", F.max("fp").over(w)).where("lo != hi OR part > 0").select("h", "part", "fp", "pos").dropDuplicates(["h", "part", "fp"])
+    sizes = sets.where("n > 0").groupBy("fp").agg(F.first("n").cast("int").alias("n"))
+    ranked = met(held, sizes, "fp").withColumn("ahead", F.row_number().over(Window.partitionBy("fp").orderBy("pos")) - 1)
     return ranked.where(f"100 * (ahead + n - pos) >= {percent} * n")
 
 
@@ -272,18 +274,18 @@ def _hub_pairs(rows: DataFrame, percent: int, k: int) -> DataFrame:
     """
     own = (F.col("pos") - F.col("ahead")).alias("own")
     hubs = rows.groupBy("h").agg(F.min(F.struct(own, F.xxhash64("fp", F.lit(k)).alias("r"), "fp", "n", "pos", "ahead", "c")).alias("hub"), F.max("part").alias("parts"))
-    pairs = rows.join(_in_parts(hubs), ["h", "part"]).where(f"fp != hub.fp AND c != hub.c AND {_passes_filters(percent, '', 'hub.')}")
+    pairs = met(rows, _in_parts(hubs), ["h", "part"]).where(f"fp != hub.fp AND c != hub.c AND {_passes_filters(percent, '', 'hub.')}")
     return pairs.select(F.col("hub.fp").alias("a"), F.col("fp").alias("b")).distinct()
 
 
 def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket in different components that pass the filters; each of its parts meets all of its rows."""
     x, y = rows.alias("x"), _in_parts(rows.drop("part")).alias("y")
-    pairs = x.join(y, F.expr(f"x.h = y.h AND x.part = y.part AND x.fp < y.fp AND x.c != y.c AND {_passes_filters(percent, 'x.', 'y.')}"))
+    pairs = met(x, y, F.expr(f"x.h = y.h AND x.part = y.part AND x.fp < y.fp AND x.c != y.c AND {_passes_filters(percent, 'x.', 'y.')}"))
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
 def _check(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those that link, as (u, v)."""
-    both = pairs.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
+    both = met(met(pairs, texts.select(F.col("fp").alias("b"), F.col("text").alias("text_b")), "b"), texts.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "text_a", "b", "text_b").mapInArrow(lean(_verify(width, percent)), "u long, v long")
