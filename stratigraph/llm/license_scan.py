@@ -1,12 +1,15 @@
 """Licence scan by a positional rare-token index.
 
-The templates' words are the vocabulary; each word's postings are (template, position). One pass over
-all documents counts in how many each vocabulary word stands, which gives its IDF. In the second
-pass a file is reduced to the places of its vocabulary words; of each template whose key phrases stand
-in the file, these' rarest words and its LOOKED_UP rarest are looked up, and places whose file position minus template position agree (with some slack for edits between) are
-one alignment. An alignment counts if the template's mandatory key phrases stand within it, word by
-word. Base phrases are templates that are their own key phrase; their places are those of their
-rarest word where all others stand at their distance.
+The templates' words are the vocabulary. One pass over all documents counts in how many each vocabulary word
+stands, which gives its IDF. The index has postings (template, phrase, position) of each key phrase under the
+phrase's rarest word. In the second pass a file is reduced to the places of its vocabulary words; these are looked up by
+falling IDF, and each posting gives a place of the template in the file, the word's place less its position. The places that
+a template's phrases agree on, within its length, are intersected, and there the phrases are verified word by word. What a
+file costs goes by its own words and the templates that they lead to, not by the number of templates; no lookup is left out.
+
+Of a template whose phrases stand, the score is the share of its words that are found in order, each within SLACK words of where
+the ones before it lead, at the best of its places. A label needs LEAST_SCORE. Base phrases are templates that are
+their own key phrase, and all places where they stand are returned.
 
 Null and empty texts have no words, no labels and score 0; a file that is all licence words is
 aligned like any other, whole; repeated rows are scanned each; other columns are not read.
@@ -14,7 +17,6 @@ aligned like any other, whole; repeated rows are scanned each; other columns are
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,41 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import BASE, TEMPLATES
 from .storage import lean
 from .textwords import ALNUM_WORDS, LOWER, find_words, text_blocks
 
-#: base phrases and their labels
-BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-#: label -> (template text, mandatory key phrases)
-TEMPLATES = {
-    "gpl-notice": ("licensed under the GNU General Public License, version", ("gnu general public license version",)),
-    "gpl-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version",
-        ("free software", "general public license as published by the free software foundation"),
-    ),
-    "lgpl": ("under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
-    "agpl": ("under the terms of the GNU Affero General Public License", ("gnu affero general public license",)),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
-    "mit-notice": ("Released under the MIT License", ("under the mit license",)),
-    "mit-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        ("permission is hereby granted free of charge", "to deal in the software without restriction"),
-    ),
-    "cc-by-nc": ("Licensed under CC BY-NC 4.0", ("cc by nc",)),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0", ("cc by sa",)),
-    "cc-by-4.0": ("licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
-    "bsd": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        ("redistribution and use in source and binary forms", "following conditions are met"),
-    ),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license v 2 0",)),
-    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    "unlicense": ("This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-}
-
-LOOKED_UP = 8
-SLACK = 3
+#: how far a template's next word may stand from where the words before it lead
+SLACK = 6
+#: what share of a template's words has to be found for its label
+LEAST_SCORE = 0.8
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -73,28 +48,38 @@ class Index:
     words: list[list[int]] = field(default_factory=list)
     phrases: list[list[list[int]]] = field(default_factory=list)
     base_of: list[str | None] = field(default_factory=list)
-    postings: dict[int, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     vocabulary: np.ndarray | None = None
     idf: dict[int, float] = field(default_factory=dict)
+    #: word -> (template, phrase, position in the template, position in the phrase) of the phrases that it is the rarest of
+    postings: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
 
 
 def build_index(templates: dict | None = None, base: dict | None = None) -> Index:
     index = Index()
     entries = [(label, phrase, (phrase,), label) for phrase, label in (BASE if base is None else base).items()]
     entries += [(label, text, phrases, None) for label, (text, phrases) in (TEMPLATES if templates is None else templates).items()]
-    for t, (label, text, phrases, own) in enumerate(entries):
-        words = _hashes(text).tolist()
+    for label, text, phrases, own in entries:
         index.labels.append(label)
-        index.words.append(words)
+        index.words.append(_hashes(text).tolist())
         index.phrases.append([_hashes(p).tolist() for p in phrases])
         index.base_of.append(own)
-        for q, w in enumerate(words):
-            index.postings[w].append((t, q))
-    index.vocabulary = np.array(sorted(index.postings), np.uint64)
-    index.postings = dict(index.postings)
+    index.vocabulary = np.array(sorted({w for words in index.words for w in words}), np.uint64)
     return index
 
 
+def _posted(index: Index) -> None:
+    """Posts each key phrase under its rarest word, at every place of the phrase in its template."""
+    postings = defaultdict(list)
+    for t, (words, phrases) in enumerate(zip(index.words, index.phrases, strict=True)):
+        for f, phrase in enumerate(phrases):
+            starts = [q for q in range(len(words) - len(phrase) + 1) if words[q : q + len(phrase)] == phrase]
+            if not phrase or not starts:
+                raise ValueError(f"a key phrase of {index.labels[t]} is no part of it")
+            k = min(range(len(phrase)), key=lambda x: (-index.idf.get(phrase[x], 0.0), x))
+            postings[phrase[k]] += [(t, f, q + k, k) for q in starts]
+    index.postings = dict(postings)
+
+
 def _hits(index: Index, batch: pa.RecordBatch, column: str):
     """Of each row: (row, number of words, positions of vocabulary words, these words' hashes)."""
     v = index.vocabulary
@@ -126,7 +111,8 @@ def with_idf(index: Index, docs: DataFrame, text: str = "text") -> Index:
     rows = docs.select(F.col(text).alias("text")).mapInArrow(lean(_count_words(index)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     count = {r["word"]: r["n"] for r in rows}
     total = count.pop(None, 0)
-    index.idf = {w: float(np.log((total + 1) / (count.get(int(np.uint64(w).view(np.int64)), 0) + 1))) for w in index.postings}
+    index.idf = {int(w): float(np.log((total + 1) / (count.get(int(w.view(np.int64)), 0) + 1))) for w in index.vocabulary}
+    _posted(index)
     return index
 
 
@@ -134,39 +120,50 @@ def _stands(phrase: list[int], place: dict[int, int], start: int) -> bool:
     return all(place.get(start + k) == w for k, w in enumerate(phrase))
 
 
+def _aligned(words: list[int], place: dict[int, int], start: int) -> float:
+    """The share of a template's words found from a place on, each within SLACK of where the last one found leads."""
+    found, shift = 0, start
+    for q, w in enumerate(words):
+        for d in range(2 * SLACK + 1):
+            step = (d + 1) // 2 * (1 if d % 2 else -1)  # 0, 1, -1, 2, -2 and so on
+            if place.get(shift + q + step) == w:
+                found, shift = found + 1, shift + step
+                break
+    return found / len(words)
+
+
 def scan_file(index: Index, positions: list[int], hashes: list[int]) -> tuple[list[tuple[int, str]], dict[str, float]]:
     """(base places (start, label), labels with their scores) from a file's vocabulary words and where they stand."""
     place = dict(zip(positions, hashes, strict=True))
     where: dict[int, list[int]] = defaultdict(list)
     for p, h in place.items():
         where[h].append(p)
+    led: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+    for w in sorted(where, key=lambda x: (-index.idf[x], x)):
+        for t, f, q, k in index.postings.get(w, ()):
+            led[t][f] |= {(p - q, p - k) for p in where[w]}
     base: list[tuple[int, str]] = []
     scores: dict[str, float] = {}
-    for t, words in enumerate(index.words):
-        if index.base_of[t] and all(w in where for w in words):
-            q = min(range(len(words)), key=lambda k: (-index.idf[words[k]], k))
-            starts = [p - q for p in where[words[q]] if _stands(words, place, p - q)]
-            base += [(s, index.base_of[t]) for s in starts]
-            if starts:
-                scores[index.base_of[t]] = 1.0
-    rarity = lambda w: (-index.idf[w], w)
-    for t, words in enumerate(index.words):
-        if index.base_of[t] or not all(w in where for phrase in index.phrases[t] for w in phrase):
+    for t, phrases in led.items():
+        if len(phrases) < len(index.phrases[t]):
+            continue
+        words, own = index.words[t], index.base_of[t]
+        stand = [sorted(x for x in phrases[f] if _stands(index.phrases[t][f], place, x[1])) for f in sorted(phrases)]
+        if own:
+            base += [(s, own) for _, s in stand[0]]
+            if stand[0]:
+                scores[own] = 1.0
             continue
-        rarest = [min(range(len(ph)), key=lambda k: rarity(ph[k])) for ph in index.phrases[t]]
-        stand = [sorted(p - q for p in where[ph[q]] if _stands(ph, place, p - q)) for ph, q in zip(index.phrases[t], rarest, strict=True)]
-        if not all(stand):
+        # where all phrases stand within the template's length of one another
+        rest = [np.array([d for d, _ in s], dtype=np.int64) for s in stand]
+        if not all(len(r) for r in rest):
             continue
-        # key phrases lead to every place where they stand, the template's other rare words to better places nearby
-        looked_up = {*sorted({w for w in words if w in where}, key=rarity)[:LOOKED_UP], *(ph[q] for ph, q in zip(index.phrases[t], rarest, strict=True))}
-        best = 0.0
-        for cell in {(p - q) // (2 * SLACK + 1) for q, w in enumerate(words) if w in looked_up for p in where[w]}:
-            a, b = cell * (2 * SLACK + 1) - SLACK, (cell + 1) * (2 * SLACK + 1) + SLACK
-            if all((k := bisect_left(s, a)) < len(s) and s[k] < b + len(words) for s in stand):
-                best = max(best, sum(any(place.get(a + q + d) == w for d in range(b - a + 1)) for q, w in enumerate(words)) / len(words))
-        if best:
+        starts = rest[min(range(len(rest)), key=lambda f: len(rest[f]))]
+        near = [np.searchsorted(r, starts + len(words), side="right") > np.searchsorted(r, starts - len(words)) for r in rest]
+        best = max((_aligned(words, place, int(d)) for d in np.unique(starts[np.all(near, axis=0)])), default=0.0)
+        if best >= LEAST_SCORE:
             scores[index.labels[t]] = best
-    return base, scores
+    return sorted(base), scores
 
 
 def _scan(index: Index):
