@@ -10,8 +10,8 @@
    diagonal. Repeated seeds are numbered besides, for owners that hold them as often.
 3. A text's matches are taken together: stretches of matches, even of one, since edits can leave a
    passage no more, are chained per owner, best score first. The predecessor is that with the best
-   score less a gap cost linear in the words skipped, of those within GAP on both sides, kept in
-   cells of owner positions. Chains within a longer, dense one add nothing and go.
+   score less a gap cost linear in the words skipped, of those within GAP on both sides: the maximum
+   of a range of owner positions in a Fenwick tree, which segments leave when they are out of reach. Chains within a longer, dense one add nothing and go.
 4. Chains are aligned: the words of both sides around a chain are fetched (the owner's in blocks of
    BLOCK words, each fetched once however many texts need it), matches are extended to both sides
    with an X-drop, gaps are aligned by dynamic programming. Pieces of 75 % equal words stay; a chain
@@ -20,6 +20,10 @@
    it; united spans of LEAST words or more with a piece of LONGEST or more are reported, with the
    owner of the longest piece. Copies of a whole text are reported whole.
 
+Edits lose words at a passage's ends and, if they are dense, whole passages. Of passages of 60 to 120 words, with words
+replaced, left out and put in, the words found are 0.98 with edits at 8 % of the words, 0.90 at 15 % and about 0.8 at 20 %, near the
+three quarters of equal words where passages end (tests hold 0.95, 0.9 and 0.8).
+
 Null and empty texts, and texts of fewer than LEAST words, have no spans; rows that repeat an id and its
 text are one document; an empty table gives no rows; other columns are not read (cut_repeats keeps
 them all). Passages repeated within one document only are left alone.
@@ -27,6 +31,7 @@ them all). Passages repeated within one document only are left alone.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,8 @@ from . import sketch
 from .storage import Scratch, lean
 from .textwords import ALNUM_WORDS, LOWER, find_words, mix, shingles, text_blocks
 
-K, W = 6, 9
-LEAST, LONGEST = 50, 30
+K, W = 4, 4
+LEAST, LONGEST = 50, 15
 LIKE = 0.75
 GAP = 24
 JOIN_GAP = 3
@@ -227,33 +232,75 @@ def segments(pos: np.ndarray, own: np.ndarray) -> np.ndarray:
     return on_diagonals(np.zeros(len(pos), np.int64), pos, own)[1]
 
 
+class Fenwick:
+    """A Fenwick tree of maxima over places 1 to n: node i holds the best of the places i - lowbit(i) + 1 to i.
+
+    Values may fall as well as rise: a changed place's nodes are made again from the nodes below them.
+    """
+
+    NONE = (0.0, -1)
+
+    def __init__(self, n: int):
+        self.own, self.tree = [self.NONE] * (n + 1), [self.NONE] * (n + 1)
+
+    def put(self, at: int, value: tuple[float, int]) -> None:
+        self.own[at] = value
+        while at < len(self.tree):
+            best, step, low = self.own[at], 1, at & -at
+            while step < low:
+                best = max(best, self.tree[at - step])
+                step *= 2
+            self.tree[at] = best
+            at += low
+
+    def best(self, first: int, last: int) -> tuple[float, int]:
+        """Of the places first to last."""
+        found = self.NONE
+        while last >= first:
+            low = last & -last
+            if last - low + 1 >= first:
+                found = max(found, self.tree[last])
+                last -= low
+            else:
+                found = max(found, self.own[last])
+                last -= 1
+        return found
+
+
 def chains(rows: np.ndarray) -> list[list[int]]:
-    """Chains of segments, best first, each segment in one: ordered on both sides, gaps of GAP words at most."""
-    side = GAP + K
-    near: dict[int, list[tuple[int, int, float, int]]] = {}  # by where they end in the owner, in cells of a side: (end, owner's end, value, segment)
-    score, before = [0.0] * len(rows), [-1] * len(rows)
-    waiting = sorted(range(len(rows)), key=lambda i: rows[i, 0] + rows[i, 2])
-    done = 0
-    for i in range(len(rows)):
-        start, own, length = rows[i].tolist()
-        # those that end at most a word window into this one are in the cells by now
-        while done < len(waiting) and rows[waiting[done], 0] + rows[waiting[done], 2] <= start + K - 1 and waiting[done] < i:
-            j = waiting[done]
-            a, b = int(rows[j, 0] + rows[j, 2]), int(rows[j, 1] + rows[j, 2])
-            near.setdefault(b // side, []).append((a, b, score[j] + GAP_COST * (a + b), j))
-            done += 1
-        found = (0.0, -1)
-        for cell in range((own - GAP) // side, (own + K - 1) // side + 1):
-            for a, b, value, j in reversed(near.get(cell, ())):
-                if a < start - GAP:  # and so are all before it
-                    break
-                if own - GAP <= b <= own + K - 1 and (value, j) > found:
-                    found = value, j
-        score[i] = float(length)
-        if found[1] >= 0 and found[0] - GAP_COST * (start + own) > 0:
-            score[i], before[i] = length + found[0] - GAP_COST * (start + own), found[1]
+    """Chains of segments, best first, each segment in one: ordered on both sides, gaps of GAP words at most.
+
+    Segments are taken as they start in the text. Those before stand in a Fenwick tree at the places where they end in
+    the owner, with their score plus the cost of all words up to there, so the best predecessor within reach is the
+    maximum of a range; a segment whose end has fallen out of reach in the text leaves the tree.
+    """
+    n = len(rows)
+    score, before = rows[:, 2].astype(float).tolist(), [-1] * n
+    if n > 1:
+        ends, own_ends = (rows[:, 0] + rows[:, 2]).tolist(), (rows[:, 1] + rows[:, 2]).tolist()
+        places = sorted(set(own_ends))
+        tree, at = Fenwick(len(places)), [bisect_left(places, b) + 1 for b in own_ends]
+        alive: dict[int, list[tuple[float, int]]] = {}  # by place
+        coming = sorted(range(n), key=lambda i: ends[i])
+        come = gone = 0
+        for i, (start, own, length) in enumerate(rows.tolist()):
+            # those that end at most a seed into this one come in
+            while come < n and ends[coming[come]] <= start + K - 1 and coming[come] < i:
+                j = coming[come]
+                here = alive.setdefault(at[j], [])
+                here.append((score[j] + GAP_COST * (ends[j] + own_ends[j]), j))
+                tree.put(at[j], max(here))
+                come += 1
+            while gone < come and ends[coming[gone]] < start - GAP:
+                j = coming[gone]
+                here = alive[at[j]] = [x for x in alive[at[j]] if x[1] != j]
+                tree.put(at[j], max(here, default=Fenwick.NONE))
+                gone += 1
+            value, j = tree.best(bisect_left(places, own - GAP) + 1, bisect_right(places, own + K - 1))
+            if j >= 0 and value - GAP_COST * (start + own) > 0:
+                score[i], before[i] = length + value - GAP_COST * (start + own), j
     out, used = [], set()
-    for i in sorted(range(len(rows)), key=lambda i: -score[i]):
+    for i in sorted(range(n), key=lambda i: -score[i]):
         chain = []
         while i >= 0 and i not in used:
             used.add(i)
@@ -468,12 +515,35 @@ def _like(piece: tuple[int, int, int, int, int]) -> bool:
     return equal >= LIKE * max(end - start, own_end - own_start)
 
 
+def _paying(parts: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int, int, int]]]:
+    """Parts cut so that no end of a piece has more unlike words in its gaps than equal ones."""
+    out, todo = [], [parts]
+    while todo:
+        mine = todo.pop()
+        if not mine:
+            continue
+        best, lo, hi, run, start = -1, 0, 0, 0, 0
+        for k, (x, y, n, g) in enumerate(mine):
+            if k:
+                i, j, m, _ = mine[k - 1]
+                run += 2 * g - max(x - i - m, y - j - m)
+            if not k or run <= 0:
+                run, start = 0, k
+            run += n
+            if run > best:
+                best, lo, hi = run, start, k + 1
+        out.append(mine[lo:hi])
+        todo += [mine[:lo], mine[hi:]]
+    return out
+
+
 def local_pieces(a: np.ndarray, b: np.ndarray, segs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """A chain's alignment if alike enough; else its best stretch of segments, and so on with what is left on both sides.
 
-    The best has most equal words less LIKE of all, which is never negative: so no segment is lost to its neighbours.
+    The best has most equal words less LIKE of all, which is never negative: so no segment is lost to its neighbours. Before that a
+    chain is cut where a gap has more unlike words than there are equal ones on one side of it.
     """
-    out, todo = [], [_parts(a, b, segs)]
+    out, todo = [], _paying(_parts(a, b, segs))
     while todo:
         parts = todo.pop()
         if not parts:
