@@ -56,10 +56,11 @@ def sibling_naming(types: DataFrame) -> DataFrame:
 
 
 def documentation_debt(nodes: DataFrame, revision: int, stale: int = 5) -> DataFrame:
-    """(eligible, stale, max_age, stale_ids) of nodes (stable_id, eligible, ai, last_revision)."""
+    """(stable_id, age, eligible, stale, max_age): a row for each stale node of (stable_id, eligible, ai, last_revision), with the totals."""
     rows = nodes.where("eligible AND ai").withColumn("age", F.lit(revision) - F.col("last_revision"))
     old = F.col("age") >= stale
-    return rows.agg(F.count("*").alias("eligible"), F.count_if(old).alias("stale"), F.max("age").alias("max_age"), F.array_join(F.sort_array(F.collect_list(F.when(old, F.col("stable_id")))), ",").alias("stale_ids"))
+    totals = rows.agg(F.count("*").alias("eligible"), F.count_if(old).alias("stale"), F.max("age").alias("max_age"))
+    return rows.where(old).select("stable_id", "age").crossJoin(F.broadcast(totals))  # one row
 
 
 def health_score(inputs: DataFrame) -> DataFrame:
@@ -77,10 +78,11 @@ def unified_advisories(parts: DataFrame, most: int = 10) -> DataFrame:
 
 
 def directory_rollup(summaries: DataFrame) -> DataFrame:
-    """(directory, n, text): fresh summaries strictly below each directory, by path and id."""
+    """(directory, n, path, id, text): fresh summaries strictly below each directory, a row each, with their number."""
     parts = F.split("path", "/")
     every = summaries.where("state = 'Fresh'").select("path", "id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("directory"))
-    return every.groupBy("directory").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "id", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    counts = every.groupBy("directory").agg(F.count("*").alias("n"))
+    return every.join(counts, "directory").select("directory", "n", "path", "id", "text")
 
 
 def changelog(changes: DataFrame) -> DataFrame:
@@ -251,9 +253,9 @@ def map_question(text: str) -> tuple[str, str, int] | None:
 CHECKPOINTS = ("baseline", "impact", "public_surface", "change", "verify", "record")
 
 
-def safe_refactor(spark, target: str) -> DataFrame:
-    """(ordinal, checkpoint, target): the six fixed checkpoints."""
-    return spark.createDataFrame([(k + 1, c, target) for k, c in enumerate(CHECKPOINTS)], "ordinal long, checkpoint string, target string")
+def safe_refactor(targets: DataFrame) -> DataFrame:
+    """(target, ordinal, checkpoint): the six checkpoints of each target, in order."""
+    return targets.select("target", F.posexplode(F.lit(list(CHECKPOINTS))).alias("k", "checkpoint")).select("target", (F.col("k") + 1).cast("long").alias("ordinal"), "checkpoint")
 
 
 def map_questions(questions: DataFrame, text: str) -> DataFrame:

@@ -86,9 +86,19 @@ def post_edit_reuse(scored: DataFrame, most: int = 3) -> DataFrame:
 
 
 def regeneration_queue(requests: DataFrame, in_flight: DataFrame) -> DataFrame:
-    """(target, position): stale targets once each, in order of their first request, without those in flight."""
+    """(target, position): stale targets once each, in order of their first request, without those in flight.
+
+    Targets are dealt out in ranges of their order and numbered within a range, from the sum of the ranges before: one
+    row a range is all that comes together.
+    """
+    from ..sources.storage import checkpointed
+
     first = requests.groupBy("target").agg(F.min("requested_at").alias("t")).join(in_flight.select("target"), "target", "left_anti")
-    return first.select("target", F.row_number().over(Window.orderBy("t", "target")).cast("long").alias("position"))
+    ranged = checkpointed(first.repartitionByRange("t", "target").withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    ahead = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("t", "target"))
+    return ranged.withColumn("k", within).join(ahead, "range").select("target", (F.col("ahead") + F.col("k")).cast("long").alias("position"))
 
 
 def emitted_edges(sites: DataFrame) -> DataFrame:
@@ -99,9 +109,8 @@ def emitted_edges(sites: DataFrame) -> DataFrame:
 
 
 def exception_notes(exceptions: DataFrame) -> DataFrame:
-    """(text): one line an exception, in order."""
-    line = lambda s: F.concat(F.lit("- "), s["finding_key"], F.lit(": "), s["rationale"])
-    return exceptions.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("finding_key", "rationale"))), line), "\n").alias("text"))
+    """(finding_key, rationale, text): a line for each exception; a reader sorts by the first two."""
+    return exceptions.select("finding_key", "rationale", F.concat(F.lit("- "), "finding_key", F.lit(": "), "rationale").alias("text"))
 
 
 def asymmetric_touches(pairs: DataFrame) -> DataFrame:

@@ -48,9 +48,12 @@ def hard_edges(edges: DataFrame, kinds: list[str]) -> DataFrame:
     return edges.where((F.col("confidence") == 1.0) & F.col("edge_kind").isin(kinds))
 
 
-def layer_violations(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list[str]) -> DataFrame:
-    """(edge_id, source_layer, target_layer): hard edges between assigned nodes of layers that may not depend so."""
-    own = layer_membership(nodes, layers).where("state = 'Assigned'").select("stable_id", "layer")
+def layer_violations(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list[str], membership: DataFrame | None = None) -> DataFrame:
+    """(edge_id, source_layer, target_layer): hard edges between assigned nodes of layers that may not depend so.
+
+    membership, if it is at hand, saves matching the paths again.
+    """
+    own = (layer_membership(nodes, layers) if membership is None else membership).where("state = 'Assigned'").select("stable_id", "layer")
     a, b = own.toDF("source", "source_layer"), own.toDF("target", "target_layer")
     allowed = F.lit(False)
     for name, (_, may) in layers.items():
@@ -59,8 +62,8 @@ def layer_violations(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds:
     return ends.where((F.col("source_layer") != F.col("target_layer")) & ~allowed).select("edge_id", "source", "target", "source_layer", "target_layer")
 
 
-def layer_coverage(nodes: DataFrame, layers: Layers) -> DataFrame:
-    return layer_membership(nodes, layers).where("state IN ('Unassigned', 'Ambiguous')").select("stable_id", "state", "layers")
+def layer_coverage(nodes: DataFrame, layers: Layers, membership: DataFrame | None = None) -> DataFrame:
+    return (layer_membership(nodes, layers) if membership is None else membership).where("state IN ('Unassigned', 'Ambiguous')").select("stable_id", "state", "layers")
 
 
 def enforcement_reach(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list[str]) -> DataFrame:
@@ -126,9 +129,14 @@ def violation_counts(classified: DataFrame) -> DataFrame:
 
 
 def module_rules(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list[str]) -> DataFrame:
-    """(stable_id, state, layer, violation_count) of every node: its layer and the violations that touch it."""
-    broken = layer_violations(nodes, edges, layers, kinds).select(F.explode(F.array("source", "target")).alias("stable_id")).groupBy("stable_id").agg(F.count("*").alias("violation_count"))
-    return layer_membership(nodes, layers).join(broken, "stable_id", "left").select("stable_id", "state", "layer", F.coalesce("violation_count", F.lit(0)).alias("violation_count"))
+    """(stable_id, state, layer, violation_count, edge_id): a row for each violation that touches a node, one without edge_id for the others."""
+    from ..sources.storage import checkpointed
+
+    member = checkpointed(layer_membership(nodes, layers))
+    broken = checkpointed(layer_violations(nodes, edges, layers, kinds, member).select(F.explode(F.array("source", "target")).alias("stable_id"), "edge_id"))
+    counts = broken.groupBy("stable_id").agg(F.count("*").alias("violation_count"))
+    rows = member.join(counts, "stable_id", "left").join(broken, "stable_id", "left")
+    return rows.select("stable_id", "state", "layer", F.coalesce("violation_count", F.lit(0)).alias("violation_count"), "edge_id")
 
 
 def fact_problems(nodes: DataFrame, edges: DataFrame, symbols: DataFrame | None = None, fingerprints: DataFrame | None = None) -> DataFrame:

@@ -187,12 +187,14 @@ def decision_feedback(decisions: DataFrame) -> DataFrame:
 
 
 def partition_bands(candidates: DataFrame) -> DataFrame:
-    """(language, complexity_band, size_band, members): bands of at least two methods that are not mere data shapes."""
+    """(language, complexity_band, size_band, method_id, n_members): the methods of bands of two or more that are not mere data shapes."""
     c, n = F.col("cyclomatic_complexity"), F.col("logical_line_count")
-    bands = candidates.where("NOT is_data_shape").groupBy(
-        F.lower(F.btrim("language")).alias("language"), F.when(c <= 1, "1").when(c <= 3, "2-3").when(c <= 8, "4-8").otherwise("9+").alias("complexity_band"), F.when(n <= 10, "small").when(n <= 30, "medium").otherwise("large").alias("size_band")
+    rows = candidates.where("NOT is_data_shape").select(
+        "method_id", F.lower(F.btrim("language")).alias("language"), F.when(c <= 1, "1").when(c <= 3, "2-3").when(c <= 8, "4-8").otherwise("9+").alias("complexity_band"), F.when(n <= 10, "small").when(n <= 30, "medium").otherwise("large").alias("size_band")
     )
-    return bands.agg(F.array_join(F.sort_array(F.collect_list("method_id")), ",").alias("members"), F.count("*").alias("n_members")).where("n_members >= 2")
+    band = ["language", "complexity_band", "size_band"]
+    sizes = rows.groupBy(*band).agg(F.count("*").alias("n_members")).where("n_members >= 2")
+    return rows.join(sizes, band).select(*band, "method_id", "n_members")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -100,7 +100,9 @@ def preflight(decided: DataFrame, violations: DataFrame) -> DataFrame:
     return a.crossJoin(violations.agg(F.count("*").alias("violations"))).withColumn("blocked", F.col("violations") > 0)
 
 
-def layer_conventions(layers: dict[str, tuple[list[str], list[str]]], spark) -> DataFrame:
-    """(ordinal, text): a line for each configured layer, by name."""
-    rows = [(k, f"- {n}: {', '.join(i)} may depend on {', '.join(m) or 'nothing'}") for k, (n, (i, m)) in enumerate(sorted(layers.items()))]
-    return spark.createDataFrame(rows, "ordinal long, text string")
+def layer_conventions(layers: dict[str, tuple[list[str], list[str]]], membership: DataFrame) -> DataFrame:
+    """(ordinal, layer, text, nodes): a line for each configured layer, by name, and how many nodes it alone holds."""
+    rows = [(k, n, f"- {n}: {', '.join(i)} may depend on {', '.join(m) or 'nothing'}") for k, (n, (i, m)) in enumerate(sorted(layers.items()))]
+    told = membership.sparkSession.createDataFrame(rows, "ordinal long, layer string, text string")
+    counts = membership.where("state = 'Assigned'").groupBy("layer").agg(F.count("*").alias("nodes"))
+    return told.join(counts, "layer", "left").select("ordinal", "layer", "text", F.coalesce("nodes", F.lit(0)).alias("nodes"))

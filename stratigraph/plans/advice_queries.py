@@ -53,7 +53,7 @@ def sibling_naming(types: DataFrame) -> DataFrame:
 DOC_ROWS = "SELECT concat('d', doc_id) AS stable_id, quality = 1 AS eligible, toxic = 0 AS ai, doc_id % 12 AS last_revision FROM {labels}"
 
 
-@query("", " SELECT count(*) AS eligible, count(*) FILTER (12 - last_revision >= 5) AS stale, max(12 - last_revision) AS max_age, array_to_string(list_sort(list(stable_id) FILTER (12 - last_revision >= 5)), ',') AS stale_ids FROM rows_ WHERE eligible AND ai", rows_=DOC_ROWS)
+@query("", ", totals AS (SELECT count(*) AS eligible, count(*) FILTER (12 - last_revision >= 5) AS stale, max(12 - last_revision) AS max_age FROM rows_ WHERE eligible AND ai) SELECT stable_id, 12 - last_revision AS age, eligible.eligible, stale, max_age FROM rows_, totals AS eligible WHERE rows_.eligible AND ai AND 12 - last_revision >= 5", rows_=DOC_ROWS)
 def doc_debt(rows_: DataFrame) -> DataFrame:
     return advice.documentation_debt(rows_, 12)
 
@@ -77,7 +77,7 @@ SUMMARIES = "SELECT concat('src/', lang, '/', source, '/f', doc_id, '.md') AS pa
 
 
 @query("", """, e AS (SELECT path, id, text, unnest([array_to_string(p[1:1], '/'), array_to_string(p[1:2], '/'), array_to_string(p[1:3], '/')]) AS directory FROM (SELECT *, string_split(path, '/') AS p FROM summaries WHERE state = 'Fresh'))
- SELECT directory, count(*) AS n, string_agg(text, chr(10) ORDER BY path, id) AS text FROM e GROUP BY 1""", summaries=SUMMARIES)
+ SELECT directory, count(*) OVER (PARTITION BY directory) AS n, path, id, text FROM e""", summaries=SUMMARIES)
 def directory_rollup(summaries: DataFrame) -> DataFrame:
     return advice.directory_rollup(summaries)
 
@@ -175,9 +175,10 @@ def plan_change(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFram
     return told.crossJoin(F.broadcast(first))  # one row
 
 
-@query("mods", " SELECT CAST(i AS BIGINT) AS ordinal, c AS checkpoint, 'm01' AS target FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i, unnest(['baseline', 'impact', 'public_surface', 'change', 'verify', 'record']) AS c)")
-def safe_refactor(mods: DataFrame) -> DataFrame:
-    return advice.safe_refactor(mods.sparkSession, "m01")
+@query("nodes", " SELECT stable_id AS target, CAST(i AS BIGINT) AS ordinal, c AS checkpoint FROM nodes, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS i, unnest(['baseline', 'impact', 'public_surface', 'change', 'verify', 'record']) AS c) WHERE node_kind = 'supplier'")
+def safe_refactor(nodes: DataFrame) -> DataFrame:
+    """The plan of a refactoring of each supplier."""
+    return advice.safe_refactor(nodes.where("node_kind = 'supplier'").select(F.col("stable_id").alias("target")))
 
 
 @query("sess", """, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_number) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM sess WHERE sequence_number > 10)

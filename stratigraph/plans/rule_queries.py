@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cycles, rules
 from ..registry import query
+from ..sources.storage import checkpointed
 
 LAYERS: rules.Layers = {"geo": (["src/**/region.cs", "src/**/nation.cs"], []), "crm": (["src/**/customer.cs", "src/**/supplier.cs", "Features/parts/**"], []), "orders": (["Features/orders/**"], ["crm"]), "goods": (["**/supplier.cs", "Features/parts/BRAND1?/*.cs", "Features/parts/Brand1?/*.cs"], [])}
 HARD = ["contains", "references"]
@@ -30,7 +31,9 @@ EXCEPTED = BASE + """, exc AS (SELECT finding_key, 'e' || (length(finding_key) %
 
 
 def _findings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return rules.findings(rules.layer_violations(nodes, edges, LAYERS, HARD), rules.layer_coverage(nodes, LAYERS))
+    """Membership and findings are each made once, however often a query uses them."""
+    member = checkpointed(rules.layer_membership(nodes, LAYERS))
+    return checkpointed(rules.findings(rules.layer_violations(nodes, edges, LAYERS, HARD, member), rules.layer_coverage(nodes, LAYERS, member)))
 
 
 def _compared(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +105,7 @@ def violation_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rules.violation_counts(_classified(nodes, edges))
 
 
-@query("nodes edges", BROKEN + ", t AS (SELECT x, count(*) AS n FROM (SELECT source AS x FROM broken UNION ALL SELECT target FROM broken) GROUP BY x) SELECT stable_id, state, layer, coalesce(n, 0) AS violation_count FROM ms LEFT JOIN t ON x = stable_id")
+@query("nodes edges", BROKEN + ", l AS (SELECT source AS x, edge_id FROM broken UNION ALL SELECT target, edge_id FROM broken), t AS (SELECT x, count(*) AS n FROM l GROUP BY x) SELECT stable_id, state, layer, coalesce(n, 0) AS violation_count, edge_id FROM ms LEFT JOIN t ON t.x = stable_id LEFT JOIN l ON l.x = stable_id")
 def module_rules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rules.module_rules(nodes, edges, LAYERS, HARD)
 

@@ -133,8 +133,9 @@ def decision_feedback(decisions: DataFrame) -> DataFrame:
 METHODS = "SELECT concat('d', doc_id) AS method_id, concat(' ', upper(lang), ' ') AS language, 1 + n_chars % 60 AS logical_line_count, 1 + doc_id % 12 AS cyclomatic_complexity, doc_id % 9 = 0 AS is_data_shape FROM {documents}"
 
 
-@query("", """ SELECT lower(trim(language)) AS language, CASE WHEN cyclomatic_complexity <= 1 THEN '1' WHEN cyclomatic_complexity <= 3 THEN '2-3' WHEN cyclomatic_complexity <= 8 THEN '4-8' ELSE '9+' END AS complexity_band, CASE WHEN logical_line_count <= 10 THEN 'small' WHEN logical_line_count <= 30 THEN 'medium' ELSE 'large' END AS size_band,
- array_to_string(list_sort(list(method_id)), ',') AS members, count(*) AS n_members FROM methods WHERE NOT is_data_shape GROUP BY 1, 2, 3 HAVING count(*) >= 2""", methods=METHODS)
+@query("", """, m AS (SELECT method_id, lower(trim(language)) AS language, CASE WHEN cyclomatic_complexity <= 1 THEN '1' WHEN cyclomatic_complexity <= 3 THEN '2-3' WHEN cyclomatic_complexity <= 8 THEN '4-8' ELSE '9+' END AS complexity_band, CASE WHEN logical_line_count <= 10 THEN 'small' WHEN logical_line_count <= 30 THEN 'medium' ELSE 'large' END AS size_band,
+ 0 AS zero FROM methods WHERE NOT is_data_shape)
+ SELECT language, complexity_band, size_band, method_id, count(*) OVER (PARTITION BY language, complexity_band, size_band) AS n_members FROM m QUALIFY n_members >= 2""", methods=METHODS)
 def partition_bands(methods: DataFrame) -> DataFrame:
     return similarity.partition_bands(methods)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, providers, rules, similarity, stores
 from ..registry import query
-from .rule_queries import BROKEN, HARD, LAYERS
+from .rule_queries import BROKEN, HARD, LAYERS, MEMBER
 from .similarity_queries import BEST, NODE_FACTS, REUSE
 
 REGISTERED = "SELECT concat('p', p_partkey) AS source, concat('i', p_size % 4) AS target FROM {part} UNION ALL SELECT concat('p', p_partkey), concat('j', p_size % 3) FROM {part}"
@@ -186,8 +186,10 @@ def preflight_change(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> Dat
 
 
 LINES = [f"- {n}: {', '.join(i)} may depend on {', '.join(m) or 'nothing'}" for n, (i, m) in sorted(LAYERS.items())]
+NAMES = sorted(LAYERS)
 
 
-@query("nodes", " SELECT CAST(k AS BIGINT) AS ordinal, line AS text FROM (SELECT unnest(range(0, " + str(len(LINES)) + ")) AS k, unnest([" + ", ".join(f"'{x}'" for x in LINES) + "]) AS line)")
+@query("nodes", MEMBER + f""" SELECT CAST(k AS BIGINT) AS ordinal, name AS layer, line AS text, (SELECT count(*) FROM ms WHERE ms.layer = name) AS nodes
+ FROM (SELECT unnest(range(0, {len(LINES)})) AS k, unnest({NAMES}) AS name, unnest([{", ".join(f"'{x}'" for x in LINES)}]) AS line)""")
 def layer_conventions(nodes: DataFrame) -> DataFrame:
-    return stores.layer_conventions(LAYERS, nodes.sparkSession)
+    return stores.layer_conventions(LAYERS, rules.layer_membership(nodes, LAYERS))
