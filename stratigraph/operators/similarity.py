@@ -236,53 +236,6 @@ def fingerprints(vectors: DataFrame, dimension: int, bits: int = 64) -> DataFram
     return vectors.select("id", out.alias("fp"))
 
 
-#: items of one side that a group compares
-BLOCK_ITEMS = 4096
-
-
-def nearest_fingerprints(prints: DataFrame, k: int = 32, most_pairs: int | None = None) -> DataFrame:
-    """(left_id, right_id, distance): each item's k nearest by Hamming distance, as unordered pairs; then the first most_pairs in order of discovery.
-
-    Comparing every item with every other is this operator's definition; items meet in blocks, each
-    keeps k per item and block, so no row per pair leaves a task.
-    """
-    if not 1 <= k <= 256:
-        raise ValueError("k out of bounds")
-    blocks = max(1, -(-prints.count() // BLOCK_ITEMS))  # on both sides, so a group holds two blocks of about BLOCK_ITEMS
-    place, others = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = prints.select(F.col("id").alias("left_id"), F.col("fp").alias("f1"), place.alias("row"), others.alias("column"))
-    right = prints.select(F.col("id").alias("right_id"), F.col("fp").alias("f2"), others.alias("row"), place.alias("column"))
-    near = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInPandas(_nearest_in_block(k), "left_id string, right_id string, distance long")
-    order = Window.partitionBy("left_id").orderBy("distance", "right_id")
-    best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    pairs = best.groupBy(F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).agg(F.min("distance").alias("distance"), F.min(F.struct("left_id", "rank")).alias("first"))
-    if most_pairs is not None:
-        pairs = pairs.orderBy("first").limit(most_pairs)
-    return pairs.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), "distance")
-
-
-def _nearest_in_block(k: int):
-    import numpy as np
-    import pandas as pd
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("right_id")
-        f2, names, out = right["f2"].to_numpy().view(np.uint64), right["right_id"].to_numpy(), []
-        for a in range(0, len(left) if len(names) else 0, 512):
-            part = left.iloc[a : a + 512]
-            d = np.bitwise_count(part["f1"].to_numpy().view(np.uint64)[:, None] ^ f2[None, :]).astype(np.int64)
-            d[part["left_id"].to_numpy()[:, None] == names[None, :]] = 1 << 30
-            # ties go to the smaller id, which stands further left
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), order.shape[1])
-            dist = d[rows, order.ravel()]
-            keep = dist < 1 << 30
-            out.append(pd.DataFrame({"left_id": part["left_id"].to_numpy()[rows][keep], "right_id": names[order.ravel()][keep], "distance": dist[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"left_id": pd.Series(dtype=str), "right_id": pd.Series(dtype=str), "distance": pd.Series(dtype="int64")})
-
-    return run
-
-
 def embedding_stats(cache: DataFrame) -> DataFrame:
     return cache.groupBy(F.size("embedding").cast("long").alias("dimension")).agg(F.count("*").alias("n"))
 

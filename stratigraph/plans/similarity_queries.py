@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import similarity
+from ..operators import hamming, similarity
 from ..registry import query
 from .history_queries import TOK, jac
 
@@ -148,7 +148,7 @@ def band_cosine(vecs: DataFrame) -> DataFrame:
 
 @query("vecs")
 def embedding_fingerprints(vecs: DataFrame) -> DataFrame:
-    return similarity.nearest_fingerprints(similarity.fingerprints(vecs, 64), 32)
+    return hamming.nearest_fingerprints(similarity.fingerprints(vecs, 64), 32)
 
 
 @query("vecs", " SELECT len(embedding) AS dimension, count(*) AS n FROM vecs GROUP BY 1")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratigraph.functions import text
-from stratigraph.operators import advice, cycles, graph, history, providers, rules, similarity, stores
+from stratigraph.operators import advice, cycles, graph, hamming, history, providers, rules, similarity, stores
 
 
 def edges(spark, pairs, confidence=1.0, kind="calls"):
@@ -124,7 +124,7 @@ def test_signatures(spark):
 def test_fingerprints_and_signs(spark):
     assert {similarity.projection_sign(b, i) for b in range(8) for i in range(8)} == {1, -1}
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [-1.0, -0.1])], "id string, embedding array<double>")
-    pairs = {(r.left_id, r.right_id): r.distance for r in similarity.nearest_fingerprints(similarity.fingerprints(rows, 2), 1).collect()}
+    pairs = {(r.left_id, r.right_id): r.distance for r in hamming.nearest_fingerprints(similarity.fingerprints(rows, 2), 1).collect()}
     assert pairs[("a", "b")] == 0 and len(pairs) == 2
 
 
