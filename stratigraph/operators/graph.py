@@ -23,12 +23,25 @@ def page_edges(edges: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame
 
 
 def graph_map(nodes: DataFrame, edges: DataFrame, most_nodes: int = 5000, most_edges: int = 15000) -> DataFrame:
-    """Edges of the map: the most confident ones, of these those whose both ends are among the first nodes by path and name."""
-    seen = nodes.orderBy(F.coalesce("file_path", F.lit("")), "display_name", "stable_id").limit(most_nodes).select("stable_id")
+    """(item, id, source, target, kind, name, file_path, confidence, truncated): the nodes and edges of a map.
+
+    Nodes are the first by path and name; edges the most confident ones, of these those whose both ends are among the nodes.
+    truncated says that the graph has more of either.
+    """
+    from ..sources.storage import checkpointed
+
+    seen = checkpointed(nodes.orderBy(F.coalesce("file_path", F.lit("")), "display_name", "stable_id").limit(most_nodes).select("stable_id", "node_kind", "display_name", "file_path", "confidence"))
     best = edges.orderBy(F.desc("confidence"), "edge_id").limit(most_edges)
     for end in ("source", "target"):
-        best = best.join(seen.withColumnRenamed("stable_id", end), end, "left_semi")
-    return best.select("edge_id", "source", "target", "edge_kind", "confidence")
+        best = best.join(seen.select(F.col("stable_id").alias(end)), end, "left_semi")
+    best = checkpointed(best.select("edge_id", "source", "target", "edge_kind", "confidence"))
+    none = F.lit(None).cast("string")
+    rows = seen.select(F.lit("node").alias("item"), F.col("stable_id").alias("id"), none.alias("source"), none.alias("target"), F.col("node_kind").alias("kind"), F.col("display_name").alias("name"), "file_path", "confidence")
+    rows = rows.unionByName(best.select(F.lit("edge").alias("item"), F.col("edge_id").alias("id"), "source", "target", F.col("edge_kind").alias("kind"), none.alias("name"), none.alias("file_path"), "confidence"))
+    # four counts, one row each
+    counts = [df.agg(F.count("*").alias(c)) for df, c in ((nodes, "n"), (seen, "m"), (edges, "e"), (best, "f"))]
+    more = reduce(lambda a, b: a.crossJoin(b), counts).select(((F.col("n") > F.col("m")) | (F.col("e") > F.col("f"))).alias("truncated"))
+    return rows.crossJoin(F.broadcast(more))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -215,30 +228,43 @@ def module_detail(nodes: DataFrame, edges: DataFrame, module: str) -> DataFrame:
 
 
 def explore_neighbourhood(nodes: DataFrame, edges: DataFrame, focus: str | None = None, most: int = 72, per_node: int = 18) -> DataFrame:
-    """(stable_id, display_name, step): undirected breadth first from focus or the hub, each node giving its best edges, until most nodes are in.
+    """(item, id, name, step, source, target): undirected breadth first from focus or the hub, each node giving its best edges, until most nodes are in.
 
-    The queue's order matters, so it is walked on the driver: at most 120 nodes, one bounded read per level.
+    Nodes have the step at which they came; edges are those looked at on the way between nodes that are in. The queue's order
+    matters, so it is walked on the driver: at most 120 nodes and 18 edges for each, one bounded read per level.
     """
     if not 1 <= most <= 120:
         raise ValueError("maximum nodes out of bounds")
-    both = edges.select("edge_id", "confidence", F.col("source").alias("at"), F.col("target").alias("other")).unionByName(edges.select("edge_id", "confidence", F.col("target").alias("at"), F.col("source").alias("other")))
+    ways = [edges.select("edge_id", "confidence", "source", "target", F.col(a).alias("at"), F.col(b).alias("other")) for a, b in (("source", "target"), ("target", "source"))]
+    both = ways[0].unionByName(ways[1].where("source != target"))
     focus = focus or hub_node(nodes, edges).first()["stable_id"]
-    order, queue = {focus: 0}, [focus]
+    order, queue, met = {focus: 0}, [focus], {}
     while queue and len(order) < most:
         best = Window.partitionBy("at").orderBy(F.desc("confidence"), "edge_id")
-        rows = both.where(F.col("at").isin(queue)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_node).select("at", "k", "other").collect()
-        near: dict[str, list[str]] = {}
+        rows = both.where(F.col("at").isin(queue)).withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_node).select("at", "k", "other", "edge_id", "source", "target").collect()
+        near: dict[str, list] = {}
         for r in sorted(rows, key=lambda r: r["k"]):
-            near.setdefault(r["at"], []).append(r["other"])
+            near.setdefault(r["at"], []).append(r)
         after = []
         for at in queue:
-            for other in near.get(at, []):
-                if other not in order and len(order) < most:
-                    order[other] = len(order)
-                    after.append(other)
+            if len(order) >= most:
+                break
+            for r in near.get(at, []):
+                if r["other"] not in order:
+                    if len(order) >= most:
+                        continue
+                    order[r["other"]] = len(order)
+                    after.append(r["other"])
+                met[r["edge_id"]] = (r["source"], r["target"])
         queue = after
-    steps = nodes.sparkSession.createDataFrame(list(order.items()), "stable_id string, step long")
-    return nodes.join(F.broadcast(steps), "stable_id").select("stable_id", "display_name", "step")
+    spark = nodes.sparkSession
+    steps = nodes.join(F.broadcast(spark.createDataFrame(list(order.items()), "stable_id string, step long")), "stable_id")
+    none = F.lit(None).cast("string")
+    found = steps.select(F.lit("node").alias("item"), F.col("stable_id").alias("id"), F.col("display_name").alias("name"), "step", none.alias("source"), none.alias("target"))
+    links = spark.createDataFrame([(e, *ends) for e, ends in met.items()], "id string, source string, target string")
+    for end in ("source", "target"):
+        links = links.join(steps.select(F.col("stable_id").alias(end)), end, "left_semi")
+    return found.unionByName(links.select(F.lit("edge").alias("item"), "id", none.alias("name"), F.lit(None).cast("long").alias("step"), "source", "target"))
 
 
 def modules_by_directory(nodes: DataFrame) -> DataFrame:

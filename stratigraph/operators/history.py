@@ -63,6 +63,22 @@ def revision_delta(before: DataFrame, after: DataFrame, attributes: list[str]) -
     return a.join(b, "stable_id", "full").select("stable_id", change.alias("change")).where("change IS NOT NULL")
 
 
+def change_summary(before: DataFrame, after: DataFrame, edges_before: DataFrame, edges_after: DataFrame, most: int = 500) -> DataFrame:
+    """(change, stable_id, file_path, detail, added_edges, removed_edges): the first nodes by id of each kind of change, with the net change of the edges' number.
+
+    Nodes (stable_id, node_kind, file_path, content_hash) are compared by all of these; one row without a node if none changed.
+    """
+    delta = revision_delta(before, after, ["node_kind", "file_path", "content_hash"])
+    facts = after.select("stable_id", "node_kind", "file_path").unionByName(before.join(after.select("stable_id"), "stable_id", "left_anti").select("stable_id", "node_kind", "file_path"))
+    # of each kind the first by id, without a window over all of them
+    parts = [delta.where(F.col("change") == c).orderBy("stable_id").limit(most) for c in ("added", "removed", "changed")]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(facts, "stable_id")
+    detail = F.concat("node_kind", F.lit(" at "), F.coalesce("file_path", F.lit("unknown source path")), F.lit("."))
+    net = edges_after.agg(F.count("*").alias("a")).crossJoin(edges_before.agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).alias("net"))
+    told = net.join(rows.select("change", "stable_id", "file_path", detail.alias("detail")), F.lit(True), "left")
+    return told.select("change", "stable_id", "file_path", "detail", F.greatest(F.lit(0), "net").alias("added_edges"), F.greatest(F.lit(0), -F.col("net")).alias("removed_edges"))
+
+
 def surface_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(symbol_id, change): symbols compared by signature and the ordered kind:hash list of their fingerprints."""
     told = lambda df, name: df.groupBy("symbol_id").agg(F.min("signature_hash").alias("s"), F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "fingerprint_kind", "fingerprint_hash"))), "|").alias("f")).select("symbol_id", F.concat_ws("#", "s", "f").alias(name))

@@ -35,8 +35,11 @@ def page_edges(edges: DataFrame) -> DataFrame:
     return graph.page_edges(edges, 200, 10)
 
 
-@query("nodes edges", """, seen AS (SELECT stable_id FROM nodes ORDER BY coalesce(file_path, ''), display_name, stable_id LIMIT 30000), best AS (SELECT * FROM edges ORDER BY confidence DESC, edge_id LIMIT 15000)
- SELECT edge_id, source, target, edge_kind, confidence FROM best WHERE source IN (SELECT stable_id FROM seen) AND target IN (SELECT stable_id FROM seen)""")
+@query("nodes edges", """, seen AS (SELECT * FROM nodes ORDER BY coalesce(file_path, ''), display_name, stable_id LIMIT 30000), best AS (SELECT * FROM edges ORDER BY confidence DESC, edge_id LIMIT 15000)
+ , inside AS (SELECT edge_id, source, target, edge_kind, confidence FROM best WHERE source IN (SELECT stable_id FROM seen) AND target IN (SELECT stable_id FROM seen)),
+ more AS (SELECT (SELECT count(*) FROM nodes) > (SELECT count(*) FROM seen) OR (SELECT count(*) FROM edges) > (SELECT count(*) FROM inside) AS truncated)
+ SELECT 'node' AS item, stable_id AS id, NULL AS source, NULL AS target, node_kind AS kind, display_name AS name, file_path, confidence, truncated FROM seen, more
+ UNION ALL SELECT 'edge', edge_id, source, target, edge_kind, NULL, NULL, confidence, truncated FROM inside, more""")
 def map_scan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.graph_map(nodes, edges, 30000, 15000)
 

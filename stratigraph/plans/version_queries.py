@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import history
 from ..registry import query
 from ..sources.storage import checkpoint_folder
 from ..sources.versioned import TABLES, VersionStore
@@ -64,3 +65,14 @@ def fact_identities(**facts: DataFrame) -> DataFrame:
     store = _committed(**facts)
     parts = [store.identities(t).selectExpr(f"'{t}' AS fact", f"concat_ws('|', {', '.join(TABLES[t].keys)}) AS id", "first_seen", "last_seen") for t in TABLES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("", """, a AS (SELECT * FROM nodes WHERE revision = 1), b AS (SELECT * FROM nodes WHERE revision = 3), net AS (SELECT count(*) FILTER (revision = 3) - count(*) FILTER (revision = 1) AS n FROM edges),
+ d AS (SELECT stable_id, CASE WHEN a.revision IS NULL THEN 'added' WHEN b.revision IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(b.node_kind, a.node_kind) AS node_kind, coalesce(b.file_path, a.file_path) AS file_path
+ FROM a FULL JOIN b USING (stable_id) WHERE a.revision IS NULL OR b.revision IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash)),
+ k AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY stable_id) AS k FROM d)
+ SELECT change, stable_id, file_path, concat(node_kind, ' at ', file_path, '.') AS detail, greatest(0, n) AS added_edges, greatest(0, -n) AS removed_edges FROM k, net WHERE k <= 200""", nodes=FACTS["nodes"], edges=FACTS["edges"])
+def change_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The first and the last revision: at most 200 nodes of each kind of change."""
+    at = lambda df, r: df.where(F.col("revision") == r).drop("revision")
+    return history.change_summary(at(nodes, 1), at(nodes, 3), at(edges, 1), at(edges, 3), 200)
