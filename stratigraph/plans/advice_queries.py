@@ -19,15 +19,18 @@ def cochange(baskets: DataFrame) -> DataFrame:
 MEMBERS = "SELECT concat('m', lpad(CAST(k AS VARCHAR(9)), 2, '0')) AS stable_id, concat('g', k % 4) AS community FROM (SELECT DISTINCT l_partkey % 40 AS k FROM {lineitem}) AS t"
 
 
-@query("", """, e AS (SELECT s.community AS sc, t.community AS tc, least(greatest(confidence, 0.0), 1.0) AS w FROM pairs JOIN members s ON s.stable_id = source JOIN members t ON t.stable_id = target), x AS (SELECT sc AS c, w, sc = tc AS i FROM e UNION ALL SELECT tc, w, false FROM e WHERE sc != tc),
- g AS (SELECT c AS community, coalesce(sum(w) FILTER (i), 0) AS a, coalesce(sum(w) FILTER (NOT i), 0) AS b FROM x GROUP BY 1) SELECT community, round(a, 4) AS inside, round(b, 4) AS boundary, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 4) AS cohesion FROM g""",
+@query("", """, e AS (SELECT s.community AS sc, t.community AS tc, least(greatest(confidence, 0.0), 1.0) AS w FROM pairs JOIN members s ON s.stable_id = source
+ JOIN members t ON t.stable_id = target), x AS (SELECT sc AS c, w, sc = tc AS i FROM e UNION ALL SELECT tc, w, false FROM e WHERE sc != tc),
+ g AS (SELECT c AS community, coalesce(sum(w) FILTER (i), 0) AS a, coalesce(sum(w) FILTER (NOT i), 0) AS b FROM x GROUP BY 1)
+ SELECT community, round(a, 4) AS inside, round(b, 4) AS boundary, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0 END, 4) AS cohesion FROM g""",
     pairs="SELECT concat('m', lpad(CAST(l_partkey % 40 AS VARCHAR(9)), 2, '0')) AS source, concat('m', lpad(CAST(l_suppkey % 40 AS VARCHAR(9)), 2, '0')) AS target, CAST(1.0 AS DOUBLE) - l_discount AS confidence FROM {lineitem}", members=MEMBERS)
 def module_cohesion(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return advice.cohesion(pairs, members).select("community", *[F.round(c, 4).alias(c) for c in ("inside", "boundary", "cohesion")])
 
 
 @query("", """, g AS (SELECT subject, cluster, sum(confidence) AS c FROM deps GROUP BY 1, 2), s AS (SELECT *, round(c / sum(c) OVER (PARTITION BY subject), 6) AS score FROM g),
- r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS nxt FROM s WINDOW w AS (PARTITION BY subject ORDER BY score DESC, cluster)) SELECT subject, cluster, score, round(score - nxt, 6) AS gap, score < 0.5 OR round(score - nxt, 6) < 0.15 AS abstained FROM r WHERE k = 1""",
+ r AS (SELECT *, row_number() OVER w AS k, coalesce(lead(score) OVER w, 0) AS nxt FROM s WINDOW w AS (PARTITION BY subject ORDER BY score DESC, cluster))
+ SELECT subject, cluster, score, round(score - nxt, 6) AS gap, score < 0.5 OR round(score - nxt, 6) < 0.15 AS abstained FROM r WHERE k = 1""",
     deps="SELECT concat('o', l_orderkey) AS subject, concat('b', l_partkey % 25) AS cluster, CAST(l_linenumber AS DOUBLE) AS confidence FROM {lineitem}")
 def placement_overlap(deps: DataFrame) -> DataFrame:
     return advice.placement_overlap(deps)
@@ -44,8 +47,10 @@ def split_append(modules: DataFrame) -> DataFrame:
 TYPES = "SELECT concat('src/n', s_nationkey, '/', CASE WHEN s_nationkey % 2 = 0 THEN 'Order' ELSE concat('Item', s_suppkey) END, CASE WHEN s_nationkey % 3 = 0 THEN 'Handler' ELSE 'Reader' END, '.cs') AS file_path, concat(CASE WHEN s_nationkey % 2 = 0 THEN 'Order' ELSE concat('Item', s_suppkey) END, CASE WHEN s_nationkey % 3 = 0 THEN 'Handler' ELSE 'Reader' END) AS name FROM {supplier}"
 
 
-@query("", """, t AS (SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS directory, name, regexp_extract(file_path, '([^/.]*)[^/]*$', 1) AS stem, regexp_extract(name, '^\\p{Lu}?[^\\p{Lu}]*(\\p{Lu}.*)$', 1) AS suffix FROM types)
- SELECT directory, max(suffix) AS suffix, count(*) AS siblings FROM t GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT CASE WHEN suffix != '' THEN suffix END) = 1 AND bool_and(stem = name)""", types=TYPES)
+@query("", """, t AS (SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS directory, name, regexp_extract(file_path, '([^/.]*)[^/]*$', 1) AS stem, regexp_extract(name, '^\\p{Lu}?[^\\p{Lu}]*(\\p{Lu}.*)$', 1) AS suffix
+ FROM types)
+ SELECT directory, max(suffix) AS suffix, count(*) AS siblings FROM t GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT CASE
+ WHEN suffix != '' THEN suffix END) = 1 AND bool_and(stem = name)""", types=TYPES)
 def sibling_naming(types: DataFrame) -> DataFrame:
     return advice.sibling_naming(types)
 
@@ -62,8 +67,10 @@ HEALTH = "SELECT o_orderkey, o_orderkey % 3 AS introduced, o_orderkey % 9 AS leg
 
 
 @query("", """, r AS (SELECT *, least(1.0, (introduced + legacy) / 10::DOUBLE)::DOUBLE AS architecture_raw, least(1.0, duplicates / 10::DOUBLE)::DOUBLE AS duplicate_raw FROM h),
- s AS (SELECT *, round(100 * (1 - (round_even(architecture_raw * 0.4::DOUBLE, 6) + round_even(duplicate_raw * 0.2::DOUBLE, 6) + round_even(documentation * 0.2::DOUBLE, 6) + round_even(decisions * 0.2::DOUBLE, 6))), 2) AS sc FROM r)
- SELECT o_orderkey, introduced, legacy, duplicates, documentation, decisions, architecture_raw, duplicate_raw, CASE WHEN introduced > 0 THEN least(sc, 49.0::DOUBLE) ELSE sc END AS score FROM s""", h=HEALTH)
+ s AS (SELECT *, round(100 * (1 - (round_even(architecture_raw * 0.4::DOUBLE, 6) + round_even(duplicate_raw * 0.2::DOUBLE, 6) + round_even(documentation * 0.2::DOUBLE, 6) + round_even(decisions * 0.2::DOUBLE, 6))), 2) AS sc
+ FROM r)
+ SELECT o_orderkey, introduced, legacy, duplicates, documentation, decisions, architecture_raw, duplicate_raw, CASE WHEN introduced > 0 THEN least(sc, 49.0::DOUBLE)
+ ELSE sc END AS score FROM s""", h=HEALTH)
 def health_score(h: DataFrame) -> DataFrame:
     return advice.health_score(h)
 
@@ -76,7 +83,8 @@ def unified_advisories(parts: DataFrame) -> DataFrame:
 SUMMARIES = "SELECT concat('src/', lang, '/', source, '/f', doc_id, '.md') AS path, concat('s', doc_id) AS id, concat('document of ', n_chars, ' characters') AS text, CASE WHEN doc_id % 4 = 0 THEN 'Stale' ELSE 'Fresh' END AS state FROM {documents}"
 
 
-@query("", """, e AS (SELECT path, id, text, unnest([array_to_string(p[1:1], '/'), array_to_string(p[1:2], '/'), array_to_string(p[1:3], '/')]) AS directory FROM (SELECT *, string_split(path, '/') AS p FROM summaries WHERE state = 'Fresh'))
+@query("", """, e AS (SELECT path, id, text, unnest([array_to_string(p[1:1], '/'), array_to_string(p[1:2], '/'), array_to_string(p[1:3], '/')]) AS directory
+ FROM (SELECT *, string_split(path, '/') AS p FROM summaries WHERE state = 'Fresh'))
  SELECT directory, count(*) OVER (PARTITION BY directory) AS n, path, id, text FROM e""", summaries=SUMMARIES)
 def directory_rollup(summaries: DataFrame) -> DataFrame:
     return advice.directory_rollup(summaries)
@@ -87,13 +95,15 @@ def session_changelog(changes: DataFrame) -> DataFrame:
     return advice.changelog(changes)
 
 
-@query("sess", """, f AS (SELECT session_id, event_type AS path, min(sequence_number) AS k FROM sess GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY k, path) AS r FROM f)
+@query("sess", """, f AS (SELECT session_id, event_type AS path, min(sequence_number) AS k FROM sess GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY session_id
+ ORDER BY k, path) AS r FROM f)
  SELECT session_id, string_agg(path, ',' ORDER BY r) AS paths FROM r WHERE r <= 8 GROUP BY 1""")
 def session_context(sess: DataFrame) -> DataFrame:
     return advice.session_context(sess.withColumnRenamed("event_type", "path"))
 
 
-@query("sess", """, f AS (SELECT session_id, event_type AS target, min(sequence_number) AS k FROM sess GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY k, target) AS ordinal, count(*) OVER (PARTITION BY session_id) AS n FROM f)
+@query("sess", """, f AS (SELECT session_id, event_type AS target, min(sequence_number) AS k FROM sess GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY session_id
+ ORDER BY k, target) AS ordinal, count(*) OVER (PARTITION BY session_id) AS n FROM f)
  SELECT session_id, target, ordinal, array_to_string(list_filter(range(1, n + 1), lambda i: i != ordinal), ',') AS co_touched FROM o""")
 def touched_batch(sess: DataFrame) -> DataFrame:
     return advice.touched_batches(sess.withColumnRenamed("event_type", "target"))
@@ -110,7 +120,8 @@ def summary_append(sess: DataFrame) -> DataFrame:
 
 
 @query("sess", """, l AS (SELECT session_id AS work_id, max_by(event_type, sequence_number) AS t, max_by(occurred_at, sequence_number) AS at_ FROM sess GROUP BY 1)
- SELECT work_id, CASE WHEN t = (SELECT min(event_type) FROM sess) THEN 'completed' ELSE 'failed' END AS state, at_ AS next_attempt FROM l WHERE t != (SELECT min(event_type) FROM sess)""")
+ SELECT work_id, CASE WHEN t = (SELECT min(event_type) FROM sess) THEN 'completed' ELSE 'failed' END AS state, at_ AS next_attempt FROM l
+ WHERE t != (SELECT min(event_type) FROM sess)""")
 def failure_work(sess: DataFrame) -> DataFrame:
     first = sess.agg(F.min("event_type").alias("m"))
     rows = sess.crossJoin(F.broadcast(first)).select(F.col("session_id").alias("work_id"), F.col("sequence_number").alias("ordinal"), F.when(F.col("event_type") == F.col("m"), "completed").otherwise("failed").alias("state"), F.lit(None).cast("timestamp_ntz").alias("next_attempt"), F.col("occurred_at").alias("created_at"))
@@ -137,8 +148,10 @@ def message_contracts(pub: DataFrame, con: DataFrame) -> DataFrame:
 KEYS = "SELECT concat(' App', user_id % 9, CASE WHEN event_id % 2 = 0 THEN '__' ELSE ':' END, ' ', event_type, CASE WHEN event_id % 50 = 0 THEN '::x' ELSE '' END) AS key FROM {events}"
 
 
-@query("", """, k AS (SELECT 'r' AS w, list_transform(string_split(replace(key, '__', ':'), ':'), lambda x: trim(x)) AS p FROM reads UNION ALL SELECT 'd', list_transform(string_split(replace(key, '__', ':'), ':'), lambda x: trim(x)) FROM defs),
- g AS (SELECT array_to_string(p, ':') AS key, count(*) FILTER (w = 'r') AS reads, count(*) FILTER (w = 'd') AS definitions FROM k WHERE NOT list_has_any(p, ['', '.', '..']) GROUP BY 1)
+@query("", """, k AS (SELECT 'r' AS w, list_transform(string_split(replace(key, '__', ':'), ':'), lambda x: trim(x)) AS p FROM reads UNION ALL
+ SELECT 'd', list_transform(string_split(replace(key, '__', ':'), ':'), lambda x: trim(x)) FROM defs),
+ g AS (SELECT array_to_string(p, ':') AS key, count(*) FILTER (w = 'r') AS reads, count(*) FILTER (w = 'd') AS definitions FROM k
+ WHERE NOT list_has_any(p, ['', '.', '..']) GROUP BY 1)
  SELECT key, reads, definitions, CASE WHEN definitions = 0 THEN 'missing_definition' WHEN reads = 0 THEN 'unused_definition' END AS diagnostic FROM g""", reads=KEYS, defs="SELECT concat('App', s_suppkey % 12, ':click') AS key FROM {supplier} UNION ALL SELECT '..:x' FROM {region}")
 def configuration_keys(reads: DataFrame, defs: DataFrame) -> DataFrame:
     return advice.configuration_edges(reads, defs)
@@ -181,7 +194,8 @@ def safe_refactor(nodes: DataFrame) -> DataFrame:
     return advice.safe_refactor(nodes.where("node_kind = 'supplier'").select(F.col("stable_id").alias("target")))
 
 
-@query("sess", """, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_number) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM sess WHERE sequence_number > 10)
+@query("sess", """, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_number) AS k, count(*) OVER (PARTITION BY session_id) AS n FROM sess
+ WHERE sequence_number > 10)
  SELECT session_id, sequence_number, event_type, occurred_at, event_id, value, n > 25 AS has_more FROM k WHERE k <= 25""")
 def session_replay(sess: DataFrame) -> DataFrame:
     return sessions.replay(sess, 10, 25)
@@ -192,7 +206,9 @@ def session_summary(sess: DataFrame) -> DataFrame:
     return sessions.summary(sess, "purchase")
 
 
-@query("sess", """, g AS (SELECT *, CASE WHEN occurred_at < lag(occurred_at) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM sess WINDOW w AS (PARTITION BY session_id ORDER BY occurred_at, event_id)),
- i AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS b FROM g) SELECT session_id, min(occurred_at) AS started_at, count(*) AS changes FROM i GROUP BY session_id, b""")
+@query("sess", """, g AS (SELECT *, CASE WHEN occurred_at < lag(occurred_at) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM sess WINDOW w AS (PARTITION BY session_id
+ ORDER BY occurred_at, event_id)),
+ i AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS b FROM g) SELECT session_id, min(occurred_at) AS started_at,
+ count(*) AS changes FROM i GROUP BY session_id, b""")
 def debounce(sess: DataFrame) -> DataFrame:
     return sessions.debounce(sess.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")), "6 hours").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))

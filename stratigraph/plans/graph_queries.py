@@ -15,9 +15,11 @@ MODULE = """CASE WHEN file_path IS NULL THEN 'References/External' WHEN contains
 
 def walk_sql(edges: str, start: str, near: str, far: str, depth: int, limit: int) -> str:
     return f""", walk AS (SELECT edge_id, {far} AS at, [{start}, {far}] AS seen, 1 AS depth FROM {edges} WHERE {near} = {start} AND {far} != {near}
- UNION ALL SELECT e.edge_id, e.{far}, list_append(w.seen, e.{far}), w.depth + 1 FROM walk w JOIN {edges} e ON e.{near} = w.at WHERE w.depth < {depth} AND NOT list_contains(w.seen, e.{far})),
+ UNION ALL SELECT e.edge_id, e.{far}, list_append(w.seen, e.{far}), w.depth + 1 FROM walk w JOIN {edges} e ON e.{near} = w.at
+ WHERE w.depth < {depth} AND NOT list_contains(w.seen, e.{far})),
  least AS (SELECT edge_id, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY edge_id),
- top AS (SELECT e.edge_id, e.source, e.target, l.depth, row_number() OVER (ORDER BY l.depth, e.edge_id) AS k, count(*) OVER () > {limit} AS truncated FROM least l JOIN {edges} e USING (edge_id))"""
+ top AS (SELECT e.edge_id, e.source, e.target, l.depth, row_number() OVER (ORDER BY l.depth, e.edge_id) AS k, count(*) OVER () > {limit} AS truncated FROM least l
+ JOIN {edges} e USING (edge_id))"""
 
 
 @query("nodes edges", " SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count, CAST(1 AS BIGINT) AS revision")
@@ -35,7 +37,8 @@ def page_edges(edges: DataFrame) -> DataFrame:
     return graph.page_edges(edges, 200, 10)
 
 
-@query("nodes edges", """, seen AS (SELECT * FROM nodes ORDER BY coalesce(file_path, ''), display_name, stable_id LIMIT 30000), best AS (SELECT * FROM edges ORDER BY confidence DESC, edge_id LIMIT 15000)
+@query("nodes edges", """, seen AS (SELECT * FROM nodes ORDER BY coalesce(file_path, ''), display_name, stable_id LIMIT 30000), best AS (SELECT * FROM edges
+ ORDER BY confidence DESC, edge_id LIMIT 15000)
  , inside AS (SELECT edge_id, source, target, edge_kind, confidence FROM best WHERE source IN (SELECT stable_id FROM seen) AND target IN (SELECT stable_id FROM seen)),
  more AS (SELECT (SELECT count(*) FROM nodes) > (SELECT count(*) FROM seen) OR (SELECT count(*) FROM edges) > (SELECT count(*) FROM inside) AS truncated)
  SELECT 'node' AS item, stable_id AS id, NULL AS source, NULL AS target, node_kind AS kind, display_name AS name, file_path, confidence, truncated FROM seen, more
@@ -54,7 +57,8 @@ def node_degrees(edges: DataFrame) -> DataFrame:
     return graph.degrees(edges)
 
 
-SEARCH = """ SELECT stable_id, display_name, file_path, CAST(CASE WHEN display_name = '{0}' THEN 0 WHEN starts_with(lower(display_name), lower('{0}')) THEN 1 ELSE 2 END AS BIGINT) AS rank
+SEARCH = """ SELECT stable_id, display_name, file_path, CAST(CASE WHEN display_name = '{0}' THEN 0 WHEN starts_with(lower(display_name), lower('{0}')) THEN 1
+ ELSE 2 END AS BIGINT) AS rank
  FROM nodes WHERE contains(lower(display_name), lower('{0}')) OR contains(lower(stable_id), lower('{0}')) OR contains(lower(file_path), lower('{0}'))"""
 
 
@@ -68,7 +72,8 @@ def resolve_symbol(nodes: DataFrame) -> DataFrame:
     return graph.resolve_symbol(nodes, "supplier")
 
 
-@query("nodes", """ SELECT stable_id, way FROM (SELECT stable_id, CAST(CASE WHEN stable_id = 'CUSTOMER' THEN 0 WHEN file_path = 'CUSTOMER' THEN 1 WHEN contains(lower(display_name), 'customer') OR contains(lower(stable_id), 'customer') THEN 2 END AS BIGINT) AS way FROM nodes)
+@query("nodes", """ SELECT stable_id, way FROM (SELECT stable_id, CAST(CASE WHEN stable_id = 'CUSTOMER' THEN 0 WHEN file_path = 'CUSTOMER' THEN 1
+ WHEN contains(lower(display_name), 'customer') OR contains(lower(stable_id), 'customer') THEN 2 END AS BIGINT) AS way FROM nodes)
  WHERE way IS NOT NULL ORDER BY way, stable_id LIMIT 1""")
 def explain_resolve(nodes: DataFrame) -> DataFrame:
     return graph.explain_resolve(nodes, "CUSTOMER")
@@ -100,7 +105,8 @@ def impact_analysis(edges: DataFrame) -> DataFrame:
 
 
 PUBLIC = ", open AS (SELECT DISTINCT stable_id FROM reached WHERE stable_id IN (SELECT node_id FROM syms WHERE lower(visibility) = 'public'))"
-RISK = PUBLIC + """ SELECT risk FROM (SELECT unnest([CASE WHEN (SELECT count(*) FROM open) > 0 THEN 'public_api' END, CASE WHEN count(DISTINCT (direction, stable_id)) >= 50 THEN 'high_blast_radius' END,
+RISK = PUBLIC + """ SELECT risk FROM (SELECT unnest([CASE WHEN (SELECT count(*) FROM open) > 0 THEN 'public_api' END, CASE
+ WHEN count(DISTINCT (direction, stable_id)) >= 50 THEN 'high_blast_radius' END,
  CASE WHEN bool_or(truncated) THEN 'incomplete_analysis' END]) AS risk FROM reached) WHERE risk IS NOT NULL"""
 
 
@@ -119,13 +125,15 @@ def impact_public_surface(edges: DataFrame, syms: DataFrame) -> DataFrame:
 
 @query("mods", """, lev AS (SELECT (SELECT min(source) FROM mods) AS here, [(SELECT min(source) FROM mods)] AS path, 0 AS n
  UNION ALL SELECT target, list_append(path, target), n + 1 FROM lev JOIN mods ON source = here WHERE NOT list_contains(path, target) AND n < 3)
- SELECT CAST(n AS BIGINT) AS path_length, array_to_string(path, '>') AS path FROM lev WHERE here = (SELECT max(target) FROM mods) AND n > 0 ORDER BY n, array_to_string(path, '>') LIMIT 1""")
+ SELECT CAST(n AS BIGINT) AS path_length, array_to_string(path, '>') AS path FROM lev WHERE here = (SELECT max(target) FROM mods) AND n > 0
+ ORDER BY n, array_to_string(path, '>') LIMIT 1""")
 def trace_path(mods: DataFrame) -> DataFrame:
     ends = mods.agg(F.min("source").alias("a"), F.max("target").alias("b")).first()
     return graph.shortest_path(mods, ends["a"], ends["b"], 3)
 
 
-@query("nodes edges", """, l1 AS (SELECT DISTINCT source AS x FROM edges WHERE target = 'n:1' AND source != 'n:1'), l2 AS (SELECT DISTINCT source AS x FROM edges WHERE target IN (SELECT x FROM l1) AND source NOT IN (SELECT x FROM l1) AND source != 'n:1'),
+@query("nodes edges", """, l1 AS (SELECT DISTINCT source AS x FROM edges WHERE target = 'n:1' AND source != 'n:1'), l2 AS (SELECT DISTINCT source AS x FROM edges WHERE target IN (SELECT x
+ FROM l1) AND source NOT IN (SELECT x FROM l1) AND source != 'n:1'),
  got AS (SELECT x, 1 AS d FROM l1 UNION ALL SELECT x, 2 FROM l2), cut AS (SELECT x FROM got ORDER BY d, x LIMIT 1000)
  SELECT """ + MODULE + " AS module, count(*) AS node_count FROM cut JOIN nodes ON x = stable_id GROUP BY 1")
 def downstream_impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -137,9 +145,11 @@ def module_scene(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.module_scene(nodes, edges)
 
 
-@query("nodes edges", ", m AS (SELECT stable_id, file_path, " + MODULE + """ = 'Features/parts' AS i FROM nodes), e AS (SELECT a.file_path AS p, b.file_path AS q, a.i, b.i AS j FROM edges JOIN m a ON a.stable_id = source JOIN m b ON b.stable_id = target WHERE a.i OR b.i),
+@query("nodes edges", ", m AS (SELECT stable_id, file_path, " + MODULE + """ = 'Features/parts' AS i FROM nodes), e AS (SELECT a.file_path AS p, b.file_path AS q, a.i, b.i AS j FROM edges JOIN m a ON a.stable_id = source
+ JOIN m b ON b.stable_id = target WHERE a.i OR b.i),
  f AS (SELECT p AS file_path, 'out' AS w, i AND j AS inner_edge FROM e WHERE i UNION ALL SELECT q, 'in', i AND j FROM e WHERE j)
- SELECT file_path, count(*) FILTER (inner_edge AND w = 'out') AS internal_edges, count(*) FILTER (NOT inner_edge AND w = 'in') AS incoming, count(*) FILTER (NOT inner_edge AND w = 'out') AS outgoing FROM f GROUP BY 1""")
+ SELECT file_path, count(*) FILTER (inner_edge AND w = 'out') AS internal_edges, count(*) FILTER (NOT inner_edge AND w = 'in') AS incoming,
+ count(*) FILTER (NOT inner_edge AND w = 'out') AS outgoing FROM f GROUP BY 1""")
 def module_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.module_detail(nodes, edges, "Features/parts")
 

@@ -11,9 +11,11 @@ from ..registry import query
 
 ATTRS = ["node_kind", "file_path", "content_hash"]
 VERSIONS = """, num AS (SELECT revision, row_number() OVER (ORDER BY revision) AS k, lead(revision) OVER (ORDER BY revision) AS nxt FROM (SELECT DISTINCT revision FROM snaps)),
- r AS (SELECT s.*, k, nxt, CASE WHEN lag(k) OVER w = k - 1 AND lag(node_kind) OVER w = node_kind AND lag(file_path) OVER w = file_path AND lag(content_hash) OVER w = content_hash THEN 0 ELSE 1 END AS fresh FROM snaps s JOIN num USING (revision) WINDOW w AS (PARTITION BY stable_id ORDER BY revision)),
+ r AS (SELECT s.*, k, nxt, CASE WHEN lag(k) OVER w = k - 1 AND lag(node_kind) OVER w = node_kind AND lag(file_path) OVER w = file_path AND lag(content_hash) OVER w = content_hash THEN 0
+ ELSE 1 END AS fresh FROM snaps s JOIN num USING (revision) WINDOW w AS (PARTITION BY stable_id ORDER BY revision)),
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY stable_id ORDER BY revision) AS island FROM r),
- ver AS (SELECT stable_id, node_kind, file_path, content_hash, min(revision) AS valid_from, max_by(nxt, revision) IS NULL AS is_open, CASE WHEN max(coalesce(nxt, 99)) = 99 THEN NULL ELSE max(nxt) - 1 END AS valid_to FROM i GROUP BY stable_id, island, node_kind, file_path, content_hash)"""
+ ver AS (SELECT stable_id, node_kind, file_path, content_hash, min(revision) AS valid_from, max_by(nxt, revision) IS NULL AS is_open, CASE
+ WHEN max(coalesce(nxt, 99)) = 99 THEN NULL ELSE max(nxt) - 1 END AS valid_to FROM i GROUP BY stable_id, island, node_kind, file_path, content_hash)"""
 
 
 @query("snaps", VERSIONS + " SELECT stable_id, node_kind, file_path, content_hash, valid_from, valid_to FROM ver")
@@ -27,8 +29,11 @@ def scan_snapshot_as_of(snaps: DataFrame) -> DataFrame:
 
 
 @query("snaps", """ SELECT stable_id, node_kind, file_path, content_hash, CAST(valid_from AS BIGINT) AS valid_from, CAST(valid_to AS BIGINT) AS valid_to FROM (
- SELECT a.stable_id, a.node_kind, a.file_path, a.content_hash, 1 AS valid_from, CASE WHEN b.stable_id IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash) THEN 1 END AS valid_to FROM (SELECT * FROM snaps WHERE revision = 1) a LEFT JOIN (SELECT * FROM snaps WHERE revision = 2) b USING (stable_id)
- UNION ALL SELECT b.stable_id, b.node_kind, b.file_path, b.content_hash, 2, NULL FROM (SELECT * FROM snaps WHERE revision = 2) b LEFT JOIN (SELECT * FROM snaps WHERE revision = 1) a USING (stable_id) WHERE a.stable_id IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash))""")
+ SELECT a.stable_id, a.node_kind, a.file_path, a.content_hash, 1 AS valid_from, CASE
+ WHEN b.stable_id IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash) THEN 1 END AS valid_to FROM (SELECT * FROM snaps
+ WHERE revision = 1) a LEFT JOIN (SELECT * FROM snaps WHERE revision = 2) b USING (stable_id)
+ UNION ALL SELECT b.stable_id, b.node_kind, b.file_path, b.content_hash, 2, NULL FROM (SELECT * FROM snaps WHERE revision = 2) b LEFT JOIN (SELECT * FROM snaps
+ WHERE revision = 1) a USING (stable_id) WHERE a.stable_id IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash))""")
 def scd2_commit(snaps: DataFrame) -> DataFrame:
     first = snaps.where("revision = 1").select("stable_id", *ATTRS, F.lit(1).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"))
     return history.commit_versions(first, snaps.where("revision = 2"), ATTRS, 2)
@@ -44,7 +49,8 @@ def lifecycle_as_of(snaps: DataFrame) -> DataFrame:
     return history.latest_state(snaps.select("stable_id", "revision", "content_hash"), "stable_id", ["revision"], 20)
 
 
-@query("snaps", """ SELECT stable_id, CASE WHEN a.revision IS NULL THEN 'added' WHEN b.revision IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM snaps WHERE revision = 3) a FULL JOIN (SELECT * FROM snaps WHERE revision = 4) b USING (stable_id)
+@query("snaps", """ SELECT stable_id, CASE WHEN a.revision IS NULL THEN 'added' WHEN b.revision IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM snaps
+ WHERE revision = 3) a FULL JOIN (SELECT * FROM snaps WHERE revision = 4) b USING (stable_id)
  WHERE a.revision IS NULL OR b.revision IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash)""")
 def revision_delta(snaps: DataFrame) -> DataFrame:
     return history.revision_delta(snaps.where("revision = 3"), snaps.where("revision = 4"), ATTRS)
@@ -53,8 +59,10 @@ def revision_delta(snaps: DataFrame) -> DataFrame:
 SYMBOLS = "SELECT CAST(day(ts) AS BIGINT) AS revision, concat('u', user_id) AS symbol_id, concat('sig', user_id % 7) AS signature_hash, event_type AS fingerprint_kind, CAST(count(*) AS VARCHAR(9)) AS fingerprint_hash FROM {events} GROUP BY day(ts), user_id, event_type"
 
 
-@query("", """, t AS (SELECT revision, symbol_id, concat(min(signature_hash), '#', array_to_string(list_sort(list(concat(fingerprint_kind, ':', fingerprint_hash))), '|')) AS s FROM symbols WHERE revision IN (5, 6) GROUP BY 1, 2)
- SELECT symbol_id, CASE WHEN a.s IS NULL THEN 'Added' WHEN b.s IS NULL THEN 'Removed' ELSE 'Changed' END AS change FROM (SELECT * FROM t WHERE revision = 5) a FULL JOIN (SELECT * FROM t WHERE revision = 6) b USING (symbol_id) WHERE a.s IS DISTINCT FROM b.s""", symbols=SYMBOLS)
+@query("", """, t AS (SELECT revision, symbol_id, concat(min(signature_hash), '#', array_to_string(list_sort(list(concat(fingerprint_kind, ':', fingerprint_hash))), '|')) AS s
+ FROM symbols WHERE revision IN (5, 6) GROUP BY 1, 2)
+ SELECT symbol_id, CASE WHEN a.s IS NULL THEN 'Added' WHEN b.s IS NULL THEN 'Removed' ELSE 'Changed' END AS change FROM (SELECT * FROM t WHERE revision = 5) a FULL
+ JOIN (SELECT * FROM t WHERE revision = 6) b USING (symbol_id) WHERE a.s IS DISTINCT FROM b.s""", symbols=SYMBOLS)
 def public_surface_diff(symbols: DataFrame) -> DataFrame:
     return history.surface_diff(symbols.where("revision = 5"), symbols.where("revision = 6"))
 
@@ -62,9 +70,12 @@ def public_surface_diff(symbols: DataFrame) -> DataFrame:
 #: two inventories of documents: in the second the sources swap names, some texts are edited and some are gone
 BEFORE = "SELECT concat(source, '/', doc_id) AS path, lang AS language, n_chars AS bytes, md5(text) AS hash FROM {documents} WHERE doc_id % 11 != 3"
 AFTER = "SELECT CASE WHEN doc_id % 5 = 0 THEN concat('moved/', doc_id) ELSE concat(source, '/', doc_id) END AS path, lang AS language, n_chars AS bytes, CASE WHEN doc_id % 7 = 0 THEN md5(concat(text, '!')) ELSE md5(text) END AS hash FROM {documents} WHERE doc_id % 13 != 4"
-INVENTORY = """, st AS (SELECT path, (a.language, a.bytes, a.hash) AS x, (b.language, b.bytes, b.hash) AS y, CASE WHEN a.hash IS NULL THEN 'Added' WHEN b.hash IS NULL THEN 'Deleted' WHEN (a.language, a.bytes, a.hash) = (b.language, b.bytes, b.hash) THEN 'Unchanged' ELSE 'Changed' END AS status FROM bef a FULL JOIN aft b USING (path)),
- d AS (SELECT x AS key, min(path) AS moved_from FROM st WHERE status = 'Deleted' GROUP BY x HAVING count(*) = 1), n AS (SELECT y AS key, min(path) AS path FROM st WHERE status = 'Added' GROUP BY y HAVING count(*) = 1), mv AS (SELECT path, moved_from FROM d JOIN n USING (key)),
- inv AS (SELECT path, status, CAST(NULL AS VARCHAR) AS moved_from FROM st WHERE path NOT IN (SELECT path FROM mv) AND path NOT IN (SELECT moved_from FROM mv) UNION ALL SELECT path, 'Moved', moved_from FROM mv)"""
+INVENTORY = """, st AS (SELECT path, (a.language, a.bytes, a.hash) AS x, (b.language, b.bytes, b.hash) AS y, CASE WHEN a.hash IS NULL THEN 'Added' WHEN b.hash IS NULL THEN 'Deleted'
+ WHEN (a.language, a.bytes, a.hash) = (b.language, b.bytes, b.hash) THEN 'Unchanged' ELSE 'Changed' END AS status FROM bef a FULL JOIN aft b USING (path)),
+ d AS (SELECT x AS key, min(path) AS moved_from FROM st WHERE status = 'Deleted' GROUP BY x HAVING count(*) = 1), n AS (SELECT y AS key, min(path) AS path FROM st
+ WHERE status = 'Added' GROUP BY y HAVING count(*) = 1), mv AS (SELECT path, moved_from FROM d JOIN n USING (key)),
+ inv AS (SELECT path, status, CAST(NULL AS VARCHAR) AS moved_from FROM st WHERE path NOT IN (SELECT path FROM mv) AND path NOT IN (SELECT moved_from FROM mv) UNION ALL
+ SELECT path, 'Moved', moved_from FROM mv)"""
 
 
 @query("", INVENTORY + " SELECT * FROM inv", bef=BEFORE, aft=AFTER)
@@ -88,10 +99,13 @@ def jac(a: str, b: str) -> str:
     return f"(CASE WHEN len({a}) + len({b}) = 0 THEN 0.0 ELSE {both}::DOUBLE / (len({a}) + len({b}) - {both}) END)"
 
 
-@query("snaps", VERSIONS + f""", old AS (SELECT stable_id AS former_id, valid_to AS removed_at, content_hash AS h, {TOK.format('node_kind')} AS n, {TOK.format('file_path')} AS p FROM ver WHERE valid_to < 28 ORDER BY valid_to DESC, stable_id, valid_from LIMIT 500),
+@query("snaps", VERSIONS + f""", old AS (SELECT stable_id AS former_id, valid_to AS removed_at, content_hash AS h, {TOK.format('node_kind')} AS n, {TOK.format('file_path')} AS p FROM ver
+ WHERE valid_to < 28 ORDER BY valid_to DESC, stable_id, valid_from LIMIT 500),
  cur AS (SELECT stable_id, content_hash, {TOK.format('node_kind')} AS n2, {TOK.format('file_path')} AS p2 FROM snaps WHERE revision = 28),
- m AS (SELECT stable_id, former_id, removed_at, list_filter([CASE WHEN stable_id = former_id THEN 1.0::DOUBLE END, {jac('n2', 'n')}, {jac('p2', 'p')}, CASE WHEN content_hash = h THEN 1.0::DOUBLE END], lambda x: x > 0) AS parts FROM cur, old)
- SELECT stable_id, former_id, CAST(removed_at AS BIGINT) AS removed_at, round_even(list_sum(parts) / len(parts), 6) AS score, len(parts) AS kinds FROM m WHERE len(parts) >= 2 AND round_even(list_sum(parts) / len(parts), 6) >= 0.6""")
+ m AS (SELECT stable_id, former_id, removed_at, list_filter([CASE WHEN stable_id = former_id THEN 1.0::DOUBLE END, {jac('n2', 'n')}, {jac('p2', 'p')}, CASE
+ WHEN content_hash = h THEN 1.0::DOUBLE END], lambda x: x > 0) AS parts FROM cur, old)
+ SELECT stable_id, former_id, CAST(removed_at AS BIGINT) AS removed_at, round_even(list_sum(parts) / len(parts), 6) AS score, len(parts) AS kinds FROM m
+ WHERE len(parts) >= 2 AND round_even(list_sum(parts) / len(parts), 6) >= 0.6""")
 def reintroduced(snaps: DataFrame) -> DataFrame:
     return history.reintroduced(history.versions(snaps, ATTRS), snaps.where("revision = 28"), 28)
 
@@ -105,7 +119,8 @@ CASE WHEN n_nationkey % 3 = 0 THEN concat('src/', r_name, '/', n_name, '/custome
  hit AS (SELECT stable_id FROM nodes WHERE file_path IN (SELECT path FROM paths)),
  touched AS (SELECT * FROM edges WHERE source IN (SELECT stable_id FROM hit) OR target IN (SELECT stable_id FROM hit)),
  affected AS (SELECT stable_id FROM hit UNION SELECT source FROM touched UNION SELECT target FROM touched)
- SELECT 'reason' AS kind, 'IncrementalReuse' AS value UNION ALL SELECT 'changed_path', path FROM paths UNION ALL SELECT 'deleted_path', moved_from FROM changes WHERE status = 'Moved' UNION ALL SELECT 'affected', stable_id FROM affected
+ SELECT 'reason' AS kind, 'IncrementalReuse' AS value UNION ALL SELECT 'changed_path', path FROM paths UNION ALL SELECT 'deleted_path', moved_from FROM changes
+ WHERE status = 'Moved' UNION ALL SELECT 'affected', stable_id FROM affected
  UNION ALL SELECT DISTINCT 'dependent_path', file_path FROM nodes WHERE stable_id IN (SELECT stable_id FROM affected) AND file_path NOT IN (SELECT path FROM paths)
  UNION ALL SELECT DISTINCT 'provider', edge_kind FROM touched UNION ALL SELECT DISTINCT 'join_key', 'supply' FROM touched WHERE edge_kind = 'supplied_by'""", changes=CHANGES)
 def incremental_plan(nodes: DataFrame, edges: DataFrame, changes: DataFrame) -> DataFrame:
@@ -116,7 +131,8 @@ def incremental_plan(nodes: DataFrame, edges: DataFrame, changes: DataFrame) ->
 @query("nodes edges", """, rep AS (SELECT stable_id FROM nodes WHERE node_kind = 'supplier'),
  e AS (SELECT edge_id, source, target FROM edges WHERE source NOT IN (SELECT stable_id FROM rep) AND target NOT IN (SELECT stable_id FROM rep)
  UNION SELECT edge_id, source, target FROM edges WHERE edge_kind = 'references' AND source IN (SELECT stable_id FROM rep) UNION SELECT 'uses:s:1>x:2', 's:1', 'x:2')
- SELECT 'edge' AS fact, edge_id AS id, concat(source, '>', target) AS told FROM e UNION ALL SELECT 'node', stable_id, display_name FROM nodes WHERE node_kind != 'supplier'
+ SELECT 'edge' AS fact, edge_id AS id, concat(source, '>', target) AS told FROM e UNION ALL SELECT 'node', stable_id, display_name FROM nodes
+ WHERE node_kind != 'supplier'
  UNION ALL SELECT 'node', stable_id, upper(display_name) FROM nodes WHERE node_kind = 'supplier' UNION ALL SELECT 'node', 'x:2', 'two'""")
 def reconcile_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Suppliers' files are read anew; of two nodes without a path one is named by an edge."""
@@ -131,15 +147,18 @@ def reconcile_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: the first days' contents were stored without a hash
 OLD_NODES = "SELECT revision, stable_id, node_kind, file_path, CASE WHEN revision > 3 THEN content_hash END AS content_hash FROM (" + SNAPSHOTS + ") AS s"
-OLD_EDGES = """SELECT CAST(day(ts) AS BIGINT) AS revision, concat('u', user_id, '>', event_type) AS edge_id, concat('u', user_id) AS source, event_type AS target, CASE WHEN day(ts) < 9 THEN 'calls' ELSE 'uses' END AS edge_kind,
+OLD_EDGES = """SELECT CAST(day(ts) AS BIGINT) AS revision, concat('u', user_id, '>', event_type) AS edge_id, concat('u', user_id) AS source, event_type AS target, CASE
+ WHEN day(ts) < 9 THEN 'calls' ELSE 'uses' END AS edge_kind,
  CASE WHEN count(*) > 1 THEN 'many' END AS join_key FROM {events} GROUP BY day(ts), user_id, event_type"""
 
 
-@query("", """, l AS (SELECT 'node' AS fact, stable_id AS id, concat_ws('|', node_kind, file_path, coalesce(content_hash, concat('legacy:', revision, ':', stable_id))) AS told, revision FROM olds
+@query("", """, l AS (SELECT 'node' AS fact, stable_id AS id, concat_ws('|', node_kind, file_path, coalesce(content_hash,
+ concat('legacy:', revision, ':', stable_id))) AS told, revision FROM olds
  UNION ALL SELECT 'edge', edge_id, concat_ws('|', source, target, edge_kind, join_key), revision FROM links)
  SELECT fact, id, told, revision AS valid_from, CASE WHEN revision != max(revision) OVER (PARTITION BY fact, id) THEN revision END AS valid_to FROM l
  UNION ALL SELECT 'node identity', stable_id, '', min(revision), max(revision) FROM olds GROUP BY stable_id
- UNION ALL SELECT 'edge identity', edge_id, max_by(concat_ws('|', source, target, edge_kind, join_key), revision), min(revision), max(revision) FROM links GROUP BY edge_id""", olds=OLD_NODES, links=OLD_EDGES)
+ UNION ALL SELECT 'edge identity', edge_id, max_by(concat_ws('|', source, target, edge_kind, join_key), revision), min(revision), max(revision) FROM links
+ GROUP BY edge_id""", olds=OLD_NODES, links=OLD_EDGES)
 def migrate_snapshots(olds: DataFrame, links: DataFrame) -> DataFrame:
     """Versions and identities of nodes and edges from snapshots of every day."""
     fixed = ["source", "target", "edge_kind", "join_key"]
@@ -156,11 +175,14 @@ EDITED = "SELECT concat(source, '/', doc_id) AS path, CASE WHEN n_chars < 900 TH
 FILED = "SELECT concat('f:', doc_id) AS stable_id, concat(source, '/', doc_id) AS file_path, 'syntax' AS provider, 'file' AS node_kind, n_chars FROM {documents}"
 
 
-@query("", """, c AS (SELECT path FROM edited), d AS (SELECT path FROM edited WHERE status = 'Deleted'), p AS (SELECT path FROM planned WHERE language = 'en'), f AS (SELECT unnest(['initial', 'uncovered']) AS asked),
+@query("", """, c AS (SELECT path FROM edited), d AS (SELECT path FROM edited WHERE status = 'Deleted'), p AS (SELECT path FROM planned WHERE language = 'en'),
+ f AS (SELECT unnest(['initial', 'uncovered']) AS asked),
  n AS (SELECT stable_id FROM filed WHERE file_path IN (SELECT path FROM c))
- SELECT 'none' AS asked, 'reason' AS kind, 'NoSourceChanges' AS value UNION ALL SELECT 'initial', 'reason', 'InitialScan' UNION ALL SELECT 'uncovered', 'reason', 'SnapshotCoverageUnavailable' UNION ALL SELECT 'covered', 'reason', 'IncrementalReuse'
+ SELECT 'none' AS asked, 'reason' AS kind, 'NoSourceChanges' AS value UNION ALL SELECT 'initial', 'reason', 'InitialScan' UNION ALL
+ SELECT 'uncovered', 'reason', 'SnapshotCoverageUnavailable' UNION ALL SELECT 'covered', 'reason', 'IncrementalReuse'
  UNION ALL SELECT asked, 'changed_path', path FROM c, f UNION ALL SELECT asked, 'deleted_path', path FROM d, f UNION ALL SELECT asked, 'parse', path FROM p, f
- UNION ALL SELECT 'covered', 'changed_path', path FROM c UNION ALL SELECT 'covered', 'deleted_path', path FROM d UNION ALL SELECT 'covered', 'parse', path FROM p WHERE path IN (SELECT path FROM c) UNION ALL SELECT 'covered', 'affected', stable_id FROM n""", planned=PLANNED, edited=EDITED, filed=FILED)
+ UNION ALL SELECT 'covered', 'changed_path', path FROM c UNION ALL SELECT 'covered', 'deleted_path', path FROM d UNION ALL SELECT 'covered', 'parse', path FROM p
+ WHERE path IN (SELECT path FROM c) UNION ALL SELECT 'covered', 'affected', stable_id FROM n""", planned=PLANNED, edited=EDITED, filed=FILED)
 def incremental_reasons(planned: DataFrame, edited: DataFrame, filed: DataFrame) -> DataFrame:
     """The four reasons of a plan: nothing changed, no revision yet, a file that no revision covers, and reuse."""
     edges = edited.sparkSession.createDataFrame([], "edge_id string, source string, target string, provider string, join_key string")

@@ -15,8 +15,10 @@ from .rule_queries import HARD, LAYERS
 from .similarity_queries import DOC_FACTS, SCORE, hybrid_sql
 
 TOP = DOC_FACTS + ", raw AS (SELECT b.stable_id AS candidate_id, " + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'd:1') a WHERE b.stable_id != 'd:1')" + SCORE + """,
- top AS (SELECT candidate_id, score, support FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 50),
- cs AS (SELECT concat('d:', b.vec_id) AS candidate_id, list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS c FROM vecs a, vecs b WHERE a.vec_id = 1)"""
+ top AS (SELECT candidate_id, score, support FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2
+ WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 50),
+ cs AS (SELECT concat('d:', b.vec_id) AS candidate_id, list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)) AS c
+ FROM vecs a, vecs b WHERE a.vec_id = 1)"""
 
 
 @query("doc_nodes vecs", TOP + " SELECT candidate_id, CASE WHEN c IS NULL THEN score ELSE round_even(0.75::DOUBLE * score + 0.25::DOUBLE * c, 6) END AS score FROM top LEFT JOIN cs USING (candidate_id)")
@@ -55,8 +57,10 @@ def scan_active_revision(snaps: DataFrame) -> DataFrame:
     return count.withColumn("rule_fingerprint", F.lit(rules.rule_fingerprint(LAYERS, HARD)))
 
 
-@query("", """, t AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM docs), g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM t)),
- h AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s HAVING count(*) > 1) SELECT first_id AS left_id, doc_id AS right_id, count(*) AS shared FROM g JOIN h USING (s) WHERE doc_id != first_id GROUP BY 1, 2""", docs="SELECT doc_id, text FROM {documents}")
+@query("", """, t AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM docs),
+ g AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM t)),
+ h AS (SELECT s, min(doc_id) AS first_id FROM g GROUP BY s HAVING count(*) > 1) SELECT first_id AS left_id, doc_id AS right_id, count(*) AS shared FROM g
+ JOIN h USING (s) WHERE doc_id != first_id GROUP BY 1, 2""", docs="SELECT doc_id, text FROM {documents}")
 def clone_detect(docs: DataFrame) -> DataFrame:
     """(left_id, right_id, shared): 50-token windows that documents share, each with their first holder."""
     return clones.token_clones(docs, 50)
@@ -64,12 +68,15 @@ def clone_detect(docs: DataFrame) -> DataFrame:
 
 RANGES = r""", l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM docs),
  w AS (SELECT doc_id, line, list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda y: y != '') AS ts FROM l),
- t AS (SELECT doc_id, list(tok ORDER BY line, k) AS ws, list(line ORDER BY line, k) AS ls FROM (SELECT doc_id, line, unnest(ts) AS tok, unnest(range(len(ts))) AS k FROM w) GROUP BY doc_id),
- g AS (SELECT doc_id AS path, pl, array_to_string(ws[pl + 1:pl + 50], ' ') AS s, ls[pl + 1] AS a, ls[pl + 50] AS b FROM (SELECT *, unnest(range(len(ws) - 49)) AS pl FROM t WHERE len(ws) >= 50)),
+ t AS (SELECT doc_id, list(tok ORDER BY line, k) AS ws, list(line ORDER BY line, k) AS ls FROM (SELECT doc_id, line, unnest(ts) AS tok, unnest(range(len(ts))) AS k
+ FROM w) GROUP BY doc_id),
+ g AS (SELECT doc_id AS path, pl, array_to_string(ws[pl + 1:pl + 50], ' ') AS s, ls[pl + 1] AS a, ls[pl + 50] AS b FROM (SELECT *, unnest(range(len(ws) - 49)) AS pl
+ FROM t WHERE len(ws) >= 50)),
  o AS (SELECT s, min({'path': path, 'pl': pl, 'a': a, 'b': b}) AS own FROM g GROUP BY s HAVING count(*) > 1),
  m AS (SELECT g.*, own, g.pl - own.pl AS diagonal FROM g JOIN o USING (s) WHERE g.path != own.path OR g.pl - own.pl >= 50),
  i AS (SELECT *, pl - row_number() OVER (PARTITION BY own.path, path, diagonal ORDER BY pl) AS island FROM m),
- r AS (SELECT own.path AS p1, path AS p2, diagonal, count(*) AS n, min(pl) AS pl, min(a) AS a2, max(b) AS b2, min(own.a) AS a1, max(own.b) AS b1 FROM i GROUP BY own.path, path, diagonal, island)
+ r AS (SELECT own.path AS p1, path AS p2, diagonal, count(*) AS n, min(pl) AS pl, min(a) AS a2, max(b) AS b2, min(own.a) AS a1, max(own.b) AS b1 FROM i
+ GROUP BY own.path, path, diagonal, island)
 """
 
 

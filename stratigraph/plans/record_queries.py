@@ -68,7 +68,8 @@ def semantic_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 @query("nodes", """, kept AS (SELECT *, string_split(file_path, '/') AS p FROM nodes WHERE NOT regexp_matches(lower(file_path), '(^|/)(generated|obj)/|\\.(g|generated|designer)\\.cs$')),
- t AS (SELECT array_to_string(p[1:k], '/') AS target, 'directory' AS reason, file_path FROM (SELECT p, file_path, unnest(range(1, len(p))) AS k FROM kept) UNION ALL SELECT stable_id, 'public_type', file_path FROM kept WHERE node_kind IN ('region', 'nation', 'supplier'))
+ t AS (SELECT array_to_string(p[1:k], '/') AS target, 'directory' AS reason, file_path FROM (SELECT p, file_path, unnest(range(1, len(p))) AS k FROM kept) UNION ALL
+ SELECT stable_id, 'public_type', file_path FROM kept WHERE node_kind IN ('region', 'nation', 'supplier'))
  SELECT target, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons, count(DISTINCT file_path) AS sources FROM t GROUP BY 1""")
 def important_nodes(nodes: DataFrame) -> DataFrame:
     return records.important_nodes(nodes)

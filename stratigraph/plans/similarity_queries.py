@@ -38,38 +38,52 @@ def hybrid_sql(a: str, b: str) -> str:
     return f"round({jac(*c('words'))}, 6) AS symbol, {signature} AS signature, round({near}, 6) AS neighbourhood, round({file}, 6) AS file, {module} AS module"
 
 
-SCORE = """, scored AS (SELECT *, 0.25::DOUBLE + CASE WHEN signature IS NULL THEN 0 ELSE 0.25::DOUBLE END + 0.15::DOUBLE + 0.15::DOUBLE + CASE WHEN module IS NULL THEN 0 ELSE 0.10::DOUBLE END AS w FROM raw),
+SCORE = """, scored AS (SELECT *, 0.25::DOUBLE + CASE WHEN signature IS NULL THEN 0 ELSE 0.25::DOUBLE END + 0.15::DOUBLE + 0.15::DOUBLE + CASE WHEN module IS NULL THEN 0
+ ELSE 0.10::DOUBLE END AS w FROM raw),
  done AS (SELECT *, round(round(symbol * 0.25::DOUBLE / w, 6) + coalesce(round(signature * 0.25::DOUBLE / w, 6), 0) + round(neighbourhood * 0.15::DOUBLE / w, 6) + round(file * 0.15::DOUBLE / w, 6) + coalesce(round(module * 0.10::DOUBLE / w, 6), 0), 6) AS score,
- CAST((symbol > 0)::INT + coalesce((signature > 0)::INT, 0) + (neighbourhood > 0)::INT + (file > 0)::INT + coalesce((module > 0)::INT, 0) AS BIGINT) AS support FROM scored)"""
+ CAST((symbol > 0)::INT + coalesce((signature > 0)::INT, 0) + (neighbourhood > 0)::INT + (file > 0)::INT + coalesce((module > 0)::INT, 0) AS BIGINT) AS support
+ FROM scored)"""
 DOC_FACTS = f", facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, layer, CAST(NULL AS VARCHAR[]) AS sig_words, []::VARCHAR[] AS outs, []::VARCHAR[] AS ins FROM doc_nodes)"
 
 
 @query("doc_nodes", DOC_FACTS + ", raw AS (SELECT b.stable_id AS candidate_id, " + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'd:1') a WHERE b.stable_id != 'd:1')" + SCORE + """
- SELECT candidate_id, score, CASE WHEN score >= 0.7 AND support >= 3 THEN 'High' WHEN score >= 0.4 AND support >= 2 THEN 'Medium' ELSE 'Low' END AS confidence, support FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 50""")
+ SELECT candidate_id, score, CASE WHEN score >= 0.7 AND support >= 3 THEN 'High' WHEN score >= 0.4 AND support >= 2 THEN 'Medium' ELSE 'Low' END AS confidence, support
+ FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1
+ ELSE 0 END DESC, candidate_id LIMIT 50""")
 def hybrid_similarity(doc_nodes: DataFrame) -> DataFrame:
     return similarity.find_similar(similarity.similarity_facts(doc_nodes), "d:1", 50)
 
 
 TOLD = "concat_ws(chr(32), fully_qualified_name, normalized_signature, return_metadata_json, parameter_metadata_json)"
-NODE_FACTS = f""", sig AS (SELECT node_id AS stable_id, min_by({TOLD}, symbol_id) AS told, min_by(normalized_signature, symbol_id) AS signature, min_by(visibility, symbol_id) AS visibility FROM syms GROUP BY 1),
- facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, CAST(NULL AS VARCHAR) AS layer, CASE WHEN told IS NOT NULL THEN {TOK.format('told')} END AS sig_words, coalesce(o, []) AS outs, coalesce(i, []) AS ins FROM nodes
- LEFT JOIN sig USING (stable_id) LEFT JOIN (SELECT source AS stable_id, list(DISTINCT target) AS o FROM edges GROUP BY 1) USING (stable_id) LEFT JOIN (SELECT target AS stable_id, list(DISTINCT source) AS i FROM edges GROUP BY 1) USING (stable_id))"""
+NODE_FACTS = f""", sig AS (SELECT node_id AS stable_id, min_by({TOLD}, symbol_id) AS told, min_by(normalized_signature, symbol_id) AS signature, min_by(visibility, symbol_id) AS visibility
+ FROM syms GROUP BY 1),
+ facts AS (SELECT stable_id, {TOK.format('concat_ws(chr(32), display_name, stable_id)')} AS words, {TOK.format('file_path')} AS path_words, file_path, CAST(NULL AS VARCHAR) AS layer,
+ CASE WHEN told IS NOT NULL THEN {TOK.format('told')} END AS sig_words, coalesce(o, []) AS outs, coalesce(i, []) AS ins FROM nodes
+ LEFT JOIN sig USING (stable_id) LEFT JOIN (SELECT source AS stable_id, list(DISTINCT target) AS o FROM edges GROUP BY 1) USING (stable_id) LEFT
+ JOIN (SELECT target AS stable_id, list(DISTINCT source) AS i FROM edges GROUP BY 1) USING (stable_id))"""
 BEST = ", raw AS (SELECT b.stable_id AS candidate_id, " + hybrid_sql("a", "b") + " FROM facts b, (SELECT * FROM facts WHERE stable_id = 'p:7') a WHERE b.stable_id != 'p:7')" + SCORE + """,
- top AS (SELECT * FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1 ELSE 0 END DESC, candidate_id LIMIT 20)"""
+ top AS (SELECT * FROM done WHERE score > 0 ORDER BY score DESC, CASE WHEN score >= 0.7 AND support >= 3 THEN 2 WHEN score >= 0.4 AND support >= 2 THEN 1
+ ELSE 0 END DESC, candidate_id LIMIT 20)"""
 DIRECTORY = "regexp_extract({0}.file_path, '^(.*)/[^/]*$', 1)"
 REUSE = f""", own AS (SELECT n.*, signature, visibility FROM nodes n LEFT JOIN sig USING (stable_id)),
  each AS (SELECT b.stable_id AS candidate_id, {jac(TOK.format('a.display_name'), TOK.format("concat_ws(chr(32), b.display_name, b.stable_id)"))} > 0 AS names, a.signature IS NOT NULL AND b.signature IS NOT NULL AS comparable,
- coalesce(a.signature = b.signature, false) AS same, {DIRECTORY.format('a')} = {DIRECTORY.format('b')} AS together, a.file_path != b.file_path AS other, coalesce(lower(a.visibility) = 'public' AND lower(b.visibility) = 'public', false) AS public
+ coalesce(a.signature = b.signature, false) AS same, {DIRECTORY.format('a')} = {DIRECTORY.format('b')} AS together, a.file_path != b.file_path AS other,
+ coalesce(lower(a.visibility) = 'public' AND lower(b.visibility) = 'public', false) AS public
  FROM top JOIN own b ON b.stable_id = candidate_id, (SELECT * FROM own WHERE stable_id = 'p:7') a),
- told AS (SELECT candidate_id, array_to_string(list_filter([CASE WHEN names THEN 'symbol_overlap' END, CASE WHEN same THEN 'public_signature_match' END, CASE WHEN together THEN 'file_ownership_overlap' END], lambda x: x IS NOT NULL), ',') AS supporting,
- array_to_string(list_filter([CASE WHEN comparable AND NOT same THEN 'public_signature_mismatch' END, CASE WHEN NOT together AND other THEN 'file_ownership_difference' END], lambda x: x IS NOT NULL), ',') AS differentiating,
- CASE WHEN public AND comparable AND NOT same THEN 'DoNotReuse' WHEN same AND (names OR together) THEN 'Reuse' WHEN names AND comparable AND NOT same THEN 'Extend' ELSE 'InsufficientEvidence' END AS decision FROM each)"""
+ told AS (SELECT candidate_id, array_to_string(list_filter([CASE WHEN names THEN 'symbol_overlap' END, CASE WHEN same THEN 'public_signature_match' END, CASE
+ WHEN together THEN 'file_ownership_overlap' END], lambda x: x IS NOT NULL), ',') AS supporting,
+ array_to_string(list_filter([CASE WHEN comparable AND NOT same THEN 'public_signature_mismatch' END, CASE
+ WHEN NOT together AND other THEN 'file_ownership_difference' END], lambda x: x IS NOT NULL), ',') AS differentiating,
+ CASE WHEN public AND comparable AND NOT same THEN 'DoNotReuse' WHEN same AND (names OR together) THEN 'Reuse' WHEN names AND comparable AND NOT same THEN 'Extend'
+ ELSE 'InsufficientEvidence' END AS decision FROM each)"""
 CHECKS = "CASE decision WHEN 'Extend' THEN 'get_dependents,get_module_rules,check_violation' WHEN 'InsufficientEvidence' THEN 'find_similar,get_dependents' ELSE 'get_dependents,check_violation' END"
 
 
 @query("nodes edges syms", NODE_FACTS + BEST + REUSE + f""" SELECT 'node' AS asked, *, {CHECKS} AS checks FROM told UNION ALL SELECT 'node', 'p:none', '', 'candidate_missing', 'InsufficientEvidence', ''
- UNION ALL SELECT 'no node', candidate_id, '', 'proposal_missing', 'InsufficientEvidence', '' FROM told UNION ALL SELECT 'no node', 'p:none', '', 'candidate_missing', 'InsufficientEvidence', ''
- UNION ALL SELECT 'intent', stable_id, CASE WHEN {jac("['ALMOND', 'TIN', 'P']", TOK.format("concat_ws(chr(32), display_name, stable_id)"))} > 0 THEN 'symbol_overlap' ELSE '' END, '', 'InsufficientEvidence', 'find_similar,get_dependents' FROM nodes""")
+ UNION ALL SELECT 'no node', candidate_id, '', 'proposal_missing', 'InsufficientEvidence', '' FROM told UNION ALL
+ SELECT 'no node', 'p:none', '', 'candidate_missing', 'InsufficientEvidence', ''
+ UNION ALL SELECT 'intent', stable_id, CASE WHEN {jac("['ALMOND', 'TIN', 'P']", TOK.format("concat_ws(chr(32), display_name, stable_id)"))} > 0 THEN 'symbol_overlap'
+ ELSE '' END, '', 'InsufficientEvidence', 'find_similar,get_dependents' FROM nodes""")
 def reuse_explain(nodes: DataFrame, edges: DataFrame, syms: DataFrame) -> DataFrame:
     """Reuse of a node's likes; the same for a proposal that isn't there; and all nodes for an intent in words."""
     best = similarity.find_similar(similarity.similarity_facts(nodes, None, syms), "p:7", 20, edges).select("candidate_id")
@@ -94,17 +108,22 @@ def similarity_clusters(doc_nodes: DataFrame) -> DataFrame:
 
 
 @query("", f""", s AS (SELECT concat('p', p_partkey) AS id, p_name AS name, string_split(p_type, ' ') AS types, p_brand AS brand, CAST(p_size % 3 AS INT) AS arity, p_size FROM parts),
- pr AS (SELECT a.id AS left_id, b.id AS right_id, a.name AS n1, b.name AS n2, greatest(len(a.types), len(b.types)) AS m, len(list_filter(list_zip(a.types, b.types), lambda z: z[1] = z[2])) AS eq, a.brand AS b1, b.brand AS b2, a.arity AS a1, b.arity AS a2 FROM s a JOIN s b ON a.brand = b.brand AND a.p_size = b.p_size AND a.id < b.id),
+ pr AS (SELECT a.id AS left_id, b.id AS right_id, a.name AS n1, b.name AS n2, greatest(len(a.types), len(b.types)) AS m, len(list_filter(list_zip(a.types, b.types), lambda z: z[1] = z[2])) AS eq, a.brand AS b1, b.brand AS b2, a.arity AS a1, b.arity AS a2
+ FROM s a JOIN s b ON a.brand = b.brand AND a.p_size = b.p_size AND a.id < b.id),
  t AS (SELECT *, {TOK2.format('n1')} AS t1, {TOK2.format('n2')} AS t2, greatest(length(n1), length(n2)) AS nl FROM pr)
- SELECT left_id, right_id, round(0.35::DOUBLE * (CASE WHEN m = 0 THEN 1.0 ELSE eq::DOUBLE / m END) + 0.20::DOUBLE * (CASE WHEN b1 = b2 THEN 1.0 ELSE 0.0 END) + 0.15::DOUBLE * (CASE WHEN a1 = a2 THEN 1.0 ELSE 0.0 END) + 0.30::DOUBLE * (0.6::DOUBLE * {jac('t1', 't2')} + 0.4::DOUBLE * (CASE WHEN nl = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(upper(n1), upper(n2))::DOUBLE / nl END)), 6) AS score FROM t""", parts="SELECT * FROM {part}")
+ SELECT left_id, right_id, round(0.35::DOUBLE * (CASE WHEN m = 0 THEN 1.0 ELSE eq::DOUBLE / m END) + 0.20::DOUBLE * (CASE WHEN b1 = b2 THEN 1.0
+ ELSE 0.0 END) + 0.15::DOUBLE * (CASE WHEN a1 = a2 THEN 1.0 ELSE 0.0 END) + 0.30::DOUBLE * (0.6::DOUBLE * {jac('t1', 't2')} + 0.4::DOUBLE * (CASE
+ WHEN nl = 0 THEN 1.0::DOUBLE ELSE 1 - levenshtein(upper(n1), upper(n2))::DOUBLE / nl END)), 6) AS score FROM t""", parts="SELECT * FROM {part}")
 def signature_similarity(parts: DataFrame) -> DataFrame:
     s = parts.select(F.struct(F.concat(F.lit("p"), "p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.split("p_type", " ").alias("parameter_types"), F.col("p_brand").alias("return_type"), (F.col("p_size") % 3).alias("arity")).alias("s"), "p_brand", "p_size")
     pairs = s.withColumnRenamed("s", "left").join(s.withColumnRenamed("s", "right"), ["p_brand", "p_size"]).where("left.symbol_id < right.symbol_id")
     return similarity.signature_similarity(pairs).select("left.symbol_id", "right.symbol_id", "score").toDF("left_id", "right_id", "score")
 
 
-@query("", f""", pr AS (SELECT concat('p', a.p_partkey) AS x, concat('p', b.p_partkey) AS y, a.p_name AS n1, b.p_name AS n2, CASE WHEN a.p_size = b.p_size THEN 0.9 ELSE 0.5 END AS sem FROM parts a JOIN parts b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
- t AS (SELECT x, y, round(0.6::DOUBLE * {jac(TOK2.format('n1'), TOK2.format('n2'))} + 0.4::DOUBLE * (1 - levenshtein(upper(n1), upper(n2))::DOUBLE / greatest(length(n1), length(n2))), 6) AS name_score FROM pr WHERE sem >= 0.8)
+@query("", f""", pr AS (SELECT concat('p', a.p_partkey) AS x, concat('p', b.p_partkey) AS y, a.p_name AS n1, b.p_name AS n2, CASE WHEN a.p_size = b.p_size THEN 0.9 ELSE 0.5 END AS sem
+ FROM parts a JOIN parts b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey),
+ t AS (SELECT x, y, round(0.6::DOUBLE * {jac(TOK2.format('n1'), TOK2.format('n2'))} + 0.4::DOUBLE * (1 - levenshtein(upper(n1), upper(n2))::DOUBLE / greatest(length(n1), length(n2))), 6) AS name_score
+ FROM pr WHERE sem >= 0.8)
  SELECT least(x, y) AS left_id, greatest(x, y) AS right_id, name_score FROM t WHERE name_score >= 0.45""", parts="SELECT * FROM {part}")
 def naming_advisory(parts: DataFrame) -> DataFrame:
     a = parts.select("p_brand", "p_type", F.col("p_partkey").alias("k1"), F.col("p_name").alias("left_name"), F.col("p_size").alias("s1"))
@@ -116,8 +135,10 @@ def naming_advisory(parts: DataFrame) -> DataFrame:
 SIGNALS = "SELECT concat('u', user_id % 50) AS left_id, concat('u', user_id % 37) AS right_id, CASE event_id % 3 WHEN 0 THEN 'structural' WHEN 1 THEN 'signature' ELSE 'semantic' END AS kind, max(CAST(event_id % 100 AS DOUBLE) / 100) AS score FROM {events} WHERE user_id % 50 != user_id % 37 GROUP BY user_id % 50, user_id % 37, event_id % 3"
 
 
-@query("", """, g AS (SELECT least(left_id, right_id) AS left_id, greatest(left_id, right_id) AS right_id, score, score >= CASE kind WHEN 'structural' THEN 0.7 WHEN 'signature' THEN 0.75 ELSE 0.8 END AS ok FROM signals)
- SELECT left_id, right_id, count(*) FILTER (ok) AS qualified, count(*) FILTER (ok) >= 2 AS likely, coalesce(round(sum(score) FILTER (ok) / count(*) FILTER (ok), 6), 0.0) AS confidence FROM g GROUP BY 1, 2""", signals=SIGNALS)
+@query("", """, g AS (SELECT least(left_id, right_id) AS left_id, greatest(left_id, right_id) AS right_id, score, score >= CASE kind WHEN 'structural' THEN 0.7
+ WHEN 'signature' THEN 0.75 ELSE 0.8 END AS ok FROM signals)
+ SELECT left_id, right_id, count(*) FILTER (ok) AS qualified, count(*) FILTER (ok) >= 2 AS likely,
+ coalesce(round(sum(score) FILTER (ok) / count(*) FILTER (ok), 6), 0.0) AS confidence FROM g GROUP BY 1, 2""", signals=SIGNALS)
 def aggregate_signals(signals: DataFrame) -> DataFrame:
     return similarity.aggregate_signals(signals)
 
@@ -133,15 +154,19 @@ def decision_feedback(decisions: DataFrame) -> DataFrame:
 METHODS = "SELECT concat('d', doc_id) AS method_id, concat(' ', upper(lang), ' ') AS language, 1 + n_chars % 60 AS logical_line_count, 1 + doc_id % 12 AS cyclomatic_complexity, doc_id % 9 = 0 AS is_data_shape FROM {documents}"
 
 
-@query("", """, m AS (SELECT method_id, lower(trim(language)) AS language, CASE WHEN cyclomatic_complexity <= 1 THEN '1' WHEN cyclomatic_complexity <= 3 THEN '2-3' WHEN cyclomatic_complexity <= 8 THEN '4-8' ELSE '9+' END AS complexity_band, CASE WHEN logical_line_count <= 10 THEN 'small' WHEN logical_line_count <= 30 THEN 'medium' ELSE 'large' END AS size_band,
+@query("", """, m AS (SELECT method_id, lower(trim(language)) AS language, CASE WHEN cyclomatic_complexity <= 1 THEN '1' WHEN cyclomatic_complexity <= 3 THEN '2-3'
+ WHEN cyclomatic_complexity <= 8 THEN '4-8' ELSE '9+' END AS complexity_band, CASE WHEN logical_line_count <= 10 THEN 'small' WHEN logical_line_count <= 30 THEN 'medium'
+ ELSE 'large' END AS size_band,
  0 AS zero FROM methods WHERE NOT is_data_shape)
  SELECT language, complexity_band, size_band, method_id, count(*) OVER (PARTITION BY language, complexity_band, size_band) AS n_members FROM m QUALIFY n_members >= 2""", methods=METHODS)
 def partition_bands(methods: DataFrame) -> DataFrame:
     return similarity.partition_bands(methods)
 
 
-@query("vecs", """, v AS (SELECT band, id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vecs), p AS (SELECT a.band, a.id AS left_id, b.id AS right_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.band = b.band AND a.id < b.id),
- s AS (SELECT band, avg(cosine) AS m, stddev_pop(cosine) AS d FROM p GROUP BY 1) SELECT band, left_id, right_id, cosine, round(CASE WHEN d > 0 THEN (cosine - m) / d ELSE 0 END, 4) AS z FROM p JOIN s USING (band)""")
+@query("vecs", """, v AS (SELECT band, id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM vecs),
+ p AS (SELECT a.band, a.id AS left_id, b.id AS right_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM v a JOIN v b ON a.band = b.band AND a.id < b.id),
+ s AS (SELECT band, avg(cosine) AS m, stddev_pop(cosine) AS d FROM p GROUP BY 1) SELECT band, left_id, right_id, cosine, round(CASE WHEN d > 0 THEN (cosine - m) / d
+ ELSE 0 END, 4) AS z FROM p JOIN s USING (band)""")
 def band_cosine(vecs: DataFrame) -> DataFrame:
     return similarity.band_cosine(vecs).withColumn("z", F.round("z", 4))
 
@@ -173,18 +198,22 @@ CLONE_LINES = "SELECT concat('c', o_orderkey) AS clone_id, concat('f', o_orderke
 
 
 @query("", """, side AS (SELECT clone_id, 0 AS side, p1 AS file_path, a1 AS s, a1 + 4 AS e FROM clones UNION ALL SELECT clone_id, 1, p2, a2, a2 + 4 FROM clones),
- held AS (SELECT clone_id, side, stable_id, node_end - node_start AS span FROM side JOIN meth USING (file_path) WHERE node_start <= s AND node_end >= e), lo AS (SELECT clone_id, side, min(span) AS span FROM held GROUP BY 1, 2),
+ held AS (SELECT clone_id, side, stable_id, node_end - node_start AS span FROM side JOIN meth USING (file_path) WHERE node_start <= s AND node_end >= e),
+ lo AS (SELECT clone_id, side, min(span) AS span FROM held GROUP BY 1, 2),
  best AS (SELECT clone_id, side, min(stable_id) AS id, count(*) AS n FROM held JOIN lo USING (clone_id, side, span) GROUP BY 1, 2),
- st AS (SELECT side.clone_id, side.side, file_path, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous' ELSE 'mapped' END AS state FROM side LEFT JOIN best ON side.clone_id = best.clone_id AND side.side = best.side)
+ st AS (SELECT side.clone_id, side.side, file_path, CASE WHEN n = 1 THEN id END AS id, CASE WHEN n IS NULL THEN 'unmapped' WHEN n > 1 THEN 'ambiguous'
+ ELSE 'mapped' END AS state FROM side LEFT JOIN best ON side.clone_id = best.clone_id AND side.side = best.side)
  SELECT clone_id, least(a.id, b.id) AS left_id, greatest(a.id, b.id) AS right_id, sha256(concat_ws(chr(31), least(a.id, b.id), greatest(a.id, b.id))) AS pair_id,
- CASE WHEN ends_with(a.file_path, '.g.cs') OR ends_with(b.file_path, '.g.cs') THEN 'generated' WHEN a.state = 'ambiguous' OR b.state = 'ambiguous' THEN 'ambiguous' WHEN a.state = 'unmapped' OR b.state = 'unmapped' THEN 'unmapped' WHEN a.id = b.id THEN 'same_symbol' END AS exclusion
+ CASE WHEN ends_with(a.file_path, '.g.cs') OR ends_with(b.file_path, '.g.cs') THEN 'generated' WHEN a.state = 'ambiguous' OR b.state = 'ambiguous' THEN 'ambiguous'
+ WHEN a.state = 'unmapped' OR b.state = 'unmapped' THEN 'unmapped' WHEN a.id = b.id THEN 'same_symbol' END AS exclusion
  FROM (SELECT * FROM st WHERE side = 0) a JOIN (SELECT * FROM st WHERE side = 1) b USING (clone_id)""", clones=CLONE_LINES, meth=RANGE_NODES)
 def clone_map(clones: DataFrame, meth: DataFrame) -> DataFrame:
     side = lambda p, a: F.struct(F.col(p).alias("path"), F.col(a).alias("start_line"), (F.col(a) + 4).alias("end_line"))
     return similarity.map_clones(clones.select("clone_id", side("p1", "a1").alias("first"), side("p2", "a2").alias("second")), meth)
 
 
-@query("", """, was AS (SELECT finding_id, max_by(resolution, (revision, decision_id)) AS w FROM ev WHERE revision <= 15 GROUP BY 1), want AS (SELECT DISTINCT finding_id, CASE WHEN length(finding_id) % 2 = 0 THEN 'accepted' ELSE 'closed' END AS state FROM ev)
+@query("", """, was AS (SELECT finding_id, max_by(resolution, (revision, decision_id)) AS w FROM ev WHERE revision <= 15 GROUP BY 1), want AS (SELECT DISTINCT finding_id, CASE
+ WHEN length(finding_id) % 2 = 0 THEN 'accepted' ELSE 'closed' END AS state FROM ev)
  SELECT finding_id, state FROM want LEFT JOIN was USING (finding_id) WHERE state IS DISTINCT FROM w""", ev=DECISIONS.replace("ts AS occurred_at", "CAST(day(ts) AS BIGINT) AS revision"))
 def lifecycle_reconcile(ev: DataFrame) -> DataFrame:
     want = ev.select("finding_id").distinct().withColumn("state", F.when(F.length("finding_id") % 2 == 0, "accepted").otherwise("closed"))

@@ -34,9 +34,11 @@ TARGETS = "SELECT concat('n:', n_nationkey) AS target FROM {nation}"
 
 @query("", """, t AS (SELECT ev.*, CASE WHEN k.session_id IS NULL THEN 'unknown session' WHEN g.target IS NULL THEN 'unknown target' END AS bad
  FROM ev LEFT JOIN known k ON ev.session_id = k.session_id LEFT JOIN targets g ON ev.target = g.target),
- e AS (SELECT *, coalesce(bool_or(bad IS NULL AND event_type = 'session_ended') OVER (PARTITION BY session_id ORDER BY occurred_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM t),
+ e AS (SELECT *, coalesce(bool_or(bad IS NULL AND event_type = 'session_ended') OVER (PARTITION BY session_id
+ ORDER BY occurred_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over FROM t),
  n AS (SELECT *, count(*) FILTER (bad IS NULL AND NOT over) OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS k FROM e)
- SELECT session_id, CASE WHEN bad IS NULL AND NOT over THEN k END AS sequence_number, event_id, event_type, CASE WHEN bad IS NOT NULL THEN bad WHEN over THEN 'session has ended' END AS reason FROM n""", ev=APPENDED, known=KNOWN, targets=TARGETS)
+ SELECT session_id, CASE WHEN bad IS NULL AND NOT over THEN k END AS sequence_number, event_id, event_type, CASE WHEN bad IS NOT NULL THEN bad
+ WHEN over THEN 'session has ended' END AS reason FROM n""", ev=APPENDED, known=KNOWN, targets=TARGETS)
 def session_append(ev: DataFrame, known: DataFrame, targets: DataFrame) -> DataFrame:
     """All events in four batches: numbers where session and target are known and the session is open, else reasons."""
     stream, state = _staged(ev, "append", "occurred_at")
@@ -61,8 +63,10 @@ PAGE, LOGGED, SENT = 40, 20, 18
 
 
 @query("", f""", w AS (SELECT s.subscriber, e.session_id, e.sequence_number, e.event_id, e.day, row_number() OVER (PARTITION BY s.subscriber ORDER BY e.sequence_number) AS k,
- count(*) FILTER (e.day <= {LOGGED}) OVER (PARTITION BY s.subscriber) AS waiting FROM subs s JOIN ev e ON e.session_id = s.session_id AND e.sequence_number > s.after_sequence)
- SELECT subscriber, session_id, sequence_number, event_id, day, CASE WHEN day <= {LOGGED} THEN 'replay' ELSE 'tail' END AS phase, day <= {LOGGED} AND waiting > {PAGE} AS has_more FROM w WHERE waiting <= {PAGE} OR k <= {PAGE}""", ev=NUMBERED, subs=SUBSCRIBERS)
+ count(*) FILTER (e.day <= {LOGGED}) OVER (PARTITION BY s.subscriber) AS waiting FROM subs s
+ JOIN ev e ON e.session_id = s.session_id AND e.sequence_number > s.after_sequence)
+ SELECT subscriber, session_id, sequence_number, event_id, day, CASE WHEN day <= {LOGGED} THEN 'replay'
+ ELSE 'tail' END AS phase, day <= {LOGGED} AND waiting > {PAGE} AS has_more FROM w WHERE waiting <= {PAGE} OR k <= {PAGE}""", ev=NUMBERED, subs=SUBSCRIBERS)
 def event_stream(ev: DataFrame, subs: DataFrame) -> DataFrame:
     """Replay of what was logged, then the tail; a subscriber with more than a page waiting gets the page alone."""
     stream, state = _staged(ev.where(F.col("day") >= SENT), "tail", "day")
@@ -73,7 +77,8 @@ def event_stream(ev: DataFrame, subs: DataFrame) -> DataFrame:
 
 
 #: clicks and views change files, purchases are session activity, errors say that work has failed, searches that it is done
-SIGNALS = """SELECT concat('w', user_id) AS workspace_id, CASE WHEN value > 190 THEN 'fault' WHEN event_type IN ('click', 'view') THEN 'changed' WHEN event_type = 'purchase' THEN 'activity'
+SIGNALS = """SELECT concat('w', user_id) AS workspace_id, CASE WHEN value > 190 THEN 'fault' WHEN event_type IN ('click', 'view') THEN 'changed'
+ WHEN event_type = 'purchase' THEN 'activity'
  WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS kind, concat('src/', event_type, '/', event_id % 50, '.cs') AS path, CAST(ts AS TIMESTAMP) AS at FROM {events}"""
 
 
@@ -87,8 +92,11 @@ def change_sets(signals: DataFrame) -> DataFrame:
 
 
 #: a governor serves ten users' runs; a purchase completes the event before it, an error is a rate limit
-REQUESTS = """SELECT concat('g', user_id % 15) AS governor_id, concat('r', user_id) AS run_id, CAST(CASE WHEN event_type = 'purchase' THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) ELSE event_id END AS VARCHAR(20)) AS request_id,
- CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'rate_limited' ELSE 'reserve' END AS kind, CAST(ts AS TIMESTAMP) AS at, CAST(100 * value AS BIGINT) AS tokens, value / 100 AS cost, CAST(60000 * value AS BIGINT) AS retry_after_ms FROM {events}"""
+REQUESTS = """SELECT concat('g', user_id % 15) AS governor_id, concat('r', user_id) AS run_id, CAST(CASE WHEN event_type = 'purchase' THEN lag(event_id) OVER (PARTITION BY user_id
+ ORDER BY ts, event_id) ELSE event_id END AS VARCHAR(20)) AS request_id,
+ CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'rate_limited'
+ ELSE 'reserve' END AS kind, CAST(ts AS TIMESTAMP) AS at, CAST(100 * value AS BIGINT) AS tokens, value / 100 AS cost, CAST(60000 * value AS BIGINT) AS retry_after_ms
+ FROM {events}"""
 
 
 @query("", None, requests=REQUESTS)

@@ -23,7 +23,8 @@ FACTS = {
  CASE WHEN a.user_id % 2 = 0 THEN a.event_type END AS join_key, CAST(CASE WHEN a.n < b.n THEN 0.25 WHEN a.n = b.n THEN 0.5 ELSE 0.75 END AS DOUBLE) AS confidence
  FROM ({COUNTS}) AS a JOIN ({COUNTS}) AS b ON a.revision = b.revision AND a.user_id = b.user_id AND a.event_type < b.event_type""",
     "symbols": f"""SELECT revision, concat('sym:', stable_id) AS symbol_id, stable_id AS node_id, concat('Users.', event_type) AS fully_qualified_name,
- CASE WHEN n > 2 THEN 'public' ELSE 'private' END AS visibility, concat(event_type, '()') AS normalized_signature, CAST(n % 3 AS VARCHAR(9)) AS signature_hash FROM ({COUNTS}) AS c""",
+ CASE WHEN n > 2 THEN 'public' ELSE 'private' END AS visibility, concat(event_type, '()') AS normalized_signature, CAST(n % 3 AS VARCHAR(9)) AS signature_hash
+ FROM ({COUNTS}) AS c""",
     "fingerprints": f"""SELECT revision, concat('sym:', stable_id) AS symbol_id, 'members' AS fingerprint_kind, CAST(n % 2 AS VARCHAR(9)) AS fingerprint_hash,
  '[]' AS normalized_members_json FROM ({COUNTS}) AS c""",
 }
@@ -46,9 +47,11 @@ def _committed(**facts: DataFrame) -> VersionStore:
 
 
 ROWS = ", f AS (" + " UNION ALL ".join(f"SELECT '{t}' AS fact, {k} AS id, {v} AS told, revision FROM {t}" for t, (k, v) in TOLD.items()) + ")"
-ISLANDS = f"""{ROWS}, n AS (SELECT *, CASE WHEN lag(revision) OVER w = revision - 1 AND lag(told) OVER w = told THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY fact, id ORDER BY revision)),
+ISLANDS = f"""{ROWS}, n AS (SELECT *, CASE WHEN lag(revision) OVER w = revision - 1 AND lag(told) OVER w = told THEN 0 ELSE 1 END AS fresh FROM f WINDOW w AS (PARTITION BY fact, id
+ ORDER BY revision)),
  i AS (SELECT *, sum(fresh) OVER (PARTITION BY fact, id ORDER BY revision) AS island FROM n)
- SELECT fact, id, told, min(revision) AS valid_from, CASE WHEN max(revision) < {REVISIONS} THEN max(revision) END AS valid_to, concat('run ', min(revision)) AS run_id FROM i GROUP BY fact, id, island, told"""
+ SELECT fact, id, told, min(revision) AS valid_from, CASE WHEN max(revision) < {REVISIONS} THEN max(revision) END AS valid_to, concat('run ', min(revision)) AS run_id
+ FROM i GROUP BY fact, id, island, told"""
 
 
 @query("", ISLANDS, **FACTS)
@@ -67,11 +70,14 @@ def fact_identities(**facts: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("", """, a AS (SELECT * FROM nodes WHERE revision = 1), b AS (SELECT * FROM nodes WHERE revision = 3), net AS (SELECT count(*) FILTER (revision = 3) - count(*) FILTER (revision = 1) AS n FROM edges),
- d AS (SELECT stable_id, CASE WHEN a.revision IS NULL THEN 'added' WHEN b.revision IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(b.node_kind, a.node_kind) AS node_kind, coalesce(b.file_path, a.file_path) AS file_path
+@query("", """, a AS (SELECT * FROM nodes WHERE revision = 1), b AS (SELECT * FROM nodes WHERE revision = 3),
+ net AS (SELECT count(*) FILTER (revision = 3) - count(*) FILTER (revision = 1) AS n FROM edges),
+ d AS (SELECT stable_id, CASE WHEN a.revision IS NULL THEN 'added' WHEN b.revision IS NULL THEN 'removed' ELSE 'changed' END AS change,
+ coalesce(b.node_kind, a.node_kind) AS node_kind, coalesce(b.file_path, a.file_path) AS file_path
  FROM a FULL JOIN b USING (stable_id) WHERE a.revision IS NULL OR b.revision IS NULL OR (a.node_kind, a.file_path, a.content_hash) != (b.node_kind, b.file_path, b.content_hash)),
  k AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY stable_id) AS k FROM d)
- SELECT change, stable_id, file_path, concat(node_kind, ' at ', file_path, '.') AS detail, greatest(0, n) AS added_edges, greatest(0, -n) AS removed_edges FROM k, net WHERE k <= 200""", nodes=FACTS["nodes"], edges=FACTS["edges"])
+ SELECT change, stable_id, file_path, concat(node_kind, ' at ', file_path, '.') AS detail, greatest(0, n) AS added_edges, greatest(0, -n) AS removed_edges FROM k, net
+ WHERE k <= 200""", nodes=FACTS["nodes"], edges=FACTS["edges"])
 def change_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The first and the last revision: at most 200 nodes of each kind of change."""
     at = lambda df, r: df.where(F.col("revision") == r).drop("revision")
