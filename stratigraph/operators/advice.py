@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import directory, file_name, r6, r6e
+from .graph import explain_resolve
 
 
 def cochange(baskets: DataFrame, minimum: int = 2, maximum_commits: int = 1000) -> DataFrame:
@@ -258,6 +259,53 @@ def safe_refactor(targets: DataFrame) -> DataFrame:
     return targets.select("target", F.posexplode(F.lit(list(CHECKPOINTS))).alias("k", "checkpoint")).select("target", (F.col("k") + 1).cast("long").alias("ordinal"), "checkpoint")
 
 
+EXPLAINED = "section string, kind string, place long, detail string, provenance string"
+
+
+def explain_architecture(nodes: DataFrame, edges: DataFrame, symbols: DataFrame, decisions: DataFrame, versions: DataFrame, lookup: str, depth: int = 3) -> DataFrame:
+    """(section, kind, place, detail, provenance): what is known of the node that a text names, from persisted facts alone.
+
+    The node is found by id, else by path, else by part of its name. Facts are its declaration, source and provider, its first 40 edges and
+    20 symbols by id; then the decisions on it by time, its last versions, and what is not known. No node gives no rows.
+    """
+    if not lookup.strip() or len(lookup) > 320 or not 0 <= depth <= 20:
+        raise ValueError("lookup or history depth out of bounds")
+    found = explain_resolve(nodes, lookup).first()  # one row
+    spark = nodes.sparkSession
+    if found is None:
+        return spark.createDataFrame([], EXPLAINED)
+    target = found["stable_id"]
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+
+    def first(df: DataFrame, order: list, most: int, section: str, kind: str, detail: Column, provenance: str) -> DataFrame:
+        some = df.orderBy(*order).limit(most)
+        return some.select(F.lit(section).alias("section"), F.lit(kind).alias("kind"), F.row_number().over(Window.partitionBy(F.lit(section)).orderBy(*order)).cast("long").alias("place"), detail.alias("detail"), F.lit(provenance).alias("provenance"))
+
+    own = nodes.where(F.col("stable_id") == target)
+    line = F.coalesce(F.col("start_line").cast("string"), F.lit("?")) if "start_line" in nodes.columns else F.lit("?")
+    key = F.col("canonical_key") if "canonical_key" in nodes.columns else F.col("stable_id")
+    source = F.when(F.col("file_path").isNull(), "No persisted source path is available.").otherwise(F.concat(F.lit("Defined at "), "file_path", F.lit(":"), line, F.lit(".")))
+    out = first(own, ["stable_id"], 1, "facts", "declaration", F.concat("node_kind", F.lit(" '"), "display_name", F.lit("' ("), key, F.lit(").")), "graph_nodes")
+    out = out.unionByName(first(own, ["stable_id"], 1, "facts", "source", source, "graph_nodes"))
+    out = out.unionByName(first(own, ["stable_id"], 1, "facts", "provider", F.concat(F.lit("Provider '"), "provider", F.lit("' reported confidence "), number("confidence"), F.lit(".")), "graph_nodes"))
+    near = edges.where((F.col("source") == target) | (F.col("target") == target))
+    told = F.when(F.col("source") == target, F.concat(F.lit("Depends on "), "target")).otherwise(F.concat(F.lit("Is depended on by "), "source"))
+    out = out.unionByName(first(near, ["edge_id"], 40, "facts", "dependency", F.concat(told, F.lit(" through "), "edge_kind", F.lit(".")), "graph_edges"))
+    surface = F.concat("visibility", F.lit(" symbol "), "fully_qualified_name", F.lit(" ("), "normalized_signature", F.lit(")."))
+    out = out.unionByName(first(symbols.where(F.col("node_id") == target), ["symbol_id"], 20, "facts", "public_surface", surface, "graph_symbols"))
+    mine = decisions.where(F.col("target") == target)
+    out = out.unionByName(first(mine, ["occurred_at", "decision_id"], 2**31 - 1, "decisions", "decision", F.concat_ws(" ", "decision_id", "resolution", "note"), "architecture_decisions"))
+    was = versions.where(F.col("stable_id") == target)
+    span = F.concat(F.lit("Present from revision "), F.col("valid_from").cast("string"), F.when(F.col("valid_to").isNull(), "").otherwise(F.concat(F.lit(" through "), F.col("valid_to").cast("string"))), F.lit("."))
+    recent = was.orderBy(F.desc("valid_from")).limit(max(depth, 1))
+    place = F.row_number().over(Window.partitionBy("stable_id").orderBy(F.desc("valid_from"))).cast("long")
+    past = recent.select(F.lit("history").alias("section"), F.when(F.col("valid_to").isNull(), "active").otherwise("historical").alias("kind"), place.alias("place"), span.alias("detail"), F.coalesce("file_path", F.lit("graph_node_versions")).alias("provenance"))
+    past = past.where(F.lit(depth > 0))
+    none = lambda df, text, k: df.agg(F.count("*").alias("n")).where("n = 0").select(F.lit("unknown").alias("section"), F.lit("unknown").alias("kind"), F.lit(k).cast("long").alias("place"), F.lit(text).alias("detail"), F.lit("none").alias("provenance"))
+    out = out.unionByName(past).unionByName(none(past, "No bounded historical revision evidence is available for this node.", 1))
+    return out.unionByName(none(mine, "No architecture decisions target this graph node.", 2))
+
+
 def map_questions(questions: DataFrame, text: str) -> DataFrame:
     """questions with (node, direction, depth): the three phrasings as expressions; null is unsupported."""
     into = F.regexp_extract(text, r"(?i)^\s*what\s+(?:breaks\s+if\s+i\s+delete|uses)\s+(.+?)\??\s*$", 1)

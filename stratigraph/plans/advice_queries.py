@@ -170,11 +170,34 @@ def louvain_communities(mods: DataFrame) -> DataFrame:
     return advice.louvain(mods)
 
 
-@query("nodes edges", """, k AS (SELECT edge_id, source, target, edge_kind, confidence, row_number() OVER (ORDER BY confidence DESC, edge_id) AS r FROM edges WHERE source = 'n:1' OR target = 'n:1') SELECT e.edge_id, a.display_name AS source_name, b.display_name AS target_name, edge_kind FROM k e JOIN nodes a ON a.stable_id = source JOIN nodes b ON b.stable_id = target WHERE r <= 40""")
-def explain_architecture(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    top = edges.where("source = 'n:1' OR target = 'n:1'").orderBy(F.desc("confidence"), "edge_id").limit(40)
-    a, b = nodes.select(F.col("stable_id").alias("source"), F.col("display_name").alias("source_name")), nodes.select(F.col("stable_id").alias("target"), F.col("display_name").alias("target_name"))
-    return top.join(a, "source").join(b, "target").select("edge_id", "source_name", "target_name", "edge_kind")
+#: decisions on suppliers, and their versions by the day of an event of the user of that number
+JUDGED = """SELECT concat('s:', user_id) AS target, concat('d', event_id) AS decision_id, event_type AS resolution, CASE WHEN value > 100 THEN 'dear' END AS note, ts AS occurred_at
+ FROM {events} WHERE event_type = 'purchase'"""
+VERSIONED = """SELECT concat('s:', user_id) AS stable_id, CAST(day(ts) AS BIGINT) AS valid_from, CASE WHEN day(ts) < 29 THEN CAST(day(ts) AS BIGINT) END AS valid_to,
+ max(concat('src/', event_type)) AS file_path FROM {events} GROUP BY user_id, day(ts)"""
+
+
+def explained_sql(target: str) -> str:
+    return f"""
+ SELECT 'facts' AS section, 'declaration' AS kind, 1 AS place, concat(node_kind, ' ', chr(39), display_name, chr(39), ' (', stable_id, ').') AS detail, 'graph_nodes' AS provenance FROM nodes WHERE stable_id = '{target}'
+ UNION ALL SELECT 'facts', 'source', 1, concat('Defined at ', file_path, ':?.'), 'graph_nodes' FROM nodes WHERE stable_id = '{target}'
+ UNION ALL SELECT 'facts', 'provider', 1, concat('Provider ', chr(39), provider, chr(39), ' reported confidence ', CASE WHEN confidence = 1 THEN '1' ELSE CAST(confidence AS VARCHAR) END, '.'), 'graph_nodes'
+ FROM nodes WHERE stable_id = '{target}'
+ UNION ALL SELECT 'facts', 'dependency', k, concat(CASE WHEN source = '{target}' THEN concat('Depends on ', target) ELSE concat('Is depended on by ', source) END, ' through ', edge_kind, '.'), 'graph_edges'
+ FROM (SELECT *, row_number() OVER (ORDER BY edge_id) AS k FROM edges WHERE source = '{target}' OR target = '{target}') WHERE k <= 40
+ UNION ALL SELECT 'facts', 'public_surface', row_number() OVER (ORDER BY symbol_id), concat(visibility, ' symbol ', fully_qualified_name, ' (', normalized_signature, ').'), 'graph_symbols' FROM syms WHERE node_id = '{target}'
+ UNION ALL SELECT 'decisions', 'decision', row_number() OVER (ORDER BY occurred_at, decision_id), concat_ws(' ', decision_id, resolution, note), 'architecture_decisions' FROM judged WHERE target = '{target}'
+ UNION ALL SELECT 'history', CASE WHEN valid_to IS NULL THEN 'active' ELSE 'historical' END, k, concat('Present from revision ', valid_from, CASE WHEN valid_to IS NULL THEN '' ELSE concat(' through ', valid_to) END, '.'), file_path
+ FROM (SELECT *, row_number() OVER (ORDER BY valid_from DESC) AS k FROM versioned WHERE stable_id = '{target}') WHERE k <= 5
+ UNION ALL SELECT 'unknown', 'unknown', 1, 'No bounded historical revision evidence is available for this node.', 'none' WHERE NOT EXISTS (SELECT 1 FROM versioned WHERE stable_id = '{target}')
+ UNION ALL SELECT 'unknown', 'unknown', 2, 'No architecture decisions target this graph node.', 'none' WHERE NOT EXISTS (SELECT 1 FROM judged WHERE target = '{target}')"""
+
+
+@query("nodes edges syms", f" SELECT 's:3' AS asked, * FROM ({explained_sql('s:3')}) UNION ALL SELECT 'nation_1', * FROM ({explained_sql('n:1')})", judged=JUDGED, versioned=VERSIONED)
+def explain_architecture(nodes: DataFrame, edges: DataFrame, syms: DataFrame, judged: DataFrame, versioned: DataFrame) -> DataFrame:
+    """A supplier by its id, and a nation by its name: facts, decisions, history, and what is not known."""
+    told = lambda text: advice.explain_architecture(nodes, edges, syms, judged, versioned, text, 5).select(F.lit(text).alias("asked"), "*")
+    return told("s:3").unionByName(told("nation_1"))
 
 
 @query("nodes edges syms", NODE_FACTS + BEST.replace("LIMIT 20", "LIMIT 3") + REUSE + """, first AS (SELECT min(CASE decision WHEN 'Reuse' THEN 0 WHEN 'Extend' THEN 1 WHEN 'DoNotReuse' THEN 2 ELSE 3 END) AS k FROM told)
