@@ -69,13 +69,43 @@ def map_semantics(symbols: DataFrame, relations: DataFrame) -> DataFrame:
     return both.select(edge_id(F.col("source"), F.col("target"), F.col("edge_kind"), F.lit(None).cast("string")).alias("edge_identity"), "source", "target", "edge_kind").distinct()
 
 
-def important_nodes(nodes: DataFrame) -> DataFrame:
-    """(target, reasons, sources): ancestors of paths as directories, nodes as public types; generated paths give none."""
-    kept = nodes.where("file_path IS NOT NULL").where(~F.col("file_path").rlike(r"(?i)(^|/)(generated|obj)/|\.(g|generated|designer)\.cs$"))
-    parts = F.split("file_path", "/")
-    dirs = kept.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("target"), F.lit("directory").alias("reason"), "file_path")
-    types = kept.where("node_kind IN ('region', 'nation', 'supplier')").select(F.col("stable_id").alias("target"), F.lit("public_type").alias("reason"), "file_path")
-    return dirs.unionByName(types).groupBy("target").agg(F.array_join(F.sort_array(F.collect_set("reason")), ",").alias("reasons"), F.countDistinct("file_path").alias("sources"))
+NAMESPACES, TYPES = ("namespace", "semantic_namespace"), ("class", "interface", "struct", "record", "enum", "delegate")
+GENERATED = r"(?i)(^|/)(generated|obj)(/|$)|\.(g|generated|designer)\.cs$"
+
+
+def important_nodes(nodes: DataFrame, symbols: DataFrame, modules: list[str] = (), include_generated: bool = False) -> DataFrame:
+    """(item, kind, stable_id, display_name, reason, sources): what summaries are worth, and what is excluded as generated.
+
+    Targets are the directories above source files, configured modules that hold any, namespaces, and nodes with a public symbol: public
+    types by their kind, else public APIs, named by their first symbol. sources counts the paths that speak for a target.
+    """
+    path = F.translate("file_path", "\\", "/")
+    there = nodes.where(F.btrim(F.coalesce("file_path", F.lit(""))) != "").withColumn("generated", path.rlike(GENERATED) & F.lit(not include_generated))
+    files = there.select("file_path", "generated").distinct()
+    kept = files.where("NOT generated")
+    parts = F.filter(F.split("file_path", "/"), lambda x: x != "")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    told = lambda df, kind, stable_id, name, reason: df.select(F.lit(kind).alias("kind"), stable_id.alias("stable_id"), name.alias("display_name"), F.lit(reason).alias("reason"), "file_path")
+    dirs = kept.where(F.size(parts) > 1).select("file_path", F.explode(above).alias("d"))
+    out = told(dirs, "Directory", F.concat(F.lit("directory:"), "d"), F.col("d"), "DirectoryContainsSource")
+    for m in sorted({m.strip().strip("/").replace("\\", "/") for m in modules}):
+        within = kept.where((F.col("file_path") == m) | F.startswith("file_path", F.lit(m + "/")))
+        out = out.unionByName(told(within, "Module", F.lit(f"module:{m}"), F.lit(m), "ConfiguredModule"))
+    spaces = there.where(F.lower("node_kind").isin(*NAMESPACES))
+    out = out.unionByName(told(spaces.where("NOT generated"), "Namespace", F.col("stable_id"), F.col("display_name"), "NamespaceDeclaration"))
+    public = symbols.where(F.lower("visibility") == "public").select("symbol_id", F.col("node_id").alias("stable_id"), "fully_qualified_name")
+    open_ = public.join(there.select("stable_id", "node_kind", "file_path", "generated"), "stable_id")
+    is_type = F.col("node_kind").isin(*TYPES) | (F.lower("node_kind") == "semantic_type")
+    named = open_.where("NOT generated").groupBy("stable_id", "node_kind", "file_path").agg(F.min(F.struct("symbol_id", "fully_qualified_name")).alias("s"))
+    for kind, mine in (("PublicType", is_type), ("PublicApi", ~is_type)):
+        out = out.unionByName(told(named.where(mine), kind, F.col("stable_id"), F.col("s.fully_qualified_name"), f"{kind}Declaration"))
+    targets = out.groupBy("kind", "stable_id", "display_name", "reason").agg(F.countDistinct("file_path").alias("sources"))
+    none = F.lit(None).cast("long").alias("sources")
+    gone = files.where("generated").select(F.concat(F.lit("file:"), "file_path").alias("stable_id"), F.col("file_path").alias("display_name"))
+    gone = gone.unionByName(spaces.where("generated").select("stable_id", "display_name"))
+    gone = gone.unionByName(open_.where("generated").select(F.col("symbol_id").alias("stable_id"), F.col("fully_qualified_name").alias("display_name"))).dropDuplicates(["stable_id"])
+    excluded = gone.select(F.lit("excluded").alias("item"), F.lit(None).cast("string").alias("kind"), "stable_id", "display_name", F.lit("generated-source").alias("reason"), none)
+    return targets.select(F.lit("target").alias("item"), "kind", "stable_id", "display_name", "reason", "sources").unionByName(excluded)
 
 
 def post_edit_reuse(scored: DataFrame, most: int = 3) -> DataFrame:

@@ -67,12 +67,22 @@ def semantic_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return records.map_semantics(nodes.where("provider != 'erp'"), edges)
 
 
-@query("nodes", """, kept AS (SELECT *, string_split(file_path, '/') AS p FROM nodes WHERE NOT regexp_matches(lower(file_path), '(^|/)(generated|obj)/|\\.(g|generated|designer)\\.cs$')),
- t AS (SELECT array_to_string(p[1:k], '/') AS target, 'directory' AS reason, file_path FROM (SELECT p, file_path, unnest(range(1, len(p))) AS k FROM kept) UNION ALL
- SELECT stable_id, 'public_type', file_path FROM kept WHERE node_kind IN ('region', 'nation', 'supplier'))
- SELECT target, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons, count(DISTINCT file_path) AS sources FROM t GROUP BY 1""")
-def important_nodes(nodes: DataFrame) -> DataFrame:
-    return records.important_nodes(nodes)
+KINDS = "CASE node_kind WHEN 'region' THEN 'namespace' WHEN 'order' THEN 'namespace' WHEN 'supplier' THEN 'class' ELSE node_kind END"
+
+
+@query("nodes syms", f""", n AS (SELECT stable_id, display_name, file_path, {KINDS} AS node_kind, regexp_matches(lower(file_path), '(^|/)(generated|obj)(/|$)|\\.(g|generated|designer)\\.cs$') AS made FROM nodes),
+ kept AS (SELECT DISTINCT file_path, string_split(file_path, '/') AS p FROM n WHERE NOT made), s AS (SELECT * FROM syms WHERE lower(visibility) = 'public'),
+ t AS (SELECT 'Directory' AS kind, concat('directory:', d) AS stable_id, d AS display_name, 'DirectoryContainsSource' AS reason, file_path FROM (SELECT file_path, array_to_string(p[1:k], '/') AS d FROM (SELECT p, file_path, unnest(range(1, len(p))) AS k FROM kept))
+ UNION ALL SELECT 'Module', 'module:src/ASIA', 'src/ASIA', 'ConfiguredModule', file_path FROM kept WHERE file_path LIKE 'src/ASIA/%'
+ UNION ALL SELECT 'Namespace', stable_id, display_name, 'NamespaceDeclaration', file_path FROM n WHERE node_kind = 'namespace' AND NOT made
+ UNION ALL SELECT CASE node_kind WHEN 'class' THEN 'PublicType' ELSE 'PublicApi' END, stable_id, fully_qualified_name, CASE node_kind WHEN 'class' THEN 'PublicTypeDeclaration' ELSE 'PublicApiDeclaration' END, file_path FROM n JOIN s ON node_id = stable_id WHERE NOT made)
+ SELECT 'target' AS item, kind, stable_id, display_name, reason, count(DISTINCT file_path) AS sources FROM t GROUP BY kind, stable_id, display_name, reason
+ UNION ALL SELECT DISTINCT 'excluded', NULL, concat('file:', file_path), file_path, 'generated-source', NULL FROM n WHERE made
+ UNION ALL SELECT 'excluded', NULL, stable_id, display_name, 'generated-source', NULL FROM n WHERE made AND node_kind = 'namespace'""")
+def important_nodes(nodes: DataFrame, syms: DataFrame) -> DataFrame:
+    """Regions and orders as namespaces (the orders' files are generated), suppliers as types, parts as APIs, one configured module."""
+    kinds = nodes.withColumn("node_kind", F.when(F.col("node_kind").isin("region", "order"), "namespace").when(F.col("node_kind") == "supplier", "class").otherwise(F.col("node_kind")))
+    return records.important_nodes(kinds, syms, ["/src/ASIA/", "src/NOWHERE"])
 
 
 SCORED = "SELECT concat('u', user_id) AS source_id, concat('e', event_id % 97) AS candidate_id, concat('f', user_id % 5) AS source_path, concat('f', event_id % 5) AS candidate_path, CAST(event_id % 100 AS DOUBLE) / 100 AS score FROM {events}"

@@ -133,3 +133,21 @@ def test_map_says_when_it_is_cut(spark):
     whole, cut = graph.graph_map(n, e).collect(), graph.graph_map(n, e, 2).collect()
     assert len(whole) == 6 and not any(r.truncated for r in whole)
     assert {(r.item, r.id) for r in cut} == {("node", "n0"), ("node", "n1"), ("edge", "e1")} and all(r.truncated for r in cut)
+
+
+def test_important_nodes(spark):
+    from stratigraph.operators import records
+
+    nodes = spark.createDataFrame(
+        [("n", "namespace", "N", "src/a/n.cs"), ("g", "Semantic_Namespace", "G", "src/obj/g.cs"), ("t", "class", "T", "src/a/t.cs"), ("m", "method", "M", "src/a/t.cs"), ("d", "class", "D", "src\\x.Designer.cs"), ("none", "class", "X", None)],
+        "stable_id string, node_kind string, display_name string, file_path string",
+    )
+    symbols = spark.createDataFrame([("s2", "t", "N.T2", "Public"), ("s1", "t", "N.T", "public"), ("s3", "m", "N.M", "public"), ("s4", "m", "N.Private", "private"), ("s5", "d", "N.D", "public"), ("s6", "none", "X", "public")], "symbol_id string, node_id string, fully_qualified_name string, visibility string")
+    got = {(r.item, r.kind, r.stable_id, r.display_name, r.sources) for r in records.important_nodes(nodes, symbols, ["/src/a/", "lib"]).collect()}
+    assert got == {
+        ("target", "Directory", "directory:src", "src", 2), ("target", "Directory", "directory:src/a", "src/a", 2), ("target", "Module", "module:src/a", "src/a", 2), ("target", "Namespace", "n", "N", 1),
+        ("target", "PublicType", "t", "N.T", 1), ("target", "PublicApi", "m", "N.M", 1), ("excluded", None, "file:src/obj/g.cs", "src/obj/g.cs", None), ("excluded", None, "file:src\\x.Designer.cs", "src\\x.Designer.cs", None),
+        ("excluded", None, "g", "G", None), ("excluded", None, "s5", "N.D", None),
+    }
+    every = records.important_nodes(nodes, symbols, include_generated=True)
+    assert every.where("item = 'excluded'").count() == 0 and every.where("stable_id = 'd'").count() == 1
