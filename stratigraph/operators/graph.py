@@ -213,18 +213,53 @@ def module_scene(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, "target").where("source_module != target_module").groupBy("source_module", "target_module").agg(F.count("*").alias("edge_count"))
 
 
-def module_detail(nodes: DataFrame, edges: DataFrame, module: str) -> DataFrame:
-    """(file_path, internal_edges, incoming, outgoing) of a module's files."""
-    mods = nodes.select("stable_id", "file_path", (module_of() == module).alias("inside"))
-    a, b = mods.toDF("source", "source_path", "from_inside"), mods.toDF("target", "target_path", "to_inside")
-    ends = edges.join(a, "source").join(b, "target").where("from_inside OR to_inside")
-    files = ends.select(
-        F.explode(F.array_distinct(F.filter(F.array(F.when(F.col("from_inside"), F.struct(F.col("source_path").alias("p"), F.lit("out").alias("w"))), F.when(F.col("to_inside"), F.struct(F.col("target_path").alias("p"), F.lit("in").alias("w")))), lambda x: x.isNotNull()))).alias("f"),
-        (F.col("from_inside") & F.col("to_inside")).alias("internal"),
-    )
-    return files.groupBy(F.col("f.p").alias("file_path")).agg(
-        F.count_if(F.col("internal") & (F.col("f.w") == "out")).alias("internal_edges"), F.count_if(~F.col("internal") & (F.col("f.w") == "in")).alias("incoming"), F.count_if(~F.col("internal") & (F.col("f.w") == "out")).alias("outgoing")
-    )
+DETAIL = ["item", "id", "other", "direction", "nodes", "internal", "external", "incoming", "outgoing", "connections"]
+
+
+def module_detail(nodes: DataFrame, edges: DataFrame, module: str, connected: bool = False) -> DataFrame:
+    """One module's files and what they are connected to, as rows of DETAIL; what an item doesn't have is null.
+
+    file: its nodes, ends of edges to other files of the module (internal), edges that leave it (external). internal_connection: edges from a
+    file to another. directory_connection: edges between a file and another module, by direction; connected_directory: these by
+    module. remote_file: a file of another module with its nodes that are met; cross_connection: edges between a file and one
+    of those. connected leaves the files with edges that leave the module, and the connections among them.
+    """
+    from ..sources.storage import checkpointed
+
+    file = F.coalesce(F.concat(F.lit("file:"), "file_path"), F.concat(F.lit("node:"), "stable_id"))
+    placed = nodes.select("stable_id", module_of().alias("module"), file.alias("file"), F.coalesce("file_path", "stable_id").alias("told"))
+    a, b = placed.toDF("source", "source_module", "source_file", "source_told"), placed.toDF("target", "target_module", "target_file", "target_told")
+    ends = checkpointed(edges.select("source", "target").join(a, "source").join(b, "target").where((F.col("source_module") == module) | (F.col("target_module") == module)))
+    inner = ends.where((F.col("source_module") == F.col("target_module")) & (F.col("source_file") != F.col("target_file")))
+    out = F.col("source_module") == module
+    either = lambda x, y: F.when(out, F.col(x)).otherwise(F.col(y))
+    cross = ends.where("source_module != target_module").select(
+        either("source_file", "target_file").alias("file"), either("target_module", "source_module").alias("directory"), either("target", "source").alias("node"),
+        either("target_told", "source_told").alias("told"), F.when(out, "outgoing").otherwise("incoming").alias("direction"),
+    ).withColumn("remote", F.concat(F.lit("remote:"), "directory", F.lit(":"), "told"))
+    each = inner.groupBy("source_file", "target_file").agg(F.count("*").alias("connections"))
+    touched = each.select(F.explode(F.array("source_file", "target_file")).alias("file"), "connections").groupBy("file").agg(F.sum("connections").alias("internal"))
+    left = cross.groupBy("file").agg(F.count("*").alias("external"))
+    files = placed.where(F.col("module") == module).groupBy("file").agg(F.count("*").alias("nodes")).join(touched, "file", "left").join(left, "file", "left").fillna(0, ["internal", "external"])
+    if connected:
+        files = files.where("external > 0")
+        for end in ("source_file", "target_file"):
+            each = each.join(files.select(F.col("file").alias(end)), end, "left_semi")
+    ways = [F.count_if(F.col("direction") == w).alias(w) for w in ("incoming", "outgoing")]
+    kinds = {"id": "string", "other": "string", "direction": "string"}
+
+    def rows(df: DataFrame, item: str, **has: str) -> DataFrame:
+        return df.select(F.lit(item).alias("item"), *[(F.col(has[c]) if c in has else F.lit(None)).cast(kinds.get(c, "long")).alias(c) for c in DETAIL[1:]])
+
+    parts = [
+        rows(files, "file", id="file", nodes="nodes", internal="internal", external="external"),
+        rows(each, "internal_connection", id="source_file", other="target_file", connections="connections"),
+        rows(cross.groupBy("file", "directory", "direction").agg(F.count("*").alias("n")), "directory_connection", id="file", other="directory", direction="direction", connections="n"),
+        rows(cross.groupBy("directory").agg(*ways, F.count("*").alias("n")), "connected_directory", id="directory", incoming="incoming", outgoing="outgoing", connections="n"),
+        rows(cross.groupBy("remote", "directory").agg(*ways, F.countDistinct("node").alias("nodes"), F.count("*").alias("n")), "remote_file", id="remote", other="directory", nodes="nodes", incoming="incoming", outgoing="outgoing", connections="n"),
+        rows(cross.groupBy("file", "remote", "direction").agg(F.count("*").alias("n")), "cross_connection", id="file", other="remote", direction="direction", connections="n"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def explore_neighbourhood(nodes: DataFrame, edges: DataFrame, focus: str | None = None, most: int = 72, per_node: int = 18) -> DataFrame:

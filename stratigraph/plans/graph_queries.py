@@ -145,13 +145,22 @@ def module_scene(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.module_scene(nodes, edges)
 
 
-@query("nodes edges", ", m AS (SELECT stable_id, file_path, " + MODULE + """ = 'Features/parts' AS i FROM nodes), e AS (SELECT a.file_path AS p, b.file_path AS q, a.i, b.i AS j FROM edges JOIN m a ON a.stable_id = source
- JOIN m b ON b.stable_id = target WHERE a.i OR b.i),
- f AS (SELECT p AS file_path, 'out' AS w, i AND j AS inner_edge FROM e WHERE i UNION ALL SELECT q, 'in', i AND j FROM e WHERE j)
- SELECT file_path, count(*) FILTER (inner_edge AND w = 'out') AS internal_edges, count(*) FILTER (NOT inner_edge AND w = 'in') AS incoming,
- count(*) FILTER (NOT inner_edge AND w = 'out') AS outgoing FROM f GROUP BY 1""")
+@query("nodes edges", ", m AS (SELECT stable_id, coalesce(concat('file:', file_path), concat('node:', stable_id)) AS file, coalesce(file_path, stable_id) AS told, " + MODULE + """ AS module FROM nodes),
+ e AS (SELECT a.module AS sm, b.module AS tm, a.file AS sf, b.file AS tf, a.told AS st, b.told AS tt, source, target FROM edges JOIN m a ON a.stable_id = source JOIN m b ON b.stable_id = target WHERE 'src/ASIA' IN (a.module, b.module)),
+ i AS (SELECT sf, tf, count(*) AS n FROM e WHERE sm = tm AND sf != tf GROUP BY 1, 2),
+ x AS (SELECT CASE WHEN sm = 'src/ASIA' THEN sf ELSE tf END AS file, CASE WHEN sm = 'src/ASIA' THEN tm ELSE sm END AS directory, CASE WHEN sm = 'src/ASIA' THEN target ELSE source END AS node,
+ CASE WHEN sm = 'src/ASIA' THEN concat('remote:', tm, ':', tt) ELSE concat('remote:', sm, ':', st) END AS remote, CASE WHEN sm = 'src/ASIA' THEN 'outgoing' ELSE 'incoming' END AS direction FROM e WHERE sm != tm),
+ f AS (SELECT file, count(*) AS nodes FROM m WHERE module = 'src/ASIA' GROUP BY 1), t AS (SELECT file, sum(n) AS internal FROM (SELECT sf AS file, n FROM i UNION ALL SELECT tf, n FROM i) GROUP BY 1), o AS (SELECT file, count(*) AS external FROM x GROUP BY 1)
+ SELECT 'file' AS item, file AS id, NULL AS other, NULL AS direction, nodes, CAST(coalesce(internal, 0) AS BIGINT) AS internal, coalesce(external, 0) AS external, NULL::BIGINT AS incoming, NULL::BIGINT AS outgoing, NULL::BIGINT AS connections
+ FROM f LEFT JOIN t USING (file) LEFT JOIN o USING (file)
+ UNION ALL SELECT 'internal_connection', sf, tf, NULL, NULL, NULL, NULL, NULL, NULL, n FROM i
+ UNION ALL SELECT 'directory_connection', file, directory, direction, NULL, NULL, NULL, NULL, NULL, count(*) FROM x GROUP BY file, directory, direction
+ UNION ALL SELECT 'connected_directory', directory, NULL, NULL, NULL, NULL, NULL, count(*) FILTER (direction = 'incoming'), count(*) FILTER (direction = 'outgoing'), count(*) FROM x GROUP BY directory
+ UNION ALL SELECT 'remote_file', remote, directory, NULL, count(DISTINCT node), NULL, NULL, count(*) FILTER (direction = 'incoming'), count(*) FILTER (direction = 'outgoing'), count(*) FROM x GROUP BY remote, directory
+ UNION ALL SELECT 'cross_connection', file, remote, direction, NULL, NULL, NULL, NULL, NULL, count(*) FROM x GROUP BY file, remote, direction""")
 def module_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return graph.module_detail(nodes, edges, "Features/parts")
+    """The files of one region, how they are connected, and what they meet outside."""
+    return graph.module_detail(nodes, edges, "src/ASIA")
 
 
 @query("nodes", " SELECT regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS directory, count(*) AS node_count FROM nodes GROUP BY 1")

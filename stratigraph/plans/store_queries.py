@@ -191,7 +191,7 @@ def duplicate_inspection(nodes: DataFrame, observed: DataFrame, signs: DataFrame
 
 
 @query("", " SELECT count(*) FILTER (severity = 'ok') AS healthy, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'error') AS errors, CASE WHEN bool_or(severity = 'error') THEN 'error' WHEN bool_or(severity = 'warning') THEN 'warning' ELSE 'ok' END AS state FROM checks",
-    checks="SELECT event_id AS check_id, CASE event_type WHEN 'click' THEN 'warning' ELSE 'ok' END AS severity FROM {events}")
+    checks="SELECT event_id AS check_id, CASE event_type WHEN 'click' THEN 'warning' WHEN 'error' THEN 'error' ELSE 'ok' END AS severity FROM {events}")
 def doctor_counts(checks: DataFrame) -> DataFrame:
     return stores.doctor_counts(checks)
 
