@@ -151,3 +151,29 @@ def test_important_nodes(spark):
     }
     every = records.important_nodes(nodes, symbols, include_generated=True)
     assert every.where("item = 'excluded'").count() == 0 and every.where("stable_id = 'd'").count() == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_plans_hold_no_group_in_one_task(spark):
+    """Statistics of a band, members of bands, roll-ups and queues: sums and rows instead of windows and lists over a whole group."""
+    from stratigraph.operators import advice, records
+
+    vectors = spark.createDataFrame([(f"v{i}", "b", [float(i), 1.0]) for i in range(6)], "id string, band string, embedding array<double>")
+    assert "Window" not in plan_of(similarity.band_cosine(vectors))
+    methods = spark.createDataFrame([(f"m{i}", "cs", 5, 2, False) for i in range(4)], "method_id string, language string, logical_line_count int, cyclomatic_complexity int, is_data_shape boolean")
+    bands = similarity.partition_bands(methods)
+    assert "collect_list" not in plan_of(bands) and {(r.method_id, r.n_members) for r in bands.collect()} == {(f"m{i}", 4) for i in range(4)}
+    summaries = spark.createDataFrame([("a/b/c.md", "1", "x", "Fresh"), ("a/d.md", "2", "y", "Fresh"), ("a/e.md", "3", "z", "Stale")], "path string, id string, text string, state string")
+    rolled = advice.directory_rollup(summaries)
+    assert "collect_list" not in plan_of(rolled) and {(r.directory, r.n, r.id) for r in rolled.collect()} == {("a", 2, "1"), ("a", 2, "2"), ("a/b", 1, "1")}
+    requests = spark.range(500).selectExpr("concat('t', id % 300) AS target", "timestamp_seconds(1000 + id * 7 % 500) AS requested_at")
+    queue = records.regeneration_queue(requests, spark.createDataFrame([("t7",)], "target string"))
+    first = {}
+    for r in requests.collect():
+        first[r.target] = min(first.get(r.target, r.requested_at), r.requested_at)
+    want = [t for _, t in sorted((v, k) for k, v in first.items() if k != "t7")]
+    assert [r.target for r in sorted(queue.collect(), key=lambda r: r.position)] == want
+    assert sorted(r.position for r in queue.collect()) == list(range(1, 300))
