@@ -30,16 +30,19 @@ def smallest_scope(sites: DataFrame, symbols: DataFrame) -> DataFrame:
     """(site_id, symbol_id): the symbol with the smallest range that holds a place (file_path, line, column), ties to the smallest id.
 
     Ranges (file_path, start_line, start_column, end_line, end_column) are listed by level and block of lines,
-    so the join is on (file, level, block). A line counts as 1,000,000 columns.
+    so the join is on (file, level, block). A line counts as 1,000,000 columns. Equal ranges are one with their smallest id,
+    and equal places are looked up once; places times levels are never broadcast, whatever size Spark takes them for.
     """
-    listed = symbols.withColumn("level", span_level(F.col("start_line"), F.col("end_line")))
+    at, span_at = ["file_path", "line", "column"], ["file_path", "start_line", "start_column", "end_line", "end_column"]
+    listed = symbols.groupBy(*span_at).agg(F.min("symbol_id").alias("symbol_id")).withColumn("level", span_level(F.col("start_line"), F.col("end_line")))
     listed = listed.withColumn("block", F.explode(span_blocks(F.col("start_line"), F.col("end_line"), F.col("level"))))
-    looked = sites.withColumn("level", every_level()).withColumn("block", block_of(F.col("line"), F.col("level")))
-    at = F.struct("line", "column")
-    held = looked.join(listed, ["file_path", "level", "block"]).where((at >= F.struct(F.col("start_line").alias("line"), F.col("start_column").alias("column"))) & (at <= F.struct(F.col("end_line").alias("line"), F.col("end_column").alias("column"))))
+    looked = sites.select(*at).distinct().withColumn("level", every_level()).withColumn("block", block_of(F.col("line"), F.col("level")))
+    here = F.struct("line", "column")
+    held = looked.join(listed.hint("merge"), ["file_path", "level", "block"]).where((here >= F.struct(F.col("start_line").alias("line"), F.col("start_column").alias("column"))) & (here <= F.struct(F.col("end_line").alias("line"), F.col("end_column").alias("column"))))
     span = (F.col("end_line") - F.col("start_line")).cast("long") * 1_000_000 + F.col("end_column") - F.col("start_column")
-    best = held.groupBy("site_id").agg(F.min(F.struct(span.alias("span"), "symbol_id")).alias("m"))
-    return sites.select("site_id").join(best, "site_id", "left").select("site_id", F.col("m.symbol_id").alias("symbol_id"))
+    places = held.groupBy(*at).agg(F.min(F.struct(span.alias("span"), "symbol_id")).alias("m"))
+    best = sites.select("site_id", *at).join(places.hint("merge"), at).groupBy("site_id").agg(F.min("m").alias("m"))
+    return sites.select("site_id").join(best.hint("merge"), "site_id", "left").select("site_id", F.col("m.symbol_id").alias("symbol_id"))
 
 
 #: kinds of important nodes that get chunks
@@ -60,7 +63,7 @@ def embedding_chunks(sources: DataFrame, declarations: DataFrame, eligible: Data
     # places alone meet the spans, so that texts travel once, to the sources that have chosen them
     places = declarations.select("path", "decl_start", "decl_end", "is_type", F.char_length("text").alias("size"), F.xxhash64("declaration_kind", "signature", "documentation", "body", "text").alias("mark"))
     looked = places.withColumn("level", every_level()).withColumn("block", block_of(F.col("decl_start"), F.col("level")))
-    held = looked.join(spans, ["path", "level", "block"]).where("decl_start >= start_line AND decl_end <= end_line")
+    held = looked.join(spans.hint("merge"), ["path", "level", "block"])  # exploded rows are not broadcast.where("decl_start >= start_line AND decl_end <= end_line")
     best = held.groupBy("stable_id", "path").agg(F.min(F.struct(~F.col("is_type"), "size", "decl_start", "decl_end", "mark")).alias("m"))
     chosen = best.select("stable_id", "path", "m.decl_start", "m.decl_end", "m.mark")
     told = declarations.withColumn("mark", F.xxhash64("declaration_kind", "signature", "documentation", "body", "text")).dropDuplicates(["path", "decl_start", "decl_end", "mark"])
