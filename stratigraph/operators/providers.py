@@ -63,7 +63,7 @@ def embedding_chunks(sources: DataFrame, declarations: DataFrame, eligible: Data
     # places alone meet the spans, so that texts travel once, to the sources that have chosen them
     places = declarations.select("path", "decl_start", "decl_end", "is_type", F.char_length("text").alias("size"), F.xxhash64("declaration_kind", "signature", "documentation", "body", "text").alias("mark"))
     looked = places.withColumn("level", every_level()).withColumn("block", block_of(F.col("decl_start"), F.col("level")))
-    held = looked.join(spans.hint("merge"), ["path", "level", "block"])  # exploded rows are not broadcast.where("decl_start >= start_line AND decl_end <= end_line")
+    held = looked.join(spans.hint("merge"), ["path", "level", "block"]).where("decl_start >= start_line AND decl_end <= end_line")
     best = held.groupBy("stable_id", "path").agg(F.min(F.struct(~F.col("is_type"), "size", "decl_start", "decl_end", "mark")).alias("m"))
     chosen = best.select("stable_id", "path", "m.decl_start", "m.decl_end", "m.mark")
     told = declarations.withColumn("mark", F.xxhash64("declaration_kind", "signature", "documentation", "body", "text")).dropDuplicates(["path", "decl_start", "decl_end", "mark"])

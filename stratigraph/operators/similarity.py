@@ -257,7 +257,7 @@ def narrowest_container(ranges: DataFrame, nodes: DataFrame) -> DataFrame:
     spans = spans.withColumn("level", span_level(F.col("node_start"), F.col("node_end")))
     listed = spans.withColumn("block", F.explode(span_blocks(F.col("node_start"), F.col("node_end"), F.col("level"))))
     looked = ranges.withColumn("level", every_level()).withColumn("block", block_of(F.col("start_line"), F.col("level")))
-    held = looked.join(listed.hint("merge"), ["file_path", "level", "block"])  # exploded rows are not broadcast.where("node_start <= start_line AND node_end >= end_line")
+    held = looked.join(listed.hint("merge"), ["file_path", "level", "block"]).where("node_start <= start_line AND node_end >= end_line")
     lengths = held.groupBy("range_id", (F.col("node_end") - F.col("node_start")).alias("span")).agg(F.sum("nodes").alias("n"), F.min("id").alias("id"))
     best = lengths.groupBy("range_id").agg(F.min(F.struct("span", "n", "id")).alias("m"))
     out = ranges.select("range_id").join(best, "range_id", "left")
