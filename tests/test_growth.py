@@ -16,3 +16,21 @@ def test_places_times_levels_are_not_broadcast(spark):
     for r in got.join(places, "site_id").collect():
         inside = [s.symbol_id for s in held if s.file_path == r.file_path and (s.start_line, 0) <= (r.line, 1) <= (s.end_line, 9)]
         assert r.symbol_id == (min(inside) if inside else None)
+
+
+def test_pairs_are_scored_once_for_each_pair_of_profiles(spark):
+    from pyspark.sql import functions as F
+
+    from stratigraph.operators import similarity
+
+    rows = [(f"k{i:02}", f"g{i % 2}", f"n{i % 4}") for i in range(24)] + [("k00", "g0", "n1"), ("lost", None, "n0"), ("null", "g0", None)]
+    seen = []
+
+    def score(pairs):
+        seen.append(pairs.count())
+        return pairs.withColumn("score", F.when(F.col("a.name").eqNullSafe(F.col("b.name")), 1.0).otherwise(0.5))
+
+    items = spark.createDataFrame(rows, "key string, grp string, name string")
+    got = sorted(tuple(r) for r in similarity.profile_pairs(items, ["grp"], "key", ["name"], score).collect())
+    assert seen == [4 * 5 // 2 + 3]
+    assert got == sorted((a, c, 1.0 if n == m else 0.5) for a, g, n in rows for c, h, m in rows if g is not None and g == h and a < c)
