@@ -34,3 +34,29 @@ def test_pairs_are_scored_once_for_each_pair_of_profiles(spark):
     got = sorted(tuple(r) for r in similarity.profile_pairs(items, ["grp"], "key", ["name"], score).collect())
     assert seen == [4 * 5 // 2 + 3]
     assert got == sorted((a, c, 1.0 if n == m else 0.5) for a, g, n in rows for c, h, m in rows if g is not None and g == h and a < c)
+
+
+def test_band_pairs_over_several_blocks(spark, monkeypatch):
+    import random
+    from itertools import combinations
+    from math import sqrt
+    from statistics import fmean, pstdev
+
+    from stratigraph.operators import similarity
+
+    monkeypatch.setattr(similarity, "BAND_BLOCK", 3)
+    rng = random.Random(5)
+    rows = [(f"b{i % 2}", f"v{i:02}", [rng.uniform(-1, 1) for _ in range(4)]) for i in range(17)] + [("same", f"s{i}", [0.3, 0.1, 0.2, 0.7]) for i in range(8)] + [("alone", "a", [1.0, 0.0, 0.0, 0.0]), ("b0", "none", None)]
+    df = similarity.band_cosine(spark.createDataFrame(rows, "band string, id string, embedding array<float>"))
+    assert "Join" not in plan_of(df).split("FlatMapGroupsInArrow")[0]  # pairs are not joined or sorted once they are made
+    got = {(r.band, r.left_id, r.right_id): (r.cosine, r.z) for r in df.collect()}
+    assert len(got) == sum(n * (n - 1) // 2 for n in (10, 8, 8))
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    for band in ("b0", "b1", "same"):
+        mine = sorted((i, v) for b, i, v in rows if b == band and v)
+        want = {(i, j): round(dot(x, y) / sqrt(dot(x, x) * dot(y, y)), 6) for (i, x), (j, y) in combinations(mine, 2)}
+        m, d = fmean(want.values()), pstdev(want.values())
+        for (i, j), c in want.items():
+            cosine, z = got[band, i, j]
+            assert abs(cosine - c) <= 1.1e-6 and abs(z - ((c - m) / d if band != "same" else 0.0)) < 1e-3
+    assert got["b0", "none", "v00"] == (None, None)
