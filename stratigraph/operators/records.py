@@ -131,6 +131,22 @@ def regeneration_queue(requests: DataFrame, in_flight: DataFrame) -> DataFrame:
     return ranged.withColumn("k", within).join(ahead, "range").select("target", (F.col("ahead") + F.col("k")).cast("long").alias("position"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, per: list[str] | None = None) -> DataFrame:
+    """rows with a column name: their number in an order, from 1, within groups (per) if there are any.
+
+    Rows are dealt out in ranges of their groups and order, so that a group of most rows is no single task; what comes together is a
+    row for each group in each range.
+    """
+    from ..sources.storage import checkpointed
+
+    per = per or []
+    ranged = checkpointed(rows.repartitionByRange(*per, *order).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*per, "range").agg(F.count("*").alias("n_before"))
+    ahead = sizes.withColumn("ahead", F.sum("n_before").over(Window.partitionBy(*per).orderBy("range")) - F.col("n_before")).drop("n_before")
+    within = F.row_number().over(Window.partitionBy(*per, "range").orderBy(*order))
+    return ranged.withColumn("k", within).join(ahead, [*per, "range"]).withColumn(name, (F.col("ahead") + F.col("k")).cast("long")).drop("range", "k", "ahead")
+
+
 def emitted_edges(sites: DataFrame) -> DataFrame:
     """(edge_identity, source, target, confidence): only matched sites give edges, with the confidence of their evidence."""
     tier = F.when(F.col("evidence") == "semantic", 1.0).when(F.col("evidence") == "explicit_syntax", 0.8).when(F.col("evidence") == "literal", 0.65).otherwise(0.4)
@@ -139,8 +155,9 @@ def emitted_edges(sites: DataFrame) -> DataFrame:
 
 
 def exception_notes(exceptions: DataFrame) -> DataFrame:
-    """(finding_key, rationale, text): a line for each exception; a reader sorts by the first two."""
-    return exceptions.select("finding_key", "rationale", F.concat(F.lit("- "), "finding_key", F.lit(": "), "rationale").alias("text"))
+    """(finding_key, rationale, line, text): the lines of the list of exceptions, in order of both, a row each with its number."""
+    rows = numbered(exceptions.select("finding_key", "rationale"), ["finding_key", "rationale"], "line")
+    return rows.select("finding_key", "rationale", "line", F.concat(F.lit("- "), "finding_key", F.lit(": "), "rationale").alias("text"))
 
 
 def asymmetric_touches(pairs: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def provider_edges(sites: DataFrame) -> DataFrame:
     return records.emitted_edges(sites)
 
 
-@query("", " SELECT finding_key, rationale, concat('- ', finding_key, ': ', rationale) AS text FROM exc", exc="SELECT o_clerk_key AS finding_key, concat('order of ', o_custkey) AS rationale FROM (SELECT concat('order ', o_orderkey) AS o_clerk_key, o_custkey FROM {orders}) AS o")
+@query("", " SELECT finding_key, rationale, row_number() OVER (ORDER BY finding_key, rationale) AS line, concat('- ', finding_key, ': ', rationale) AS text FROM exc", exc="SELECT o_clerk_key AS finding_key, concat('order of ', o_custkey) AS rationale FROM (SELECT concat('order ', o_orderkey) AS o_clerk_key, o_custkey FROM {orders}) AS o")
 def exception_notes(exc: DataFrame) -> DataFrame:
     return records.exception_notes(exc)
 

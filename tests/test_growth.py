@@ -60,3 +60,11 @@ def test_band_pairs_over_several_blocks(spark, monkeypatch):
             cosine, z = got[band, i, j]
             assert abs(cosine - c) <= 1.1e-6 and abs(z - ((c - m) / d if band != "same" else 0.0)) < 1e-3
     assert got["b0", "none", "v00"] == (None, None)
+
+
+def test_exception_notes_are_a_list_in_order(spark):
+    from stratigraph.operators import records
+
+    rows = [(f"k{i % 7}", f"r{i:03}") for i in range(200)]
+    got = records.exception_notes(spark.createDataFrame(rows, "finding_key string, rationale string").repartition(5)).collect()
+    assert [r.text for r in sorted(got, key=lambda r: r.line)] == [f"- {k}: {r}" for k, r in sorted(rows)] and {r.line for r in got} == set(range(1, 201))
