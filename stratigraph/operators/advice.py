@@ -79,11 +79,20 @@ def unified_advisories(parts: DataFrame, most: int = 10) -> DataFrame:
 
 
 def directory_rollup(summaries: DataFrame) -> DataFrame:
-    """(directory, n, path, id, text): fresh summaries strictly below each directory, a row each, with their number."""
+    """(directory, n, place, path, id, text): fresh summaries strictly below each directory, a row each, with their number and place by path and id.
+
+    Paths alone are counted and placed; texts travel once, to the places of their row.
+    """
+    from ..sources.storage import checkpointed
+    from .records import numbered
+
+    fresh = checkpointed(summaries.where("state = 'Fresh'").select("path", "id", "text").withColumn("row", F.monotonically_increasing_id()))
     parts = F.split("path", "/")
-    every = summaries.where("state = 'Fresh'").select("path", "id", "text", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("directory"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    every = fresh.where(F.size(parts) > 1).select("row", "path", "id", F.explode(above).alias("directory"))
     counts = every.groupBy("directory").agg(F.count("*").alias("n"))
-    return every.join(counts, "directory").select("directory", "n", "path", "id", "text")
+    placed = numbered(every, ["path", "id"], "place", ["directory"]).join(counts, "directory").select("row", "directory", "n", "place")
+    return fresh.join(placed, "row").select("directory", "n", "place", "path", "id", "text")
 
 
 def changelog(changes: DataFrame) -> DataFrame:

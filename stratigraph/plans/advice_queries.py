@@ -80,12 +80,12 @@ def unified_advisories(parts: DataFrame) -> DataFrame:
     return advice.unified_advisories(parts)
 
 
-SUMMARIES = "SELECT concat('src/', lang, '/', source, '/f', doc_id, '.md') AS path, concat('s', doc_id) AS id, concat('document of ', n_chars, ' characters') AS text, CASE WHEN doc_id % 4 = 0 THEN 'Stale' ELSE 'Fresh' END AS state FROM {documents}"
+SUMMARIES = "SELECT concat('src/', lang, '/', source, '/f', doc_id, '.md') AS path, concat('s', doc_id) AS id, text, CASE WHEN doc_id % 4 = 0 THEN 'Stale' ELSE 'Fresh' END AS state FROM {documents}"
 
 
 @query("", """, e AS (SELECT path, id, text, unnest([array_to_string(p[1:1], '/'), array_to_string(p[1:2], '/'), array_to_string(p[1:3], '/')]) AS directory
  FROM (SELECT *, string_split(path, '/') AS p FROM summaries WHERE state = 'Fresh'))
- SELECT directory, count(*) OVER (PARTITION BY directory) AS n, path, id, text FROM e""", summaries=SUMMARIES)
+ SELECT directory, count(*) OVER (PARTITION BY directory) AS n, row_number() OVER (PARTITION BY directory ORDER BY path, id) AS place, path, id, text FROM e""", summaries=SUMMARIES)
 def directory_rollup(summaries: DataFrame) -> DataFrame:
     return advice.directory_rollup(summaries)
 

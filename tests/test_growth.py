@@ -68,3 +68,15 @@ def test_exception_notes_are_a_list_in_order(spark):
     rows = [(f"k{i % 7}", f"r{i:03}") for i in range(200)]
     got = records.exception_notes(spark.createDataFrame(rows, "finding_key string, rationale string").repartition(5)).collect()
     assert [r.text for r in sorted(got, key=lambda r: r.line)] == [f"- {k}: {r}" for k, r in sorted(rows)] and {r.line for r in got} == set(range(1, 201))
+
+
+def test_rollups_are_whole_texts_in_order(spark):
+    from stratigraph.operators import advice
+
+    rows = [(f"a/{'bc'[i % 2]}/f{i % 9}.md", f"s{i:03}", f"whole text {i} " * 30, "Stale" if i % 4 == 0 else "Fresh") for i in range(120)] + [("top.md", "t", "x", "Fresh")]
+    got = advice.directory_rollup(spark.createDataFrame(rows, "path string, id string, text string, state string").repartition(5)).collect()
+    for d in ("a", "a/b", "a/c"):
+        want = [t for p, i, t, s in sorted(rows) if s == "Fresh" and p.startswith(d + "/")]
+        mine = sorted((r for r in got if r.directory == d), key=lambda r: r.place)
+        assert [r.text for r in mine] == want and {r.n for r in mine} == {len(want)} and [r.place for r in mine] == list(range(1, len(want) + 1))
+    assert {r.directory for r in got} == {"a", "a/b", "a/c"}
