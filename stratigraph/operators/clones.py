@@ -1,10 +1,10 @@
 """Token clones as ranges: equal runs of tokens found by a rolling hash, united along diagonals.
 
-Every window of min_tokens tokens has a 64-bit rolling hash, computed once from sums over a file's bytes and tokens and
-written to the shared folder. A window that others hold as well points to its first holder by (path, place), so n copies make n - 1
+Every window of min_tokens tokens has a 64-bit rolling hash, computed from sums over a file's bytes and tokens, and is
+dealt out by it once. A window that others hold as well points to its first holder by (path, place), so n copies make n - 1
 matches; consecutive matches of two files at the same distance are one range, as long as it goes on.
-A key's first holder is an aggregation with partial results, and the join behind it is one that Spark may split, so a
-block that a third of all files hold is no single task; what is in one task is the matches of two files on one diagonal.
+A key's first holder is an aggregation and a join over that one exchange; a key has a row for each of its holders there, never a
+pair of them. Behind it, what is in one task is the matches of two files on one diagonal.
 """
 
 from __future__ import annotations
@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import checkpointed
-
 #: any odd numbers do: powers of the first can be divided out again
 BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -73,10 +71,15 @@ def token_windows(files: DataFrame, window: int) -> DataFrame:
     return files.select("path", F.col("text").cast("string").alias("text")).mapInArrow(run, f"path {kind}, at long, h long, first_line long, last_line long")
 
 
+def _dealt(windows: DataFrame) -> DataFrame:
+    """Windows dealt out by their hash: what groups and joins by it reads this one exchange, and nothing is kept beside it."""
+    return windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h")
+
+
 def _matches(windows: DataFrame) -> DataFrame:
-    """Each window that is not the first of its hash, with that first one as own."""
+    """Each window that is not the first of its hash, with that first one as own; windows as _dealt has them."""
     own = windows.groupBy("h").agg(F.min(F.struct("path", "at", "first_line", "last_line")).alias("own"), F.count("*").alias("n")).where("n > 1").select("h", "own")
-    return windows.join(own, "h").where((F.col("path") != F.col("own.path")) | (F.col("at") != F.col("own.at")))
+    return windows.join(own.hint("merge"), "h").where((F.col("path") != F.col("own.path")) | (F.col("at") != F.col("own.at")))
 
 
 def _bounds(min_tokens: int, min_lines: int) -> None:
@@ -91,7 +94,7 @@ def clone_ranges(files: DataFrame, min_tokens: int = 50, min_lines: int = 5) ->
     Of three copies the second and the third each make a range with the first.
     """
     _bounds(min_tokens, min_lines)
-    met = _matches(checkpointed(token_windows(files, min_tokens)))
+    met = _matches(_dealt(token_windows(files, min_tokens)))
     met = met.where((F.col("path") != F.col("own.path")) | (F.col("at") - F.col("own.at") >= min_tokens))
     met = met.withColumn("diagonal", F.col("at") - F.col("own.at"))
     along = Window.partitionBy("own.path", "path", "diagonal").orderBy("at")
@@ -109,6 +112,6 @@ def token_clones(docs: DataFrame, window: int = 50) -> DataFrame:
     """(left_id, right_id, shared): how many different windows a document has in common with their first holder."""
     _bounds(window, 2)
     windows = token_windows(docs.select(F.col("doc_id").alias("path"), "text"), window)
-    grams = checkpointed(windows.select("path", "h").distinct())
+    grams = _dealt(windows.select("path", "h").where("path IS NOT NULL AND h IS NOT NULL")).distinct()  # both sides read the same rows
     first = grams.groupBy("h").agg(F.min("path").alias("left_id"), F.max("path").alias("hi")).where("left_id != hi").drop("hi")
-    return grams.join(first, "h").where("path != left_id").groupBy("left_id", F.col("path").alias("right_id")).agg(F.count("*").alias("shared"))
+    return grams.join(first.hint("merge"), "h").where("path != left_id").groupBy("left_id", F.col("path").alias("right_id")).agg(F.count("*").alias("shared"))

@@ -80,3 +80,16 @@ def test_rollups_are_whole_texts_in_order(spark):
         mine = sorted((r for r in got if r.directory == d), key=lambda r: r.place)
         assert [r.text for r in mine] == want and {r.n for r in mine} == {len(want)} and [r.place for r in mine] == list(range(1, len(want) + 1))
     assert {r.directory for r in got} == {"a", "a/b", "a/c"}
+
+
+def test_clone_windows_are_dealt_out_once(spark):
+    from stratigraph.operators import clones
+
+    run = " ".join(f"w{k}" for k in range(40))
+    files = spark.createDataFrame([(i, f"own{i} a\nb {run}\nc d\ne" if i < 3 else f"none {i}") for i in range(6)], "doc_id long, text string")
+    ranges = clones.clone_ranges(files.withColumnRenamed("doc_id", "path"), 10, 2)
+    pairs = clones.token_clones(files, 10)
+    assert {(r.first.path, r.second.path) for r in ranges.collect()} == {("0", "1"), ("0", "2")}
+    assert {(r.left_id, r.right_id) for r in pairs.collect()} == {(0, 1), (0, 2)}
+    for df in (ranges, pairs):
+        assert "ReusedExchange" in plan_of(df) and "ExistingRDD" not in plan_of(df).replace("Scan ExistingRDD[doc_id", "")
