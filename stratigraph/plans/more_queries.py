@@ -96,4 +96,5 @@ def clone_symbols(docs: DataFrame) -> DataFrame:
     size = F.size(F.split("text", "\n", -1))
     whole = docs.select(F.concat(F.lit("m:"), "doc_id").alias("stable_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("node_start"), size.alias("node_end"))
     half = docs.select(F.concat(F.lit("h:"), "doc_id").alias("stable_id"), F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("node_start"), F.floor(size / 2).cast("int").alias("node_end")).where("node_end >= 1")
-    return similarity.map_clones(found.select("clone_id", "first", "second"), whole.unionByName(half))
+    kept = storage.checkpointed(found.select("clone_id", "first", "second"))  # read more than once
+    return similarity.map_clones(kept, whole.unionByName(half))
