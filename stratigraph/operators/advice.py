@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import directory, file_name, r6, r6e
+from ..llm.storage import Scratch
+from ..sources.storage import checkpointed
 from .graph import explain_resolve
 
 
@@ -174,24 +176,30 @@ def queue_topology(publishes: DataFrame, routes: DataFrame, consumes: DataFrame)
     return part(publishes, "source", "exchange", "queue_publish").unionByName(part(routes, "exchange", "queue", "queue_route")).unionByName(part(consumes, "queue", "source", "queue_consume")).distinct()
 
 
-def _moves(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> DataFrame:
-    """(x, c): communities after rounds of local moves by modularity gain, each node in its own at first."""
-    from ..sources.storage import checkpointed
+def _moves(both: DataFrame, degree: DataFrame, total: float, rounds: int, scratch: Scratch) -> DataFrame:
+    """(x, c): communities after rounds of local moves by modularity gain, each node in its own at first.
 
-    label = checkpointed(degree.select("x", F.col("x").alias("c"), "k"))
+    both (x, y, w, turn of x) lies by y. A round reads the edges of the nodes whose turn it is and deals them out once, by x.
+    Labels are written and read again, with the size of their files: a checkpoint keeps Spark's estimate of its
+    joins, a product of sizes, which over rounds on rounds gets more digits than it can be multiplied with.
+    """
+    label = degree.select("x", F.col("x").alias("c"), "k", "turn")
     still = 0
     for r in range(rounds):
         size = label.groupBy("c").agg(F.sum("k").alias("ck"), F.count("*").alias("n"))
-        to = both.join(label.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("w").alias("kin"))
-        own = label.join(size.select("c", F.col("n").alias("own_n")), "c").select("x", F.col("c").alias("own"), "k", "own_n")
-        choice = own.select("x", "own", "own_n", "k", F.col("own").alias("c"), F.lit(0.0).alias("kin")).unionByName(to.join(own, "x").select("x", "own", "own_n", "k", "c", "kin"))
-        choice = choice.groupBy("x", "own", "own_n", "k", "c").agg(F.sum("kin").alias("kin")).join(size, "c").where("NOT (own_n = 1 AND n = 1 AND c > own)")
+        known = label.join(size, "c")
+        there = known.select(F.col("x").alias("y"), "c", "ck", "n")
+        to = both.where(F.col("turn") == r % 2).join(there, "y").repartition("x").groupBy("x", "c", "ck", "n").agg(F.sum("w").alias("kin"))
+        own = known.where(F.col("turn") == r % 2).select("x", "k", F.col("c").alias("own"), F.col("ck").alias("own_ck"), F.col("n").alias("own_n"))
         rest = F.col("ck") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = choice.withColumn("gain", F.round(F.col("kin") - F.col("k") * rest / total, 9))
-        best = gain.groupBy("x", "own", "k").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("m"))
-        turn = F.pmod(F.xxhash64("x"), F.lit(2)) == r % 2
-        moved = turn & (-F.col("m.g") > F.col("stay"))
-        label = checkpointed(best.select("x", F.when(moved, F.col("m.c")).otherwise(F.col("own")).alias("c"), "k", moved.alias("moved")))
+        gain = to.join(own, "x").where("NOT (own_n = 1 AND n = 1 AND c > own)").withColumn("gain", F.round(F.col("kin") - F.col("k") * rest / total, 9))
+        best = gain.groupBy("x", "k", "own", "own_ck").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("kept"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("m"))
+        # a community without neighbours of the node is not among them
+        stay = F.coalesce("kept", F.round(-F.col("k") * (F.col("own_ck") - F.col("k")) / total, 9))
+        moves = best.where(-F.col("m.g") > stay).select("x", F.col("m.c").alias("to"))
+        new = label.join(moves, "x", "left").select("x", F.coalesce("to", "c").alias("c"), "k", "turn", F.col("to").isNotNull().alias("moved"))
+        label = scratch.keep(new, f"label{r}")
+        scratch.drop(f"label{r - 1}")
         still = 0 if label.where("moved").limit(1).count() else still + 1
         label = label.drop("moved")
         if still == 2:  # neither half of the nodes moves any more
@@ -199,6 +207,11 @@ def _moves(both: DataFrame, degree: DataFrame, total: float, rounds: int) -> Dat
     return label.select("x", "c")
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """(name, x): long numbers in the order of the names, by ranges of them; not consecutive."""
+    return names.repartitionByRange("name").sortWithinPartitions("name").withColumn("x", F.monotonically_increasing_id())
+
+
 def _weights(edges: DataFrame) -> DataFrame:
     """(a, b, w): undirected, parallel edges summed by their weight (1 without such a column), no self-loops."""
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
@@ -213,26 +226,32 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 8, l
     with the greatest gain, ties to the smallest name, and only for a gain. Then
     communities become the nodes of the next level, until none of them joins another.
     """
-    from ..sources.storage import checkpointed
-
-    w = _weights(edges)
-    both = checkpointed(w.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(w.select("b", "a", "w")))
-    degree = checkpointed(both.groupBy("x").agg(F.sum("w").alias("k")))
+    scratch = Scratch(edges.sparkSession, "louvain")
+    w = scratch.keep(_weights(edges), "weights")
+    named = scratch.keep(_numbered(w.select(F.explode(F.array("a", "b")).alias("name")).distinct()), "names")
+    number = lambda end: named.select(F.col("name").alias(end), F.col("x").alias(f"{end}_x"))
+    pairs = scratch.keep(w.join(number("a"), "a").join(number("b"), "b").select("a_x", "b_x", "w"), "pairs")
+    both = pairs.select(F.col("a_x").alias("x"), F.col("b_x").alias("y"), "w").union(pairs.select("b_x", "a_x", "w"))
+    turns = named.select("x", F.pmod(F.xxhash64("name"), F.lit(2)).alias("turn"))
+    degree = scratch.keep(both.groupBy("x").agg(F.sum("w").alias("k")).join(turns, "x"), "degree")
+    both = checkpointed(both.join(turns, "x").repartition("y"))
     total = degree.agg(F.sum("k")).first()[0] or 1.0
-    members = degree.select(F.col("x").alias("stable_id"), F.col("x").alias("community"))
+    members = degree.select(F.col("x").alias("member"), F.col("x").alias("community"))
     count = degree.count()
-    for _ in range(levels):
-        label = checkpointed(_moves(both, degree, total, rounds))
-        members = checkpointed(members.join(label.select(F.col("x").alias("community"), "c"), "community").select("stable_id", F.col("c").alias("community")))
+    for level in range(levels):
+        label = scratch.keep(_moves(both, degree, total, rounds, scratch), f"level{level}")
+        members = scratch.keep(members.join(label.select(F.col("x").alias("community"), "c"), "community").select("member", F.col("c").alias("community")), f"members{level}")
         left = label.select("c").distinct().count()
         if left == count:
             break
         count = left
         a, b = label.toDF("x", "cx"), label.toDF("y", "cy")
-        both = checkpointed(both.join(a, "x").join(b, "y").where("cx != cy").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
-        degree = checkpointed(degree.join(label, "x").groupBy(F.col("c").alias("x")).agg(F.sum("k").alias("k")))
-    least = members.groupBy("community").agg(F.min("stable_id").alias("name"))
-    found = members.join(least, "community").select("stable_id", F.col("name").alias("community"))
+        turns = degree.select("x", "turn")
+        degree = scratch.keep(degree.join(label, "x").groupBy(F.col("c").alias("x")).agg(F.sum("k").alias("k")).join(turns, "x"), f"degree{level}")
+        both = both.select("x", "y", "w").join(a, "x").join(b, "y").where("cx != cy").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w"))
+        both = checkpointed(both.join(turns, "x").repartition("y"))
+    least = members.groupBy("community").agg(F.min("member").alias("least")).join(named.select(F.col("x").alias("least"), F.col("name")), "least")
+    found = members.join(least, "community").join(named.select(F.col("x").alias("member"), F.col("name").alias("stable_id")), "member").select("stable_id", F.col("name").alias("community"))
     if nodes is not None:
         alone = nodes.select("stable_id").distinct().join(found, "stable_id", "left_anti")
         found = found.unionByName(alone.withColumn("community", F.col("stable_id")))

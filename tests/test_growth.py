@@ -93,3 +93,15 @@ def test_clone_windows_are_dealt_out_once(spark):
     assert {(r.left_id, r.right_id) for r in pairs.collect()} == {(0, 1), (0, 2)}
     for df in (ranges, pairs):
         assert "ReusedExchange" in plan_of(df) and "ExistingRDD" not in plan_of(df).replace("Scan ExistingRDD[doc_id", "")
+
+
+def test_estimates_of_communities_stay_small(spark):
+    from stratigraph.operators import advice
+
+    names = [f"{c}{i}" for c in "abcdefgh" for i in range(4)]
+    ring = [(f"{c}{i}", f"{c}{j}") for c in "abcdefgh" for i in range(4) for j in range(i)] + [(f"{a}0", f"{b}1") for a, b in zip("abcdefgh", "bcdefgha", strict=True)]
+    got = advice.louvain(spark.createDataFrame([(f"{a}>{b}", a, b) for a, b in ring], "edge_id string, source string, target string"))
+    rows = {r.stable_id: r.community for r in got.collect()}
+    assert sorted(rows) == names and all(rows[n] == rows[n[0] + "0"] and rows[rows[n]] == rows[n] for n in names)
+    # estimates of joins are products of sizes; carried from round to round they had so many digits that no plan was ever made
+    assert len(got._jdf.queryExecution().optimizedPlan().stats().toString()) < 300
