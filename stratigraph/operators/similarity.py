@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import block_of, every_level, span_blocks, span_level
 from ..functions.text import directory, extension, jaccard, name_tokens, r6, r6e, tokens
+from ..llm.storage import Scratch
 from ..sources.storage import checkpointed
 
 #: evidence weights: symbol, signature, dependency neighbourhood, file context, embedding, module context
@@ -56,7 +57,9 @@ def hybrid_scores(pairs: DataFrame) -> DataFrame:
         "file": F.when(both_paths, file),
         "module": F.when(both_layers, F.when(a["layer"] == b["layer"], 1.0).otherwise(0.0)),
     }
-    raw = pairs.select("*", *[r6(c).alias(n) for n, c in evidence.items()])
+    # a row's evidence is made once, below the generator: what comes after reads numbers, and no filter takes the words to itself
+    once = pairs.withColumn("evidence", F.array(F.struct(*[r6(c).alias(n) for n, c in evidence.items()])))
+    raw = once.select(*pairs.columns, F.explode("evidence").alias("evidence")).select(*pairs.columns, "evidence.*")
     total, score, support = F.lit(0.0), F.lit(0.0), F.lit(0)
     for n in evidence:
         total = total + F.when(F.col(n).isNotNull(), F.lit(WEIGHTS[n])).otherwise(0.0)
@@ -73,14 +76,16 @@ def shared_ends(edges: DataFrame, source: str) -> DataFrame:
     """(stable_id, shared_ends): the mean of the Jaccard similarities of targets and of sources with those of one node.
 
     Only the node's own ends are matched, by a semi-join, and what is kept of a node are two counts each way: no set is built.
+    Both the ends and the nodes that share them are written first, so that their joins know their size; only the links of these
+    nodes are counted.
     """
-    parts = []
+    scratch, parts = Scratch(edges.sparkSession, "shared-ends"), []
     for near, far in (("source", "target"), ("target", "source")):
-        links = edges.select(F.col(near).alias("stable_id"), F.col(far).alias("end")).distinct()
-        own = links.where(F.col("stable_id") == source).select("end")
+        links = edges.select(F.col(near).alias("stable_id"), F.col(far).alias("end"))
+        own = scratch.keep(links.where(F.col("stable_id") == source).select("end").distinct(), f"own-{near}")
         size = own.agg(F.count("*").alias("size"))
-        both = links.join(own, "end", "left_semi").groupBy("stable_id").agg(F.count("*").alias("common"))
-        each = links.groupBy("stable_id").agg(F.count("*").alias("n")).join(both, "stable_id").crossJoin(F.broadcast(size))  # one row
+        both = scratch.keep(links.join(own, "end", "left_semi").distinct().groupBy("stable_id").agg(F.count("*").alias("common")), f"common-{near}")
+        each = links.join(both, "stable_id", "left_semi").distinct().groupBy("stable_id").agg(F.count("*").alias("n")).join(both, "stable_id").crossJoin(F.broadcast(size))  # one row
         parts.append(each.select("stable_id", (F.col("common") / (F.col("n") + F.col("size") - F.col("common"))).alias("share")))
     return parts[0].unionByName(parts[1]).groupBy("stable_id").agg((F.sum("share") / 2).alias("shared_ends"))
 
@@ -100,7 +105,7 @@ def find_similar(facts: DataFrame, source: str, limit: int = 10, edges: DataFram
         pairs = pairs.join(ends, F.col("b.stable_id") == F.col("other"), "left").withColumn("shared_ends", F.coalesce("shared_ends", F.lit(0.0))).drop("other")
     level = F.when(F.col("confidence") == "High", 2).when(F.col("confidence") == "Medium", 1).otherwise(0)
     best = hybrid_scores(pairs).select(F.col("b.stable_id").alias("candidate_id"), "score", "confidence", "support").orderBy(F.desc("score"), F.desc(level), "candidate_id").limit(limit)
-    return best
+    return Scratch(facts.sparkSession, "similar").keep(best, "best")  # a few rows, read more than once
 
 
 def blend_embeddings(scored: DataFrame, cosines: DataFrame) -> DataFrame:

@@ -105,3 +105,24 @@ def test_estimates_of_communities_stay_small(spark):
     assert sorted(rows) == names and all(rows[n] == rows[n[0] + "0"] and rows[rows[n]] == rows[n] for n in names)
     # estimates of joins are products of sizes; carried from round to round they had so many digits that no plan was ever made
     assert len(got._jdf.queryExecution().optimizedPlan().stats().toString()) < 300
+
+
+def test_evidence_of_pairs_is_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from stratigraph.operators import similarity
+
+    nodes = spark.createDataFrame([(f"n{i}", f"Order Part{i % 3}", f"src/d{i % 2}/f{i}.cs") for i in range(12)], "stable_id string, display_name string, file_path string")
+    edges = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(12) for j in range(12) if (i * j) % 5 == 1] + [("n1", "n6")], "source string, target string")
+    facts = similarity.similarity_facts(nodes)
+    pairs = facts.select(F.struct("*").alias("b")).crossJoin(F.broadcast(facts.limit(1).select(F.struct("*").alias("a"))))
+    # words, paths, targets and sources, each in one expression; the filter on the score had copies of them all
+    assert plan_of(similarity.hybrid_scores(pairs)).count("array_intersect") <= 20
+    ends = lambda n, a, b: {e[b] for e in edges.collect() if e[a] == n}
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    got = {r.stable_id: r.shared_ends for r in similarity.shared_ends(edges, "n1").collect()}
+    for i in range(12):
+        want = sum(share(ends("n1", a, b), ends(f"n{i}", a, b)) for a, b in (("source", "target"), ("target", "source"))) / 2
+        assert abs(got.get(f"n{i}", 0.0) - want) < 1e-9
+    best = similarity.find_similar(facts, "n1", 5, edges)
+    assert best.count() == 5 and "Join" not in plan_of(best)  # found once, however often it is read
