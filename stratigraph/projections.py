@@ -10,6 +10,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.storage import hadoop_path
+
 NODES = """
 SELECT concat('r:', r_regionkey) AS stable_id, 'region' AS node_kind, r_name AS display_name, concat('src/', r_name, '/region.cs') AS file_path, 'geo' AS provider, CAST(1.0 AS DOUBLE) AS confidence FROM {region}
 UNION ALL SELECT concat('n:', n_nationkey), 'nation', n_name, concat('src/', r_name, '/', n_name, '/nation.cs'), 'geo', CAST(1.0 AS DOUBLE) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
@@ -67,13 +69,28 @@ VECTORS = "SELECT vec_id, concat('v', lpad(CAST(vec_id AS VARCHAR(20)), 9, '0'))
 PAGE_PATHS = "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM {pages}"
 
 
+#: what a projection groups by keys that hold one column: the table comes dealt out by that column, so a group is made where its rows are
+DEALT = {EDGES: {"lineitem": "l_orderkey"}}
+#: bytes of a table's files for one part; with parts of a size a task doesn't grow with the table
+PART_BYTES = 4 << 20
+
+
 def tables_of(sql: str) -> list[str]:
     return sorted({f for _, f, _, _ in string.Formatter().parse(sql) if f})
 
 
 def project(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A projection, or any SQL over {tables}, as a DataFrame."""
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
+    return spark.sql(sql, **{t: _table(spark, f"{sf_dir}/{t}.parquet", DEALT.get(sql, {}).get(t)) for t in tables_of(sql)})
+
+
+def _table(spark: SparkSession, path: str, key: str | None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    if key is None:
+        return rows
+    fs, where = hadoop_path(spark, path)
+    parts = -(-fs.getContentSummary(where).getLength() // PART_BYTES)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, parts), key)
 
 
 def plain(sql: str) -> str:

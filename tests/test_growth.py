@@ -129,3 +129,25 @@ def test_evidence_of_pairs_is_made_once(spark):
         assert abs(got.get(f"n{i}", 0.0) - want) < 1e-9
     best = similarity.find_similar(facts, "n1", 5, edges)
     assert best.count() == 5 and "Join" not in plan_of(best)  # found once, however often it is read
+
+
+def test_edges_are_made_where_their_lines_are_dealt_to(spark, monkeypatch):
+    import math
+    import os
+
+    from stratigraph import projections
+    from stratigraph.operators import graph
+
+    sf = "/root/testdata/sf0.001"
+    size = os.path.getsize(f"{sf}/lineitem.parquet")
+    monkeypatch.setattr(projections, "PART_BYTES", size // 40)
+    edges = projections.project(spark, sf, projections.EDGES)
+    parts = math.ceil(size / (size // 40))
+    # as many parts as the table's size asks for, whatever the session's number is, and no other exchange before the groups are made
+    plan = plan_of(edges)
+    assert plan.count("Exchange") == plan.count(f"hashpartitioning(l_orderkey#") and f", {parts})" in plan
+    told = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("concat('o:', l_orderkey) o", "concat('p:', l_partkey) p", "concat('s:', l_suppkey) s")
+    want = told.selectExpr("'calls' k", "o", "p t").union(told.selectExpr("'supplied_by'", "o", "s")).distinct()
+    assert edges.where("source LIKE 'o:%' AND edge_kind != 'references'").count() == want.count()
+    n = edges.count()
+    assert graph.degrees(edges).selectExpr("sum(degree)").first()[0] == 2 * n
