@@ -178,7 +178,8 @@ def reached_levels(edges: DataFrame, start: str, depth: int, direction: str = "d
     from ..sources.storage import checkpointed
 
     near, far = ("source", "target") if direction == "dependencies" else ("target", "source")
-    steps = edges.select(F.col(near).alias("stable_id"), F.col(far).alias("far")).distinct()
+    # repeats are left in: what a level meets is made distinct, and that is less
+    steps = edges.select(F.col(near).alias("stable_id"), F.col(far).alias("far"))
     reached = edges.sparkSession.createDataFrame([(start, 0)], "stable_id string, depth long")
     front = reached
     for k in range(1, depth + 1):

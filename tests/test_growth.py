@@ -151,3 +151,16 @@ def test_edges_are_made_where_their_lines_are_dealt_to(spark, monkeypatch):
     assert edges.where("source LIKE 'o:%' AND edge_kind != 'references'").count() == want.count()
     n = edges.count()
     assert graph.degrees(edges).selectExpr("sum(degree)").first()[0] == 2 * n
+
+
+def test_levels_do_not_make_all_edges_distinct(spark, monkeypatch):
+    from stratigraph.operators import graph
+    from stratigraph.sources import storage
+
+    keep, plans = storage.checkpointed, []
+    monkeypatch.setattr(storage, "checkpointed", lambda df: plans.append(plan_of(df)) or keep(df))
+    pairs = [("b", "a"), ("b", "a"), ("c", "a"), ("d", "b"), ("d", "c"), ("d", "c"), ("a", "d"), ("e", "d"), ("x", "y")]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    got = sorted((r.stable_id, r.depth) for r in graph.reached_levels(edges, "a", 3).collect())
+    assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
+    assert len(plans) == 3 and not any(re.search(r"keys=\[stable_id#\d+, far#\d+\]", p) for p in plans)
