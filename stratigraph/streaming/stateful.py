@@ -11,11 +11,11 @@ import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import TimestampType
 
 from .sessions import replay
 
@@ -45,7 +45,8 @@ def run(stream: DataFrame, checkpoint: str) -> DataFrame:
 
 # numbering
 
-NUMBERED = "session_id string, sequence_number long, event_id long, event_type string, occurred_at timestamp, reason string"
+NUMBERED = "session_id string, sequence_number long, event_id long, event_type string, micros long, reason string"
+_NUMBERED = Row(*[c.split()[0] for c in NUMBERED.split(", ")])
 
 
 class _Number(StatefulProcessor):
@@ -57,21 +58,21 @@ class _Number(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "number long, ended boolean", self.keep_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["occurred_at", "event_id"], kind="stable").reset_index(drop=True)
-        before = batch["stored_number"].dropna()
-        stored = self.state.get() if self.state.exists() else (before.max() if len(before) else 0, (batch["stored_end"] == True).any())  # noqa: E712  it may be null
-        number, ended = int(stored[0]), bool(stored[1])
-        good = batch["reason"].isna().to_numpy()
-        ends = good & (batch["event_type"] == self.end_type).to_numpy()
-        closed = np.concatenate(([ended], ended | (np.cumsum(ends)[:-1] > 0)))
-        taken = good & ~closed
-        numbers = number + np.cumsum(taken)
-        reason = batch["reason"].where(~(good & closed), "session has ended")
-        out = pd.DataFrame({"session_id": key[0], "sequence_number": pd.array(np.where(taken, numbers, 0), "Int64"), "event_id": batch["event_id"], "event_type": batch["event_type"], "occurred_at": batch["occurred_at"], "reason": reason})
-        out.loc[~taken, "sequence_number"] = pd.NA
-        self.state.update((int(numbers[-1]) if len(numbers) else number, bool(ended or (taken & ends).any())))
-        yield out
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted(rows, key=lambda r: (r.micros is None, r.micros, r.event_id is None, r.event_id))
+        if self.state.exists():
+            number, ended = self.state.get()
+        else:
+            number, ended = max((r.stored_number for r in batch if r.stored_number is not None), default=0), any(r.stored_end for r in batch)
+        for r in batch:
+            reason, given = r.reason, None
+            if reason is None and ended:
+                reason = "session has ended"
+            elif reason is None:
+                given = number = number + 1
+                ended = r.event_type == self.end_type
+            yield _NUMBERED(key[0], given, r.event_id, r.event_type, r.micros, reason)
+        self.state.update((number, ended))
 
     def close(self) -> None:
         pass
@@ -94,8 +95,9 @@ def append_events(events: DataFrame, known: DataFrame, targets: DataFrame | None
     if targets is not None:
         rows = rows.join(targets.select("target", F.lit(True).alias("is_target")), "target", "left")
         reason = reason.when(F.col("target").isNotNull() & F.col("is_target").isNull(), "unknown target")
-    rows = rows.select("session_id", "event_id", "event_type", "occurred_at", "stored_number", "stored_end", reason.alias("reason"))
-    return rows.groupBy("session_id").transformWithStateInPandas(_Number(end_type, keep_ms), NUMBERED, "append", "None")
+    rows = rows.select("session_id", "event_id", "event_type", F.unix_micros("occurred_at").alias("micros"), "stored_number", "stored_end", reason.alias("reason"))
+    numbered = rows.groupBy("session_id").transformWithState(_Number(end_type, keep_ms), NUMBERED, "append", "None")
+    return numbered.select("session_id", "sequence_number", "event_id", "event_type", F.timestamp_micros("micros").alias("occurred_at"), "reason")
 
 
 # replay, then tail
@@ -105,21 +107,24 @@ class _Tail(StatefulProcessor):
     """State of a subscriber: the last number it was given."""
 
     def __init__(self, columns: list[str]):
-        self.columns = columns
+        self.given = Row("subscriber", *columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.mark = handle.getValueState("mark", "number long")
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        self.mark.update((int(initialState["delivered"].iloc[0]),))
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        self.mark.update((initialState.delivered,))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = int(self.mark.get()[0]) if self.mark.exists() else 0
-        batch = pd.concat(list(rows))
-        batch = batch[batch["sequence_number"] > mark].drop_duplicates("sequence_number").sort_values("sequence_number")
-        if len(batch):
-            self.mark.update((int(batch["sequence_number"].iloc[-1]),))
-        yield batch.rename(columns={"by": "subscriber"})[["subscriber", *self.columns]]
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        mark = self.mark.get()[0] if self.mark.exists() else 0
+        new: dict[int, Row] = {}
+        for r in rows:
+            if r.sequence_number is not None and r.sequence_number > mark:
+                new.setdefault(r.sequence_number, r)
+        if new:
+            self.mark.update((max(new),))
+        for number in sorted(new):
+            yield self.given(*new[number])
 
     def close(self) -> None:
         pass
@@ -147,16 +152,20 @@ def tail(events: DataFrame, marks: DataFrame) -> DataFrame:
     comes meanwhile is in both, and the mark drops it here.
     """
     columns = events.columns
-    out = "subscriber string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-    rows = events.join(marks.select(F.col("session_id"), F.col("subscriber").alias("by")), "session_id").select("by", *columns)
+    # moments go through the processor as numbers, which have no time zone
+    moments = [f.name for f in events.schema if isinstance(f.dataType, TimestampType)]
+    sent = events.join(marks.select(F.col("session_id"), F.col("subscriber").alias("by")), "session_id").select("by", *[F.unix_micros(c).alias(c) if c in moments else c for c in columns])
+    out = "subscriber string, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema[1:])
     start = marks.select(F.col("subscriber").alias("by"), "delivered").groupBy("by")
-    return rows.groupBy("by").transformWithStateInPandas(_Tail(columns), out, "append", "None", start)
+    rows = sent.groupBy("by").transformWithState(_Tail(columns), out, "append", "None", start)
+    return rows.select("subscriber", *[F.timestamp_micros(c).alias(c) if c in moments else c for c in columns])
 
 
 # change sets
 
 SIGNALS = "workspace_id string, kind string, path string, at timestamp"
 CHANGE_SETS = "workspace_id string, dispatched_ms long, paths array<string>, full_inventory boolean"
+_CHANGE_SET = Row(*[c.split()[0] for c in CHANGE_SETS.split(", ")])
 
 
 class Controller:
@@ -221,7 +230,7 @@ class _Debounce(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("controller", "memory string")
 
-    def _step(self, key: tuple, signals: list, now: int) -> Iterator[pd.DataFrame]:
+    def _step(self, key: tuple, signals: list, now: int) -> Iterator[Row]:
         c = Controller(self.settle, self.idle, json.loads(self.state.get()[0]) if self.state.exists() else None)
         c.m["waiting"] = sorted([*c.m["waiting"], *signals], key=lambda s: (s[0], s[1], s[2] or ""))
         sets = list(c.until(now))
@@ -231,15 +240,13 @@ class _Debounce(StatefulProcessor):
         times = [t for t in (c.due(), c.m["waiting"][0][0] if c.m["waiting"] else None) if t is not None]
         if times:
             self.handle.registerTimer(max(min(times), now + 1))
-        if sets:
-            yield pd.DataFrame({"workspace_id": key[0], "dispatched_ms": [s[0] for s in sets], "paths": [s[1] for s in sets], "full_inventory": [s[2] for s in sets]})
+        for at, paths, full in sets:
+            yield _CHANGE_SET(key[0], at, paths, full)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        signals = [[int(t), k, p if isinstance(p, str) else None] for t, k, p in zip(batch["ms"], batch["kind"], batch["path"], strict=True)]
-        yield from self._step(key, signals, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        yield from self._step(key, [[r.ms, r.kind, r.path] for r in rows], timerValues.getCurrentWatermarkInMs())
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._step(key, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
@@ -256,7 +263,7 @@ def change_sets(signals: DataFrame, settle_ms: int = 750, idle_ms: int = 30_000,
     if settle_ms <= 0 or idle_ms < 0:
         raise ValueError("the settle window has to be positive and the idle window not negative")
     rows = signals.withWatermark("at", late).select("workspace_id", "kind", "path", "at", F.unix_millis("at").alias("ms"))
-    sets = rows.groupBy("workspace_id").transformWithStateInPandas(_Debounce(settle_ms, idle_ms), CHANGE_SETS, "append", "EventTime")
+    sets = rows.groupBy("workspace_id").transformWithState(_Debounce(settle_ms, idle_ms), CHANGE_SETS, "append", "EventTime")
     return sets.select("workspace_id", F.timestamp_millis("dispatched_ms").alias("dispatched_at"), "paths", "full_inventory")
 
 
@@ -294,7 +301,7 @@ def admit(now: int, run: tuple, active: int, has_lease: bool, cooldown: int | No
 class _Govern(StatefulProcessor):
     """State of a governor: the leases that are out, what each run has reserved, and the end of a cooldown.
 
-    A batch reads the leases and runs that it names, folds its rows over them in order of time, and writes them back.
+    A batch reads the leases that are out and the runs that it names, folds its rows over them in order of time, and writes them back.
     """
 
     def __init__(self, limits: Limits):
@@ -308,32 +315,34 @@ class _Govern(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ms", "run_id", "request_id", "kind"], kind="stable")
         active, cooldown = self.shared.get() if self.shared.exists() else (0, -1)
-        runs, leases = {}, {}
+        # no more leases are out than may be at a time, so all are read at once
+        runs, before = {}, {tuple(lease) for lease in self.leases.keys()}
+        leases = set(before)
         for run in batch["run_id"].dropna().unique():
             runs[run] = tuple(self.runs.getValue((run,))) if self.runs.containsKey((run,)) else (0, 0, 0.0)
-        for lease in set(zip(batch["run_id"], batch["request_id"], strict=True)):
-            if lease[0] is not None and lease[1] is not None:
-                leases[lease] = self.leases.containsKey(lease)
-        before, out = dict(leases), []
+        out = []
         for r in batch.itertuples():
             lease = (r.run_id, r.request_id)
             if r.kind == "rate_limited":
                 wait = max(self.limits.cooldown_ms, 0 if pd.isna(r.retry_after_ms) else int(r.retry_after_ms))
                 cooldown = max(cooldown, int(r.ms) + wait)
-            elif r.kind == "complete" and leases.get(lease):
-                leases[lease], active = False, active - 1
+            elif r.kind == "complete" and lease in leases:
+                leases.remove(lease)
+                active -= 1
             elif r.kind == "reserve":
-                denial, wait = admit(int(r.ms), runs[r.run_id], active, leases[lease], cooldown if cooldown >= 0 else None, int(r.tokens), float(r.cost), self.limits)
-                if denial is None and not leases[lease]:
-                    leases[lease], active, had = True, active + 1, runs[r.run_id]
+                denial, wait = admit(int(r.ms), runs[r.run_id], active, lease in leases, cooldown if cooldown >= 0 else None, int(r.tokens), float(r.cost), self.limits)
+                if denial is None and lease not in leases:
+                    leases.add(lease)
+                    active, had = active + 1, runs[r.run_id]
                     runs[r.run_id] = (had[0] + 1, had[1] + int(r.tokens), had[2] + float(r.cost))
                 out.append((key[0], *lease, r.at, denial, wait))
         for run, used in runs.items():
             if used[0]:
                 self.runs.updateValue((run,), (int(used[0]), int(used[1]), float(used[2])))
-        for lease, there in leases.items():
-            if there != before[lease]:
-                self.leases.updateValue(lease, (0,)) if there else self.leases.removeKey(lease)
+        for lease in leases - before:
+            self.leases.updateValue(lease, (0,))
+        for lease in before - leases:
+            self.leases.removeKey(lease)
         self.shared.update((int(active), int(cooldown)))
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in DECISIONS.split(", ")])
         yield frame.astype({"retry_after_ms": "Int64"})

@@ -164,3 +164,58 @@ def test_levels_do_not_make_all_edges_distinct(spark, monkeypatch):
     got = sorted((r.stable_id, r.depth) for r in graph.reached_levels(edges, "a", 3).collect())
     assert got == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
     assert len(plans) == 3 and not any(re.search(r"keys=\[stable_id#\d+, far#\d+\]", p) for p in plans)
+
+
+class _Held(dict):
+    """A state of one value, or of a map that is read whole: to ask for each of its keys would be a round trip each."""
+
+    def exists(self):
+        return None in self
+
+    def get(self):
+        return self[None]
+
+    def update(self, value):
+        self[None] = value
+
+    getValue = dict.__getitem__
+    containsKey = dict.__contains__
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+def test_sessions_are_stepped_row_by_row():
+    from pyspark.sql import Row
+
+    from stratigraph.streaming import stateful
+
+    number = stateful._Number("end", None)
+    number.state = _Held()
+    event = Row("event_id", "event_type", "micros", "stored_number", "stored_end", "reason")
+    rows = [event(3, "end", 30, 7, None, None), event(1, "a", 10, 7, None, None), event(4, "a", 40, 7, None, None), event(2, "a", 20, 7, None, "unknown target")]
+    got = [(r.event_id, r.sequence_number, r.reason) for r in number.handleInputRows(("s",), iter(rows), None)]
+    assert got == [(1, 8, None), (2, None, "unknown target"), (3, 9, None), (4, None, "session has ended")]
+    assert number.state.get() == (9, True)
+    tail = stateful._Tail(["session_id", "sequence_number"])
+    tail.mark = _Held({None: (2,)})
+    sent = Row("by", "session_id", "sequence_number")
+    got = list(tail.handleInputRows(("web",), iter([sent("web", "s", n) for n in (5, 2, 3, 5)]), None))
+    assert [(r.subscriber, r.sequence_number) for r in got] == [("web", 3), ("web", 5)] and tail.mark.get() == (5,)
+
+
+def test_leases_are_read_at_once():
+    import pandas as pd
+
+    from stratigraph.streaming import stateful
+
+    class Leases(_Held):
+        def containsKey(self, key):
+            raise AssertionError("one round trip for each request")
+
+    govern = stateful._Govern(stateful.Limits(2, 10, 100, 9.0, 1000))
+    govern.shared, govern.runs, govern.leases = _Held({None: (1, -1)}), _Held(), Leases({("r", "a"): (0,)})
+    rows = [("reserve", "b", 1), ("reserve", "c", 2), ("complete", "a", 3), ("reserve", "c", 4), ("reserve", "b", 5)]
+    batch = pd.DataFrame([("r", q, k, ms, ms, 1, 0.0, None) for k, q, ms in rows], columns=["run_id", "request_id", "kind", "at", "ms", "tokens", "cost", "retry_after_ms"])
+    (out,) = govern.handleInputRows(("g",), iter([batch]), None)
+    assert list(out["denial"].fillna("")) == ["", "ConcurrencyLimitReached", "", ""]
+    assert set(govern.leases) == {("r", "b"), ("r", "c")} and govern.shared.get() == (2, -1)
