@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import directory, jaccard, r6e, tokens
@@ -113,12 +113,23 @@ def reintroduced(version_rows: DataFrame, current: DataFrame, revision: int, mos
     old = old.select(F.col("stable_id").alias("former_id"), F.col("valid_to").alias("removed_at"), F.col("content_hash").alias("old_hash"), tokens(F.col("node_kind")).alias("old_name"), tokens(F.col("file_path")).alias("old_path"))
     forms = current.select("node_kind", "file_path").distinct().withColumn("name", tokens(F.col("node_kind"))).withColumn("path", tokens(F.col("file_path")))
     met = forms.crossJoin(F.broadcast(old)).withColumn("by_name", jaccard(F.col("name"), F.col("old_name"))).withColumn("by_path", jaccard(F.col("path"), F.col("old_path")))
-    able = met.where("(2 + by_name + by_path) / (2 + IF(by_name > 0, 1, 0) + IF(by_path > 0, 1, 0)) >= 0.6").drop("name", "path", "old_name", "old_path")
-    both = current.select("stable_id", "content_hash", "node_kind", "file_path").join(able, ["node_kind", "file_path"])
-    parts = F.filter(F.array(F.when(F.col("stable_id") == F.col("former_id"), 1.0), F.col("by_name"), F.col("by_path"), F.when(F.col("content_hash") == F.col("old_hash"), 1.0)), lambda x: x.isNotNull() & (x > 0))
-    scored = both.withColumn("parts", parts).withColumn("kinds", F.size("parts").cast("long")).where("kinds >= 2")
-    scored = scored.withColumn("score", r6e(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x) / F.col("kinds")))
-    return scored.where("score >= 0.6").select("stable_id", "former_id", "removed_at", "score", "kinds")
+    # whether id and content are equal leaves four scores, which are made here, not for each node
+    scores = F.array(*[_likeness(i, h) for i in (0.0, 1.0) for h in (0.0, 1.0)])
+    able = met.withColumn("scores", scores).where(F.exists("scores", lambda s: s["score"] >= 0.6)).select("node_kind", "file_path", "former_id", "removed_at", "old_hash", "scores")
+    # few bytes that become up to most rows each: by their number, or they would be put together into one task
+    dealt = current.select("stable_id", "content_hash", "node_kind", "file_path").repartition(int(current.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stable_id")
+    both = dealt.join(able, ["node_kind", "file_path"])
+    equal = lambda a, b: F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
+    score = F.get("scores", 2 * equal("stable_id", "former_id") + equal("content_hash", "old_hash"))
+    return both.select("stable_id", "former_id", "removed_at", score.alias("s")).where("s.score >= 0.6").select("stable_id", "former_id", "removed_at", "s.score", "s.kinds")
+
+
+def _likeness(same_id: float, same_hash: float) -> Column:
+    """(score, kinds) of evidence by name and path with that of id and content; no score with fewer than two kinds."""
+    parts = F.filter(F.array(F.lit(same_id), F.col("by_name"), F.col("by_path"), F.lit(same_hash)), lambda x: x.isNotNull() & (x > 0))
+    kinds = F.size(parts).cast("long")
+    score = F.when(kinds >= 2, r6e(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / kinds))
+    return F.struct(score.alias("score"), kinds.alias("kinds"))
 
 
 def incremental_plan(changes: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, inventory: DataFrame | None = None, language: str = "csharp", provider: str = "csharp-syntax") -> DataFrame:

@@ -219,3 +219,16 @@ def test_leases_are_read_at_once():
     (out,) = govern.handleInputRows(("g",), iter([batch]), None)
     assert list(out["denial"].fillna("")) == ["", "ConcurrencyLimitReached", "", ""]
     assert set(govern.leases) == {("r", "b"), ("r", "c")} and govern.shared.get() == (2, -1)
+
+
+def test_former_versions_are_scored_once_for_each_kind_and_path(spark):
+    from stratigraph.operators import history
+
+    old = [("a", "click", "users/1/click.cs", "1", 1, 2), ("b", "view", "users/2/view.cs", "2", 1, 3), ("z", "other", "else/x.cs", "1", 1, 4), ("n", "click", "users/1/click.cs", None, 1, 2)]
+    now = [("a", "click", "users/1/click.cs", "9"), ("b", "click", "users/1/click.cs", "1"), ("c", "view", "users/2/view.cs", "2"), ("z", "none", "off/y.md", "1"), ("d", "click", "users/1/click.cs", None)]
+    found = history.reintroduced(spark.createDataFrame(old, "stable_id string, node_kind string, file_path string, content_hash string, valid_from long, valid_to long"), spark.createDataFrame(now, "stable_id string, node_kind string, file_path string, content_hash string"), 9)
+    got = {(r.stable_id, r.former_id): (r.score, r.kinds) for r in found.collect()}
+    assert got["a", "a"] == (1.0, 3) and got["b", "a"] == (1.0, 3) and got["c", "b"] == (1.0, 3) and got["d", "n"] == (1.0, 2) and got["d", "a"] == (1.0, 2)
+    assert ("z", "n") not in got and all(k >= 2 and s >= 0.6 for s, k in got.values())
+    # above the join with the nodes nothing is made but a choice of scores
+    assert "aggregate(" not in plan_of(found).split("BroadcastHashJoin")[0].split("CrossJoin")[0].split("Cartesian")[0]
