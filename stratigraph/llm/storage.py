@@ -59,6 +59,9 @@ class Scratch:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(f"{self.folder}/{name}")

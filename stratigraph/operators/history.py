@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import directory, jaccard, r6e, tokens
+from ..llm.storage import Scratch
+from ..sources.storage import parts_of
 
 
 def versions(snapshots: DataFrame, attributes: list[str]) -> DataFrame:
@@ -174,14 +176,19 @@ def incremental_plan(changes: DataFrame, nodes: DataFrame | None, edges: DataFra
 
 
 def merged(preserved: DataFrame, fresh: DataFrame, key: str, name: str) -> DataFrame:
-    """Both sets of facts, equal ones once; an id with two different facts is an error."""
-    from ..sources.storage import checkpointed
+    """Both sets of facts, equal ones once; an id with two different facts is an error.
 
-    once = checkpointed(preserved.select(*fresh.columns).unionByName(fresh).distinct())
-    bad = once.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key).limit(1).collect()
+    Facts are written as they come, then dealt out by id in parts of a size of these files, so that a task doesn't grow with the
+    tables; an id's least and greatest facts are one, or it is in conflict.
+    """
+    spark, scratch = preserved.sparkSession, Scratch(preserved.sparkSession, f"merged-{name}")
+    every = scratch.keep(preserved.select(*fresh.columns).unionByName(fresh), "every").repartition(parts_of(spark, scratch.path("every")), key)
+    fact = F.struct(*[c for c in fresh.columns if c != key])
+    once = scratch.keep(every.groupBy(key).agg(F.min(fact).alias("fact"), (~F.min(fact).eqNullSafe(F.max(fact))).alias("differs")), "once")
+    bad = once.where("differs").orderBy(key).limit(1).collect()
     if bad:
         raise ValueError(f"conflicting {name} {bad[0][key]}")
-    return once
+    return once.select(*[c if c == key else F.col(f"fact.{c}").alias(c) for c in fresh.columns])
 
 
 def reconcile_facts(nodes: DataFrame, edges: DataFrame, fresh_nodes: DataFrame, fresh_edges: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -189,17 +196,17 @@ def reconcile_facts(nodes: DataFrame, edges: DataFrame, fresh_nodes: DataFrame,
 
     Edges that touch a replaced node go; nodes without a path stay only if an edge names them.
     """
-    paths = changed.select(F.col("path").alias("file_path")).distinct()
-    from ..sources.storage import checkpointed
-
-    replaced = checkpointed(nodes.join(paths, "file_path", "left_semi").select("stable_id"))
+    scratch = Scratch(nodes.sparkSession, "reconciled")  # what is joined with whole tables is written first, so that Spark knows its size
+    paths = scratch.keep(changed.select(F.col("path").alias("file_path")).distinct(), "paths")
+    replaced = scratch.keep(nodes.join(paths, "file_path", "left_semi").select("stable_id"), "replaced")
     kept = edges
     for end in ("source", "target"):
         kept = kept.join(replaced.withColumnRenamed("stable_id", end), end, "left_anti")
     all_edges = merged(kept, fresh_edges, "edge_id", "edge")
     all_nodes = merged(nodes.join(paths, "file_path", "left_anti"), fresh_nodes, "stable_id", "node")
-    named = all_edges.select(F.explode(F.array("source", "target")).alias("stable_id")).distinct()
-    without = all_nodes.where("file_path IS NULL").join(named, "stable_id", "left_semi").select(*all_nodes.columns)
+    pathless = scratch.keep(all_nodes.where("file_path IS NULL"), "pathless")
+    named = all_edges.select(F.explode(F.array("source", "target")).alias("stable_id")).join(pathless.select("stable_id"), "stable_id", "left_semi").distinct()
+    without = pathless.join(scratch.keep(named, "named"), "stable_id", "left_semi").select(*all_nodes.columns)
     return all_nodes.where("file_path IS NOT NULL").unionByName(without), all_edges
 
 

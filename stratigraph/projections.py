@@ -10,7 +10,7 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .sources.storage import hadoop_path
+from .sources.storage import PART_BYTES, parts_of
 
 NODES = """
 SELECT concat('r:', r_regionkey) AS stable_id, 'region' AS node_kind, r_name AS display_name, concat('src/', r_name, '/region.cs') AS file_path, 'geo' AS provider, CAST(1.0 AS DOUBLE) AS confidence FROM {region}
@@ -71,8 +71,6 @@ PAGE_PATHS = "SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', '
 
 #: what a projection groups by keys that hold one column: the table comes dealt out by that column, so a group is made where its rows are
 DEALT = {EDGES: {"lineitem": "l_orderkey"}}
-#: bytes of a table's files for one part; with parts of a size a task doesn't grow with the table
-PART_BYTES = 4 << 20
 
 
 def tables_of(sql: str) -> list[str]:
@@ -86,11 +84,7 @@ def project(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def _table(spark: SparkSession, path: str, key: str | None) -> DataFrame:
     rows = spark.read.parquet(path)
-    if key is None:
-        return rows
-    fs, where = hadoop_path(spark, path)
-    parts = -(-fs.getContentSummary(where).getLength() // PART_BYTES)
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, parts), key)
+    return rows if key is None else rows.repartition(parts_of(spark, path, PART_BYTES), key)
 
 
 def plain(sql: str) -> str:

@@ -33,6 +33,16 @@ def hadoop_path(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+#: bytes of files for one part; with parts of a size a task doesn't grow with the table
+PART_BYTES = 4 << 20
+
+
+def parts_of(spark: SparkSession, path: str, size: int = PART_BYTES) -> int:
+    """Into how many parts the files of a path are dealt out: one for each size bytes, at least one a core."""
+    fs, where = hadoop_path(spark, path)
+    return max(spark.sparkContext.defaultParallelism, -(-fs.getContentSummary(where).getLength() // size))
+
+
 def write_sarif(results: DataFrame, path: str) -> None:
     """SARIF result objects as lines of JSON; the frame of the document is the header of a consumer."""
     results.select("json").write.mode("overwrite").text(path)

@@ -232,3 +232,20 @@ def test_former_versions_are_scored_once_for_each_kind_and_path(spark):
     assert ("z", "n") not in got and all(k >= 2 and s >= 0.6 for s, k in got.values())
     # above the join with the nodes nothing is made but a choice of scores
     assert "aggregate(" not in plan_of(found).split("BroadcastHashJoin")[0].split("CrossJoin")[0].split("Cartesian")[0]
+
+
+def test_facts_are_merged_in_parts_of_their_size(spark, monkeypatch):
+    import pytest
+
+    from stratigraph.operators import history
+
+    sizes = []
+    monkeypatch.setattr(history, "parts_of", lambda spark, path: sizes.append(path) or 13)
+    kept = spark.range(400).selectExpr("concat('n', id) AS stable_id", "IF(id % 9 = 0, NULL, concat('f', id % 5)) AS file_path", "'x' AS told")
+    again = spark.range(300, 500).selectExpr("'x' AS told", "concat('n', id) AS stable_id", "IF(id % 9 = 0, NULL, concat('f', id % 5)) AS file_path")
+    got = history.merged(kept, again, "stable_id", "node")
+    assert len(sizes) == 1 and len(got.inputFiles()) == 13  # more parts than the session's 8
+    assert got.columns == again.columns and sorted(r.stable_id for r in got.collect()) == sorted(f"n{i}" for i in range(500))
+    assert got.where("file_path IS NULL").count() == 56
+    with pytest.raises(ValueError, match="conflicting node n18"):  # a null and a value are two facts
+        history.merged(kept, spark.createDataFrame([("x", "n18", "f1")], again.schema), "stable_id", "node")
