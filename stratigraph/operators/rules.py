@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
+from ..llm.storage import Scratch
+from ..sources.storage import parts_of
 
 #: name -> (include globs, layers it may depend on)
 Layers = dict[str, tuple[list[str], list[str]]]
@@ -51,14 +53,18 @@ def hard_edges(edges: DataFrame, kinds: list[str]) -> DataFrame:
 def layer_violations(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list[str], membership: DataFrame | None = None) -> DataFrame:
     """(edge_id, source_layer, target_layer): hard edges between assigned nodes of layers that may not depend so.
 
-    membership, if it is at hand, saves matching the paths again.
+    membership, if it is at hand, saves matching the paths again. Assigned nodes and hard edges are written once and meet in
+    parts of the size of their files.
     """
-    own = (layer_membership(nodes, layers) if membership is None else membership).where("state = 'Assigned'").select("stable_id", "layer")
-    a, b = own.toDF("source", "source_layer"), own.toDF("target", "target_layer")
+    spark, scratch = nodes.sparkSession, Scratch(nodes.sparkSession, "violations")
+    own = scratch.keep((layer_membership(nodes, layers) if membership is None else membership).where("state = 'Assigned'").select("stable_id", "layer"), "own")
+    hard = scratch.keep(hard_edges(edges, kinds).select("edge_id", "source", "target"), "hard")
+    parts = max(parts_of(spark, scratch.path(n)) for n in ("own", "hard"))
+    a, b = own.toDF("source", "source_layer").repartition(parts, "source"), own.toDF("target", "target_layer").repartition(parts, "target")
     allowed = F.lit(False)
     for name, (_, may) in layers.items():
         allowed = allowed | ((F.col("source_layer") == name) & F.col("target_layer").isin(may or [""]))
-    ends = hard_edges(edges, kinds).join(a, "source").join(b, "target")
+    ends = hard.repartition(parts, "source").join(a, "source").repartition(parts, "target").join(b, "target")
     return ends.where((F.col("source_layer") != F.col("target_layer")) & ~allowed).select("edge_id", "source", "target", "source_layer", "target_layer")
 
 

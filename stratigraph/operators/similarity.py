@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.spans import block_of, every_level, span_blocks, span_level
 from ..functions.text import directory, extension, jaccard, name_tokens, r6, r6e, tokens
 from ..llm.storage import Scratch
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, parts_of
 
+#: bytes of nodes' or symbols' files for one part, whose rows become words
+NODE_BYTES = 1 << 20
 #: evidence weights: symbol, signature, dependency neighbourhood, file context, embedding, module context
 WEIGHTS = {"symbol": 0.25, "signature": 0.25, "neighbourhood": 0.15, "file": 0.15, "embedding": 0.10, "module": 0.10}
 
@@ -23,15 +25,21 @@ WEIGHTS = {"symbol": 0.25, "signature": 0.25, "neighbourhood": 0.15, "file": 0.1
 def similarity_facts(nodes: DataFrame, edges: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """(stable_id, words, path_words, file_path, layer, sig_words, outs, ins): what hybrid scores compare, once per node.
 
-    sig_words are those of a node's first symbol, null without one.
+    sig_words are those of a node's first symbol, null without one. Nodes and symbols meet in parts of the size of their files, as
+    they are; words are made of what has met.
     """
-    facts = nodes.select("stable_id", tokens(F.concat_ws(" ", "display_name", "stable_id")).alias("words"), tokens(F.coalesce("file_path", F.lit(""))).alias("path_words"), "file_path", *(["layer"] if "layer" in nodes.columns else [F.lit(None).cast("string").alias("layer")]))
-    if symbols is None:
-        facts = facts.withColumn("sig_words", F.lit(None).cast("array<string>"))
-    else:
+    rows = nodes.select("stable_id", "display_name", "file_path", *(["layer"] if "layer" in nodes.columns else [F.lit(None).cast("string").alias("layer")]))
+    signature = F.lit(None).cast("array<string>")
+    if symbols is not None:
+        spark, scratch = nodes.sparkSession, Scratch(nodes.sparkSession, "similarity-facts")
         told = F.concat_ws(" ", "fully_qualified_name", "normalized_signature", "return_metadata_json", "parameter_metadata_json")
-        first = symbols.groupBy(F.col("node_id").alias("stable_id")).agg(F.min(F.struct("symbol_id", told.alias("told"))).alias("s"))
-        facts = facts.join(first.select("stable_id", tokens(F.col("s.told")).alias("sig_words")), "stable_id", "left")
+        sides = scratch.keep(rows, "nodes"), scratch.keep(symbols.select(F.col("node_id").alias("stable_id"), "symbol_id", told.alias("told")), "symbols")
+        # not fewer than the session's number, or Spark deals them out again for the next join
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), *[parts_of(spark, scratch.path(n), NODE_BYTES) for n in ("nodes", "symbols")])
+        rows, said = (df.repartition(parts, "stable_id") for df in sides)
+        rows = rows.join(said.groupBy("stable_id").agg(F.min(F.struct("symbol_id", "told")).alias("s")), "stable_id", "left")
+        signature = F.when(F.col("s").isNotNull(), tokens(F.col("s.told")))
+    facts = rows.select("stable_id", tokens(F.concat_ws(" ", "display_name", "stable_id")).alias("words"), tokens(F.coalesce("file_path", F.lit(""))).alias("path_words"), "file_path", "layer", signature.alias("sig_words"))
     none = F.array().cast("array<string>")
     if edges is None:
         return facts.withColumn("outs", none).withColumn("ins", none)
@@ -99,10 +107,10 @@ def find_similar(facts: DataFrame, source: str, limit: int = 10, edges: DataFram
         raise ValueError("limit out of bounds")
     one = facts.where(F.col("stable_id") == source).select(F.struct("*").alias("a")).limit(1)
     others = facts.where(F.col("stable_id") != source)
-    pairs = others.select(F.struct("*").alias("b")).crossJoin(F.broadcast(one))
-    if edges is not None:
-        ends = shared_ends(edges, source).withColumnRenamed("stable_id", "other")
-        pairs = pairs.join(ends, F.col("b.stable_id") == F.col("other"), "left").withColumn("shared_ends", F.coalesce("shared_ends", F.lit(0.0))).drop("other")
+    shared = []
+    if edges is not None:  # by the column that the facts are dealt out by
+        others, shared = others.join(shared_ends(edges, source), "stable_id", "left"), [F.coalesce("shared_ends", F.lit(0.0)).alias("shared_ends")]
+    pairs = others.select(F.struct(*facts.columns).alias("b"), *shared).crossJoin(F.broadcast(one))
     level = F.when(F.col("confidence") == "High", 2).when(F.col("confidence") == "Medium", 1).otherwise(0)
     best = hybrid_scores(pairs).select(F.col("b.stable_id").alias("candidate_id"), "score", "confidence", "support").orderBy(F.desc("score"), F.desc(level), "candidate_id").limit(limit)
     return Scratch(facts.sparkSession, "similar").keep(best, "best")  # a few rows, read more than once
@@ -396,14 +404,19 @@ def explain_reuse(candidates: DataFrame, nodes: DataFrame, symbols: DataFrame, p
     The proposal is a node, an intent in words, or both. Names, persisted signatures, public visibility and directories decide. A
     candidate, or a named proposal, that is no node gives the factor candidate_missing or proposal_missing and no checks.
     """
-    first = symbols.groupBy(F.col("node_id").alias("stable_id")).agg(F.min(F.struct("symbol_id", "normalized_signature", "visibility")).alias("s"))
     key = F.col("canonical_key") if "canonical_key" in nodes.columns else F.col("stable_id")
-    facts = nodes.select("stable_id", "display_name", "file_path", key.alias("key")).join(first, "stable_id", "left")
+
+    def facts(chosen: DataFrame, theirs: DataFrame) -> DataFrame:
+        first = theirs.groupBy(F.col("node_id").alias("stable_id")).agg(F.min(F.struct("symbol_id", "normalized_signature", "visibility")).alias("s"))
+        return chosen.select("stable_id", "display_name", "file_path", key.alias("key")).join(first, "stable_id", "left")
+
+    asked = candidates.select(F.col("candidate_id").alias("stable_id"))
     # one row also where there is no such node
     own = F.first(F.struct(F.lit(True).alias("there"), F.col("display_name").alias("own_name"), F.col("file_path").alias("own_path"), F.col("s").alias("own")))
-    one = facts.where(F.col("stable_id") == (proposed or "")).agg(own.alias("p")).select("p.*")
-    there = facts.withColumn("known", F.lit(True))
-    rows = candidates.select(F.col("candidate_id").alias("stable_id")).join(there, "stable_id", "left").crossJoin(F.broadcast(one))
+    one = facts(nodes.where(F.col("stable_id") == (proposed or "")), symbols.where(F.col("node_id") == (proposed or ""))).agg(own.alias("p")).select("p.*")
+    # a few candidates don't make all nodes and symbols meet
+    there = facts(nodes.join(asked, "stable_id", "left_semi"), symbols.join(asked.withColumnRenamed("stable_id", "node_id"), "node_id", "left_semi")).withColumn("known", F.lit(True))
+    rows = asked.join(there, "stable_id", "left").crossJoin(F.broadcast(one))
     known, named = F.col("known").isNotNull(), F.col("there").isNotNull()
     usable = known & (named if proposed is not None else F.lit(True))
     names = jaccard(tokens(F.concat_ws(" ", F.lit(intent), "own_name")), tokens(F.concat_ws(" ", "display_name", "key"))) > 0

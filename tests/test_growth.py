@@ -249,3 +249,25 @@ def test_facts_are_merged_in_parts_of_their_size(spark, monkeypatch):
     assert got.where("file_path IS NULL").count() == 56
     with pytest.raises(ValueError, match="conflicting node n18"):  # a null and a value are two facts
         history.merged(kept, spark.createDataFrame([("x", "n18", "f1")], again.schema), "stable_id", "node")
+
+
+def test_facts_of_nodes_and_their_likes_meet_in_parts_of_their_size(spark, monkeypatch):
+    from stratigraph.operators import rules, similarity
+
+    monkeypatch.setattr(similarity, "parts_of", lambda *_: 19)
+    monkeypatch.setattr(rules, "parts_of", lambda *_: 17)
+    nodes = spark.range(60).selectExpr("concat('n', id) AS stable_id", "concat('Part', id % 7) AS display_name", "concat('src/d', id % 3, '/f.cs') AS file_path")
+    symbols = spark.range(40).selectExpr("concat('y', id) AS symbol_id", "concat('n', id % 30) AS node_id", "'X.y' AS fully_qualified_name", "'public' AS visibility", "concat('f(', id % 4, ')') AS normalized_signature", "'[]' AS parameter_metadata_json", "'v' AS return_metadata_json")
+    facts = similarity.similarity_facts(nodes, None, symbols)
+    assert plan_of(facts).count(", 19), REPARTITION_BY_NUM") == 2 and plan_of(facts).count("Exchange hashpartitioning") == 2
+    got = {r.stable_id: r.sig_words for r in facts.collect()}
+    assert len(got) == 60 and got["n59"] is None and "1" in "".join(got["n1"])
+    # of candidates alone do nodes and symbols meet
+    asked = spark.createDataFrame([("n3",), ("n50",), ("gone",)], "candidate_id string")
+    told = similarity.explain_reuse(asked, nodes, symbols, "n1")
+    assert plan_of(told).count("LeftSemi") == 2 and told.count() == 3
+    edges = spark.range(59).selectExpr("concat('e', id) AS edge_id", "concat('n', id) AS source", "concat('n', id + 1) AS target", "'calls' AS edge_kind", "1.0D AS confidence")
+    layers = {"a": (["src/d0/*"], ["b"]), "b": (["src/d1/*"], [])}
+    broken = rules.layer_violations(nodes, edges, layers, ["calls"])
+    assert plan_of(broken).count(", 17), REPARTITION_BY_NUM") == 4 and "rlike" not in plan_of(broken).lower()  # paths are matched once
+    assert broken.count() == 0 and rules.layer_violations(nodes, edges, {**layers, "a": (["src/d0/*"], [])}, ["calls"]).count() == 20
