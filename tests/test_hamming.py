@@ -52,3 +52,21 @@ def test_share_of_compared_pairs_falls(spark):
         met = sum(hamming.looked_up(searches, index, parts, r).count() for r in (0, 1))
         share.append(met / nodes.count() ** 2)
     assert share[1] < 0.3 * share[0] and share[1] < 0.05
+
+
+def test_pairs_are_met_once_and_within_reach(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "COMPARED", 1)  # lookups as long as they are fewer than fingerprints
+    items = near_by(random.Random(7), 400, 5)
+    df = spark.createDataFrame(items, "id string, fp long")
+    nodes = df.groupBy("fp").agg(F.count("*").alias("n"))
+    index = hamming.index_of(nodes, 5)
+    searches = nodes.select(F.col("fp").alias("q"))
+    met = [r for k in (0, 1, 2) for r in hamming.looked_up(searches, index, 5, k).collect()]
+    assert len({(r.q, r.fp) for r in met}) == len(met)
+    cut = lambda v: [(v & (2**64 - 1)) >> (64 * i // 5) & ((1 << 64 * (i + 1) // 5 - 64 * i // 5) - 1) for i in range(5)]
+    fps = {f for _, f in items}
+    assert {(r.q, r.fp) for r in met} == {(a, b) for a in fps for b in fps if min((x ^ y).bit_count() for x, y in zip(cut(a), cut(b), strict=True)) <= 2}
+    near = hamming.looked_up(searches.withColumn("reach", F.lit(3)), index, 5, 0).collect()
+    assert near and max(r.d for r in near) <= 3
+    got = {(r.left_id, r.right_id): r.distance for r in hamming.nearest_fingerprints(df, 6).collect()}
+    assert got == plain(items, 6)
