@@ -148,7 +148,7 @@ def module_rules(nodes: DataFrame, edges: DataFrame, layers: Layers, kinds: list
 def fact_problems(nodes: DataFrame, edges: DataFrame, symbols: DataFrame | None = None, fingerprints: DataFrame | None = None) -> DataFrame:
     """(fact, id, problem): repeated ids, blanks, bad JSON, confidences out of 0..1, bad line ranges, missing ends and owners.
 
-    Only columns that a table has are looked at.
+    Only columns that a table has are looked at. What a row tells by itself is found in one pass over its table.
     """
     out = []
 
@@ -162,18 +162,20 @@ def fact_problems(nodes: DataFrame, edges: DataFrame, symbols: DataFrame | None
         named = F.concat_ws("|", "symbol_id", "fingerprint_kind")
         tables.append((fingerprints.withColumn("fingerprint_id", named), "fingerprint", "fingerprint_id"))
     for df, kind, key in tables:
+        own = []
         bad(df.groupBy(key).agg(F.count("*").alias("n")), kind, key, F.col("n") > 1, "repeated")
         for c in (key, "node_kind", "edge_kind", "canonical_key", "provider", "content_hash", "fully_qualified_name", "visibility", "normalized_signature", "signature_hash", "fingerprint_kind", "fingerprint_hash"):
             if c in df.columns:
-                bad(df, kind, key, F.btrim(F.coalesce(c, F.lit(""))) == "", "blank" if c == key else f"blank_{c}")
+                own.append(F.when(F.btrim(F.coalesce(c, F.lit(""))) == "", "blank" if c == key else f"blank_{c}"))
         for c in ("evidence_json", "parameter_metadata_json", "return_metadata_json", "normalized_members_json"):
             if c in df.columns:
-                bad(df, kind, key, F.try_parse_json(F.col(c)).isNull(), f"json_{c}")
+                own.append(F.when(F.try_parse_json(F.col(c)).isNull(), f"json_{c}"))
         if "confidence" in df.columns:
-            bad(df, kind, key, F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence")
+            own.append(F.when(F.isnan("confidence") | ~F.col("confidence").between(0, 1), "confidence"))
         if "start_line" in df.columns:
             a, b = F.col("start_line"), F.col("end_line")
-            bad(df, kind, key, (a.isNull() != b.isNull()) | F.coalesce((a <= 0) | (b <= 0) | (a > b), F.lit(False)), "line_range")
+            own.append(F.when((a.isNull() != b.isNull()) | F.coalesce((a <= 0) | (b <= 0) | (a > b), F.lit(False)), "line_range"))
+        out.append(df.select(F.lit(kind).alias("fact"), F.col(key).alias("id"), F.explode(F.array_compact(F.array(*own))).alias("problem")))
     ends = [(edges, "edge", "edge_id", c, nodes, "stable_id", f"missing_{c}") for c in ("source", "target")]
     if symbols is not None:
         ends.append((symbols, "symbol", "symbol_id", "node_id", nodes, "stable_id", "missing_node"))

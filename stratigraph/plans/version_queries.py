@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..llm.storage import Scratch
 from ..operators import history
 from ..registry import query
 from ..sources.storage import checkpoint_folder
@@ -39,7 +40,8 @@ REVISIONS = 3
 
 
 def _committed(**facts: DataFrame) -> VersionStore:
-    spark = facts["nodes"].sparkSession
+    spark, scratch = facts["nodes"].sparkSession, Scratch(facts["nodes"].sparkSession, "facts")
+    facts = {t: scratch.keep(df, t) for t, df in facts.items()}  # made once, not for each revision
     store = VersionStore(spark, f"{checkpoint_folder(spark)}/versions-{uuid.uuid4().hex[:12]}", buckets=8)
     for r in range(1, REVISIONS + 1):
         store.commit({t: df.where(F.col("revision") == r).drop("revision") for t, df in facts.items()}, f"run {r}", base=r - 1)

@@ -271,3 +271,16 @@ def test_facts_of_nodes_and_their_likes_meet_in_parts_of_their_size(spark, monke
     broken = rules.layer_violations(nodes, edges, layers, ["calls"])
     assert plan_of(broken).count(", 17), REPARTITION_BY_NUM") == 4 and "rlike" not in plan_of(broken).lower()  # paths are matched once
     assert broken.count() == 0 and rules.layer_violations(nodes, edges, {**layers, "a": (["src/d0/*"], [])}, ["calls"]).count() == 20
+
+
+def test_problems_of_rows_are_found_in_one_pass(spark):
+    from stratigraph.operators import rules
+
+    nodes = spark.createDataFrame([("a", "file", "p"), ("b", " ", ""), ("b", "file", None)], "stable_id string, node_kind string, provider string")
+    edges = spark.createDataFrame([("e1", "a", "b", "calls", 0.5, "{}"), ("e2", "a", "gone", "", 1.5, "{"), ("e3", "a", "b", "calls", float("nan"), None), ("e4", "a", "b", "calls", None, "1")], "edge_id string, source string, target string, edge_kind string, confidence double, evidence_json string")
+    found = rules.fact_problems(nodes, edges)
+    # each table has one pass for what its rows tell, one for its ids, and two as ends or owners of ends
+    assert plan_of(found).count("Generate explode") == 2 and plan_of(found).count("Scan ExistingRDD") == 8
+    want = [("node", "b", "repeated"), ("node", "b", "blank_node_kind"), ("node", "b", "blank_provider"), ("node", "b", "blank_provider"), ("edge", "e2", "blank_edge_kind"), ("edge", "e2", "confidence")]
+    want += [("edge", "e2", "json_evidence_json"), ("edge", "e3", "json_evidence_json"), ("edge", "e3", "confidence"), ("edge", "e2", "missing_target")]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
