@@ -38,6 +38,39 @@ def test_pairs_are_scored_once_for_each_pair_of_profiles(spark):
     assert got == sorted((a, c, 1.0 if n == m else 0.5) for a, g, n in rows for c, h, m in rows if g is not None and g == h and a < c)
 
 
+def test_signatures_of_all_return_types_and_arities_meet(spark, monkeypatch):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from stratigraph.operators import similarity
+
+    monkeypatch.setattr(similarity, "SIGNATURE_BLOCK", 7)
+    rows = [(f"s{i:02}", f"Read{'XYZ'[i % 3]}Name", ["int", "A"][: i % 3], [None, "A", "B"][i % 3], i % 2) for i in range(30)]
+    rows += [("s00", "ReadXName", [], None, 0), ("s40", None, ["int"], "A", 1), ("s41", "Read", None, "A", None), (None, "Read", ["int"], "A", 1)]
+    schema = "symbol_id string, name string, parameter_types array<string>, return_type string, arity int"
+    df = similarity.signature_pairs(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in plan_of(df).split("SortMergeJoin")[0]  # pairs are not dealt out
+    got = sorted((tuple(r) for r in df.collect()), key=str)
+    known = sorted((r for r in rows if r[0]), key=lambda r: r[0])
+    both = [(a, b) for a, b in combinations(known, 2) if a[0] != b[0]]
+    side = F.struct("symbol_id", "name", "parameter_types", "return_type", "arity")
+    at = spark.createDataFrame([(i, j, *r) for i, ab in enumerate(both) for j, r in enumerate(ab)], "i int, j int, " + schema).select("i", "j", side.alias("s"))
+    want = similarity.signature_similarity(at.where("j = 0").select("i", F.col("s").alias("left")).join(at.where("j = 1").select("i", F.col("s").alias("right")), "i"))
+    want = sorted((tuple(r) for r in want.select("left.symbol_id", "right.symbol_id", "score").collect()), key=str)
+    assert len(got) == len(both) and got == want
+
+
+def test_signature_query_has_all_pairs_of_parts(spark):
+    from stratigraph import registry
+
+    from .conftest import SF
+
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    got = registry.QUERIES["signature_similarity"](spark, SF)
+    assert got.count() == n * (n - 1) // 2  # not only those of one brand and size
+
+
 def test_band_pairs_over_several_blocks(spark, monkeypatch):
     import random
     from itertools import combinations
