@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import directory, file_name, r6, r6e
 from ..llm.storage import Scratch
-from ..sources.storage import checkpointed
+from ..sources.storage import checkpointed, parts_of
 from .graph import explain_resolve
 
 
@@ -176,10 +176,24 @@ def queue_topology(publishes: DataFrame, routes: DataFrame, consumes: DataFrame)
     return part(publishes, "source", "exchange", "queue_publish").unionByName(part(routes, "exchange", "queue", "queue_route")).unionByName(part(consumes, "queue", "source", "queue_consume")).distinct()
 
 
-def _moves(both: DataFrame, degree: DataFrame, total: float, rounds: int, scratch: Scratch) -> DataFrame:
+def _by_turn(both: DataFrame, turns: DataFrame, parts: int) -> list[DataFrame]:
+    """The edges (x, y, w) of the nodes x of each turn, dealt out and sorted by y, as a round's join with the labels of y needs them.
+
+    They are written without adaptive plans, of which a checkpoint doesn't tell how they lie, so that each round would deal them out again.
+    """
+    conf, told = both.sparkSession.conf, both.join(turns, "x")
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return [checkpointed(told.where(F.col("turn") == t).select("x", "y", "w").repartition(parts, "y").sortWithinPartitions("y")) for t in (0, 1)]
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
+def _moves(both: list[DataFrame], degree: DataFrame, total: float, rounds: int, scratch: Scratch) -> DataFrame:
     """(x, c): communities after rounds of local moves by modularity gain, each node in its own at first.
 
-    both (x, y, w, turn of x) lies by y. A round reads the edges of the nodes whose turn it is and deals them out once, by x.
+    both (x, y, w) comes by the turn of x and lies by y. A round reads the edges of the nodes whose turn it is and deals them out once, by x.
     Labels are written and read again, with the size of their files: a checkpoint keeps Spark's estimate of its
     joins, a product of sizes, which over rounds on rounds gets more digits than it can be multiplied with.
     """
@@ -189,11 +203,12 @@ def _moves(both: DataFrame, degree: DataFrame, total: float, rounds: int, scratc
         size = label.groupBy("c").agg(F.sum("k").alias("ck"), F.count("*").alias("n"))
         known = label.join(size, "c")
         there = known.select(F.col("x").alias("y"), "c", "ck", "n")
-        to = both.where(F.col("turn") == r % 2).join(there, "y").repartition("x").groupBy("x", "c", "ck", "n").agg(F.sum("w").alias("kin"))
+        to = both[r % 2].join(there, "y").repartition("x").groupBy("x", "c", "ck", "n").agg(F.sum("w").alias("kin"))
         own = known.where(F.col("turn") == r % 2).select("x", "k", F.col("c").alias("own"), F.col("ck").alias("own_ck"), F.col("n").alias("own_n"))
         rest = F.col("ck") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = to.join(own, "x").where("NOT (own_n = 1 AND n = 1 AND c > own)").withColumn("gain", F.round(F.col("kin") - F.col("k") * rest / total, 9))
-        best = gain.groupBy("x", "k", "own", "own_ck").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("kept"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("m"))
+        # by x alone, as the join has left them
+        best = gain.groupBy("x").agg(F.first("k").alias("k"), F.first("own_ck").alias("own_ck"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("kept"), F.min(F.struct((-F.col("gain")).alias("g"), "c")).alias("m"))
         # a community without neighbours of the node is not among them
         stay = F.coalesce("kept", F.round(-F.col("k") * (F.col("own_ck") - F.col("k")) / total, 9))
         moves = best.where(-F.col("m.g") > stay).select("x", F.col("m.c").alias("to"))
@@ -234,12 +249,14 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 8, l
     both = pairs.select(F.col("a_x").alias("x"), F.col("b_x").alias("y"), "w").union(pairs.select("b_x", "a_x", "w"))
     turns = named.select("x", F.pmod(F.xxhash64("name"), F.lit(2)).alias("turn"))
     degree = scratch.keep(both.groupBy("x").agg(F.sum("w").alias("k")).join(turns, "x"), "degree")
-    both = checkpointed(both.join(turns, "x").repartition("y"))
+    # not fewer parts than the session has, or Spark deals them out again
+    parts = lambda name: max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), parts_of(scratch.spark, scratch.path(name)))
+    halves = _by_turn(both, turns, parts("pairs"))
     total = degree.agg(F.sum("k")).first()[0] or 1.0
     members = degree.select(F.col("x").alias("member"), F.col("x").alias("community"))
     count = degree.count()
     for level in range(levels):
-        label = scratch.keep(_moves(both, degree, total, rounds, scratch), f"level{level}")
+        label = scratch.keep(_moves(halves, degree, total, rounds, scratch), f"level{level}")
         members = scratch.keep(members.join(label.select(F.col("x").alias("community"), "c"), "community").select("member", F.col("c").alias("community")), f"members{level}")
         left = label.select("c").distinct().count()
         if left == count:
@@ -248,8 +265,8 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 8, l
         a, b = label.toDF("x", "cx"), label.toDF("y", "cy")
         turns = degree.select("x", "turn")
         degree = scratch.keep(degree.join(label, "x").groupBy(F.col("c").alias("x")).agg(F.sum("k").alias("k")).join(turns, "x"), f"degree{level}")
-        both = both.select("x", "y", "w").join(a, "x").join(b, "y").where("cx != cy").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w"))
-        both = checkpointed(both.join(turns, "x").repartition("y"))
+        both = halves[0].union(halves[1]).join(a, "x").join(b, "y").where("cx != cy").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w"))
+        halves = _by_turn(scratch.keep(both, f"pairs{level}"), turns, parts(f"pairs{level}"))
     least = members.groupBy("community").agg(F.min("member").alias("least")).join(named.select(F.col("x").alias("least"), F.col("name")), "least")
     found = members.join(least, "community").join(named.select(F.col("x").alias("member"), F.col("name").alias("stable_id")), "member").select("stable_id", F.col("name").alias("community"))
     if nodes is not None:

@@ -71,6 +71,20 @@ def test_signature_query_has_all_pairs_of_parts(spark):
     assert got.count() == n * (n - 1) // 2  # not only those of one brand and size
 
 
+def test_edges_of_a_turn_meet_labels_as_they_lie(spark):
+    from stratigraph.operators import advice
+
+    both = spark.range(200).selectExpr("id % 20 AS x", "id % 17 AS y", "1.0D AS w").where("x != y")
+    turns = spark.range(20).selectExpr("id AS x", "id % 2 AS turn")
+    halves = advice._by_turn(both, turns, 8)
+    assert sorted(tuple(r) for h in halves for r in h.collect()) == sorted(tuple(r) for r in both.collect())
+    labels = spark.range(20).selectExpr("id AS y", "id AS c")
+    for turn, half in enumerate(halves):
+        assert {r.x % 2 for r in half.collect()} == {turn}
+        plan = plan_of(half.join(labels.hint("merge"), "y"))
+        assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1  # of the labels alone
+
+
 def test_band_pairs_over_several_blocks(spark, monkeypatch):
     import random
     from itertools import combinations
