@@ -55,7 +55,8 @@ def embedding_chunks(sources: DataFrame, declarations: DataFrame, eligible: Data
     sources (stable_id, path, start_line, end_line); declarations (path, decl_start, decl_end, declaration_kind, is_type,
     signature, documentation, body, text); eligible (stable_id, kind). Of the declarations within a source's
     lines the shortest type is taken, with its kind, documentation and source; without a type the shortest method, with
-    signature, documentation and body. A method without a body gives no chunk. Equally long ones go by place.
+    signature, documentation and body. A method without a body gives no chunk. Equally long ones go by place; what is not known
+    comes last. A source with several ranges gets one chunk for all of them.
     """
     wanted = eligible.where(F.col("kind").isin(*CHUNK_KINDS)).select("stable_id").distinct()
     spans = sources.join(wanted, "stable_id", "left_semi").withColumn("level", span_level(F.col("start_line"), F.col("end_line")))
@@ -64,12 +65,13 @@ def embedding_chunks(sources: DataFrame, declarations: DataFrame, eligible: Data
     places = declarations.select("path", "decl_start", "decl_end", "is_type", F.char_length("text").alias("size"), F.xxhash64("declaration_kind", "signature", "documentation", "body", "text").alias("mark"))
     looked = places.withColumn("level", every_level()).withColumn("block", block_of(F.col("decl_start"), F.col("level")))
     held = looked.join(spans.hint("merge"), ["path", "level", "block"]).where("decl_start >= start_line AND decl_end <= end_line")
-    best = held.groupBy("stable_id", "path").agg(F.min(F.struct(~F.col("is_type"), "size", "decl_start", "decl_end", "mark")).alias("m"))
-    chosen = best.select("stable_id", "path", "m.decl_start", "m.decl_end", "m.mark")
+    last = lambda c: F.col(c).isNull().alias(f"no_{c}")
+    best = held.groupBy("stable_id").agg(F.min(F.struct(last("is_type"), ~F.col("is_type"), last("size"), "size", "decl_start", "decl_end", "path", "mark")).alias("m"))
+    chosen = best.select("stable_id", "m.path", "m.decl_start", "m.decl_end", "m.mark")
     told = declarations.withColumn("mark", F.xxhash64("declaration_kind", "signature", "documentation", "body", "text")).dropDuplicates(["path", "decl_start", "decl_end", "mark"])
     full = chosen.join(told, ["path", "decl_start", "decl_end", "mark"])
     or_none = lambda c: F.coalesce(c, F.lit(""))
-    of_type = F.concat(F.lit("declaration: "), or_none("declaration_kind"), F.lit("\ndocumentation: "), or_none("documentation"), F.lit("\nsource:\n"), F.btrim("text"))
+    of_type = F.concat(F.lit("declaration: "), or_none("declaration_kind"), F.lit("\ndocumentation: "), or_none("documentation"), F.lit("\nsource:\n"), or_none(F.btrim("text")))
     of_method = F.concat(F.lit("signature: "), or_none("signature"), F.lit("\ndocumentation: "), or_none("documentation"), F.lit("\nbody:\n"), F.btrim("body"))
     content = F.when(F.col("is_type"), of_type).when(~blank("body"), of_method)
     rows = full.select("stable_id", "path", content.alias("content")).where("content IS NOT NULL")

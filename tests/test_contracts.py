@@ -55,6 +55,23 @@ def test_chunks(spark):
     assert got == {k: (v, hashlib.sha256(v.encode()).hexdigest().upper()) for k, v in want.items()}
 
 
+def test_chunks_of_several_ranges_and_unknown_lengths(spark):
+    sources = spark.createDataFrame([("a", "x.cs", 1, 20), ("a", "y.cs", 1, 20), ("b", "z.cs", 1, 9), ("c", "z.cs", 20, 29), ("d", "w.cs", 1, 9)], "stable_id string, path string, start_line int, end_line int")
+    declared = [
+        ("x.cs", 2, 3, True, "Long", None, None, None, "class Long {}"),
+        ("y.cs", 2, 3, True, "Short", None, None, None, "class S {}"),
+        ("z.cs", 2, 3, True, "Unknown", None, None, None, None),
+        ("z.cs", 4, 5, True, "Known", None, None, None, "class K {}"),
+        ("z.cs", 21, 22, True, "Alone", None, None, None, None),
+        ("w.cs", 2, 3, None, "Neither", "f", None, "1", "f"),
+        ("w.cs", 4, 5, False, None, "long()", None, " 2 ", "long() => 2"),
+    ]
+    eligible = spark.createDataFrame([(i, "PublicType") for i in "abcd"], "stable_id string, kind string")
+    got = sorted((r.stable_id, r.path, r.content) for r in providers.embedding_chunks(sources, spark.createDataFrame(declared, DECLARED), eligible).collect())
+    text = "declaration: {}\ndocumentation: \nsource:\n{}"
+    assert got == [("a", "y.cs", text.format("Short", "class S {}")), ("b", "z.cs", text.format("Known", "class K {}")), ("c", "z.cs", text.format("Alone", "")), ("d", "w.cs", "signature: long()\ndocumentation: \nbody:\n2")]
+
+
 def test_chunks_join_on_blocks(spark):
     spans = spark.range(200).selectExpr("concat('s', id) AS stable_id", "'one.cs' AS path", "CAST(id * 40 AS INT) AS start_line", "CAST(id * 40 + 30 AS INT) AS end_line")
     declared = spark.range(200).selectExpr("'one.cs' AS path", "CAST(id * 40 + 3 AS INT) AS decl_start", "CAST(id * 40 + 5 AS INT) AS decl_end", "true AS is_type", "'c' AS declaration_kind", "'' AS signature", "'' AS documentation", "'' AS body", "concat('t', id) AS text")
