@@ -85,6 +85,17 @@ def test_edges_of_a_turn_meet_labels_as_they_lie(spark):
         assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1  # of the labels alone
 
 
+def test_rows_of_a_message_follow_each_other(spark):
+    from stratigraph.operators import advice
+
+    made = spark.range(900).selectExpr("concat('u', id) AS stable_id", "concat('m', id % 9) AS message")
+    used = spark.range(40).selectExpr("concat('s', id) AS stable_id", "concat('m', id % 8) AS message")
+    df = advice.message_edges(made, used)
+    parts = df.rdd.glom().map(lambda rows: [r.message for r in rows]).collect()
+    assert sum(len(p) for p in parts) == 800 * 5 + 100
+    assert len([p for p in parts if p]) > 1 and all(len(set(p)) <= 3 for p in parts)
+
+
 def test_band_pairs_over_several_blocks(spark, monkeypatch):
     import random
     from itertools import combinations
