@@ -62,6 +62,7 @@ def test_signatures_of_all_return_types_and_arities_meet(spark, monkeypatch):
 
 
 def test_signature_query_has_all_pairs_of_parts(spark):
+    import stratigraph.plans  # noqa: F401  fills the registry
     from stratigraph import registry
 
     from .conftest import SF
